@@ -29,24 +29,19 @@ def hour_floor(c) -> Column:
                                 F.lit(0), F.lit(0))
 
 
-def parse_time(c) -> Column:
-    """Strings parse with ``try_to_timestamp`` (bad values -> NULL); timestamps pass."""
-    return F.col(c).cast("timestamp_ntz") if isinstance(c, str) else c.cast("timestamp_ntz")
-
-
 def calendar_parts(ts: Column, parts) -> list[Column]:
     return [_PARTS[p](ts).alias(p) for p in parts]
 
 
 def add_time_features(df: DataFrame, col: str = "datetime",
                       parts=("hour", "day", "month", "dayofweek")) -> DataFrame:
-    """Parse ``col`` (unparseable -> NULL) and add calendar parts; no-op when
+    """Parse ``col`` (a string that does not parse becomes NULL) and add calendar parts; no-op when
     ``col`` is absent."""
     if col not in df.columns:
         return df
     dtype = dict(df.dtypes)[col]
     if dtype == "string":
-        ts = F.try_to_timestamp(F.col(col)).cast("timestamp_ntz")
+        ts = F.col(col).try_cast("timestamp_ntz")
     else:
         ts = F.col(col).cast("timestamp_ntz")
     out = df.withColumn(col, ts)

@@ -24,10 +24,9 @@ def round_prediction(c, digits: int = 2) -> Column:
 
 
 def forecast_date(base, days) -> Column:
-    """``yyyy-MM-dd`` of ``base`` plus ``days`` days (base is a column or date)."""
-    b = _col(base) if not isinstance(base, str) or base in ("datetime",) else F.lit(base)
-    return F.date_format(F.date_add(F.to_date(b), _col(days) if isinstance(days, str) else F.lit(days)),
-                         "yyyy-MM-dd")
+    """``yyyy-MM-dd`` of timestamp column ``base`` plus ``days`` (column name or int)."""
+    d = F.col(days) if isinstance(days, str) else F.lit(int(days))
+    return F.date_format(F.date_add(F.to_date(_col(base)), d), "yyyy-MM-dd")
 
 
 def version_stamp(ts) -> Column:
