@@ -55,3 +55,11 @@ def roll(col: str, n: int, name: str, fn="avg", order="datetime", key="series_id
 
 def shift(col: str, k: int, name: str, fn="lag", order="datetime", key="series_id") -> str:
     return f"{fn}({col}, {k}) OVER {win(order, key)} AS {name}"
+
+
+def corr_sql(a: str, b: str) -> str:
+    """Same formula as ``eda.safe_corr``."""
+    x, y = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
+    both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
+    return (f"covar_pop({x}, {y}) / nullif(stddev_pop(CASE WHEN {both} THEN {x} END)"
+            f" * stddev_pop(CASE WHEN {both} THEN {y} END), 0)")
