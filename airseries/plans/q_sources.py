@@ -1 +1,87 @@
-"""Registered queries."""
+"""Queries for payload sources, backfill plans, forecast documents and joins
+(S1-S3, S8, J1-J3)."""
+
+from pyspark.sql import functions as F
+
+from airseries.operators import joins as J
+from airseries.operators.features import latest_rows, tail_rows
+from airseries.plans import fixtures as fx
+from airseries.plans.catalog import register
+from airseries.sources import payload as PL
+from airseries.sources import tables as TB
+
+
+@register("s1_flatten_hourly", fx.ctes("readings") + "SELECT series_id, datetime, pm2_5, pm10 FROM readings")
+def s1_flatten_hourly(spark, sf_dir):
+    pay = PL.to_payload(fx.readings(spark, sf_dir), ["pm2_5", "pm10"])
+    return PL.flatten_hourly(pay, ["pm2_5", "pm10"], keep=["series_id"])
+
+
+@register("s2_flatten_variable_list", fx.ctes("readings") + """
+SELECT series_id, CAST(datetime AS DATE) AS day, datetime, pm10, CAST(NULL AS DOUBLE) AS ozone FROM readings""")
+def s2_flatten_variable_list(spark, sf_dir):
+    pay = PL.to_payload(fx.readings(spark, sf_dir), ["pm2_5", "pm10"])
+    return PL.flatten_hourly(pay, ["pm10", "ozone"])
+
+
+@register("s3_plan_backfill", fx.ctes("readings") + """,
+rng AS (SELECT series_id, CAST(min(datetime) AS DATE) AS start, CAST(max(datetime) AS DATE) AS "end"
+        FROM readings GROUP BY 1)
+SELECT series_id, CAST(chunk AS INTEGER) AS chunk, CAST(chunk_start AS DATE) AS chunk_start,
+       least(CAST(chunk_start AS DATE) + 10, "end") AS chunk_end
+FROM (SELECT series_id, "end",
+             unnest(generate_series(CAST(start AS TIMESTAMP), CAST("end" AS TIMESTAMP) - INTERVAL 1 DAY,
+                                    INTERVAL 11 DAY)) AS chunk_start,
+             generate_subscripts(generate_series(CAST(start AS TIMESTAMP), CAST("end" AS TIMESTAMP) - INTERVAL 1 DAY,
+                                    INTERVAL 11 DAY), 1) - 1 AS chunk
+      FROM rng WHERE start < "end")""")
+def s3_plan_backfill(spark, sf_dir):
+    r = fx.readings(spark, sf_dir).groupBy("series_id").agg(
+        F.to_date(F.min("datetime")).alias("start"), F.to_date(F.max("datetime")).alias("end"))
+    return PL.plan_backfill(r)
+
+
+@register("s8_forecast_documents", fx.ctes("readings") + """
+SELECT series_id, 1 AS horizon, 'persistence_h1' AS model_version, TIMESTAMP '2024-02-01 00:00:00' AS generated_at,
+       datetime + INTERVAL 24 HOUR AS datetime, pm2_5 AS predicted_aqi
+FROM readings""")
+def s8_forecast_documents(spark, sf_dir):
+    r = fx.readings(spark, sf_dir)
+    flat = r.select("series_id", F.lit(1).alias("horizon"), F.lit("persistence_h1").alias("model_version"),
+                    F.lit("2024-02-01 00:00:00").cast("timestamp_ntz").alias("generated_at"),
+                    (F.col("datetime") + F.expr("INTERVAL 24 HOURS")).alias("datetime"),
+                    F.col("pm2_5").alias("predicted_aqi"))
+    return TB.unnest_documents(TB.forecast_documents(flat))
+
+
+@register("j1_align_weather", fx.ctes("readings", "weather") + """
+SELECT r.series_id, r.datetime, r.pm2_5, w.temperature_2m
+FROM readings r LEFT JOIN weather w ON r.series_id = w.series_id AND r.datetime = w.datetime""")
+def j1_align_weather(spark, sf_dir):
+    r = fx.readings(spark, sf_dir).select("series_id", "datetime", "pm2_5")
+    return J.align_weather(r, fx.weather(spark, sf_dir))
+
+
+@register("j2_union_history_forecast", fx.ctes("history") + """
+SELECT series_id, datetime, pm2_5, pm10, false AS is_forecast FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY datetime DESC) AS rn FROM history) WHERE rn <= 24
+UNION ALL
+SELECT series_id, datetime, NULL AS pm2_5, pm10, true AS is_forecast FROM future""")
+def j2_union_history_forecast(spark, sf_dir):
+    h = tail_rows(fx.history(spark, sf_dir).select("series_id", "datetime", "pm2_5", "pm10"), 24)
+    f = fx.future(spark, sf_dir).select("series_id", "datetime", "pm10")
+    return J.union_history_forecast(h, f)
+
+
+@register("j3_feature_model_grid", fx.ctes("readings", "registry") + """
+SELECT l.series_id, l.datetime, l.pm2_5, m.horizon, m.model_name, m.artifact
+FROM (SELECT series_id, max(datetime) AS datetime, arg_max(pm2_5, datetime) AS pm2_5 FROM readings GROUP BY 1) l
+JOIN (SELECT horizon, arg_min(model_name, rmse) AS model_name, arg_min(artifact, rmse) AS artifact
+      FROM registry WHERE is_best GROUP BY 1) m ON true""")
+def j3_feature_model_grid(spark, sf_dir):
+    latest = latest_rows(fx.readings(spark, sf_dir).select("series_id", "datetime", "pm2_5"))
+    reg = fx.registry(spark, sf_dir).filter(F.col("is_best"))
+    best = reg.groupBy("horizon").agg(F.min_by(F.struct("model_name", "artifact"), "rmse").alias("m")) \
+              .select("horizon", "m.*")
+    return J.feature_model_grid(latest, best, [1, 2, 3]) \
+            .select("series_id", "datetime", "pm2_5", "horizon", "model_name", "artifact")
