@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airseries.functions.calendar import hour_floor
 from airseries.plans.presets import TRAINING, TRAINING_FEATURES
+from airseries.plans.sqlgen import sround
 
 SPLIT_AT = "2024-01-28 00:00:00"
 
@@ -108,12 +109,12 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REGISTRY_SQL = """registry AS (
+REGISTRY_SQL = f"""registry AS (
   SELECT model_name, horizon, rmse, mae, r2, artifact, run_id, status,
          status = 'production' AS is_best, registered_at
   FROM (
     SELECT model_name, horizon, rmse, mae,
-           round((rmse - mae) / rmse, 6) AS r2,
+           {sround('(rmse - mae) / rmse')} AS r2,
            'models/' || model_name || '_h' || CAST(horizon AS VARCHAR) AS artifact,
            'run_' || CAST(run AS VARCHAR) AS run_id,
            CASE (horizon + length(model_name)) % 3 WHEN 0 THEN 'production'
@@ -133,23 +134,34 @@ def training_rows(spark, sf_dir, digits: int | None = 6) -> DataFrame:
     return build_features(readings(spark, sf_dir), TRAINING.with_(digits=digits))
 
 
-def _roll_sql(col: str, n: int, name: str, fn: str = "avg") -> str:
+def _roll_sql(col: str, n: int, name: str, fn: str = "avg", digits: int | None = 6) -> str:
     w = f"(PARTITION BY series_id ORDER BY datetime ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    return (f"CASE WHEN count({col}) OVER {w} = {n} THEN round({fn}({col}) OVER {w}, 6) END AS {name}")
+    v = f"{fn}({col}) OVER {w}"
+    if digits is not None:
+        v = sround(v, digits)
+    return f"CASE WHEN count({col}) OVER {w} = {n} THEN {v} END AS {name}"
 
 
 def _lag_sql(col, k, name, fn="lag"):
     return f"{fn}({col}, {k}) OVER (PARTITION BY series_id ORDER BY datetime) AS {name}"
 
 
-FINAL_SQL = f"""final AS (
+def _final_sql(digits):
+    return f"""final AS (
   SELECT series_id, datetime, pm2_5, pm10, nitrogen_dioxide, pm2_5 AS aqi_pm25,
          CAST(hour(datetime) AS INTEGER) AS hour, CAST(day(datetime) AS INTEGER) AS day,
          CAST(month(datetime) AS INTEGER) AS month,
          {_lag_sql('pm2_5', 1, 'lag_1')}, {_lag_sql('pm2_5', 3, 'lag_3')}, {_lag_sql('pm2_5', 6, 'lag_6')},
-         {_roll_sql('pm2_5', 6, 'roll_mean_6')}, {_roll_sql('pm2_5', 12, 'roll_mean_12')}
+         {_roll_sql('pm2_5', 6, 'roll_mean_6', digits=digits)}, {_roll_sql('pm2_5', 12, 'roll_mean_12', digits=digits)}
   FROM readings)"""
 
+
+FINAL_SQL = _final_sql(6)
+# Unrounded build for model queries: products of rounded means with binary
+# fraction coefficients can sit exactly on a decimal tie, where Spark's
+# decimal rounding and DuckDB's binary rounding legitimately differ.
+FINAL_RAW_SQL = _final_sql(None)
+
 TRAINING_SQL = f"""training AS (
   SELECT * FROM (
     SELECT final.*,
@@ -159,8 +171,9 @@ TRAINING_SQL = f"""training AS (
   WHERE COLUMNS(*) IS NOT NULL)"""
 
 
-def ctes(*names: str) -> str:
-    """``WITH`` prefix holding the named fixtures and their dependencies."""
+def ctes(*names: str, raw: bool = False) -> str:
+    """``WITH`` prefix holding the named fixtures and their dependencies
+    (``raw``: rolling statistics unrounded)."""
     order = ["readings", "raw_readings", "weather", "history", "final", "training", "registry"]
     deps = {"history": ["readings"], "final": ["readings"], "training": ["readings", "final"]}
     need: set[str] = set()
@@ -168,6 +181,18 @@ def ctes(*names: str) -> str:
         need.add(n)
         need.update(deps.get(n, []))
     text = {"readings": READINGS_SQL, "raw_readings": RAW_READINGS_SQL, "weather": WEATHER_SQL,
-            "history": HISTORY_SQL, "final": FINAL_SQL, "training": TRAINING_SQL,
+            "history": HISTORY_SQL, "final": FINAL_RAW_SQL if raw else FINAL_SQL, "training": TRAINING_SQL,
             "registry": REGISTRY_SQL}
     return "WITH " + ",\n".join(text[n] for n in order if n in need) + "\n"
+
+
+def linear_models(horizons=(1, 2, 3)) -> dict:
+    """Direct-forecast fixture: one literal linear model per horizon (days)."""
+    return {h: dict(LINEAR_MODEL, intercept=LINEAR_MODEL["intercept"] + h) for h in horizons}
+
+
+def linear_sql(coefs: dict, features) -> str:
+    e = f"CAST({float(coefs.get('intercept', 0.0))!r} AS DOUBLE)"
+    for f in features:
+        e = f"({e} + CAST({float(coefs[f])!r} AS DOUBLE) * {f})"
+    return e

@@ -8,7 +8,7 @@ from airseries.functions import transforms as T
 from airseries.operators.features import latest_rows
 from airseries.plans import fixtures as fx
 from airseries.plans.catalog import register
-from airseries.plans.sqlgen import (advisory_sql, aqi_sql, cat5_sql, cat6_sql, r6)
+from airseries.plans.sqlgen import (advisory_sql, aqi_sql, cat5_sql, cat6_sql, r6, sround)
 
 
 @register("m1_aqi_pm25_raw", f"""
@@ -113,8 +113,8 @@ def m10_inverse_log(spark, sf_dir):
                     F.round(T.inverse_log(F.col("pm10") / 100), 6).alias("expm1_pm10"))
 
 
-@register("m11_forecast_date_round", fx.ctes("readings") + """
-SELECT series_id, h AS horizon, round_even(pm2_5 * 0.5 + pm10 * 0.25, 2) AS value,
+@register("m11_forecast_date_round", fx.ctes("readings") + f"""
+SELECT series_id, h AS horizon, {sround('pm2_5 * CAST(0.5 AS DOUBLE) + pm10 * CAST(0.25 AS DOUBLE)', 2, True)} AS value,
        strftime(CAST(datetime AS DATE) + h, '%Y-%m-%d') AS date
 FROM (SELECT series_id, arg_max(pm2_5, datetime) AS pm2_5, arg_max(pm10, datetime) AS pm10,
              max(datetime) AS datetime FROM readings GROUP BY 1),

@@ -1 +1,195 @@
-"""Registered queries."""
+"""Queries for training, forecasting and attribution."""
+
+from pyspark.sql import functions as F
+
+from airseries.functions.aqi import aqi_pm25
+from airseries.operators import explain as X
+from airseries.operators import forecast as FC
+from airseries.operators import training as TR
+from airseries.operators.features import FeatureSpec, build_features, latest_rows, time_split
+from airseries.operators.metrics import regression_metrics
+from airseries.plans import fixtures as fx
+from airseries.plans.catalog import register
+from airseries.plans.presets import FINAL, TRAINING_FEATURES
+from airseries.plans.sqlgen import aqi_sql, r6, roll, shift, sround
+
+LIN = fx.LINEAR_MODEL
+FEATS = TRAINING_FEATURES
+LAGS = ["lag_1", "lag_3", "lag_6"]
+FEAT_SQL = ", ".join(FEATS)
+
+
+def _final(spark, sf_dir):
+    return build_features(fx.readings(spark, sf_dir), FINAL)
+
+
+def _clean_final(spark, sf_dir):
+    return _final(spark, sf_dir).dropna(how="any")
+
+
+# ---- T6: per-series ridge sweep -----------------------------------------------------
+
+HZ = (1, 6, 24, 48)
+
+
+def _sweep_sql(x: str) -> str:
+    ycase = "CASE h " + " ".join(f"WHEN {h} THEN y{h}" for h in HZ) + " END"
+    leads = ", ".join(f"lead(aqi_pm25, {h}) OVER w AS y{h}" for h in HZ)
+    return fx.ctes("final", raw=True) + f""",
+clean AS (SELECT * FROM final WHERE COLUMNS(*) IS NOT NULL),
+t AS (SELECT series_id, datetime, {x} AS x, row_number() OVER w AS rn, count(*) OVER (PARTITION BY series_id) AS n,
+             {leads}
+      FROM clean WINDOW w AS (PARTITION BY series_id ORDER BY datetime)),
+e AS (SELECT series_id, h, x, {ycase} AS y, rn, n FROM t, (SELECT unnest([{', '.join(map(str, HZ))}]) AS h)
+      WHERE rn <= n - h),
+s AS (SELECT *, CASE WHEN rn <= floor(CAST(0.8 AS DOUBLE) * (n - h)) THEN 'train' ELSE 'test' END AS split FROM e),
+c AS (SELECT series_id, h, count(*) * covar_pop(x, y) / (count(*) * covar_pop(x, x) + CAST(1.0 AS DOUBLE)) AS w,
+             avg(y) AS my, avg(x) AS mx
+      FROM s WHERE split = 'train' GROUP BY 1, 2),
+p AS (SELECT s.series_id, s.h, s.y, (c.my - c.mx * c.w) + c.w * s.x AS p
+      FROM s JOIN c ON s.series_id = c.series_id AND s.h = c.h WHERE split = 'test')
+SELECT series_id, h AS horizon, count(*) AS n_test, {r6('sqrt(avg(power(y - p, 2)))')} AS rmse,
+       {r6('avg(abs(y - p))')} AS mae, {r6('1 - sum(power(y - p, 2)) / (var_pop(y) * count(*))')} AS r2
+FROM p GROUP BY 1, 2"""
+
+
+@register("t6_horizon_sweep_ridge_1feat", _sweep_sql("lag_1"))
+def t6_horizon_sweep_ridge_1feat(spark, sf_dir):
+    return TR.horizon_sweep(_clean_final(spark, sf_dir), ["lag_1"], "aqi_pm25", HZ, digits=6)
+
+
+@register("t6_horizon_sweep_ridge_multi")
+def t6_horizon_sweep_ridge_multi(spark, sf_dir):
+    """Rows-only: d x d solve per (series, horizon) in mapInPandas; the d = 1
+    case above is the SQL-checked one, a pytest compares d > 1 with numpy."""
+    return TR.horizon_sweep(_clean_final(spark, sf_dir), FEATS, "aqi_pm25", HZ, digits=6)
+
+
+# ---- T3: pooled ridge through MLlib, one feature (closed form in SQL) ----------------
+
+@register("t3_ridge_pooled_1feat", fx.ctes("training", raw=True) + f""",
+s AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY datetime)
+                         <= floor(CAST(0.8 AS DOUBLE) * count(*) OVER (PARTITION BY series_id))
+                    THEN 'train' ELSE 'test' END AS split FROM training),
+c AS (SELECT count(*) * covar_pop(lag_1, target_h1) / (count(*) * covar_pop(lag_1, lag_1) + CAST(1.0 AS DOUBLE)) AS w,
+             avg(target_h1) AS my, avg(lag_1) AS mx FROM s WHERE split = 'train'),
+p AS (SELECT target_h1 AS y, (my - mx * w) + w * lag_1 AS p FROM s, c WHERE split = 'test')
+SELECT count(*) AS n, {r6('sqrt(avg(power(y - p, 2)))')} AS rmse, {r6('avg(abs(y - p))')} AS mae,
+       {r6('1 - sum(power(y - p, 2)) / (var_pop(y) * count(*))')} AS r2 FROM p""")
+def t3_ridge_pooled_1feat(spark, sf_dir):
+    rows = time_split(fx.training_rows(spark, sf_dir, digits=None), 0.8)
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    m = TR.fit(train, ["lag_1"], "target_h1", "ridge")
+    return regression_metrics(TR.predict(m, test, "p"), "target_h1", "p", digits=6)
+
+
+# ---- T1/T2/T4/T5/T10: MLlib candidates (rows-only) -------------------------------------
+
+@register("t5_train_candidates_h1")
+def t5_train_candidates_h1(spark, sf_dir):
+    """Random forest (200 trees), gradient boosting, ridge and the deep
+    boosted candidate for horizon 1, scored on the chronological 20 %."""
+    rows = time_split(fx.training_rows(spark, sf_dir, digits=None), 0.8)
+    train, val = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    reg, _ = TR.train_candidates(train, val, FEATS, "target_h1", 1, "run_q",
+                                 registered_at="2024-02-01 00:00:00")
+    return reg.drop("features")
+
+
+@register("t10_feature_importance")
+def t10_feature_importance(spark, sf_dir):
+    rows = time_split(fx.training_rows(spark, sf_dir, digits=None), 0.8).filter("split = 'train'")
+    m = TR.fit(rows, FEATS, "target_h2", "random_forest")
+    return X.feature_importance(m, FEATS)
+
+
+# ---- T7: direct forecast -----------------------------------------------------------------
+
+LATEST_SQL = """latest AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY datetime DESC) AS rn FROM final) WHERE rn = 1)"""
+
+
+@register("t7_forecast_direct_linear", fx.ctes("final", raw=True) + f", {LATEST_SQL}\n" + " UNION ALL ".join(
+    f"SELECT series_id, {h} AS horizon, {sround(fx.linear_sql(m, FEATS), 2, True)} AS value, "
+    f"strftime(CAST(datetime AS DATE) + {h}, '%Y-%m-%d') AS date FROM latest"
+    for h, m in fx.linear_models().items()))
+def t7_forecast_direct_linear(spark, sf_dir):
+    return FC.forecast_direct(latest_rows(_final(spark, sf_dir)), fx.linear_models(), FEATS)
+
+
+# ---- T8: batch forecast --------------------------------------------------------------------
+
+BATCH_SPEC = FeatureSpec(source="pm2_5", lags=(1, 3, 6), lag_name="lag_{k}", roll_mean=(6, 12),
+                         roll_mean_name="roll_mean_{n}", calendar=("hour", "day", "month"))
+
+
+@register("t8_forecast_batch_linear", fx.ctes("history") + f""",
+warm AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY datetime DESC) AS rn FROM history) WHERE rn <= 11),
+u AS (SELECT * FROM warm UNION ALL SELECT * FROM future),
+f AS (SELECT series_id, datetime, pm2_5, {aqi_sql('pm2_5')} AS aqi_pm25,
+             CAST(hour(datetime) AS INTEGER) AS hour, CAST(day(datetime) AS INTEGER) AS day,
+             CAST(month(datetime) AS INTEGER) AS month,
+             {shift('pm2_5', 1, 'lag_1')}, {shift('pm2_5', 3, 'lag_3')}, {shift('pm2_5', 6, 'lag_6')},
+             {roll('pm2_5', 6, 'roll_mean_6', digits=None)}, {roll('pm2_5', 12, 'roll_mean_12', digits=None)}
+      FROM u),
+g AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY datetime DESC) AS rn2
+      FROM f WHERE {' AND '.join(f'{c} IS NOT NULL' for c in FEATS)})
+SELECT series_id, datetime, {r6(fx.linear_sql(LIN, FEATS))} AS predicted_aqi FROM g WHERE rn2 <= 72""")
+def t8_forecast_batch_linear(spark, sf_dir):
+    out = FC.forecast_batch(fx.history(spark, sf_dir), fx.future(spark, sf_dir), LIN, BATCH_SPEC, FEATS)
+    return out.withColumn("predicted_aqi", F.round("predicted_aqi", 6))
+
+
+# ---- T9: recursive forecast ----------------------------------------------------------------
+
+def _recursive_sql(steps=3):
+    lin = fx.linear_sql(LIN, FEATS)
+    keep = "series_id, datetime, hour, day, month, roll_mean_6, roll_mean_12"
+    parts = [f"l0 AS (SELECT {keep}, coalesce(lag_1, 0) AS lag_1, coalesce(lag_3, 0) AS lag_3, "
+             f"coalesce(lag_6, 0) AS lag_6 FROM latest)"]
+    prev = []
+    for s in range(1, steps + 1):
+        carry = "".join(f", p{k}" for k in prev)
+        parts.append(f"q{s} AS (SELECT *, {lin} AS p{s} FROM l{s - 1})")
+        parts.append(f"l{s} AS (SELECT {keep}, p{s} AS lag_1, lag_1 AS lag_3, lag_3 AS lag_6{carry}, p{s} FROM q{s})")
+        prev.append(s)
+    sel = " UNION ALL ".join(
+        f"SELECT series_id, {s} AS step, datetime + INTERVAL {s} DAY AS datetime, {r6(f'p{s}')} AS predicted_aqi "
+        f"FROM l{steps}" for s in range(1, steps + 1))
+    return fx.ctes("final", raw=True) + f", {LATEST_SQL},\n" + ",\n".join(parts) + "\n" + sel
+
+
+@register("t9_forecast_recursive_linear", _recursive_sql(3))
+def t9_forecast_recursive_linear(spark, sf_dir):
+    out = FC.forecast_latest(_final(spark, sf_dir), LIN, FEATS, LAGS, steps=3)
+    return out.withColumn("predicted_aqi", F.round("predicted_aqi", 6))
+
+
+# ---- T11 / T12: linear attribution --------------------------------------------------------------
+
+def _shap_sql():
+    means = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS m_{f}" for f in FEATS)
+    body = " UNION ALL ".join(
+        f"SELECT series_id, datetime, '{f}' AS feature, "
+        f"{r6(f'CAST({float(LIN[f])!r} AS DOUBLE) * (CAST({f} AS DOUBLE) - m_{f})')} AS shap_value FROM training, mu"
+        for f in FEATS)
+    return fx.ctes("training", raw=True) + f""", mu AS (SELECT {means} FROM training),
+shap AS ({body})"""
+
+
+@register("t11_linear_shap", _shap_sql() + """
+SELECT *, CAST(row_number() OVER (PARTITION BY series_id, datetime ORDER BY abs(shap_value) DESC, feature)
+               AS INTEGER) AS rank FROM shap""")
+def t11_linear_shap(spark, sf_dir):
+    tr = fx.training_rows(spark, sf_dir, digits=None)
+    means = X.background_means(tr, FEATS)
+    return X.linear_shap(tr, LIN, FEATS, means, digits=6)
+
+
+@register("t12_global_linear_shap", _shap_sql() + f"""
+SELECT feature, {r6('avg(abs(shap_value))')} AS mean_abs_shap FROM shap GROUP BY 1""")
+def t12_global_linear_shap(spark, sf_dir):
+    tr = fx.training_rows(spark, sf_dir, digits=None)
+    means = X.background_means(tr, FEATS)
+    return X.global_importance(X.linear_shap(tr, LIN, FEATS, means, digits=6), digits=6)

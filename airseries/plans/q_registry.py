@@ -6,6 +6,7 @@ from airseries.operators import registry as R
 from airseries.operators.metrics import regression_metrics
 from airseries.plans import fixtures as fx
 from airseries.plans.catalog import register
+from airseries.plans.sqlgen import r6, sround
 
 COLS = ["model_name", "horizon", "rmse", "mae", "r2", "artifact", "run_id", "status", "is_best", "registered_at"]
 SQLCOLS = ", ".join(COLS)
@@ -31,8 +32,8 @@ def _flags(win_cond: str, other_cond: str, status_other: str = "'archived'"):
 SELECT {SQLCOLS} FROM registry
 UNION ALL
 SELECT 'persist_' || series_id AS model_name, 1 AS horizon,
-       round(sqrt(avg(power(target_h1 - lag_1, 2))), 6) AS rmse, round(avg(abs(target_h1 - lag_1)), 6) AS mae,
-       round(1 - sum(power(target_h1 - lag_1, 2)) / (var_pop(target_h1) * count(*)), 6) AS r2,
+       {r6('sqrt(avg(power(target_h1 - lag_1, 2)))')} AS rmse, {r6('avg(abs(target_h1 - lag_1))')} AS mae,
+       {r6('1 - sum(power(target_h1 - lag_1, 2)) / (var_pop(target_h1) * count(*))')} AS r2,
        NULL AS artifact, 'run_new' AS run_id, 'candidate' AS status, false AS is_best,
        TIMESTAMP '{NEW_AT}' AS registered_at
 FROM training GROUP BY series_id""")
@@ -182,8 +183,8 @@ def r7_upsert(spark, sf_dir):
 
 # ---- R9 ---------------------------------------------------------------------------------------
 
-FILE_SQL = """file_registry AS (
-  SELECT model_name, horizon * 24 AS horizon_hours, round_even(rmse, 2) AS rmse, round_even(r2, 3) AS r2,
+FILE_SQL = f"""file_registry AS (
+  SELECT model_name, horizon * 24 AS horizon_hours, {sround('rmse', 2, True)} AS rmse, {sround('r2', 3, True)} AS r2,
          CASE WHEN status = 'production' OR model_name = 'view' THEN 'active' ELSE 'inactive' END AS status,
          strftime(registered_at, '%Y-%m-%dT%H:%M:%S.%f') AS trained_at,
          strftime(registered_at, '%Y-%m-%dT%H:%M:%S.%f') || model_name AS position

@@ -83,12 +83,12 @@ def a7_mean_by_month(spark, sf_dir):
     return round_doubles(E.group_means(r, "month", NUM))
 
 
-@register("a8_histogram_50", fx.ctes("readings") + """,
+@register("a8_histogram_50", fx.ctes("readings") + f""",
 s AS (SELECT min(pm2_5) AS lo, max(pm2_5) AS hi FROM readings),
 b AS (SELECT CAST(least(floor((pm2_5 - s.lo) * (50 / (s.hi - s.lo))), 49) AS INTEGER) AS bin, count(*) AS n
       FROM readings, s GROUP BY 1)
-SELECT g.bin, round(s.lo + g.bin * ((s.hi - s.lo) / 50), 6) AS lo,
-       round(s.lo + (g.bin + 1) * ((s.hi - s.lo) / 50), 6) AS hi, coalesce(b.n, 0) AS n
+SELECT g.bin, {r6('s.lo + g.bin * ((s.hi - s.lo) / 50)')} AS lo,
+       {r6('s.lo + (g.bin + 1) * ((s.hi - s.lo) / 50)')} AS hi, coalesce(b.n, 0) AS n
 FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(50)) g CROSS JOIN s LEFT JOIN b ON g.bin = b.bin""")
 def a8_histogram_50(spark, sf_dir):
     return E.histogram(fx.readings(spark, sf_dir), "pm2_5", 50)

@@ -4,9 +4,18 @@ Spark expressions so both engines apply identical constants."""
 from airseries.functions.aqi import ADVISORY, CATEGORY_5, CATEGORY_6, PM25_BREAKPOINTS
 
 
+def sround(expr: str, digits: int = 6, even: bool = False) -> str:
+    """Round like Spark's ``round``/``bround`` on DOUBLE: Spark rounds the
+    shortest decimal form of the double (HALF_UP, or HALF_EVEN for bround),
+    DuckDB's DOUBLE round works on ``x * 10^d`` in binary. The two differ on
+    exact decimal ties, so the oracle rounds the VARCHAR -> DECIMAL form.
+    The result is never -0.0, like Spark's."""
+    fn = "round_even" if even else "round"
+    return (f"CAST({fn}(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 15)), {digits}) AS DOUBLE)")
+
+
 def r6(expr: str) -> str:
-    # ``+ 0.0`` folds a negative zero into +0.0 (Spark's round never yields -0.0).
-    return f"(round({expr}, 6) + 0.0)"
+    return sround(expr, 6)
 
 
 def aqi_sql(x: str) -> str:
@@ -48,9 +57,11 @@ def win(order="datetime", key="series_id", frame=""):
     return f"(PARTITION BY {key} ORDER BY {order}{(' ' + frame) if frame else ''})"
 
 
-def roll(col: str, n: int, name: str, fn="avg", order="datetime", key="series_id") -> str:
+def roll(col: str, n: int, name: str, fn="avg", order="datetime", key="series_id", digits=6) -> str:
     w = win(order, key, f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
-    return f"CASE WHEN count({col}) OVER {w} = {n} THEN {r6(f'{fn}({col}) OVER {w}')} END AS {name}"
+    v = f"{fn}({col}) OVER {w}"
+    v = r6(v) if digits == 6 else v
+    return f"CASE WHEN count({col}) OVER {w} = {n} THEN {v} END AS {name}"
 
 
 def shift(col: str, k: int, name: str, fn="lag", order="datetime", key="series_id") -> str:
