@@ -29,8 +29,11 @@ def flatten_hourly(df: DataFrame, variables=None, keep=None) -> DataFrame:
     variables = list(variables) if variables is not None else [f for f in present if f != "time"]
     keep = [c for c in (keep if keep is not None else df.columns) if c != "hourly"]
     have = [v for v in variables if v in present]
+    # arrays_zip is NULL if any input is NULL: a member missing from one
+    # payload becomes an empty array, i.e. NULL at every position.
+    types = {f.name: f.dataType for f in df.schema["hourly"].dataType.fields}
     zipped = F.arrays_zip(F.col("hourly.time").alias("time"),
-                          *[F.col(f"hourly.{v}").alias(v) for v in have])
+                          *[F.coalesce(F.col(f"hourly.{v}"), F.array().cast(types[v])).alias(v) for v in have])
     rows = df.filter(F.col("hourly").isNotNull()).select(*keep, F.inline(zipped))
     cols = [F.col(c) for c in keep] + [F.col("time").try_cast("timestamp_ntz").alias("datetime")]
     for v in variables:
