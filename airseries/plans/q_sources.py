@@ -85,3 +85,20 @@ def j3_feature_model_grid(spark, sf_dir):
               .select("horizon", "m.*")
     return J.feature_model_grid(latest, best, [1, 2, 3]) \
             .select("series_id", "datetime", "pm2_5", "horizon", "model_name", "artifact")
+
+
+# ---- streaming landing -------------------------------------------------------------
+
+from airseries.plans.sqlgen import aqi_sql, cat6_sql  # noqa: E402
+
+
+@register("st1_stream_hourly_readings", fx.ctes("readings") + f"""
+SELECT series_id, datetime, pm2_5, pm10, nitrogen_dioxide, aqi_pm25, {cat6_sql('aqi_pm25', 0)} AS category
+FROM (SELECT *, {aqi_sql('pm2_5')} AS aqi_pm25 FROM readings)""")
+def st1_stream_hourly_readings(spark, sf_dir):
+    """Events streamed through the watermarked hourly landing job (file
+    source, availableNow trigger, idempotent foreachBatch sink)."""
+    from airseries.streaming import land_events, latest_by_key
+    ev = fx.table(spark, sf_dir, "events")
+    out = land_events(spark, sf_dir, ev.schema, watermark="2 hours", glob="events.parquet")
+    return latest_by_key(spark, f"{out}/data", ["series_id", "datetime"])
