@@ -108,10 +108,12 @@ def window_columns(spec: FeatureSpec, w) -> dict[str, Column]:
 
 def build_features(df: DataFrame, spec: FeatureSpec, key="series_id", order="datetime",
                    tiebreak=None, chunk_rows: int | str | None = None,
-                   auto_threshold: int = 2_000_000) -> DataFrame:
+                   auto_threshold: int = 2_000_000, keep_ordinal: bool = False) -> DataFrame:
     """Apply ``spec`` per series. ``chunk_rows``: None (one window per series),
     an int (halo chunks of that many rows) or ``"auto"`` (chunk only when the
-    largest series exceeds ``auto_threshold`` rows, found by one small aggregate)."""
+    largest series exceeds ``auto_threshold`` rows, found by one small aggregate).
+    The chunked plan needs non-NULL key and order values; an existing ``_o``
+    ordinal column is reused (and kept with ``keep_ordinal``)."""
     if spec.alias:
         df = df.withColumn(spec.alias, F.col(spec.source))
     if spec.calendar:
@@ -120,7 +122,7 @@ def build_features(df: DataFrame, spec: FeatureSpec, key="series_id", order="dat
     if chunk_rows == "auto":
         chunk_rows = _auto_chunk(df, key, auto_threshold)
     if chunk_rows:
-        out = _chunked(df, spec, key, order, tiebreak, int(chunk_rows))
+        out = _chunked(df, spec, key, order, tiebreak, int(chunk_rows), keep_ordinal)
     else:
         out = df.withColumns(window_columns(spec, series_window(key, order, tiebreak)))
     return out.dropna(how="any") if spec.dropna else out
@@ -154,17 +156,29 @@ def with_ordinals(df: DataFrame, key="series_id", order="datetime", tiebreak=Non
              .drop("_bkt", "_off"))
 
 
-def _chunked(df: DataFrame, spec: FeatureSpec, key, order, tiebreak, B: int) -> DataFrame:
+def with_position(df: DataFrame, key="series_id", order="datetime", tiebreak=None) -> DataFrame:
+    """``_o`` (0-based row position) and ``_n`` (rows in the series), both
+    without gathering a series into one task: ordinals as in
+    ``with_ordinals``, sizes from a per-series count joined back."""
+    keys = _keys(key)
+    o = df if "_o" in df.columns else with_ordinals(df, key, order, tiebreak)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return o.join(sizes, keys)
+
+
+def _chunked(df: DataFrame, spec: FeatureSpec, key, order, tiebreak, B: int,
+             keep_ordinal: bool = False) -> DataFrame:
     keys = _keys(key)
     lb, ld = spec.lookback, spec.lead
-    o = with_ordinals(df, key, order, tiebreak)
+    o = df if "_o" in df.columns else with_ordinals(df, key, order, tiebreak)
     lo = F.greatest(F.floor((F.col("_o") - F.lit(ld)) / F.lit(B)), F.lit(0)).cast("long")
     hi = F.floor((F.col("_o") + F.lit(lb)) / F.lit(B)).cast("long")
     rep = o.withColumn("_chunk", F.explode(F.sequence(lo, hi)))
     w = Window.partitionBy(*keys, "_chunk").orderBy("_o")
     out = rep.withColumns(window_columns(spec, w))
     own = F.floor(F.col("_o") / F.lit(B)).cast("long")
-    return out.filter(F.col("_chunk") == own).drop("_chunk", "_o")
+    out = out.filter(F.col("_chunk") == own).drop("_chunk")
+    return out if keep_ordinal else out.drop("_o")
 
 
 # ---------------------------------------------------------------- single ops
@@ -191,29 +205,43 @@ def with_targets(df, col="pm2_5", horizons=(1, 2, 3), rows_per_step=24,
 
 
 def horizon_target(df, col="aqi_pm25", h: int = 1, name="target",
-                   key="series_id", order="datetime", tiebreak=None):
+                   key="series_id", order="datetime", tiebreak=None, chunk_rows: int | None = None):
     """Value ``h`` rows ahead; the last ``h`` rows of each series are cut by
     position (a NULL value inside the series keeps its row)."""
     if h < 1:
         raise ValueError("horizon must be >= 1")
+    if chunk_rows:
+        p = with_position(df, key, order, tiebreak)
+        out = build_features(p, FeatureSpec(source=col, targets=((name, h),)), key, order, tiebreak,
+                             chunk_rows=chunk_rows, keep_ordinal=True)
+        return out.filter(F.col("_o") < F.col("_n") - F.lit(h)).drop("_o", "_n")
     w = series_window(key, order, tiebreak)
     return (df.withColumns({name: F.lead(col, h).over(w),
                             "_keep": F.lead(F.lit(1), h).over(w).isNotNull()})
               .filter("_keep").drop("_keep"))
 
 
-def tail_rows(df, n: int, key="series_id", order="datetime", tiebreak=None):
+def tail_rows(df, n: int, key="series_id", order="datetime", tiebreak=None, chunked: bool = False):
     """Last ``n`` rows of each series (lead of a non-null literal is NULL only
-    past the end, so no second sort in descending order is needed)."""
+    past the end, so no second sort in descending order is needed).
+    ``chunked``: position-based, no per-series window (hot series)."""
+    if chunked:
+        p = with_position(df, key, order, tiebreak)
+        return p.filter(F.col("_o") >= F.col("_n") - F.lit(n)).drop("_o", "_n")
     w = series_window(key, order, tiebreak)
     return (df.withColumn("_tail", F.lead(F.lit(1), n).over(w).isNull())
               .filter("_tail").drop("_tail"))
 
 
 def time_split(df, frac: float = 0.8, key="series_id", order="datetime", tiebreak=None,
-               name="split"):
+               name="split", chunked: bool = False):
     """Chronological split per series: the first ``floor(frac * n)`` rows are
-    ``train``, the rest ``test``."""
+    ``train``, the rest ``test``. ``chunked``: position-based (hot series)."""
+    if chunked:
+        p = with_position(df, key, order, tiebreak)
+        cut = F.floor(F.lit(float(frac)) * F.col("_n"))
+        return p.withColumn(name, F.when(F.col("_o") < cut, F.lit("train")).otherwise(F.lit("test"))) \
+                .drop("_o", "_n")
     w = series_window(key, order, tiebreak)
     wp = Window.partitionBy(*_keys(key))
     n_train = F.floor(F.lit(float(frac)) * F.count(F.lit(1)).over(wp))

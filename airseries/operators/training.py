@@ -110,14 +110,23 @@ def train_candidates(train: DataFrame, val: DataFrame, features, target: str, ho
 # ------------------------------------------------------------------ T6 grouped ridge
 
 def horizon_rows(df: DataFrame, value: str, horizons, frac: float = 0.8, key="series_id",
-                 order="datetime") -> DataFrame:
+                 order="datetime", chunk_rows: int | None = None) -> DataFrame:
     """W7 + W10 for several horizons in one window pass: for horizon h the
     target is ``value`` h rows ahead, the last h rows of each series are cut,
-    and the first ``floor(frac * (n - h))`` remaining rows are ``train``."""
-    w = Window.partitionBy(key).orderBy(order)
-    wp = Window.partitionBy(key)
-    base = df.withColumns({"_rn": F.row_number().over(w), "_n": F.count(F.lit(1)).over(wp),
-                           **{f"_y{h}": F.lead(value, h).over(w) for h in horizons}})
+    and the first ``floor(frac * (n - h))`` remaining rows are ``train``.
+    ``chunk_rows``: positions from ``with_position`` and leads from the
+    halo-chunked window, so a hot series is spread over many tasks."""
+    if chunk_rows:
+        from airseries.operators.features import FeatureSpec, build_features, with_position
+        p = with_position(df, key, order)
+        spec = FeatureSpec(source=value, targets=tuple((f"_y{h}", h) for h in horizons))
+        base = build_features(p, spec, key, order, chunk_rows=chunk_rows, keep_ordinal=True) \
+            .withColumn("_rn", F.col("_o") + F.lit(1)).drop("_o")
+    else:
+        w = Window.partitionBy(key).orderBy(order)
+        wp = Window.partitionBy(key)
+        base = df.withColumns({"_rn": F.row_number().over(w), "_n": F.count(F.lit(1)).over(wp),
+                               **{f"_y{h}": F.lead(value, h).over(w) for h in horizons}})
     pick = F.col("_y" + str(horizons[0]))
     for h in horizons[1:]:
         pick = F.when(F.col("horizon") == h, F.col(f"_y{h}")).otherwise(pick)
@@ -178,13 +187,13 @@ def solve_ridge(stats: DataFrame, d: int, alpha: float = RIDGE_ALPHA, by=("serie
 
 def horizon_sweep(df: DataFrame, features, value: str = "aqi_pm25", horizons=(1, 6, 24, 48),
                   alpha: float = RIDGE_ALPHA, frac: float = 0.8, key="series_id", order="datetime",
-                  digits: int | None = None) -> DataFrame:
+                  digits: int | None = None, chunk_rows: int | None = None) -> DataFrame:
     """Per (series, horizon) ridge fit on the chronological train part,
     scored on the test part: ``(series_id, horizon, n_test, rmse, r2)``.
     One window pass, one grouped aggregate, one tiny solve, one join back."""
     feats = list(features)
     rows = horizon_rows(df.select(key, order, value, *[f for f in feats if f != value]), value,
-                        list(horizons), frac, key, order)
+                        list(horizons), frac, key, order, chunk_rows)
     stats = ridge_statistics(rows.filter(F.col("split") == "train"), feats, "y", (key, "horizon"))
     coef = solve_ridge(stats, len(feats), alpha, (key, "horizon"))
     test = rows.filter(F.col("split") == "test").join(coef, [key, "horizon"])

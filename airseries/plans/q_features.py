@@ -230,3 +230,36 @@ SELECT model_name, horizon, rmse, run_id FROM registry WHERE horizon = 2 AND sta
 def f9_registry_lookup(spark, sf_dir):
     return P.lookup(fx.registry(spark, sf_dir), horizon=2, status="candidate") \
             .select("model_name", "horizon", "rmse", "run_id")
+
+
+# ---- skew-safe (position-based / halo-chunked) variants, same oracle SQL ----------------
+
+from airseries.plans.catalog import ORACLE as _ORACLE  # noqa: E402
+
+
+def _same_sql(name, fn_name):
+    def deco(fn):
+        register(fn_name, _ORACLE[name])(fn)
+        return fn
+    return deco
+
+
+@_same_sql("w9_tail_24", "w9_tail_24_chunked")
+def w9_tail_24_chunked(spark, sf_dir):
+    return W.tail_rows(_rd(spark, sf_dir).select("series_id", "datetime", "pm2_5"), 24, chunked=True)
+
+
+@_same_sql("w10_time_split", "w10_time_split_chunked")
+def w10_time_split_chunked(spark, sf_dir):
+    return W.time_split(_rd(spark, sf_dir).select("series_id", "datetime", "pm2_5"), 0.8, chunked=True)
+
+
+@_same_sql("w7_horizon_target_6h", "w7_horizon_target_6h_chunked")
+def w7_horizon_target_6h_chunked(spark, sf_dir):
+    r = P.alias_target(_rd(spark, sf_dir)).select("series_id", "datetime", "aqi_pm25")
+    return W.horizon_target(r, "aqi_pm25", 6, chunk_rows=100)
+
+
+@_same_sql("w14_training_preset", "w14_training_preset_chunked")
+def w14_training_preset_chunked(spark, sf_dir):
+    return W.build_features(_rd(spark, sf_dir), TRAINING.with_(digits=R6), chunk_rows=100)

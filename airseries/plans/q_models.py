@@ -58,6 +58,12 @@ def t6_horizon_sweep_ridge_1feat(spark, sf_dir):
     return TR.horizon_sweep(_clean_final(spark, sf_dir), ["lag_1"], "aqi_pm25", HZ, digits=6)
 
 
+@register("t6_horizon_sweep_ridge_1feat_chunked", _sweep_sql("lag_1"))
+def t6_horizon_sweep_ridge_1feat_chunked(spark, sf_dir):
+    """Same sweep through positions + halo-chunked leads (hot-series plan)."""
+    return TR.horizon_sweep(_clean_final(spark, sf_dir), ["lag_1"], "aqi_pm25", HZ, digits=6, chunk_rows=200)
+
+
 @register("t6_horizon_sweep_ridge_multi")
 def t6_horizon_sweep_ridge_multi(spark, sf_dir):
     """Rows-only: d x d solve per (series, horizon) in mapInPandas; the d = 1

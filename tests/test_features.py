@@ -90,3 +90,20 @@ def test_partition_filter_pushed_below_window(spark):
     df = W.build_features(r, WIDE).filter(F.col("series_id") == "click")
     plan = _plan(df)
     assert plan.index("Filter") > plan.index("Window [") or "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)]" in plan, plan
+
+
+def test_position_paths_equal_window_paths(spark):
+    r = fx.readings(spark, SF["0.01"]).select("series_id", "datetime", "pm2_5")
+    assert _same(W.tail_rows(r, 24), W.tail_rows(r, 24, chunked=True))
+    assert _same(W.time_split(r, 0.8), W.time_split(r, 0.8, chunked=True))
+    assert _same(W.horizon_target(r, "pm2_5", 6), W.horizon_target(r, "pm2_5", 6, chunk_rows=40))
+
+
+def test_horizon_sweep_chunked_equal(spark):
+    from airseries.operators.training import horizon_sweep
+    from airseries.plans.presets import FINAL
+    f = W.build_features(fx.readings(spark, SF["0.01"]), FINAL.with_(digits=6)).dropna()
+    feats = ["lag_1", "lag_3", "roll_mean_6"]
+    a = horizon_sweep(f, feats, "aqi_pm25", (1, 6, 24, 48), digits=6)
+    b = horizon_sweep(f, feats, "aqi_pm25", (1, 6, 24, 48), digits=6, chunk_rows=100)
+    assert _same(a, b)
