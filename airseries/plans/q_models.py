@@ -199,3 +199,27 @@ def t12_global_linear_shap(spark, sf_dir):
     tr = fx.training_rows(spark, sf_dir, digits=None)
     means = X.background_means(tr, FEATS)
     return X.global_importance(X.linear_shap(tr, LIN, FEATS, means, digits=6), digits=6)
+
+
+# ---- T11 / T12: tree attribution (rows-only; additivity and brute force in pytest) --------
+
+def _gbt_and_rows(spark, sf_dir):
+    rows = time_split(fx.training_rows(spark, sf_dir, digits=None), 0.8)
+    m = TR.fit(rows.filter("split = 'train'"), FEATS, "target_h1", "gradient_boosting")
+    return m, rows.drop("split")
+
+
+@register("t11_tree_shap_gbt")
+def t11_tree_shap_gbt(spark, sf_dir):
+    """Path-dependent TreeSHAP of the boosted candidate (reference defaults)
+    for every training row, long form with per-row rank."""
+    from airseries.operators.treeshap import explain_trees
+    m, rows = _gbt_and_rows(spark, sf_dir)
+    return explain_trees(rows, m, FEATS, digits=6)
+
+
+@register("t12_global_tree_shap_gbt")
+def t12_global_tree_shap_gbt(spark, sf_dir):
+    from airseries.operators.treeshap import explain_trees
+    m, rows = _gbt_and_rows(spark, sf_dir)
+    return X.global_importance(explain_trees(rows, m, FEATS), digits=6)
