@@ -43,11 +43,17 @@ def get_spark(app: str = "airseries", cpus: int | str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only when unset (tests,
     local runs) create a fresh scratch directory."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if d and d.startswith("file:"):
+        d = d[len("file:"):]
     if not d:
         d = default or tempfile.mkdtemp(prefix="airseries-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - core conf not settable at run time
+            pass
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
