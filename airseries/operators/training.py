@@ -202,3 +202,23 @@ def horizon_sweep(df: DataFrame, features, value: str = "aqi_pm25", horizons=(1,
         pred = pred + F.col(f"w_{i}") * F.col(f)
     met = regression_metrics(test.withColumn("p", pred), "y", "p", by=[key, "horizon"], digits=digits)
     return met.withColumnRenamed("n", "n_test")
+
+
+def train_and_publish(registry: DataFrame, features_df: DataFrame, horizon: int, features,
+                      target: str | None = None, name: str = "random_forest", frac: float = 0.8,
+                      run_id: str | None = None, save_base: str | None = None, registered_at=None,
+                      keep_status: bool = False, overrides: dict | None = None):
+    """T1 flow: chronological split of the feature table, fit one model for
+    ``horizon``, score it on the held-out part and publish it as the
+    production/best row of its horizon (R4; ``keep_status`` gives R5).
+    Returns ``(new_registry, model)``."""
+    from airseries.operators.features import time_split
+    from airseries.operators.registry import publish
+    target = target or f"target_h{horizon}"
+    rows = time_split(features_df, frac)
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    reg_rows, models = train_candidates(train, test, features, target, horizon, run_id or f"run_h{horizon}",
+                                        names=(name,), registered_at=registered_at,
+                                        overrides={name: overrides or {}}, save_base=save_base)
+    new = reg_rows.drop("status", "is_best")
+    return publish(registry, new, key="horizon", keep_status=keep_status), models[name]

@@ -86,3 +86,15 @@ def test_linear_shap_additivity(spark):
     base = X.base_value(lin, means, TRAINING_FEATURES)
     bad = tot.join(pred, ["series_id", "datetime"]).filter(F.abs(F.col("s") + F.lit(base) - F.col("p")) > 1e-9)
     assert bad.count() == 0
+
+
+def test_train_and_publish(spark):
+    from airseries.operators.registry import assert_single_best
+    reg = fx.registry(spark, SF["0.001"])
+    feats = fx.training_rows(spark, SF["0.001"], digits=None)
+    new, m = TR.train_and_publish(reg, feats, 2, TRAINING_FEATURES, overrides={"numTrees": 5},
+                                  registered_at="2024-02-01 00:00:00")
+    rows = new.filter("horizon = 2").collect()
+    prod = [r for r in rows if r["status"] == "production"]
+    assert len(prod) == 1 and prod[0]["model_name"] == "random_forest" and prod[0]["is_best"]
+    assert_single_best(new.filter("horizon = 2"))
