@@ -10,8 +10,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from airseries.operators.quality import _q, _stack
 
 
-def group_means(df: DataFrame, by: str, cols) -> DataFrame:
-    return df.groupBy(by).agg(*[F.avg(c).alias(f"mean_{c}") for c in cols])
+def group_means(df: DataFrame, by: str, cols, decimals: int | None = None) -> DataFrame:
+    """Mean of each column per group. ``decimals``: the values are reported
+    at that fixed precision; they are summed exactly as DECIMAL, so the mean
+    does not depend on the partitioning (double sums can differ in the last
+    bit with the summation order)."""
+    def mean(c):
+        if decimals is None:
+            return F.avg(c)
+        return F.avg(F.col(c).cast(f"decimal(30,{decimals})")).cast("double")
+    return df.groupBy(by).agg(*[mean(c).alias(f"mean_{c}") for c in cols])
 
 
 def _range(df: DataFrame, col: str):

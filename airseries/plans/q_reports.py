@@ -68,19 +68,19 @@ def a5_gap_report(spark, sf_dir):
 
 
 @register("a6_mean_by_hour", fx.ctes("readings") + f"""
-SELECT CAST(hour(datetime) AS INTEGER) AS hour, {', '.join(f"{r6(f'avg({c})')} AS mean_{c}" for c in NUM)}
+SELECT CAST(hour(datetime) AS INTEGER) AS hour, {', '.join(f"{r6(f'avg(CAST({c} AS DECIMAL(30, 2)))')} AS mean_{c}" for c in NUM)}
 FROM readings GROUP BY 1""")
 def a6_mean_by_hour(spark, sf_dir):
     r = fx.readings(spark, sf_dir).withColumn("hour", F.hour("datetime"))
-    return round_doubles(E.group_means(r, "hour", NUM))
+    return round_doubles(E.group_means(r, "hour", NUM, decimals=2))
 
 
 @register("a7_mean_by_month", fx.ctes("readings") + f"""
-SELECT CAST(month(datetime) AS INTEGER) AS month, {', '.join(f"{r6(f'avg({c})')} AS mean_{c}" for c in NUM)}
+SELECT CAST(month(datetime) AS INTEGER) AS month, {', '.join(f"{r6(f'avg(CAST({c} AS DECIMAL(30, 2)))')} AS mean_{c}" for c in NUM)}
 FROM readings GROUP BY 1""")
 def a7_mean_by_month(spark, sf_dir):
     r = fx.readings(spark, sf_dir).withColumn("month", F.month("datetime"))
-    return round_doubles(E.group_means(r, "month", NUM))
+    return round_doubles(E.group_means(r, "month", NUM, decimals=2))
 
 
 @register("a8_histogram_50", fx.ctes("readings") + f""",
