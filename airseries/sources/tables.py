@@ -51,12 +51,15 @@ def append_table(df: DataFrame, path: str, partition_by=None) -> None:
     w.parquet(path)
 
 
-def enrich_features(df: DataFrame, city: str, created_at, aqi_col: str = "aqi_pm25") -> DataFrame:
-    """Defaults ``city``, ``datetime``, ``aqi`` that the row's own values
-    override, then ``created_at``."""
-    defaults = {"city": F.lit(city), "aqi": F.col(aqi_col) if aqi_col in df.columns else F.lit(None)}
-    cols = {k: (F.coalesce(F.col(k), v) if k in df.columns else v) for k, v in defaults.items()}
-    return df.withColumns(cols).withColumn("created_at", F.lit(created_at).cast("timestamp_ntz"))
+def enrich_features(df: DataFrame, city: str, created_at) -> DataFrame:
+    """Leading ``city``, ``datetime``, ``aqi`` defaults, then the row's
+    own columns (which override the defaults, NULL included), then
+    ``created_at``."""
+    lead = [F.col("city") if "city" in df.columns else F.lit(city).alias("city"),
+            F.col("datetime") if "datetime" in df.columns else F.lit(None).cast("timestamp_ntz").alias("datetime"),
+            F.col("aqi") if "aqi" in df.columns else F.lit(None).cast("double").alias("aqi")]
+    rest = [F.col(c) for c in df.columns if c not in ("city", "datetime", "aqi", "created_at")]
+    return df.select(*lead, *rest, F.lit(created_at).cast("timestamp_ntz").alias("created_at"))
 
 
 def forecast_documents(forecasts: DataFrame, key=("series_id", "horizon", "model_version", "generated_at")) -> DataFrame:
