@@ -184,24 +184,23 @@ def _chunked(df: DataFrame, spec: FeatureSpec, key, order, tiebreak, B: int,
 # ---------------------------------------------------------------- single ops
 
 def add_lags(df, col="pm2_5", ks=(1, 6, 12, 24, 48, 72, 168), name="{src}_lag_{k}",
-             key="series_id", order="datetime", tiebreak=None):
-    w = series_window(key, order, tiebreak)
-    return df.withColumns({name.format(src=col, k=k): F.lag(col, k).over(w) for k in ks})
+             key="series_id", order="datetime", tiebreak=None, chunk_rows=None):
+    spec = FeatureSpec(source=col, lags=tuple(ks), lag_name=name)
+    return build_features(df, spec, key, order, tiebreak, chunk_rows=chunk_rows)
 
 
 def add_rolling(df, col="pm2_5", ns=(6, 12, 24, 48), stats=("mean", "std"),
-                key="series_id", order="datetime", tiebreak=None, digits=None):
+                key="series_id", order="datetime", tiebreak=None, digits=None, chunk_rows=None):
     spec = FeatureSpec(source=col, roll_mean=tuple(ns) if "mean" in stats else (),
                        roll_std=tuple(ns) if "std" in stats else (), digits=digits)
-    return df.withColumns(window_columns(spec, series_window(key, order, tiebreak)))
+    return build_features(df, spec, key, order, tiebreak, chunk_rows=chunk_rows)
 
 
 def with_targets(df, col="pm2_5", horizons=(1, 2, 3), rows_per_step=24,
-                 key="series_id", order="datetime", tiebreak=None):
+                 key="series_id", order="datetime", tiebreak=None, chunk_rows=None):
     """``target_h<h>`` = value ``h * rows_per_step`` rows ahead."""
-    w = series_window(key, order, tiebreak)
-    return df.withColumns({f"target_h{h}": F.lead(col, h * rows_per_step).over(w)
-                           for h in horizons})
+    spec = FeatureSpec(source=col, targets=tuple((f"target_h{h}", h * rows_per_step) for h in horizons))
+    return build_features(df, spec, key, order, tiebreak, chunk_rows=chunk_rows)
 
 
 def horizon_target(df, col="aqi_pm25", h: int = 1, name="target",
@@ -249,10 +248,12 @@ def time_split(df, frac: float = 0.8, key="series_id", order="datetime", tiebrea
                          .otherwise(F.lit("test")))
 
 
-def gaps(df, key="series_id", order="datetime", name="gap_seconds"):
-    """Seconds since the previous row of the same series (NULL for the first)."""
-    w = series_window(key, order)
-    return df.withColumn(name, F.timestamp_diff("SECOND", F.lag(order).over(w), F.col(order)))
+def gaps(df, key="series_id", order="datetime", name="gap_seconds", chunk_rows=None):
+    """Seconds since the previous row of the same series (NULL for the first).
+    The previous timestamp is a row lag, so the halo-chunked plan applies."""
+    spec = FeatureSpec(source=order, lags=(1,), lag_name="_prev_ts")
+    out = build_features(df, spec, key, order, chunk_rows=chunk_rows)
+    return out.withColumn(name, F.timestamp_diff("SECOND", F.col("_prev_ts"), F.col(order))).drop("_prev_ts")
 
 
 def latest_rows(df, key="series_id", order="datetime"):

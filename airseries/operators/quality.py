@@ -68,9 +68,10 @@ def negative_counts(df: DataFrame, cols=None) -> DataFrame:
     return _stack(wide, [[_q(c), f"_c{i}"] for i, c in enumerate(cols)], ["column", "n_negative"])
 
 
-def gap_report(df: DataFrame, key="series_id", order="datetime", by_series: bool = False) -> DataFrame:
+def gap_report(df: DataFrame, key="series_id", order="datetime", by_series: bool = False,
+               chunk_rows=None) -> DataFrame:
     """Frequency of each gap between consecutive rows, most frequent first;
     the first row of each series (no gap) is excluded."""
-    g = gaps(df.select(key, order), key, order).filter(F.col("gap_seconds").isNotNull())
+    g = gaps(df.select(key, order), key, order, chunk_rows=chunk_rows).filter(F.col("gap_seconds").isNotNull())
     by = [key, "gap_seconds"] if by_series else ["gap_seconds"]
     return g.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *by)

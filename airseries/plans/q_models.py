@@ -223,3 +223,13 @@ def t12_global_tree_shap_gbt(spark, sf_dir):
     from airseries.operators.treeshap import explain_trees
     m, rows = _gbt_and_rows(spark, sf_dir)
     return X.global_importance(explain_trees(rows, m, FEATS), digits=6)
+
+
+from airseries.plans.catalog import ORACLE as _ORACLE  # noqa: E402
+
+
+@register("t8_forecast_batch_linear_chunked", _ORACLE["t8_forecast_batch_linear"])
+def t8_forecast_batch_linear_chunked(spark, sf_dir):
+    out = FC.forecast_batch(fx.history(spark, sf_dir), fx.future(spark, sf_dir), LIN, BATCH_SPEC, FEATS,
+                            chunk_rows=64)
+    return out.withColumn("predicted_aqi", F.round("predicted_aqi", 6))

@@ -195,3 +195,8 @@ def a16_regression_metrics(spark, sf_dir):
     f"min(rmse) FILTER (WHERE model_name = '{m}') AS {m}" for m in MODELS) + " FROM registry GROUP BY 1")
 def a17_benchmark_table(spark, sf_dir):
     return M.benchmark_table(fx.registry(spark, sf_dir), MODELS)
+
+
+@register("a5_gap_report_chunked", ORACLE["a5_gap_report"])
+def a5_gap_report_chunked(spark, sf_dir):
+    return Q.gap_report(fx.readings(spark, sf_dir), chunk_rows=100)
