@@ -107,11 +107,13 @@ def window_columns(spec: FeatureSpec, w) -> dict[str, Column]:
 
 
 def build_features(df: DataFrame, spec: FeatureSpec, key="series_id", order="datetime",
-                   tiebreak=None, chunk_rows: int | str | None = None,
+                   tiebreak=None, chunk_rows: int | str | None = "auto",
                    auto_threshold: int = 2_000_000, keep_ordinal: bool = False) -> DataFrame:
-    """Apply ``spec`` per series. ``chunk_rows``: None (one window per series),
-    an int (halo chunks of that many rows) or ``"auto"`` (chunk only when the
-    largest series exceeds ``auto_threshold`` rows, found by one small aggregate).
+    """Apply ``spec`` per series. ``chunk_rows``: ``"auto"`` (default: chunk
+    only when the largest series exceeds ``auto_threshold`` rows, found by one
+    count-per-series aggregate over the key column), an int (halo chunks of
+    that many rows) or None (one window per series, for callers that know
+    every series is bounded).
     The chunked plan needs non-NULL key and order values; an existing ``_o``
     ordinal column is reused (and kept with ``keep_ordinal``)."""
     if spec.alias:
@@ -128,6 +130,12 @@ def build_features(df: DataFrame, spec: FeatureSpec, key="series_id", order="dat
     return out.dropna(how="any") if spec.dropna else out
 
 
+def resolve_chunk(df: DataFrame, key, chunk_rows, threshold: int = 2_000_000):
+    """``"auto"`` -> a chunk size when the largest series exceeds
+    ``threshold`` rows (one count-per-series aggregate), else None."""
+    return _auto_chunk(df, key, threshold) if chunk_rows == "auto" else chunk_rows
+
+
 def _auto_chunk(df: DataFrame, key, threshold: int):
     biggest = (df.groupBy(*_keys(key)).agg(F.count(F.lit(1)).alias("n"))
                  .agg(F.max("n").alias("m")).first()["m"])
@@ -184,31 +192,32 @@ def _chunked(df: DataFrame, spec: FeatureSpec, key, order, tiebreak, B: int,
 # ---------------------------------------------------------------- single ops
 
 def add_lags(df, col="pm2_5", ks=(1, 6, 12, 24, 48, 72, 168), name="{src}_lag_{k}",
-             key="series_id", order="datetime", tiebreak=None, chunk_rows=None):
+             key="series_id", order="datetime", tiebreak=None, chunk_rows="auto"):
     spec = FeatureSpec(source=col, lags=tuple(ks), lag_name=name)
     return build_features(df, spec, key, order, tiebreak, chunk_rows=chunk_rows)
 
 
 def add_rolling(df, col="pm2_5", ns=(6, 12, 24, 48), stats=("mean", "std"),
-                key="series_id", order="datetime", tiebreak=None, digits=None, chunk_rows=None):
+                key="series_id", order="datetime", tiebreak=None, digits=None, chunk_rows="auto"):
     spec = FeatureSpec(source=col, roll_mean=tuple(ns) if "mean" in stats else (),
                        roll_std=tuple(ns) if "std" in stats else (), digits=digits)
     return build_features(df, spec, key, order, tiebreak, chunk_rows=chunk_rows)
 
 
 def with_targets(df, col="pm2_5", horizons=(1, 2, 3), rows_per_step=24,
-                 key="series_id", order="datetime", tiebreak=None, chunk_rows=None):
+                 key="series_id", order="datetime", tiebreak=None, chunk_rows="auto"):
     """``target_h<h>`` = value ``h * rows_per_step`` rows ahead."""
     spec = FeatureSpec(source=col, targets=tuple((f"target_h{h}", h * rows_per_step) for h in horizons))
     return build_features(df, spec, key, order, tiebreak, chunk_rows=chunk_rows)
 
 
 def horizon_target(df, col="aqi_pm25", h: int = 1, name="target",
-                   key="series_id", order="datetime", tiebreak=None, chunk_rows: int | None = None):
+                   key="series_id", order="datetime", tiebreak=None, chunk_rows="auto"):
     """Value ``h`` rows ahead; the last ``h`` rows of each series are cut by
     position (a NULL value inside the series keeps its row)."""
     if h < 1:
         raise ValueError("horizon must be >= 1")
+    chunk_rows = resolve_chunk(df, key, chunk_rows)
     if chunk_rows:
         p = with_position(df, key, order, tiebreak)
         out = build_features(p, FeatureSpec(source=col, targets=((name, h),)), key, order, tiebreak,
@@ -248,7 +257,7 @@ def time_split(df, frac: float = 0.8, key="series_id", order="datetime", tiebrea
                          .otherwise(F.lit("test")))
 
 
-def gaps(df, key="series_id", order="datetime", name="gap_seconds", chunk_rows=None):
+def gaps(df, key="series_id", order="datetime", name="gap_seconds", chunk_rows="auto"):
     """Seconds since the previous row of the same series (NULL for the first).
     The previous timestamp is a row lag, so the halo-chunked plan applies."""
     spec = FeatureSpec(source=order, lags=(1,), lag_name="_prev_ts")

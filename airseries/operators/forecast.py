@@ -52,16 +52,18 @@ def forecast_direct(latest: DataFrame, models: dict, features, key="series_id",
 
 def forecast_batch(history: DataFrame, future: DataFrame, model, spec: FeatureSpec, features,
                    horizon_days: int = 3, rows_per_day: int = 24, warm_rows: int | None = None,
-                   key="series_id", order="datetime", chunk_rows: int | None = None) -> DataFrame:
+                   key="series_id", order="datetime", chunk_rows="auto") -> DataFrame:
     """History tail (warm start) + future inputs -> AQI index, calendar,
     lags, rolling stats -> drop rows missing required features -> last
     ``horizon_days * rows_per_day`` rows of each series -> predict."""
+    from airseries.operators.features import resolve_chunk
+    chunk_rows = resolve_chunk(history, key, chunk_rows)
     chunked = bool(chunk_rows)
     warm = tail_rows(history, warm_rows if warm_rows is not None else spec.lookback, key, order, chunked=chunked)
     u = union_history_forecast(warm, future, flag=None)
     u = add_aqi_column(u)
     u = u.withColumn("aqi", F.col("aqi_pm25"))
-    f = build_features(u, spec, key, order, chunk_rows=chunk_rows)
+    f = build_features(u, spec, key, order, chunk_rows=chunk_rows or None)
     f = drop_incomplete(f, [c for c in features if c in f.columns])
     f = tail_rows(f, horizon_days * rows_per_day, key, order, chunked=chunked)
     return apply_model(f, model, features, "predicted_aqi").select(key, order, "predicted_aqi")

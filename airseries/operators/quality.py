@@ -69,7 +69,7 @@ def negative_counts(df: DataFrame, cols=None) -> DataFrame:
 
 
 def gap_report(df: DataFrame, key="series_id", order="datetime", by_series: bool = False,
-               chunk_rows=None) -> DataFrame:
+               chunk_rows="auto") -> DataFrame:
     """Frequency of each gap between consecutive rows, most frequent first;
     the first row of each series (no gap) is excluded."""
     g = gaps(df.select(key, order), key, order, chunk_rows=chunk_rows).filter(F.col("gap_seconds").isNotNull())

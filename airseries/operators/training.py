@@ -110,12 +110,15 @@ def train_candidates(train: DataFrame, val: DataFrame, features, target: str, ho
 # ------------------------------------------------------------------ T6 grouped ridge
 
 def horizon_rows(df: DataFrame, value: str, horizons, frac: float = 0.8, key="series_id",
-                 order="datetime", chunk_rows: int | None = None) -> DataFrame:
+                 order="datetime", chunk_rows="auto") -> DataFrame:
     """W7 + W10 for several horizons in one window pass: for horizon h the
     target is ``value`` h rows ahead, the last h rows of each series are cut,
     and the first ``floor(frac * (n - h))`` remaining rows are ``train``.
     ``chunk_rows``: positions from ``with_position`` and leads from the
-    halo-chunked window, so a hot series is spread over many tasks."""
+    halo-chunked window, so a hot series is spread over many tasks
+    (``"auto"``: only when a series exceeds the threshold)."""
+    from airseries.operators.features import resolve_chunk
+    chunk_rows = resolve_chunk(df, key, chunk_rows)
     if chunk_rows:
         from airseries.operators.features import FeatureSpec, build_features, with_position
         p = with_position(df, key, order)
@@ -187,7 +190,7 @@ def solve_ridge(stats: DataFrame, d: int, alpha: float = RIDGE_ALPHA, by=("serie
 
 def horizon_sweep(df: DataFrame, features, value: str = "aqi_pm25", horizons=(1, 6, 24, 48),
                   alpha: float = RIDGE_ALPHA, frac: float = 0.8, key="series_id", order="datetime",
-                  digits: int | None = None, chunk_rows: int | None = None) -> DataFrame:
+                  digits: int | None = None, chunk_rows="auto") -> DataFrame:
     """Per (series, horizon) ridge fit on the chronological train part,
     scored on the test part: ``(series_id, horizon, n_test, rmse, r2)``.
     One window pass, one grouped aggregate, one tiny solve, one join back."""
