@@ -57,3 +57,16 @@ def global_importance(shap_long: DataFrame, digits: int | None = None) -> DataFr
     if digits is not None:
         v = F.round(v, digits)
     return shap_long.groupBy("feature").agg(v.alias("mean_abs_shap"))
+
+
+def explain_rows(df: DataFrame, model, features, keys=("series_id", "datetime"), background=None,
+                 digits: int | None = None) -> DataFrame:
+    """Per-row attribution, long ``(keys..., feature, shap_value, rank)``.
+    A coefficient dict is explained exactly by column algebra (expectations
+    over ``background``, default ``df``); an MLlib tree ensemble by
+    path-dependent TreeSHAP."""
+    if isinstance(model, dict):
+        means = background_means(background if background is not None else df, features)
+        return linear_shap(df, model, features, means, keys, digits)
+    from airseries.operators.treeshap import explain_trees
+    return explain_trees(df, model, features, keys, digits)

@@ -271,3 +271,16 @@ def latest_rows(df, key="series_id", order="datetime"):
     rest = [c for c in df.columns if c not in keys]
     agg = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r"))
     return agg.select(*keys, "_r.*")
+
+
+def build_training(df: DataFrame, spec: FeatureSpec, horizon: int, key="series_id", order="datetime",
+                   drop=("datetime",), chunk_rows="auto") -> DataFrame:
+    """W14 with a horizon: the training build (targets, NULL drop) with
+    ``label`` = ``target_h<horizon>``; the time key and all targets are
+    dropped from the features (absent names ignored)."""
+    names = spec.target_names()
+    target = f"target_h{horizon}"
+    if target not in names:
+        raise ValueError("Invalid horizon")
+    out = build_features(df, spec, key, order, chunk_rows=chunk_rows)
+    return out.withColumn("label", F.col(target)).drop(*drop, *names)

@@ -87,3 +87,9 @@ def backfill_ranges(spark: SparkSession, series, days: int, today: dt.date) -> D
     """Ranges ``[today - days, today)`` for a DataFrame of series ids."""
     return series.select("series_id", F.lit(today - dt.timedelta(days=days)).alias("start"),
                          F.lit(today).alias("end"))
+
+
+def land_chunks(spark: SparkSession, paths, variables, extra: T.StructType | None = None) -> DataFrame:
+    """Stack every landed backfill chunk (one scan over all files);
+    chunks without ``hourly`` are skipped, nothing landed is an error."""
+    return read_payloads(spark, paths, variables, extra)

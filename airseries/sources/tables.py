@@ -91,3 +91,8 @@ def import_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """With a schema (production) or with inference (exploration)."""
     r = spark.read.option("header", True)
     return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
+
+
+def append_features(df: DataFrame, path: str, city: str, created_at, partition_by=None) -> None:
+    """Enrich (``enrich_features``) and append to the feature table."""
+    append_table(enrich_features(df, city, created_at), path, partition_by)
