@@ -41,12 +41,15 @@ def get_spark(app: str = "airseries", cpus: int | str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (tests,
-    local runs) create a fresh scratch directory."""
+    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset and
+    the session is local (tests, local runs) create a fresh scratch folder."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d and d.startswith("file:"):
         d = d[len("file:"):]
     if not d:
+        if default is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder; a machine-local "
+                               "scratch folder is only used for local sessions")
         d = default or tempfile.mkdtemp(prefix="airseries-ckpt-", dir="/tmp")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
