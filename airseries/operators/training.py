@@ -162,6 +162,8 @@ def solve_ridge(stats: DataFrame, d: int, alpha: float = RIDGE_ALPHA, by=("serie
         w = (F.col("n") * F.col("cy_0")) / (F.col("n") * F.col("c_0_0") + F.lit(float(alpha)))
         return stats.select(*by, w.alias("w_0"), (F.col("my") - F.col("m_0") * w).alias("intercept"))
 
+    from airseries.session import ship_package
+    ship_package(stats.sparkSession)
     schema = ", ".join([f"{c} {t}" for c, t in stats.select(*by).dtypes] +
                        [f"w_{i} double" for i in range(d)] + ["intercept double"])
 

@@ -145,7 +145,9 @@ def explain_trees(df: DataFrame, model: PipelineModel, features, keys=("series_i
     """T11 (trees): per-row SHAP values, long ``(keys..., feature,
     shap_value, rank)``. Rows are explained where they are (mapInPandas,
     no shuffle); the ranking window is per row key (d rows per group)."""
+    from airseries.session import ship_package
     spark = df.sparkSession
+    ship_package(spark)
     keys, feats = list(keys), list(features)
     bc = spark.sparkContext.broadcast(ensemble_tables(model, spark))
     key_schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keys).dtypes)

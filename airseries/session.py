@@ -76,3 +76,28 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     join strategy to Catalyst/AQE (shuffle join)."""
     from pyspark.sql import functions as F
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``airseries`` importable in Python workers (what ``--py-files``
+    does): zip the package once per driver process and ``addPyFile`` it.
+    Spark's file server distributes it; no shared folder is needed."""
+    import os
+    import zipfile
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="airseries-pyfiles-"), "airseries.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)

@@ -75,10 +75,12 @@ def stream_dir(spark: SparkSession, name: str) -> str:
 
 def land_events(spark: SparkSession, events_dir: str, schema, out: str | None = None,
                 watermark: str = "2 hours", max_files_per_trigger: int | None = None,
-                glob: str | None = None) -> str:
+                glob: str | None = None, state_partitions: int | None = None) -> str:
     """Run the landing stream over everything available now (update mode:
     changed windows are re-emitted, closed ones evicted) and return the
-    output folder."""
+    output folder. ``state_partitions`` (default: the cluster's default
+    parallelism) fixes the number of state-store partitions; it is read when
+    the query first starts and kept in its checkpoint."""
     out = out or stream_dir(spark, "readings")
     reader = spark.readStream.schema(schema)
     if glob:
@@ -86,7 +88,13 @@ def land_events(spark: SparkSession, events_dir: str, schema, out: str | None =
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = score(hourly_readings(reader.parquet(events_dir), watermark=watermark))
-    q = (stream.writeStream.outputMode("update").foreachBatch(batch_writer(f"{out}/data"))
-               .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+    parts = state_partitions or spark.sparkContext.defaultParallelism
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        q = (stream.writeStream.outputMode("update").foreachBatch(batch_writer(f"{out}/data"))
+                   .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     q.awaitTermination()
     return out
