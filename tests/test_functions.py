@@ -64,3 +64,15 @@ def test_cyclical(spark):
         F.col("d").cast("timestamp_ntz").alias("datetime"))
     r = cyclical(df).first()
     assert abs(r["hour_sin"] - 1.0) < 1e-12 and abs(r["hour_cos"]) < 1e-12
+
+
+def test_describe_auto_switches_to_approx(spark):
+    from airseries.operators import quality as Q
+    from airseries.plans import fixtures as fx
+    r = fx.readings(spark, "/root/testdata/sf0.01")
+    ex = {x["column"]: x for x in Q.describe(r, ["pm2_5"], exact=True).collect()}
+    ap = {x["column"]: x for x in Q.describe(r, ["pm2_5"], exact="auto", max_distinct=10).collect()}
+    assert Q.exact_is_bounded(r, ["pm2_5"], 10) == {"pm2_5": False}
+    assert ex["pm2_5"]["count"] == ap["pm2_5"]["count"]
+    for k in ("q25", "q50", "q75"):
+        assert abs(ex["pm2_5"][k] - ap["pm2_5"][k]) <= 0.02 * ex["pm2_5"]["max"]
