@@ -1,4 +1,8 @@
-"""Feature presets used by the reference pipelines."""
+"""Feature presets used by the reference pipelines.
+
+Fixed values (must equal the reference): lag sets, rolling window lengths,
+calendar parts, target offsets (24/48/72 rows) and column names below.
+"""
 
 from airseries.operators.features import FeatureSpec
 

@@ -170,8 +170,7 @@ def _a15_sql():
     body = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, {r6(corr_sql(c, 'target_h1'))} AS corr FROM wide"
         for c in WIDE_FEATS)
-    return (WIDE_SQL.replace("WITH readings AS", "WITH readings AS", 1)
-            .replace("\nSELECT * FROM (", ",\nwide AS (SELECT * FROM (", 1)
+    return (WIDE_SQL.replace("\nSELECT * FROM (", ",\nwide AS (SELECT * FROM (", 1)
             + f")\nSELECT feature, corr, abs(corr) AS importance FROM ({body}) "
               "ORDER BY importance DESC, feature LIMIT 10")
 
