@@ -57,15 +57,31 @@ def estimator(name: str, label: str = "label", n_rows: int | None = None,
     raise ValueError(f"unknown estimator {name}")
 
 
+ROWS_PER_PARTITION = 200_000
+
+
+def right_size(df: DataFrame, n_rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Coalesce a small training input to ~``rows_per_partition`` rows per
+    partition. Iterative MLlib fits run several jobs per tree level or
+    boosting round over every partition, and each task holds a split
+    statistics buffer; hundreds of near-empty shuffle partitions only add
+    tasks and memory. Large inputs keep their partitioning."""
+    import math
+    current = df.rdd.getNumPartitions()
+    k = max(1, math.ceil(n_rows / rows_per_partition))
+    return df.coalesce(k) if k * 2 <= current else df
+
+
 def fit(train: DataFrame, features, target: str, name: str, **overrides) -> PipelineModel:
     """VectorAssembler + estimator as one PipelineModel (persistable, S12)."""
-    n_rows = label_std = None
-    if name == "ridge":
-        st = train.agg(F.count(F.col(target)).alias("n"), F.stddev_samp(target).alias("s")).first()
-        n_rows, label_std = st["n"], st["s"]
+    data = train.select(*features, target)
+    st = data.agg(F.count(F.lit(1)).alias("rows"), F.count(F.col(target)).alias("n"),
+                  F.stddev_samp(target).alias("s")).first()
+    n_rows, label_std = st["n"], st["s"]
+    data = right_size(data, st["rows"])
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     est = estimator(name, label=target, n_rows=n_rows, label_std=label_std, **overrides)
-    return Pipeline(stages=[asm, est]).fit(train)
+    return Pipeline(stages=[asm, est]).fit(data)
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str = "prediction") -> DataFrame:
@@ -80,7 +96,9 @@ def train_candidates(train: DataFrame, val: DataFrame, features, target: str, ho
     ``(registry_rows, models)``. Inputs are cached once and released; the
     metric rows stay DataFrames (no driver round trip)."""
     overrides = overrides or {}
-    train, val = train.cache(), val.cache()
+    cols = list(dict.fromkeys(list(features) + [target]))
+    train = train.select(*cols).cache()
+    val = val.cache()
     models, rows = {}, []
     ts = registered_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     try:
