@@ -9,12 +9,14 @@ task, ``chunk_rows`` switches to a halo-chunked plan: every row gets its
 per-series ordinal (``with_ordinals``), is copied to the neighbouring chunks
 that need it as look-back/look-ahead, the window runs per (series, chunk), and
 each chunk keeps only its own rows. The result is identical; the largest task
-holds ``chunk_rows + lookback + lead`` rows whatever the series length.
+holds ``chunk_rows + lookback + lead`` rows whatever the series length. The
+default ``chunk_rows="auto"`` picks the chunked plan only when a count per
+series shows a series above the threshold.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -52,7 +54,6 @@ class FeatureSpec:
     targets: tuple = ()                 # ((name, rows_ahead), ...)
     dropna: bool = False
     digits: int | None = None           # round rolling statistics
-    extra: dict = field(default_factory=dict)
 
     @property
     def base(self) -> str:
