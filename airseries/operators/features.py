@@ -175,14 +175,21 @@ def with_position(df: DataFrame, key="series_id", order="datetime", tiebreak=Non
     return o.join(sizes, keys)
 
 
+def chunk_range(ordinal: Column, lookback: int, lead: int, B: int) -> Column:
+    """Chunks that need the row at ``ordinal``: its own chunk plus those
+    whose look-back or look-ahead reaches it,
+    ``floor((o - lead) / B) .. floor((o + lookback) / B)`` clipped at 0."""
+    lo = F.greatest(F.floor((ordinal - F.lit(lead)) / F.lit(B)), F.lit(0)).cast("long")
+    hi = F.floor((ordinal + F.lit(lookback)) / F.lit(B)).cast("long")
+    return F.sequence(lo, hi)
+
+
 def _chunked(df: DataFrame, spec: FeatureSpec, key, order, tiebreak, B: int,
              keep_ordinal: bool = False) -> DataFrame:
     keys = _keys(key)
     lb, ld = spec.lookback, spec.lead
     o = df if "_o" in df.columns else with_ordinals(df, key, order, tiebreak)
-    lo = F.greatest(F.floor((F.col("_o") - F.lit(ld)) / F.lit(B)), F.lit(0)).cast("long")
-    hi = F.floor((F.col("_o") + F.lit(lb)) / F.lit(B)).cast("long")
-    rep = o.withColumn("_chunk", F.explode(F.sequence(lo, hi)))
+    rep = o.withColumn("_chunk", F.explode(chunk_range(F.col("_o"), lb, ld, B)))
     w = Window.partitionBy(*keys, "_chunk").orderBy("_o")
     out = rep.withColumns(window_columns(spec, w))
     own = F.floor(F.col("_o") / F.lit(B)).cast("long")

@@ -115,9 +115,8 @@ def test_chunk_groups_are_bounded(spark):
     raw = fx.raw_readings(spark, SF["0.1"])
     B, lb, ld = 40, 24, 24
     o = W.with_ordinals(raw, tiebreak="event_id")
-    lo = F.greatest(F.floor((F.col("_o") - F.lit(ld)) / F.lit(B)), F.lit(0)).cast("long")
-    hi = F.floor((F.col("_o") + F.lit(lb)) / F.lit(B)).cast("long")
-    groups = o.withColumn("_chunk", F.explode(F.sequence(lo, hi))).groupBy("series_id", "_chunk").count()
+    groups = (o.withColumn("_chunk", F.explode(W.chunk_range(F.col("_o"), lb, ld, B)))
+               .groupBy("series_id", "_chunk").count())
     biggest_group = groups.agg(F.max("count")).first()[0]
     longest_series = raw.groupBy("series_id").count().agg(F.max("count")).first()[0]
     assert biggest_group <= B + lb + ld < longest_series
