@@ -292,3 +292,48 @@ def build_training(df: DataFrame, spec: FeatureSpec, horizon: int, key="series_i
         raise ValueError("Invalid horizon")
     out = build_features(df, spec, key, order, chunk_rows=chunk_rows)
     return out.withColumn("label", F.col(target)).drop(*drop, *names)
+
+
+def build_features_range(df: DataFrame, spec: FeatureSpec, start: str, end: str, key="series_id",
+                         order="datetime", tiebreak=None, chunk_rows="auto") -> DataFrame:
+    """Incremental build: the result of ``build_features`` restricted to
+    ``start <= order < end``, without building the whole history.
+
+    Lags are row-based, so the halo is counted in rows: one aggregate over
+    the key and time columns only (a pruned scan) counts rows per (series,
+    day); a small window over that table finds, per series, the first day
+    from which at least ``lookback`` rows precede ``start`` and the last day
+    by which ``lead`` rows follow ``end``. Full rows are read only inside
+    those days (time filter pushed to the scan, then a per-series bound
+    join), built, and trimmed to the range.
+    """
+    keys = _keys(key)
+    lb, ld = spec.lookback, spec.lead
+    s_ts = F.lit(start).cast("timestamp_ntz")
+    e_ts = F.lit(end).cast("timestamp_ntz")
+    t = F.col(order)
+    per_day = (df.select(*keys, F.to_date(t).alias("_d"), t.alias("_t"))
+                 .groupBy(*keys, "_d")
+                 .agg(F.count_if(F.col("_t") < s_ts).alias("_pre"),
+                      F.count_if(F.col("_t") >= e_ts).alias("_post")))
+    back = Window.partitionBy(*keys).orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, 0)
+    fwd = Window.partitionBy(*keys).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
+    cum = per_day.withColumns({"_pre_cum": F.sum("_pre").over(back), "_post_cum": F.sum("_post").over(fwd)})
+    # earliest day still needed: the latest day whose cumulative pre-start
+    # count reaches lb (or the series' first day); symmetric after ``end``
+    lo_day = (F.to_date(s_ts) if lb == 0 else
+              F.coalesce(F.max(F.when(F.col("_pre_cum") >= F.lit(lb), F.col("_d"))), F.min("_d")))
+    hi_day = (F.to_date(e_ts) if ld == 0 else
+              F.coalesce(F.min(F.when(F.col("_post_cum") >= F.lit(ld), F.col("_d"))), F.max("_d")))
+    bounds = cum.groupBy(*keys).agg(lo_day.alias("_lo"), hi_day.alias("_hi"))
+    span = bounds.agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).first()
+    if span["lo"] is None:
+        return build_features(df.limit(0), spec, key, order, tiebreak, chunk_rows=None)
+    lo_ts = F.lit(span["lo"]).cast("timestamp_ntz")
+    hi_ts = F.date_add(F.lit(span["hi"]), 1).cast("timestamp_ntz")
+    near = df.filter((t >= lo_ts) & (t < hi_ts)).join(bounds, keys)
+    near = near.filter((F.to_date(t) >= F.col("_lo")) & (F.to_date(t) <= F.col("_hi"))).drop("_lo", "_hi")
+    spec_nodrop = spec.with_(dropna=False)
+    out = build_features(near, spec_nodrop, key, order, tiebreak, chunk_rows=chunk_rows)
+    out = out.filter((t >= s_ts) & (t < e_ts))
+    return out.dropna(how="any") if spec.dropna else out

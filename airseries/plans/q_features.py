@@ -263,3 +263,11 @@ def w7_horizon_target_6h_chunked(spark, sf_dir):
 @_same_sql("w14_training_preset", "w14_training_preset_chunked")
 def w14_training_preset_chunked(spark, sf_dir):
     return W.build_features(_rd(spark, sf_dir), TRAINING.with_(digits=R6), chunk_rows=100)
+
+
+@register("w13_wide_preset_range", WIDE_SQL + """
+  AND datetime >= TIMESTAMP '2024-01-10 00:00:00' AND datetime < TIMESTAMP '2024-01-20 00:00:00'""")
+def w13_wide_preset_range(spark, sf_dir):
+    """Incremental build of one date range (row-counted halo, no full-history build)."""
+    return W.build_features_range(_rd(spark, sf_dir), WIDE.with_(digits=R6), "2024-01-10 00:00:00",
+                                  "2024-01-20 00:00:00")

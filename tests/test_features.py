@@ -120,3 +120,14 @@ def test_chunk_groups_are_bounded(spark):
     biggest_group = groups.agg(F.max("count")).first()[0]
     longest_series = raw.groupBy("series_id").count().agg(F.max("count")).first()[0]
     assert biggest_group <= B + lb + ld < longest_series
+
+
+def test_range_build_equals_full_build(spark):
+    r = fx.readings(spark, SF["0.01"])
+    for spec in (WIDE.with_(digits=6), TRAINING.with_(digits=6), INFERENCE.with_(digits=6)):
+        for start, end in (("2024-01-10", "2024-01-12"), ("2024-01-01", "2024-01-03"),
+                           ("2024-01-28", "2024-02-05")):
+            full = W.build_features(r, spec).filter((F.col("datetime") >= F.lit(start).cast("timestamp_ntz")) &
+                                                   (F.col("datetime") < F.lit(end).cast("timestamp_ntz")))
+            part = W.build_features_range(r, spec, start, end)
+            assert _same(full, part), (spec, start, end)
