@@ -28,6 +28,19 @@ def refresh_features(spark: SparkSession, readings_path: str, features_path: str
     return overwrite_table(build_features(r, spec, chunk_rows=chunk_rows), features_path)
 
 
+def refresh_feature_days(spark: SparkSession, readings_path: str, features_path: str, start: str, end: str,
+                         spec: FeatureSpec = FINAL, chunk_rows="auto") -> None:
+    """Incremental refresh: build only ``[start, end)`` (row-counted halo,
+    ``build_features_range``) and overwrite just those ``ds`` (date) partitions of
+    a day-partitioned feature table (dynamic partition overwrite); other
+    days are untouched."""
+    from airseries.operators.features import build_features_range
+    r = read_table(spark, readings_path)
+    out = build_features_range(r, spec, start, end, chunk_rows=chunk_rows)
+    (out.withColumn("ds", F.to_date("datetime")).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("ds").parquet(features_path))
+
+
 def train_horizons(spark: SparkSession, readings_path: str, registry_path: str, models_path: str,
                    horizons=(1, 2, 3), name: str = "random_forest", run_id: str | None = None,
                    overrides: dict | None = None, now: dt.datetime | None = None) -> DataFrame:

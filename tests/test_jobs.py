@@ -23,3 +23,18 @@ def test_feature_training_serving(spark, tmpdir_path):
                                horizons=(1, 2), now=now)
     assert out.count() == 2 * 5
     assert read_table(spark, f"{base}/forecasts").count() == 10
+
+
+def test_incremental_day_refresh(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+    from airseries.operators.features import build_features
+    from airseries.plans.presets import FINAL
+    base = tmpdir_path
+    overwrite_table(fx.readings(spark, SF["0.01"]), f"{base}/readings")
+    jobs.refresh_feature_days(spark, f"{base}/readings", f"{base}/fd", "2024-01-01", "2024-01-16")
+    jobs.refresh_feature_days(spark, f"{base}/readings", f"{base}/fd", "2024-01-16", "2024-02-01")
+    jobs.refresh_feature_days(spark, f"{base}/readings", f"{base}/fd", "2024-01-10", "2024-01-12")  # redo 2 days
+    got = spark.read.parquet(f"{base}/fd").drop("ds")
+    exp = build_features(fx.readings(spark, SF["0.01"]), FINAL)
+    cols = sorted(exp.columns)
+    assert sorted(map(repr, got.select(cols).collect())) == sorted(map(repr, exp.select(cols).collect()))
