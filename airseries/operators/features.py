@@ -237,10 +237,13 @@ def horizon_target(df, col="aqi_pm25", h: int = 1, name="target",
               .filter("_keep").drop("_keep"))
 
 
-def tail_rows(df, n: int, key="series_id", order="datetime", tiebreak=None, chunked: bool = False):
+def tail_rows(df, n: int, key="series_id", order="datetime", tiebreak=None, chunked="auto"):
     """Last ``n`` rows of each series (lead of a non-null literal is NULL only
     past the end, so no second sort in descending order is needed).
-    ``chunked``: position-based, no per-series window (hot series)."""
+    ``chunked``: position-based, no per-series window (hot series);
+    ``"auto"`` decides with one count per series."""
+    if chunked == "auto":
+        chunked = bool(resolve_chunk(df, key, "auto"))
     if chunked:
         p = with_position(df, key, order, tiebreak)
         return p.filter(F.col("_o") >= F.col("_n") - F.lit(n)).drop("_o", "_n")
@@ -250,9 +253,12 @@ def tail_rows(df, n: int, key="series_id", order="datetime", tiebreak=None, chun
 
 
 def time_split(df, frac: float = 0.8, key="series_id", order="datetime", tiebreak=None,
-               name="split", chunked: bool = False):
+               name="split", chunked="auto"):
     """Chronological split per series: the first ``floor(frac * n)`` rows are
-    ``train``, the rest ``test``. ``chunked``: position-based (hot series)."""
+    ``train``, the rest ``test``. ``chunked``: position-based (hot series);
+    ``"auto"`` decides with one count per series."""
+    if chunked == "auto":
+        chunked = bool(resolve_chunk(df, key, "auto"))
     if chunked:
         p = with_position(df, key, order, tiebreak)
         cut = F.floor(F.lit(float(frac)) * F.col("_n"))

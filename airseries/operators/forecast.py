@@ -58,7 +58,7 @@ def forecast_batch(history: DataFrame, future: DataFrame, model, spec: FeatureSp
     ``horizon_days * rows_per_day`` rows of each series -> predict."""
     from airseries.operators.features import resolve_chunk
     chunk_rows = resolve_chunk(history, key, chunk_rows)
-    chunked = bool(chunk_rows)
+    chunked = bool(chunk_rows)  # the same decision for the tail steps
     warm = tail_rows(history, warm_rows if warm_rows is not None else spec.lookback, key, order, chunked=chunked)
     u = union_history_forecast(warm, future, flag=None)
     u = add_aqi_column(u)

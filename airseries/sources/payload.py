@@ -46,8 +46,9 @@ def flatten_hourly(df: DataFrame, variables=None, keep=None) -> DataFrame:
 
 
 def to_payload(readings: DataFrame, variables, key="series_id", order="datetime") -> DataFrame:
-    """Rows -> one payload per (series, day), arrays ordered by time. A
-    group is one series-day (at most 24 hourly rows), so it stays bounded."""
+    """Rows -> one payload per (series, day), arrays ordered by time. The
+    input is hourly readings, so a group is one series-day of at most 24
+    rows and the collected arrays stay bounded whatever the table size."""
     day = F.to_date(F.col(order)).alias("day")
     g = readings.groupBy(key, day).agg(
         F.sort_array(F.collect_list(F.struct(F.col(order).alias("t"), *[F.col(v) for v in variables]))).alias("_a"))
