@@ -102,3 +102,69 @@ def st1_stream_hourly_readings(spark, sf_dir):
     ev = fx.table(spark, sf_dir, "events")
     out = land_events(spark, sf_dir, ev.schema, watermark="2 hours", glob="events.parquet")
     return latest_by_key(spark, f"{out}/data", ["series_id", "datetime"])
+
+
+# ---- sinks round-tripped through the shared folder ------------------------------------
+
+import uuid  # noqa: E402
+
+from airseries.plans.sqlgen import sround  # noqa: E402
+from airseries.sources import registry_file as RF  # noqa: E402
+
+GEN_AT = "2024-02-01 00:00:00"
+
+
+def _scratch(spark, name):
+    from airseries.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@register("s6_versioned_overwrite_read", fx.ctes("readings") + "SELECT * FROM readings WHERE pm2_5 > 100")
+def s6_versioned_overwrite_read(spark, sf_dir):
+    """Two versions written (all rows, then the rows above 100); the reader
+    resolves the newest pointer."""
+    base = _scratch(spark, "readings")
+    r = fx.readings(spark, sf_dir)
+    TB.overwrite_table(r, base, version="v1")
+    TB.overwrite_table(r.filter(F.col("pm2_5") > 100), base, version="v2")
+    return TB.read_table(spark, base)
+
+
+@register("s7_enrich_features", fx.ctes("readings") + f"""
+SELECT 'Karachi' AS city, datetime, CAST(NULL AS DOUBLE) AS aqi, series_id, pm2_5, pm10, nitrogen_dioxide,
+       TIMESTAMP '{GEN_AT}' AS created_at FROM readings""")
+def s7_enrich_features(spark, sf_dir):
+    return TB.enrich_features(fx.readings(spark, sf_dir), "Karachi", GEN_AT)
+
+
+@register("s9_flat_forecasts", fx.ctes("readings") + f"""
+SELECT datetime + INTERVAL 72 HOUR AS datetime, pm2_5 AS predicted_aqi, 3 AS horizon,
+       TIMESTAMP '{GEN_AT}' AS generated_at FROM readings""")
+def s9_flat_forecasts(spark, sf_dir):
+    r = fx.readings(spark, sf_dir)
+    pred = r.select((F.col("datetime") + F.expr("INTERVAL 72 HOURS")).alias("datetime"),
+                    F.col("pm2_5").alias("predicted_aqi"))
+    return TB.flat_forecasts(pred, 3, GEN_AT)
+
+
+@register("s10_csv_round_trip", fx.ctes("readings") + "SELECT * FROM readings")
+def s10_csv_round_trip(spark, sf_dir):
+    path = _scratch(spark, "csv")
+    r = fx.readings(spark, sf_dir)
+    TB.export_csv(r, path)
+    return TB.import_csv(spark, path, schema=r.schema)
+
+
+@register("s11_registry_file_round_trip", fx.ctes("registry") + f"""
+SELECT model_name, CAST(horizon * 24 AS INTEGER) AS horizon_hours, {sround('rmse', 2, True)} AS rmse,
+       {sround('r2', 3, True)} AS r2, CASE WHEN status = 'production' THEN 'active' ELSE 'inactive' END AS status,
+       '{GEN_AT.replace(' ', 'T')}' AS trained_at
+FROM registry""")
+def s11_registry_file_round_trip(spark, sf_dir):
+    import datetime as dt
+    path = _scratch(spark, "registry-file")
+    reg = fx.registry(spark, sf_dir).withColumn("horizon_hours", F.col("horizon") * 24)
+    at = dt.datetime.fromisoformat(GEN_AT)
+    RF.append_entries(RF.entries(reg.filter(F.col("status") == "production"), "active", at), path)
+    RF.append_entries(RF.entries(reg.filter(F.col("status") != "production"), "inactive", at), path)
+    return RF.read_entries(spark, path).drop("position", "features")
