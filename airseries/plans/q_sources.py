@@ -168,3 +168,17 @@ def s11_registry_file_round_trip(spark, sf_dir):
     RF.append_entries(RF.entries(reg.filter(F.col("status") == "production"), "active", at), path)
     RF.append_entries(RF.entries(reg.filter(F.col("status") != "production"), "inactive", at), path)
     return RF.read_entries(spark, path).drop("position", "features")
+
+
+@register("s4_land_chunks_round_trip", fx.ctes("readings") + "SELECT series_id, datetime, pm2_5, pm10 FROM readings")
+def s4_land_chunks_round_trip(spark, sf_dir):
+    """Daily payload documents written as JSON (plus one empty chunk per
+    series without ``hourly``), landed back with one scan."""
+    from pyspark.sql import types as T
+    path = _scratch(spark, "payloads")
+    pay = PL.to_payload(fx.readings(spark, sf_dir), ["pm2_5", "pm10"])
+    empty = pay.select("series_id", "day", F.lit(None).cast(pay.schema["hourly"].dataType).alias("hourly")) \
+               .dropDuplicates(["series_id"])
+    pay.unionByName(empty).write.json(path)
+    extra = T.StructType([T.StructField("series_id", T.StringType())])
+    return PL.land_chunks(spark, path, ["pm2_5", "pm10"], extra, multiline=False)

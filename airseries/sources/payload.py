@@ -60,11 +60,13 @@ def to_payload(readings: DataFrame, variables, key="series_id", order="datetime"
     return g.select(key, "day", hourly.alias("hourly"))
 
 
-def read_payloads(spark: SparkSession, paths, variables, extra: T.StructType | None = None) -> DataFrame:
+def read_payloads(spark: SparkSession, paths, variables, extra: T.StructType | None = None,
+                  multiline: bool = True) -> DataFrame:
     """One ``read.json`` over all chunk files with an explicit schema
     (no inference pass); chunks without ``hourly`` are skipped; error if
-    nothing was landed."""
-    raw = spark.read.schema(payload_schema(variables, extra)).option("multiLine", True).json(paths)
+    nothing was landed. ``multiline``: one document per file (API chunks)
+    or JSON lines (many payloads per file)."""
+    raw = spark.read.schema(payload_schema(variables, extra)).option("multiLine", multiline).json(paths)
     landed = raw.filter(F.col("hourly").isNotNull())
     if landed.limit(1).count() == 0:
         raise RuntimeError("no payload chunk holds hourly data")
@@ -90,7 +92,8 @@ def backfill_ranges(spark: SparkSession, series, days: int, today: dt.date) -> D
                          F.lit(today).alias("end"))
 
 
-def land_chunks(spark: SparkSession, paths, variables, extra: T.StructType | None = None) -> DataFrame:
+def land_chunks(spark: SparkSession, paths, variables, extra: T.StructType | None = None,
+                multiline: bool = True) -> DataFrame:
     """Stack every landed backfill chunk (one scan over all files);
     chunks without ``hourly`` are skipped, nothing landed is an error."""
-    return read_payloads(spark, paths, variables, extra)
+    return read_payloads(spark, paths, variables, extra, multiline)
