@@ -233,3 +233,17 @@ def t8_forecast_batch_linear_chunked(spark, sf_dir):
     out = FC.forecast_batch(fx.history(spark, sf_dir), fx.future(spark, sf_dir), LIN, BATCH_SPEC, FEATS,
                             chunk_rows=64)
     return out.withColumn("predicted_aqi", F.round("predicted_aqi", 6))
+
+
+@register("s12_model_save_load_ridge", _ORACLE["t3_ridge_pooled_1feat"])
+def s12_model_save_load_ridge(spark, sf_dir):
+    """The pooled ridge is saved to the shared folder, loaded back and
+    scored; the metrics equal the closed form (same oracle as T3)."""
+    import uuid
+    from airseries.session import ensure_checkpoint_dir
+    from airseries.sources.models import load_model, save_model
+    rows = time_split(fx.training_rows(spark, sf_dir, digits=None), 0.8)
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    path = save_model(TR.fit(train, ["lag_1"], "target_h1", "ridge"),
+                      f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex[:12]}", "ridge", 1, "v1")
+    return regression_metrics(TR.predict(load_model(path), test, "p"), "target_h1", "p", digits=6)
