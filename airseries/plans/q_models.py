@@ -247,3 +247,35 @@ def s12_model_save_load_ridge(spark, sf_dir):
     path = save_model(TR.fit(train, ["lag_1"], "target_h1", "ridge"),
                       f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex[:12]}", "ridge", 1, "v1")
     return regression_metrics(TR.predict(load_model(path), test, "p"), "target_h1", "p", digits=6)
+
+
+def _sweep2_sql(x0: str, x1: str) -> str:
+    ycase = "CASE h " + " ".join(f"WHEN {h} THEN y{h}" for h in HZ) + " END"
+    leads = ", ".join(f"lead(aqi_pm25, {h}) OVER w AS y{h}" for h in HZ)
+    return fx.ctes("final", raw=True) + f""",
+clean AS (SELECT * FROM final WHERE COLUMNS(*) IS NOT NULL),
+t AS (SELECT series_id, datetime, {x0} AS x0, {x1} AS x1, row_number() OVER w AS rn,
+             count(*) OVER (PARTITION BY series_id) AS n, {leads}
+      FROM clean WINDOW w AS (PARTITION BY series_id ORDER BY datetime)),
+e AS (SELECT series_id, h, x0, x1, {ycase} AS y, rn, n FROM t, (SELECT unnest([{', '.join(map(str, HZ))}]) AS h)
+      WHERE rn <= n - h),
+s AS (SELECT *, CASE WHEN rn <= floor(CAST(0.8 AS DOUBLE) * (n - h)) THEN 'train' ELSE 'test' END AS split FROM e),
+st AS (SELECT series_id, h, count(*) AS m, avg(y) AS my, avg(x0) AS m0, avg(x1) AS m1,
+              count(*) * covar_pop(x0, x0) + CAST(1.0 AS DOUBLE) AS a00, count(*) * covar_pop(x0, x1) AS a01,
+              count(*) * covar_pop(x1, x1) + CAST(1.0 AS DOUBLE) AS a11,
+              count(*) * covar_pop(x0, y) AS b0, count(*) * covar_pop(x1, y) AS b1
+       FROM s WHERE split = 'train' GROUP BY 1, 2),
+c AS (SELECT series_id, h, my, m0, m1, (b0 * a11 - b1 * a01) / (a00 * a11 - a01 * a01) AS w0,
+             (a00 * b1 - a01 * b0) / (a00 * a11 - a01 * a01) AS w1 FROM st),
+p AS (SELECT s.series_id, s.h, s.y, (c.my - c.m0 * c.w0 - c.m1 * c.w1) + c.w0 * s.x0 + c.w1 * s.x1 AS p
+      FROM s JOIN c ON s.series_id = c.series_id AND s.h = c.h WHERE split = 'test')
+SELECT series_id, h AS horizon, count(*) AS n_test, {r6('sqrt(avg(power(y - p, 2)))')} AS rmse,
+       {r6('avg(abs(y - p))')} AS mae, {r6('1 - sum(power(y - p, 2)) / (var_pop(y) * count(*))')} AS r2
+FROM p GROUP BY 1, 2"""
+
+
+@register("t6_horizon_sweep_ridge_2feat", _sweep2_sql("lag_1", "roll_mean_6"))
+def t6_horizon_sweep_ridge_2feat(spark, sf_dir):
+    """Two features: the batched mapInPandas solve, checked against the 2 x 2
+    closed form (Cramer's rule) in SQL."""
+    return TR.horizon_sweep(_clean_final(spark, sf_dir), ["lag_1", "roll_mean_6"], "aqi_pm25", HZ, digits=6)
