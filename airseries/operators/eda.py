@@ -139,3 +139,17 @@ def sample_rows(df: DataFrame, n: int = 200, seed: int = 42, key=None) -> DataFr
 def top_k(df: DataFrame, col: str, k: int = 10, tiebreak=None) -> DataFrame:
     order = [F.desc(col)] + ([F.asc(tiebreak)] if tiebreak else [])
     return df.orderBy(*order).limit(k)
+
+
+# Multiplicative hashing constant (Knuth): 2^32 / golden ratio.
+_KNUTH = 2654435761
+
+
+def sample_by_numeric_key(df: DataFrame, key: str, n: int = 200, seed: int = 42) -> DataFrame:
+    """Seeded sample of ``n`` rows ranked by ``(key * 2654435761 + seed) mod 2^32``
+    of a non-negative integer key below 2^32: plain integer arithmetic, so any
+    engine reproduces the same sample; the odd multiplier makes the hash a
+    bijection on such keys (no ties between distinct keys); stable under
+    repartitioning. TakeOrderedAndProject keeps n rows per partition."""
+    h = F.pmod(F.col(key).cast("long") * F.lit(_KNUTH) + F.lit(int(seed)), F.lit(2 ** 32))
+    return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")

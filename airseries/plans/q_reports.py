@@ -199,3 +199,20 @@ def a17_benchmark_table(spark, sf_dir):
 @register("a5_gap_report_chunked", ORACLE["a5_gap_report"])
 def a5_gap_report_chunked(spark, sf_dir):
     return Q.gap_report(fx.readings(spark, sf_dir), chunk_rows=100)
+
+
+@register("a14_seeded_sample_portable", fx.ctes("training") + """,
+k AS (SELECT *, CAST(date_diff('hour', TIMESTAMP '1970-01-01 00:00:00', datetime) AS BIGINT) * 256
+                + CAST(ascii(series_id) AS BIGINT) AS row_key FROM training)
+SELECT series_id, datetime, pm2_5, target_h1, row_key FROM k
+ORDER BY (row_key * 2654435761 + 42) % 4294967296, row_key LIMIT 200""")
+def a14_seeded_sample_portable(spark, sf_dir):
+    """A14 with a numeric row key (hour index * 256 + code of the series'
+    first letter; the five series start with distinct letters, so keys are
+    unique and, the multiplier being odd, so are their hashes) so the SQL
+    oracle reproduces the sample exactly."""
+    tr = fx.training_rows(spark, sf_dir)
+    hours = F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("datetime"))
+    key = hours.cast("long") * 256 + F.ascii("series_id").cast("long")
+    t = tr.select("series_id", "datetime", "pm2_5", "target_h1", key.alias("row_key"))
+    return E.sample_by_numeric_key(t, "row_key", 200, 42)
