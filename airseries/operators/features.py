@@ -137,10 +137,21 @@ def resolve_chunk(df: DataFrame, key, chunk_rows, threshold: int = 2_000_000):
     return _auto_chunk(df, key, threshold) if chunk_rows == "auto" else chunk_rows
 
 
+_AUTO_DECISIONS: dict = {}
+
+
 def _auto_chunk(df: DataFrame, key, threshold: int):
-    biggest = (df.groupBy(*_keys(key)).agg(F.count(F.lit(1)).alias("n"))
-                 .agg(F.max("n").alias("m")).first()["m"])
-    return threshold if biggest and biggest > threshold else None
+    """Largest series above ``threshold`` rows -> chunk size, else None.
+    Memoised per input plan: both plans give identical results, so a
+    reused decision can only affect speed, never the output."""
+    memo = (df.semanticHash(), tuple(_keys(key)), threshold)
+    if memo not in _AUTO_DECISIONS:
+        biggest = (df.groupBy(*_keys(key)).agg(F.count(F.lit(1)).alias("n"))
+                     .agg(F.max("n").alias("m")).first()["m"])
+        if len(_AUTO_DECISIONS) > 512:
+            _AUTO_DECISIONS.clear()
+        _AUTO_DECISIONS[memo] = threshold if biggest and biggest > threshold else None
+    return _AUTO_DECISIONS[memo]
 
 
 def with_ordinals(df: DataFrame, key="series_id", order="datetime", tiebreak=None,
