@@ -13,7 +13,6 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 

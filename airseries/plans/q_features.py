@@ -1,7 +1,5 @@
 """Queries for window features (W*) and projections (F*)."""
 
-from pyspark.sql import functions as F
-
 from airseries.operators import features as W
 from airseries.plans import fixtures as fx
 from airseries.plans.catalog import register
@@ -17,7 +15,7 @@ def w14_training_preset(spark, sf_dir):
 
 from airseries.operators import projection as P  # noqa: E402
 from airseries.plans.presets import WIDE, INFERENCE, TRAINING_FEATURES  # noqa: E402
-from airseries.plans.sqlgen import r6, roll, shift, win  # noqa: E402
+from airseries.plans.sqlgen import roll, shift, win  # noqa: E402
 
 BASE = "series_id, datetime, pm2_5"
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from airseries.functions.aqi import aqi_pm25
 from airseries.operators import explain as X
 from airseries.operators import forecast as FC
 from airseries.operators import training as TR

@@ -26,7 +26,6 @@ def test_feature_training_serving(spark, tmpdir_path):
 
 
 def test_incremental_day_refresh(spark, tmpdir_path):
-    from pyspark.sql import functions as F
     from airseries.operators.features import build_features
     from airseries.plans.presets import FINAL
     base = tmpdir_path

@@ -1,7 +1,6 @@
 """Payload flattening edges, sinks and round trips."""
 
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
