@@ -98,10 +98,10 @@ FROM (SELECT *, {aqi_sql('pm2_5')} AS aqi_pm25 FROM readings)""")
 def st1_stream_hourly_readings(spark, sf_dir):
     """Events streamed through the watermarked hourly landing job (file
     source, availableNow trigger, idempotent foreachBatch sink)."""
-    from airseries.streaming import land_events, latest_by_key
+    from airseries.streaming import land_events, merge_readings, score
     ev = fx.table(spark, sf_dir, "events")
     out = land_events(spark, sf_dir, ev.schema, watermark="2 hours", glob="events.parquet")
-    return latest_by_key(spark, f"{out}/data", ["series_id", "datetime"])
+    return score(merge_readings(spark, f"{out}/data"))
 
 
 # ---- sinks round-tripped through the shared folder ------------------------------------

@@ -1,7 +1,7 @@
 """Structured Streaming entry points (hourly readings landing)."""
 
-from airseries.streaming.readings import (hourly_readings, land_events, latest_by_key, score,
-                                          wall_clock_instant, instant_wall_clock)
+from airseries.streaming.readings import (hourly_readings, land_events, latest_by_key, merge_readings,
+                                          score, wall_clock_instant, instant_wall_clock)
 
-__all__ = ["hourly_readings", "land_events", "latest_by_key", "score", "wall_clock_instant",
+__all__ = ["hourly_readings", "land_events", "latest_by_key", "merge_readings", "score", "wall_clock_instant",
            "instant_wall_clock"]

@@ -8,8 +8,12 @@ plain column expressions and apply to the stream unchanged.
 
 The sink is ``foreachBatch`` writing each micro-batch to its own
 ``batch=<id>`` directory with overwrite, so a retried batch replaces its own
-output (idempotent); ``latest_by_key`` resolves the newest value per key.
-Checkpoints and outputs live under the cluster's ``spark.checkpoint.dir``.
+output (idempotent). Update mode re-emits a window's running aggregate; if a
+window's state was already evicted and late rows arrive anyway (Spark may
+or may not drop them), the new emission covers only those rows. The
+readings are mergeable aggregates (max / min), so ``merge_readings``
+combines all emissions per key exactly, whatever the split. Checkpoints and
+outputs live under the cluster's ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -60,8 +64,22 @@ def batch_writer(path: str):
     return write
 
 
+# How each landed column merges across emissions of the same (series, hour).
+READING_MERGE = {"pm2_5": F.max, "pm10": F.min, "nitrogen_dioxide": F.max}
+
+
+def merge_readings(spark: SparkSession, path: str, keys=("series_id", "datetime"),
+                   merge: dict | None = None) -> DataFrame:
+    """Exact readings from all micro-batch emissions: each column merged with
+    its own aggregate (max of maxima, min of minima), one grouped pass."""
+    merge = merge or READING_MERGE
+    df = spark.read.parquet(path)
+    return df.groupBy(*keys).agg(*[fn(c).alias(c) for c, fn in merge.items()])
+
+
 def latest_by_key(spark: SparkSession, path: str, keys) -> DataFrame:
-    """Newest emitted version of every key across micro-batches."""
+    """Newest emitted version of every key across micro-batches (for sinks
+    whose emissions are complete values, e.g. append mode)."""
     df = spark.read.parquet(path)
     rest = [c for c in df.columns if c not in list(keys) + ["batch"]]
     return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_r"))
@@ -78,7 +96,7 @@ def land_events(spark: SparkSession, events_dir: str, schema, out: str | None =
                 glob: str | None = None, state_partitions: int | None = None) -> str:
     """Run the landing stream over everything available now (update mode:
     changed windows are re-emitted, closed ones evicted) and return the
-    output folder. ``state_partitions`` (default: the cluster's default
+    output folder; read it with ``merge_readings`` (then ``score``). ``state_partitions`` (default: the cluster's default
     parallelism) fixes the number of state-store partitions; it is read when
     the query first starts and kept in its checkpoint."""
     out = out or stream_dir(spark, "readings")
@@ -87,7 +105,7 @@ def land_events(spark: SparkSession, events_dir: str, schema, out: str | None =
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = score(hourly_readings(reader.parquet(events_dir), watermark=watermark))
+    stream = hourly_readings(reader.parquet(events_dir), watermark=watermark)
     parts = state_partitions or spark.sparkContext.defaultParallelism
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
