@@ -117,13 +117,13 @@ def build_features(df: DataFrame, spec: FeatureSpec, key="series_id", order="dat
     every series is bounded).
     The chunked plan needs non-NULL key and order values; an existing ``_o``
     ordinal column is reused (and kept with ``keep_ordinal``)."""
+    if chunk_rows == "auto":  # on the raw input, so presets over one table share the decision
+        chunk_rows = _auto_chunk(df, key, auto_threshold)
     if spec.alias:
         df = df.withColumn(spec.alias, F.col(spec.source))
     if spec.calendar:
         ts = F.col(order if isinstance(order, str) else order[0])
         df = df.withColumns({p: _PARTS[p](ts) for p in spec.calendar})
-    if chunk_rows == "auto":
-        chunk_rows = _auto_chunk(df, key, auto_threshold)
     if chunk_rows:
         out = _chunked(df, spec, key, order, tiebreak, int(chunk_rows), keep_ordinal)
     else:
