@@ -98,3 +98,21 @@ def test_train_and_publish(spark):
     prod = [r for r in rows if r["status"] == "production"]
     assert len(prod) == 1 and prod[0]["model_name"] == "random_forest" and prod[0]["is_best"]
     assert_single_best(new.filter("horizon = 2"))
+
+
+def test_build_training_and_explain_rows_dispatch(spark):
+    from airseries.operators.features import build_training
+    from airseries.plans.presets import TRAINING
+    r = fx.readings(spark, SF["0.001"])
+    t = build_training(r, TRAINING, 2)
+    assert "label" in t.columns and "datetime" not in t.columns
+    assert not [c for c in t.columns if c.startswith("target_")]
+    with pytest.raises(ValueError):
+        build_training(r, TRAINING, 9)
+    tr = fx.training_rows(spark, SF["0.001"], digits=None)
+    lin = X.explain_rows(tr, fx.LINEAR_MODEL, TRAINING_FEATURES)
+    ref = X.linear_shap(tr, fx.LINEAR_MODEL, TRAINING_FEATURES, X.background_means(tr, TRAINING_FEATURES))
+    assert sorted(map(repr, lin.collect())) == sorted(map(repr, ref.collect()))
+    m = TR.fit(tr, TRAINING_FEATURES, "target_h1", "gradient_boosting", maxIter=3)
+    trees = X.explain_rows(tr, m, TRAINING_FEATURES)
+    assert trees.count() == tr.count() * len(TRAINING_FEATURES)
