@@ -182,3 +182,13 @@ def s4_land_chunks_round_trip(spark, sf_dir):
     pay.unionByName(empty).write.json(path)
     extra = T.StructType([T.StructField("series_id", T.StringType())])
     return PL.land_chunks(spark, path, ["pm2_5", "pm10"], extra, multiline=False)
+
+
+from airseries.plans.catalog import ORACLE as _ORACLE  # noqa: E402
+
+
+@register("j1_align_weather_checked_broadcast", _ORACLE["j1_align_weather"])
+def j1_align_weather_checked_broadcast(spark, sf_dir):
+    """J1 with the weather side broadcast only behind a row-count check."""
+    r = fx.readings(spark, sf_dir).select("series_id", "datetime", "pm2_5")
+    return J.align_weather(r, fx.weather(spark, sf_dir), broadcast_max_rows=1_000_000)

@@ -76,3 +76,11 @@ def test_describe_auto_switches_to_approx(spark):
     assert ex["pm2_5"]["count"] == ap["pm2_5"]["count"]
     for k in ("q25", "q50", "q75"):
         assert abs(ex["pm2_5"][k] - ap["pm2_5"][k]) <= 0.02 * ex["pm2_5"]["max"]
+
+
+def test_histogram_constant_column(spark):
+    from airseries.operators import eda as E
+    df = spark.createDataFrame([(5.0,), (5.0,), (5.0,)], "x double")
+    h = E.histogram(df, "x", 10).orderBy("bin").collect()
+    assert len(h) == 10 and sum(r["n"] for r in h) == 3
+    assert h[0]["lo"] == 4.5 and h[-1]["hi"] == 5.5 and h[5]["n"] == 3
