@@ -84,3 +84,15 @@ def test_histogram_constant_column(spark):
     h = E.histogram(df, "x", 10).orderBy("bin").collect()
     assert len(h) == 10 and sum(r["n"] for r in h) == 3
     assert h[0]["lo"] == 4.5 and h[-1]["hi"] == 5.5 and h[5]["n"] == 3
+
+
+def test_boxplot_auto_approx_close_to_exact(spark):
+    from airseries.operators import eda as E
+    from airseries.plans import fixtures as fx
+    r = fx.readings(spark, "/root/testdata/sf0.01")
+    ex = {x["series_id"]: x for x in E.boxplot_stats(r, "pm2_5", "series_id", exact=True).collect()}
+    ap = {x["series_id"]: x for x in E.boxplot_stats(r, "pm2_5", "series_id", exact="auto", max_distinct=10).collect()}
+    assert ex.keys() == ap.keys()
+    for k in ex:
+        assert abs(ex[k]["q1"] - ap[k]["q1"]) <= 5.0 and abs(ex[k]["q3"] - ap[k]["q3"]) <= 5.0
+        assert ap[k]["whisker_lo"] <= ap[k]["q1"] <= ap[k]["q3"] <= ap[k]["whisker_hi"]
