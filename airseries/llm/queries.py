@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airseries.llm import bpe, sharding, url_filter, vector_topk
+from airseries.llm import bpe, sharding, toxicity, url_filter, vector_topk
 from airseries.llm.common import prepare, table, written  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,19 @@ def op9(spark, sf_dir):
     """Every page's url judged by the rules and by its aliases."""
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES).select(
         "page_id", "host", "path", "rule", "verdict")
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Model from the labels whose remainder is not 0."""
+    train = table(spark, sf_dir, "labels").where(toxicity.remainder(F.col("doc_id")) != 0)
+    return toxicity.fit(docs, train)
+
+
+@register("op8_toxicity")
+def op8(spark, sf_dir):
+    """A toxicity score for every whole text."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(spark, docs, sf_dir)
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (toxicity.remainder(F.col("doc_id")) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
