@@ -178,6 +178,8 @@ class Codec:
 
 
 _CODECS: dict[int, Codec] = {}
+#: The driver's broadcasts: tables are built once per context and vocabulary.
+_SHARED: dict = {}
 
 
 def codec(shared) -> Codec:
@@ -190,8 +192,10 @@ def codec(shared) -> Codec:
 def share_tables(spark: SparkSession, vocab: str, pattern: str):
     """Broadcast the tables of a vocabulary file (bounded by the vocabulary)."""
     prepare(spark)
-    s = spark.sparkContext.broadcast(Tables(load_ranks(vocab), pattern))
-    return _Shared(s)
+    key = (id(spark.sparkContext), vocab, pattern)
+    if key not in _SHARED:
+        _SHARED[key] = _Shared(spark.sparkContext.broadcast(Tables(load_ranks(vocab), pattern)))
+    return _SHARED[key]
 
 
 class _Shared:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airseries.llm import bpe, sharding, toxicity, url_filter, vector_topk
+from airseries.llm import bpe, html_text, sharding, toxicity, url_filter, vector_topk
 from airseries.llm.common import prepare, table, written  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,13 @@ def op1(spark, sf_dir):
     return token_digest(table(spark, sf_dir, "documents"))
 
 
+@register("op2_html_text")
+def op2(spark, sf_dir):
+    """The main text of every page."""
+    out = html_text.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @register("op5_kd_shards")
 def op5(spark, sf_dir):
     """All documents in 24 shards of near equal bytes."""
