@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airseries.llm import bpe, html_text, sharding, toxicity, url_filter, vector_topk
+from airseries.llm import bpe, html_text, near_dup, sharding, toxicity, url_filter, vector_topk
 from airseries.llm.common import prepare, table, written  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,9 @@ def op8(spark, sf_dir):
     scored = toxicity.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", (toxicity.remainder(F.col("doc_id")) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op10_order_minhash")
+def op10(spark, sf_dir):
+    """The near-duplicate class of every document."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
