@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airseries.llm import bpe, html_text, near_dup, sharding, toxicity, url_filter, vector_topk
+from airseries.llm import bpe, decontaminate, html_text, near_dup, sharding, toxicity, url_filter, vector_topk
 from airseries.llm.common import prepare, table, written  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,9 @@ def op8(spark, sf_dir):
 def op10(spark, sf_dir):
     """The near-duplicate class of every document."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op7_template_decontamination")
+def op7(spark, sf_dir):
+    """The (document, benchmark item) pairs that share a template."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
