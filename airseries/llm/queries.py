@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airseries.llm import bpe, decontaminate, html_text, near_dup, sharding, toxicity, url_filter, vector_topk
+from airseries.llm import bpe, decontaminate, html_text, near_dup, sharding, suffix_dedup, toxicity, url_filter, vector_topk
 from airseries.llm.common import prepare, table, written  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,12 @@ def op10(spark, sf_dir):
 def op7(spark, sf_dir):
     """The (document, benchmark item) pairs that share a template."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    """The bytes of every text that an earlier document has too, removed."""
+    out = suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
