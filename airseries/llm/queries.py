@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airseries.llm import bpe, decontaminate, html_text, near_dup, sharding, suffix_dedup, toxicity, url_filter, vector_topk
+from airseries.llm import bpe, decontaminate, html_text, near_dup, sharding, suffix_dedup, token_counts, toxicity, url_filter, vector_topk
 from airseries.llm.common import prepare, table, written  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,24 @@ def op3(spark, sf_dir):
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Three edits of every document, at places its doc_id decides: a passage of its own is
+#: inserted, some characters go, some are replaced.
+EDITS_SQL = """transform(sequence(0, 2), k -> struct(
+    CAST(pmod(xxhash64(doc_id, k), length(text) + 1) AS INT) AS start,
+    IF(k = 0, 0, 3 + 4 * k) AS length,
+    CASE k WHEN 0 THEN substring(text, CAST(pmod(xxhash64(doc_id, 7), length(text) + 1) AS INT), 30)
+        WHEN 1 THEN '' ELSE concat('-', substring(text, 1, 5)) END AS text))"""
+
+
+@register("op4_edit_counts")
+def op4(spark, sf_dir):
+    """Token counts of every document, before and after three edits."""
+    vocab = public_tokenizers.path(VOCAB)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    state = token_counts.build(docs.withColumn("edits", F.expr(EDITS_SQL)).select("doc_id", "edits", "text"), vocab, PATTERN)
+    after = token_counts.apply_listed(state, vocab, PATTERN)
+    return after.select("doc_id", F.col("n_before").alias("n_tokens_before"), F.col("n_tokens").alias("n_tokens_after"),
+                        "n_encoded", (F.octet_length("lens") / 4).cast("long").alias("n_pretokens"),
+                        F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256"))
