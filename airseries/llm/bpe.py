@@ -11,8 +11,7 @@ no shuffle. Workers keep a bounded memory of pre-tokens already resolved.
 
 Defined results: a NULL text is an empty text and gives no ids; very long texts
 and pre-tokens take n log n time; repeated rows are encoded each; other columns
-pass through ``encode`` (a column that clashes with an output name is an
-error); empty tables stay empty. Decoding NULL gives empty bytes; an unknown id
+pass through (one named like an output is replaced by it); empty tables stay empty. Decoding NULL gives empty bytes; an unknown id
 is an error.
 """
 
@@ -226,10 +225,8 @@ def _pieces(batch: pa.RecordBatch, sizes: list[int], limit: int) -> Iterator[tup
 
 def encode(docs: DataFrame, vocab: str, pattern: str, *, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with an ``array<int>`` column of token ids; the text column is dropped."""
-    if out in docs.columns and out != text:
-        raise ValueError(f"column {out} exists")
     shared = share_tables(docs.sparkSession, vocab, pattern)
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, out)]
     src = docs.select(*[F.col(f"`{c}`") for c in rest], text_of(f"`{text}`").alias("_text"))
     schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField(out, T.ArrayType(T.IntegerType()))])
 
@@ -254,8 +251,7 @@ def encode(docs: DataFrame, vocab: str, pattern: str, *, text: str = "text", out
 
 def decode(tokens: DataFrame, vocab: str, pattern: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``tokens`` with a binary column of the decoded bytes."""
-    if out in tokens.columns:
-        raise ValueError(f"column {out} exists")
+    tokens = tokens.drop(out)
     shared = share_tables(tokens.sparkSession, vocab, pattern)
     names = tokens.columns
     schema = T.StructType([*tokens.schema.fields, T.StructField(out, T.BinaryType())])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,3 +36,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(col: str = "text") -> Column:
     """A text column with NULL read as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))
+
+
+class Scratch:
+    """Intermediate tables of one operator; ``drop`` deletes them once its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        ensure_checkpoint_dir(self.spark)
+        path = f"{self.spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for p in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+        self.paths.clear()
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished exchanges now, not at its next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airseries.llm.common import prepare, text_of, written
+from airseries.llm.common import Scratch, prepare, text_of, written
 from airseries.llm.graph import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -224,48 +224,51 @@ def _linked(pairs: DataFrame, words: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id (least doc_id of its class) of every row."""
     prepare(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    rows = written(_nodes(src), "near-rows")
+    rows = scratch.write(_nodes(src), "near-rows")
     # a node: the least doc_id with these words; without any, a negative number of the words
     unnamed = -F.abs(F.xxhash64("key") % F.lit(2 ** 62)) - 1
-    nodes = written(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
+    nodes = scratch.write(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
                                             F.first("sketch").alias("sketch"))
                     .select("key", F.coalesce("doc_id", unnamed).alias("node"), "n", "sketch"), "near-nodes")
-    marks = written(nodes.select("node", "n", F.explode("sketch").alias("mark")), "near-marks")
+    marks = scratch.write(nodes.select("node", "n", F.explode("sketch").alias("mark")), "near-marks")
     # buckets with several nodes, each compared with its least one
-    leads = written(marks.groupBy("mark").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last"))
+    leads = scratch.write(marks.groupBy("mark").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last"))
                     .where("lead.node <> last").select("mark", F.col("lead.node").alias("u"), F.col("lead.n").alias("un")),
                     "near-leads")
     in_range = (F.col("n") >= F.col("un") * SIMILAR) & (F.col("un") >= F.col("n") * SIMILAR)
-    stars = written(marks.join(leads, "mark").where(in_range & (F.col("node") != F.col("u")))
+    stars = scratch.write(marks.join(leads, "mark").where(in_range & (F.col("node") != F.col("u")))
                     .select("u", F.col("node").alias("v")).distinct(), "near-stars")
-    words = _words_of(src, marks.join(leads.select("mark"), "mark", "left_semi"))
-    links = written(_linked(stars, words), "near-links")
+    words = _words_of(scratch, src, marks.join(leads.select("mark"), "mark", "left_semi"))
+    links = scratch.write(_linked(stars, words), "near-links")
     # pairs that no chain of links joins yet, between the classes of a bucket
     cc = components(links)
-    classed = written(marks.join(leads.select("mark"), "mark", "left_semi").join(cc, "node", "left")
+    classed = scratch.write(marks.join(leads.select("mark"), "mark", "left_semi").join(cc, "node", "left")
                       .select("mark", "node", "n", F.coalesce("component", "node").alias("class")), "near-classed")
-    mixed = written(classed.groupBy("mark").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    mixed = scratch.write(classed.groupBy("mark").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
                     .where("lo < hi").select("mark"), "near-mixed")
     if not mixed.isEmpty():
-        open_ = written(classed.join(mixed, "mark", "left_semi"), "near-open")
+        open_ = scratch.write(classed.join(mixed, "mark", "left_semi"), "near-open")
         other = open_.select("mark", F.col("node").alias("u"), F.col("n").alias("un"), F.col("class").alias("uc"))
         cross = (open_.join(other, "mark").where(in_range & (F.col("class") != F.col("uc")) & (F.col("u") < F.col("node")))
                  .select("u", F.col("node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti"))
-        links = written(links.unionByName(_linked(written(cross, "near-cross"), words)), "near-links")
+        links = scratch.write(links.unionByName(_linked(scratch.write(cross, "near-cross"), words)), "near-links")
         cc = components(links)
     classes = nodes.select("key", "node").join(cc, "node", "left").select(
         "key", F.coalesce("component", "node").alias("class"))
     out = rows.select("doc_id", "key").join(classes, "key")
-    return out.select("doc_id", F.when(F.col("class") >= 0, F.col("class")).alias("class_id"))
+    out = written(out.select("doc_id", F.when(F.col("class") >= 0, F.col("class")).alias("class_id")), "near-classes")
+    scratch.drop()
+    return out
 
 
-def _words_of(src: DataFrame, marks: DataFrame) -> DataFrame:
+def _words_of(scratch: Scratch, src: DataFrame, marks: DataFrame) -> DataFrame:
     """Words of the nodes in ``marks``: the documents are read again, not kept."""
-    wanted = written(marks.select("node").distinct(), "near-wanted")
+    wanted = scratch.write(marks.select("node").distinct(), "near-wanted")
     named = src.join(wanted, src["doc_id"] == wanted["node"]).select("node", "text")
     texts = named.unionByName(_unnamed(src, wanted))
-    return written(_words(texts), "near-words")
+    return scratch.write(_words(texts), "near-words")
 
 
 def _unnamed(src: DataFrame, wanted: DataFrame) -> DataFrame:

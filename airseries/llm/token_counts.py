@@ -15,8 +15,8 @@ Defined results: NULL text is an empty text (0 tokens); an edit is (start, lengt
 text) in code points, applied in order, each to the result of the one before;
 starts and lengths beyond the text are clipped, negative ones count as 0; NULL in an
 edit counts as 0 or as empty; NULL or missing edits change nothing; repeated rows are
-each counted; other columns of the documents pass through ``build`` (a column named
-like an output is an error); rows with one doc_id all get that doc_id's edits (NULL doc_id: none); empty
+each counted; other columns of the documents pass through ``build`` (one named like an
+output is replaced by it); rows with one doc_id all get that doc_id's edits (NULL doc_id: none); empty
 tables stay empty.
 """
 
@@ -145,10 +145,8 @@ def edited(c: Codec, tree: Tree, text: str, start: int, length: int, insert: str
 
 def build(docs: DataFrame, vocab: str, pattern: str, *, text: str = "text") -> DataFrame:
     """``docs`` with its state: lens, counts (int32 bytes, a number per pre-token) and n_tokens."""
-    if clash := set(STATE) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist")
     shared = share_tables(docs.sparkSession, vocab, pattern)
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c != text and c not in STATE]
     src = docs.select(*[F.col(f"`{c}`") for c in rest], text_of(f"`{text}`").alias(text))
     schema = T.StructType([*src.schema.fields, *T._parse_datatype_string(
         "lens binary, counts binary, n_tokens long").fields])
@@ -189,6 +187,7 @@ def apply_edits(state: DataFrame, edits: DataFrame, vocab: str, pattern: str, *,
 def apply_listed(state: DataFrame, vocab: str, pattern: str, *, text: str = "text", edits: str = "edits") -> DataFrame:
     """The state after the edits in an array column of each row (no shuffle), with
     n_before (tokens) and n_encoded (pre-tokens encoded for the edits)."""
+    state = state.drop("n_before", "n_encoded")
     shared = share_tables(state.sparkSession, vocab, pattern)
     names = [*state.columns, "n_before", "n_encoded"]
     schema = T.StructType([*state.schema.fields, *T._parse_datatype_string("n_before long, n_encoded long").fields])

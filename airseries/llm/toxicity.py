@@ -16,8 +16,8 @@ Defined results: NULL and empty texts have no hits and get the model's base
 score; without labelled rows, or with one class only, every score is that class's
 smoothed share (0.0 without any); a doc_id labelled twice counts as toxic if any
 label says so; NULL labels and labels without a text are ignored; repeated rows are scored
-each; other columns of the documents pass through (a column named like an output
-is an error); an empty table gives an empty result.
+each; other columns of the documents pass through (one named like an output is
+replaced by it); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -317,6 +317,5 @@ def _scan(docs: DataFrame, text: str, model: Model, keep: list[str]) -> DataFram
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all but the text) with score and hits (spans in the lower-cased text)."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    if clash := {"features", "score", "hits"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} exist")
+    keep = [c for c in keep if c not in ("features", "score", "hits")]
     return _scan(docs, text, model, keep).drop("features")
