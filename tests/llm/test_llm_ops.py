@@ -358,7 +358,7 @@ def test_quotation_and_stems():
 
 
 def test_toxicity_learns(spark, odd, empty):
-    docs = spark.createDataFrame([(i, f"plain words {i} about {'weather' if i % 2 else 'idiot'} number {i * 7}") for i in range(200)]
+    docs = spark.createDataFrame([(i, f"plain words about {i} {'weather' if i % 2 else 'idiot'} number {i * 7}") for i in range(200)]
                                  + [(300, None), (301, ""), (302, "such an idiott")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(100)] + [(None, 1), (5, None), (900, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
