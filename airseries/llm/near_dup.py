@@ -10,9 +10,10 @@ aligned runs, texts of k and l shingles are linked if m / (k + l - m) >= 0.8.
 Work is kept off the square of a group's size without losing links:
 equal word sequences are one node from the start; a bucket's texts are first
 compared with the bucket's least node only; after the components of those
-links, pairs are formed inside a bucket only between different classes. So a
-large group of copies costs its size, and only dissimilar texts that share a
-whole sketch are compared pairwise. Nothing is capped.
+links, pairs are formed inside a bucket only between different classes, and only
+of texts that share enough shingles with other classes to reach the similarity
+with anyone (an exact bound). So a large group of copies, close or loose, costs
+its size. Nothing is capped.
 
 Sketches: texts of at least LONG_FROM shingles have LONG sketches of six
 shingles; texts of at most SHORT_TO have SHORT sketches of two (both, in
@@ -250,8 +251,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                     .where("lo < hi").select("mark"), "near-mixed")
     if not mixed.isEmpty():
         open_ = scratch.write(classed.join(mixed, "mark", "left_semi"), "near-open")
-        other = open_.select("mark", F.col("node").alias("u"), F.col("n").alias("un"), F.col("class").alias("uc"))
-        cross = (open_.join(other, "mark").where(in_range & (F.col("class") != F.col("uc")) & (F.col("u") < F.col("node")))
+        # only texts that can reach the similarity at all meet: what a linked pair shares, each of
+        # the two shares with another class
+        mass = _shared_mass(scratch, open_, words)
+        able = scratch.write(open_.join(mass, "node").where(F.col("shared") >= F.col("n") * SIMILAR - 1e-9), "near-able")
+        other = able.select("mark", F.col("node").alias("u"), F.col("n").alias("un"), F.col("class").alias("uc"),
+                            F.col("shared").alias("us"))
+        enough = F.least("shared", "us") >= SIMILAR / (1 + SIMILAR) * (F.col("n") + F.col("un")) - 1e-9
+        cross = (able.join(other, (able["mark"] == other["mark"]) & in_range & enough
+                           & (F.col("class") != F.col("uc")) & (F.col("u") < F.col("node")))
                  .select("u", F.col("node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti"))
         links = scratch.write(links.unionByName(_linked(scratch.write(cross, "near-cross"), words)), "near-links")
         cc = components(links)
@@ -263,6 +271,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out
 
 
+def _shared_mass(scratch: Scratch, open_: DataFrame, words: DataFrame) -> DataFrame:
+    """(node, shared): how many shingles (with multiplicity) of a text occur in a text of another class."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, cls, raw in zip(*(c.to_pylist() for c in b.columns)):
+                h = _labelled(shingles(np.frombuffer(raw, np.uint32)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(np.full(len(h), node)), pa.array(np.full(len(h), cls))],
+                    names=["h", "node", "class"])
+    texts = open_.select("node", "class").distinct().join(words, "node").select("node", "class", "words")
+    rows = scratch.write(texts.mapInArrow(run, "h long, node long, class long"), "near-shingles")
+    several = scratch.write(rows.groupBy("h").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+                            .where("lo < hi").select("h"), "near-several")
+    return rows.join(several, "h", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+
+
 def _words_of(scratch: Scratch, src: DataFrame, marks: DataFrame) -> DataFrame:
     """Words of the nodes in ``marks``: the documents are read again, not kept."""
     wanted = scratch.write(marks.select("node").distinct(), "near-wanted")
