@@ -49,16 +49,13 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
                            F.coalesce("n", F.lit(0)).alias("n")))
 
 
-def boxplot_stats(df: DataFrame, col: str, by: str, exact="auto", accuracy: int = 100000,
-                  max_distinct: int = 1_000_000) -> DataFrame:
+def boxplot_stats(df: DataFrame, col: str, by: str, exact: bool = True, accuracy: int = 100000) -> DataFrame:
     """Quartiles, whiskers (furthest points within 1.5 IQR) and outlier count
     per group: a quartile aggregate joined back to the rows on the group key
     (one row per group; AQE broadcasts it or splits a skewed key).
     ``exact`` as in ``quality.describe``."""
-    from airseries.operators.quality import exact_is_bounded
     x = F.col(col).cast("double")
-    use_exact = exact_is_bounded(df, [col], max_distinct, by)[col] if exact == "auto" else bool(exact)
-    quart = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))) if use_exact
+    quart = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))) if exact
              else F.percentile_approx(x, [0.25, 0.75], accuracy))
     q = (df.groupBy(by).agg(quart.alias("_q"))
            .select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3")))

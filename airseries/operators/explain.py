@@ -9,7 +9,7 @@ from the fitted MLlib model (T10).
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def feature_importance(model: PipelineModel, features) -> DataFrame:
@@ -17,7 +17,7 @@ def feature_importance(model: PipelineModel, features) -> DataFrame:
     summary); linear models raise like the reference's error branch."""
     est = model.stages[-1]
     if not hasattr(est, "featureImportances"):
-        raise TypeError("Model does not support feature importance")
+        raise TypeError(f"{type(est).__name__} has no feature importances")
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     vals = est.featureImportances.toArray().tolist()
@@ -36,15 +36,14 @@ def linear_shap(df: DataFrame, coefs: dict, features, means: dict, keys=("series
     """T11 (linear): per-row attribution, long form, ranked by |shap| per row.
     ``base_value + sum(shap) == prediction`` holds exactly in real arithmetic."""
     keys = list(keys)
-    parts = []
+    parts = []  # sorted and numbered inside the row: no shuffle of rows x features
     for f in features:
         v = F.lit(float(coefs[f])) * (F.col(f).cast("double") - F.lit(means[f]))
         if digits is not None:
             v = F.round(v, digits)
-        parts.append(F.struct(F.lit(f).alias("feature"), v.alias("shap_value")))
-    long = df.select(*keys, F.inline(F.array(*parts)))
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("shap_value")), "feature")
-    return long.withColumn("rank", F.row_number().over(w))
+        parts.append(F.struct((-F.abs(v)).alias("k"), F.lit(f).alias("feature"), v.alias("shap_value")))
+    ranked = df.select(*keys, F.posexplode(F.array_sort(F.array(*parts))).alias("_p", "_s"))
+    return ranked.select(*keys, "_s.feature", "_s.shap_value", (F.col("_p") + 1).alias("rank"))
 
 
 def base_value(coefs: dict, means: dict, features) -> float:

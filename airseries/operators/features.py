@@ -4,14 +4,15 @@ All window columns of one build share a single ``Window`` spec
 (``partitionBy(key).orderBy(order)``), so Catalyst plans them as one
 Exchange + one Sort + one Window node.
 
-Skew: a Window partition is never split by AQE. For series too long for one
-task, ``chunk_rows`` switches to a halo-chunked plan: every row gets its
-per-series ordinal (``with_ordinals``), is copied to the neighbouring chunks
-that need it as look-back/look-ahead, the window runs per (series, chunk), and
-each chunk keeps only its own rows. The result is identical; the largest task
-holds ``chunk_rows + lookback + lead`` rows whatever the series length. The
-default ``chunk_rows="auto"`` picks the chunked plan only when a count per
-series shows a series above the threshold.
+Skew: a Window partition is never split by AQE. Builds therefore run one
+halo-chunked plan whatever the size: every row gets its per-series ordinal
+(``with_ordinals``), is copied to the neighbouring chunks that need it as
+look-back/look-ahead, the window runs per (series, chunk), and each chunk keeps
+only its own rows. A window task holds ``chunk_rows + lookback + lead`` rows of a
+series, whatever its length; an ordinal task holds one (series, ``bucket``), a
+calendar day unless a finer ``bucket`` is given for dense series. NULL keys and
+NULL times are values like others (NULL times first). ``chunk_rows=None`` asks
+for one window per series instead; nothing counts rows to choose a plan.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airseries.functions.calendar import _PARTS
 
+#: Rows of a series that one window task owns.
+CHUNK_ROWS = 500_000
+
 
 def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
@@ -108,82 +112,65 @@ def window_columns(spec: FeatureSpec, w) -> dict[str, Column]:
 
 
 def build_features(df: DataFrame, spec: FeatureSpec, key="series_id", order="datetime",
-                   tiebreak=None, chunk_rows: int | str | None = "auto",
-                   auto_threshold: int = 2_000_000, keep_ordinal: bool = False) -> DataFrame:
-    """Apply ``spec`` per series. ``chunk_rows``: ``"auto"`` (default: chunk
-    only when the largest series exceeds ``auto_threshold`` rows, found by one
-    count-per-series aggregate over the key column), an int (halo chunks of
-    that many rows) or None (one window per series, for callers that know
-    every series is bounded).
-    The chunked plan needs non-NULL key and order values; an existing ``_o``
-    ordinal column is reused (and kept with ``keep_ordinal``)."""
-    if chunk_rows == "auto":  # on the raw input, so presets over one table share the decision
-        chunk_rows = _auto_chunk(df, key, auto_threshold)
+                   tiebreak=None, chunk_rows: int | None = CHUNK_ROWS, bucket=None,
+                   keep_ordinal: bool = False) -> DataFrame:
+    """Apply ``spec`` per series. ``chunk_rows``: rows of a series per window
+    task (halo chunks), or None for one window per series, for callers that
+    know every series is bounded; both give the same rows. ``bucket``: see
+    ``with_ordinals``. An existing ``_o`` ordinal column is reused (and kept
+    with ``keep_ordinal``)."""
     if spec.alias:
         df = df.withColumn(spec.alias, F.col(spec.source))
     if spec.calendar:
         ts = F.col(order if isinstance(order, str) else order[0])
         df = df.withColumns({p: _PARTS[p](ts) for p in spec.calendar})
     if chunk_rows:
-        out = _chunked(df, spec, key, order, tiebreak, int(chunk_rows), keep_ordinal)
+        out = _chunked(df, spec, key, order, tiebreak, int(chunk_rows), bucket, keep_ordinal)
     else:
         out = df.withColumns(window_columns(spec, series_window(key, order, tiebreak)))
     return out.dropna(how="any") if spec.dropna else out
 
 
-def resolve_chunk(df: DataFrame, key, chunk_rows, threshold: int = 2_000_000):
-    """``"auto"`` -> a chunk size when the largest series exceeds
-    ``threshold`` rows (one count-per-series aggregate), else None."""
-    return _auto_chunk(df, key, threshold) if chunk_rows == "auto" else chunk_rows
-
-
-_AUTO_DECISIONS: dict = {}
-
-
-def _auto_chunk(df: DataFrame, key, threshold: int):
-    """Largest series above ``threshold`` rows -> chunk size, else None.
-    Memoised per input plan: both plans give identical results, so a
-    reused decision can only affect speed, never the output."""
-    memo = (df.semanticHash(), tuple(_keys(key)), threshold)
-    if memo not in _AUTO_DECISIONS:
-        biggest = (df.groupBy(*_keys(key)).agg(F.count(F.lit(1)).alias("n"))
-                     .agg(F.max("n").alias("m")).first()["m"])
-        if len(_AUTO_DECISIONS) > 512:
-            _AUTO_DECISIONS.clear()
-        _AUTO_DECISIONS[memo] = threshold if biggest and biggest > threshold else None
-    return _AUTO_DECISIONS[memo]
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``on`` in which NULL equals NULL; the columns of ``left`` keep their names."""
+    r = right.withColumnsRenamed({c: f"_j_{c}" for c in on})
+    cond = [F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in on]
+    return left.join(r, cond, how).drop(*[f"_j_{c}" for c in on])
 
 
 def with_ordinals(df: DataFrame, key="series_id", order="datetime", tiebreak=None,
-                  bucket: Column | None = None, name: str = "_o") -> DataFrame:
+                  bucket: Column | str | None = None, name: str = "_o") -> DataFrame:
     """0-based row position within each series without one sort per series.
 
     Rows are counted per (series, bucket) (partial aggregation, tiny output),
     the counts are prefix-summed per series, joined back, and a row_number
-    inside each (series, bucket) adds the local offset. ``bucket`` defaults to
-    the calendar day of the first order column; pass a finer one for very
-    dense series.
+    inside each (series, bucket) adds the local offset. ``bucket`` is a unit of
+    time (default ``"day"``; ``"hour"``, ``"minute"``, ... split dense days) or a
+    column that rises with the order. Rows with NULL keys or times are kept.
     """
     keys = _keys(key)
     orders = _orders(order, tiebreak)
-    b = df.withColumn("_bkt", bucket if bucket is not None else F.to_date(F.col(orders[0])))
+    if bucket is None or isinstance(bucket, str):
+        t = F.col(orders[0])
+        bucket = F.to_date(t) if bucket in (None, "day") else F.date_trunc(bucket, t)
+    b = df.withColumn("_bkt", bucket)
     counts = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     wk = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bkt", F.coalesce(F.sum("_n").over(wk), F.lit(0)).alias("_off"))
-    j = b.join(offsets, keys + ["_bkt"])
+    j = null_safe_join(b, offsets, keys + ["_bkt"])
     wr = Window.partitionBy(*keys, "_bkt").orderBy(*orders)
     return (j.withColumn(name, F.col("_off") + F.row_number().over(wr) - F.lit(1))
              .drop("_bkt", "_off"))
 
 
-def with_position(df: DataFrame, key="series_id", order="datetime", tiebreak=None) -> DataFrame:
+def with_position(df: DataFrame, key="series_id", order="datetime", tiebreak=None, bucket=None) -> DataFrame:
     """``_o`` (0-based row position) and ``_n`` (rows in the series), both
     without gathering a series into one task: ordinals as in
     ``with_ordinals``, sizes from a per-series count joined back."""
     keys = _keys(key)
-    o = df if "_o" in df.columns else with_ordinals(df, key, order, tiebreak)
+    o = df if "_o" in df.columns else with_ordinals(df, key, order, tiebreak, bucket)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return o.join(sizes, keys)
+    return null_safe_join(o, sizes, keys)
 
 
 def chunk_range(ordinal: Column, lookback: int, lead: int, B: int) -> Column:
@@ -195,11 +182,11 @@ def chunk_range(ordinal: Column, lookback: int, lead: int, B: int) -> Column:
     return F.sequence(lo, hi)
 
 
-def _chunked(df: DataFrame, spec: FeatureSpec, key, order, tiebreak, B: int,
+def _chunked(df: DataFrame, spec: FeatureSpec, key, order, tiebreak, B: int, bucket=None,
              keep_ordinal: bool = False) -> DataFrame:
     keys = _keys(key)
     lb, ld = spec.lookback, spec.lead
-    o = df if "_o" in df.columns else with_ordinals(df, key, order, tiebreak)
+    o = df if "_o" in df.columns else with_ordinals(df, key, order, tiebreak, bucket)
     rep = o.withColumn("_chunk", F.explode(chunk_range(F.col("_o"), lb, ld, B)))
     w = Window.partitionBy(*keys, "_chunk").orderBy("_o")
     out = rep.withColumns(window_columns(spec, w))
@@ -211,34 +198,33 @@ def _chunked(df: DataFrame, spec: FeatureSpec, key, order, tiebreak, B: int,
 # ---------------------------------------------------------------- single ops
 
 def add_lags(df, col="pm2_5", ks=(1, 6, 12, 24, 48, 72, 168), name="{src}_lag_{k}",
-             key="series_id", order="datetime", tiebreak=None, chunk_rows="auto"):
+             key="series_id", order="datetime", tiebreak=None, chunk_rows=CHUNK_ROWS, bucket=None):
     spec = FeatureSpec(source=col, lags=tuple(ks), lag_name=name)
-    return build_features(df, spec, key, order, tiebreak, chunk_rows=chunk_rows)
+    return build_features(df, spec, key, order, tiebreak, chunk_rows=chunk_rows, bucket=bucket)
 
 
 def add_rolling(df, col="pm2_5", ns=(6, 12, 24, 48), stats=("mean", "std"),
-                key="series_id", order="datetime", tiebreak=None, digits=None, chunk_rows="auto"):
+                key="series_id", order="datetime", tiebreak=None, digits=None, chunk_rows=CHUNK_ROWS, bucket=None):
     spec = FeatureSpec(source=col, roll_mean=tuple(ns) if "mean" in stats else (),
                        roll_std=tuple(ns) if "std" in stats else (), digits=digits)
-    return build_features(df, spec, key, order, tiebreak, chunk_rows=chunk_rows)
+    return build_features(df, spec, key, order, tiebreak, chunk_rows=chunk_rows, bucket=bucket)
 
 
 def with_targets(df, col="pm2_5", horizons=(1, 2, 3), rows_per_step=24,
-                 key="series_id", order="datetime", tiebreak=None, chunk_rows="auto"):
+                 key="series_id", order="datetime", tiebreak=None, chunk_rows=CHUNK_ROWS, bucket=None):
     """``target_h<h>`` = value ``h * rows_per_step`` rows ahead."""
     spec = FeatureSpec(source=col, targets=tuple((f"target_h{h}", h * rows_per_step) for h in horizons))
-    return build_features(df, spec, key, order, tiebreak, chunk_rows=chunk_rows)
+    return build_features(df, spec, key, order, tiebreak, chunk_rows=chunk_rows, bucket=bucket)
 
 
 def horizon_target(df, col="aqi_pm25", h: int = 1, name="target",
-                   key="series_id", order="datetime", tiebreak=None, chunk_rows="auto"):
+                   key="series_id", order="datetime", tiebreak=None, chunk_rows=CHUNK_ROWS, bucket=None):
     """Value ``h`` rows ahead; the last ``h`` rows of each series are cut by
     position (a NULL value inside the series keeps its row)."""
     if h < 1:
         raise ValueError("horizon must be >= 1")
-    chunk_rows = resolve_chunk(df, key, chunk_rows)
     if chunk_rows:
-        p = with_position(df, key, order, tiebreak)
+        p = with_position(df, key, order, tiebreak, bucket)
         out = build_features(p, FeatureSpec(source=col, targets=((name, h),)), key, order, tiebreak,
                              chunk_rows=chunk_rows, keep_ordinal=True)
         return out.filter(F.col("_o") < F.col("_n") - F.lit(h)).drop("_o", "_n")
@@ -248,15 +234,13 @@ def horizon_target(df, col="aqi_pm25", h: int = 1, name="target",
               .filter("_keep").drop("_keep"))
 
 
-def tail_rows(df, n: int, key="series_id", order="datetime", tiebreak=None, chunked="auto"):
+def tail_rows(df, n: int, key="series_id", order="datetime", tiebreak=None, chunked: bool = True, bucket=None):
     """Last ``n`` rows of each series (lead of a non-null literal is NULL only
     past the end, so no second sort in descending order is needed).
-    ``chunked``: position-based, no per-series window (hot series);
-    ``"auto"`` decides with one count per series."""
-    if chunked == "auto":
-        chunked = bool(resolve_chunk(df, key, "auto"))
+    ``chunked``: by position, no window over a whole series; False for
+    series known to be bounded."""
     if chunked:
-        p = with_position(df, key, order, tiebreak)
+        p = with_position(df, key, order, tiebreak, bucket)
         return p.filter(F.col("_o") >= F.col("_n") - F.lit(n)).drop("_o", "_n")
     w = series_window(key, order, tiebreak)
     return (df.withColumn("_tail", F.lead(F.lit(1), n).over(w).isNull())
@@ -264,14 +248,11 @@ def tail_rows(df, n: int, key="series_id", order="datetime", tiebreak=None, chun
 
 
 def time_split(df, frac: float = 0.8, key="series_id", order="datetime", tiebreak=None,
-               name="split", chunked="auto"):
+               name="split", chunked: bool = True, bucket=None):
     """Chronological split per series: the first ``floor(frac * n)`` rows are
-    ``train``, the rest ``test``. ``chunked``: position-based (hot series);
-    ``"auto"`` decides with one count per series."""
-    if chunked == "auto":
-        chunked = bool(resolve_chunk(df, key, "auto"))
+    ``train``, the rest ``test``. ``chunked``: as in ``tail_rows``."""
     if chunked:
-        p = with_position(df, key, order, tiebreak)
+        p = with_position(df, key, order, tiebreak, bucket)
         cut = F.floor(F.lit(float(frac)) * F.col("_n"))
         return p.withColumn(name, F.when(F.col("_o") < cut, F.lit("train")).otherwise(F.lit("test"))) \
                 .drop("_o", "_n")
@@ -282,11 +263,11 @@ def time_split(df, frac: float = 0.8, key="series_id", order="datetime", tiebrea
                          .otherwise(F.lit("test")))
 
 
-def gaps(df, key="series_id", order="datetime", name="gap_seconds", chunk_rows="auto"):
+def gaps(df, key="series_id", order="datetime", name="gap_seconds", chunk_rows=CHUNK_ROWS, bucket=None):
     """Seconds since the previous row of the same series (NULL for the first).
     The previous timestamp is a row lag, so the halo-chunked plan applies."""
     spec = FeatureSpec(source=order, lags=(1,), lag_name="_prev_ts")
-    out = build_features(df, spec, key, order, chunk_rows=chunk_rows)
+    out = build_features(df, spec, key, order, chunk_rows=chunk_rows, bucket=bucket)
     return out.withColumn(name, F.timestamp_diff("SECOND", F.col("_prev_ts"), F.col(order))).drop("_prev_ts")
 
 
@@ -299,20 +280,20 @@ def latest_rows(df, key="series_id", order="datetime"):
 
 
 def build_training(df: DataFrame, spec: FeatureSpec, horizon: int, key="series_id", order="datetime",
-                   drop=("datetime",), chunk_rows="auto") -> DataFrame:
+                   drop=("datetime",), chunk_rows=CHUNK_ROWS, bucket=None) -> DataFrame:
     """W14 with a horizon: the training build (targets, NULL drop) with
     ``label`` = ``target_h<horizon>``; the time key and all targets are
     dropped from the features (absent names ignored)."""
     names = spec.target_names()
     target = f"target_h{horizon}"
     if target not in names:
-        raise ValueError("Invalid horizon")
-    out = build_features(df, spec, key, order, chunk_rows=chunk_rows)
+        raise ValueError(f"{target} is no target of this build: {names}")
+    out = build_features(df, spec, key, order, chunk_rows=chunk_rows, bucket=bucket)
     return out.withColumn("label", F.col(target)).drop(*drop, *names)
 
 
 def build_features_range(df: DataFrame, spec: FeatureSpec, start: str, end: str, key="series_id",
-                         order="datetime", tiebreak=None, chunk_rows="auto") -> DataFrame:
+                         order="datetime", tiebreak=None, chunk_rows=CHUNK_ROWS, bucket=None) -> DataFrame:
     """Incremental build: the result of ``build_features`` restricted to
     ``start <= order < end``, without building the whole history.
 
@@ -320,9 +301,10 @@ def build_features_range(df: DataFrame, spec: FeatureSpec, start: str, end: str,
     the key and time columns only (a pruned scan) counts rows per (series,
     day); a small window over that table finds, per series, the first day
     from which at least ``lookback`` rows precede ``start`` and the last day
-    by which ``lead`` rows follow ``end``. Full rows are read only inside
-    those days (time filter pushed to the scan, then a per-series bound
-    join), built, and trimmed to the range.
+    by which ``lead`` rows follow ``end``. Rows outside their own series' days
+    are dropped by a join with these bounds before anything is built (one
+    sparse series does not widen the days of the others), and the result is
+    trimmed to the range. No job runs before the result is asked for.
     """
     keys = _keys(key)
     lb, ld = spec.lookback, spec.lead
@@ -343,14 +325,9 @@ def build_features_range(df: DataFrame, spec: FeatureSpec, start: str, end: str,
     hi_day = (F.to_date(e_ts) if ld == 0 else
               F.coalesce(F.min(F.when(F.col("_post_cum") >= F.lit(ld), F.col("_d"))), F.max("_d")))
     bounds = cum.groupBy(*keys).agg(lo_day.alias("_lo"), hi_day.alias("_hi"))
-    span = bounds.agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).first()
-    if span["lo"] is None:
-        return build_features(df.limit(0), spec, key, order, tiebreak, chunk_rows=None)
-    lo_ts = F.lit(span["lo"]).cast("timestamp_ntz")
-    hi_ts = F.date_add(F.lit(span["hi"]), 1).cast("timestamp_ntz")
-    near = df.filter((t >= lo_ts) & (t < hi_ts)).join(bounds, keys)
+    near = null_safe_join(df, bounds, keys)
     near = near.filter((F.to_date(t) >= F.col("_lo")) & (F.to_date(t) <= F.col("_hi"))).drop("_lo", "_hi")
     spec_nodrop = spec.with_(dropna=False)
-    out = build_features(near, spec_nodrop, key, order, tiebreak, chunk_rows=chunk_rows)
+    out = build_features(near, spec_nodrop, key, order, tiebreak, chunk_rows=chunk_rows, bucket=bucket)
     out = out.filter((t >= s_ts) & (t < e_ts))
     return out.dropna(how="any") if spec.dropna else out

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from airseries.functions.aqi import add_aqi_column
 from airseries.functions.transforms import forecast_date, inverse_log, round_prediction
-from airseries.operators.features import FeatureSpec, build_features, latest_rows, tail_rows
+from airseries.operators.features import CHUNK_ROWS, FeatureSpec, build_features, latest_rows, tail_rows
 from airseries.operators.joins import union_history_forecast
 from airseries.operators.projection import drop_incomplete, fill_missing
 
@@ -52,12 +52,10 @@ def forecast_direct(latest: DataFrame, models: dict, features, key="series_id",
 
 def forecast_batch(history: DataFrame, future: DataFrame, model, spec: FeatureSpec, features,
                    horizon_days: int = 3, rows_per_day: int = 24, warm_rows: int | None = None,
-                   key="series_id", order="datetime", chunk_rows="auto") -> DataFrame:
+                   key="series_id", order="datetime", chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """History tail (warm start) + future inputs -> AQI index, calendar,
     lags, rolling stats -> drop rows missing required features -> last
     ``horizon_days * rows_per_day`` rows of each series -> predict."""
-    from airseries.operators.features import resolve_chunk
-    chunk_rows = resolve_chunk(history, key, chunk_rows)
     chunked = bool(chunk_rows)  # the same decision for the tail steps
     warm = tail_rows(history, warm_rows if warm_rows is not None else spec.lookback, key, order, chunked=chunked)
     u = union_history_forecast(warm, future, flag=None)

@@ -14,7 +14,10 @@ def regression_metrics(df: DataFrame, y: str = "y", p: str = "p", by=None,
     sse = F.sum(d * d)
     n = F.count(F.lit(1))
     rmse, mae = F.sqrt(F.avg(d * d)), F.avg(F.abs(d))
-    r2 = F.lit(1.0) - sse / (F.var_pop(y) * n)
+    # a constant label: 1 for a perfect prediction, else 0; one row: undefined
+    spread = F.var_pop(y) * n
+    r2 = F.when(n < 2, F.lit(None).cast("double")).when(spread > 0, F.lit(1.0) - F.try_divide(sse, spread)) \
+          .otherwise(F.when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     cols = [n.alias("n"), rmse.alias("rmse"), mae.alias("mae"), r2.alias("r2")]
     if digits is not None:
         cols = [cols[0]] + [F.round(c, digits).alias(a) for c, a in

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from airseries.operators.features import gaps
+from airseries.operators.features import CHUNK_ROWS, gaps
 from airseries.operators.projection import numeric_columns
 
 
@@ -43,32 +43,18 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return _stack(wide, [[_q(c), f"_c{i}"] for i, c in enumerate(cols)], ["column", "n_missing"])
 
 
-def exact_is_bounded(df: DataFrame, cols, max_distinct: int = 1_000_000, by=None) -> dict:
-    """Per column: is the exact ``percentile`` buffer bounded? Spark's exact
-    percentile keeps one entry per distinct value of a group in the final
-    task; an HLL distinct estimate (fixed memory) decides per column."""
-    x = {c: F.approx_count_distinct(c).alias(c) for c in cols}
-    if by:
-        est = df.groupBy(by).agg(*x.values()).agg(*[F.max(c).alias(c) for c in cols]).first()
-    else:
-        est = df.agg(*x.values()).first()
-    return {c: (est[c] or 0) <= max_distinct for c in cols}
-
-
-def describe(df: DataFrame, cols=None, exact="auto", accuracy: int = 100000,
-             max_distinct: int = 1_000_000) -> DataFrame:
+def describe(df: DataFrame, cols=None, exact: bool = True, accuracy: int = 100000) -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 % (linear interpolation), max per
-    numeric column, long form. ``exact=True`` uses ``percentile`` (equal to
-    pandas); ``False`` uses ``percentile_approx`` (relative rank error
-    1/accuracy); ``"auto"`` keeps the exact form for columns whose distinct
-    count (HLL estimate) is at most ``max_distinct`` - quantised sensor
-    readings - and the approximate one otherwise."""
+    numeric column, long form. ``exact=True`` (default) uses ``percentile``, equal to
+    pandas, whose buffer holds the distinct values of a column; ``exact=False``
+    uses ``percentile_approx`` (relative rank error 1/accuracy, fixed memory) for
+    columns of unbounded cardinality. The caller chooses; the size of the
+    data does not."""
     cols = cols or numeric_columns(df)
-    mode = exact_is_bounded(df, cols, max_distinct) if exact == "auto" else {c: bool(exact) for c in cols}
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        q = (F.percentile(x, F.array(*[F.lit(v) for v in (0.25, 0.5, 0.75)])) if mode[c]
+        q = (F.percentile(x, F.array(*[F.lit(v) for v in (0.25, 0.5, 0.75)])) if exact
              else F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy))
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), q.alias(f"q{i}"), F.max(x).alias(f"hi{i}")]
@@ -85,9 +71,9 @@ def negative_counts(df: DataFrame, cols=None) -> DataFrame:
 
 
 def gap_report(df: DataFrame, key="series_id", order="datetime", by_series: bool = False,
-               chunk_rows="auto") -> DataFrame:
+               chunk_rows: int | None = CHUNK_ROWS, bucket=None) -> DataFrame:
     """Frequency of each gap between consecutive rows, most frequent first;
     the first row of each series (no gap) is excluded."""
-    g = gaps(df.select(key, order), key, order, chunk_rows=chunk_rows).filter(F.col("gap_seconds").isNotNull())
+    g = gaps(df.select(key, order), key, order, chunk_rows=chunk_rows, bucket=bucket).filter(F.col("gap_seconds").isNotNull())
     by = [key, "gap_seconds"] if by_series else ["gap_seconds"]
     return g.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *by)

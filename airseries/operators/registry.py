@@ -63,7 +63,7 @@ def promote_best(registry: DataFrame, horizon: int | None = None, key="horizon")
     is_cand = F.coalesce(F.col("status") == CANDIDATE, F.lit(False))
     if horizon is not None:
         if registry.filter((F.col("horizon") == horizon) & is_cand).limit(1).count() == 0:
-            raise RuntimeError(f"No candidate models found for horizon {horizon}")
+            raise RuntimeError(f"horizon {horizon}: nothing to promote, no candidate is registered")
     rank = F.row_number().over(_slot(key).orderBy((~is_cand).asc(), F.asc_nulls_last("rmse"), "model_name"))
     has = F.max(is_cand.cast("int")).over(_slot(key)) == 1
     scope = F.lit(True) if horizon is None else (F.col("horizon") == F.lit(horizon))
@@ -80,8 +80,11 @@ def publish(registry: DataFrame, new_rows: DataFrame, key="horizon", keep_status
     """Add ``new_rows`` as production/best. Old rows of the same
     slots lose ``is_best``; with ``keep_status=False`` (R4) rows that were
     production are also archived, with ``keep_status=True`` (R5, R8) status
-    stays. The slot set is a distinct projection of the new rows joined back
-    (Catalyst/AQE choose broadcast when it is small)."""
+    stays. Of several new rows of one slot the one with the lowest RMSE (ties:
+    model_name, run_id) is the best one; the others are added as archived
+    (R4) or as production without ``is_best`` (R5, R8), so a slot never has two
+    best rows. The slot set is a distinct projection of the new rows joined
+    back (Catalyst/AQE choose broadcast when it is small)."""
     keys = _keys(key)
     slots = new_rows.select(*keys).distinct().withColumn("_hit", F.lit(True))
     r = registry.join(slots, keys, "left")
@@ -91,7 +94,12 @@ def publish(registry: DataFrame, new_rows: DataFrame, key="horizon", keep_status
     old = r.withColumns({"status": status,
                          "is_best": F.when(hit, F.lit(False)).otherwise(F.col("is_best"))}) \
            .drop("_hit").select(*registry.columns)
-    add = new_rows.withColumns({"status": F.lit(PRODUCTION), "is_best": F.lit(True)})
+    order = [F.asc_nulls_last(c) for c in ("rmse", "model_name", "run_id") if c in new_rows.columns]
+    first = F.row_number().over(_slot(key).orderBy(*(order or keys))) == 1
+    ranked = new_rows.withColumn("_first", first)
+    add = ranked.withColumns({
+        "status": F.when(F.col("_first") | F.lit(keep_status), F.lit(PRODUCTION)).otherwise(F.lit(ARCHIVED)),
+        "is_best": F.col("_first")}).drop("_first")
     if "registered_at" not in new_rows.columns:
         add = add.withColumn("registered_at", _ts(registered_at))
     return old.unionByName(add, allowMissingColumns=True)
@@ -99,26 +107,34 @@ def publish(registry: DataFrame, new_rows: DataFrame, key="horizon", keep_status
 
 def rollback(registry: DataFrame, horizon: int, run_id: str, key="horizon") -> DataFrame:
     """Flags only. The target is the row of (horizon, run_id) with the
-    lowest RMSE (ties: model_name); every other row of the slot loses
-    ``is_best``. Unknown (horizon, run_id) raises."""
+    lowest RMSE (ties: model_name) of every slot the run has a row in; the
+    other rows of those slots lose ``is_best``, slots without the run stay as
+    they are. Unknown (horizon, run_id) raises."""
     hit = (F.col("horizon") == F.lit(horizon)) & (F.col("run_id") == F.lit(run_id))
     if registry.filter(hit).limit(1).count() == 0:
-        raise RuntimeError("Model version not found")
+        raise RuntimeError(f"no row of run {run_id} for horizon {horizon}")
     hitc = F.coalesce(hit, F.lit(False))
     rank = F.row_number().over(_slot(key).orderBy((~hitc).asc(), F.asc_nulls_last("rmse"), "model_name"))
-    r = registry.withColumn("_rank", rank)
+    touched = F.max(hitc.cast("int")).over(_slot(key)) == 1
+    r = registry.withColumns({"_rank": rank, "_touched": touched})
     target = hitc & (F.col("_rank") == 1)
     return r.withColumn("is_best", F.when(target, F.lit(True))
-                        .when(F.col("horizon") == F.lit(horizon), F.lit(False))
-                        .otherwise(F.col("is_best"))).drop("_rank")
+                        .when(F.col("_touched"), F.lit(False))
+                        .otherwise(F.col("is_best"))).drop("_rank", "_touched")
 
 
 def upsert(registry: DataFrame, new_rows: DataFrame, on=("model_name", "horizon"),
            order=("registered_at", "run_id")) -> DataFrame:
     """Clear ``is_best`` of every production row, then set the columns of
     ``new_rows`` on the first existing row of each ``on`` key (by ``order``),
-    or insert the row. Columns absent from ``new_rows`` keep their values."""
+    or insert the row. Columns absent from ``new_rows`` keep their values. Of
+    several new rows of one key the last by ``order`` (then by all columns)
+    counts, as if they were applied one after the other."""
     on = list(on)
+    last = [F.desc_nulls_last(c) for c in order if c in new_rows.columns]
+    last += [F.desc_nulls_last(c) for c in sorted(set(new_rows.columns) - set(on) - set(order))]
+    new_rows = (new_rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*on).orderBy(*(last or on))))
+                .where("_nth = 1").drop("_nth"))
     base = registry.withColumn("is_best", F.when(F.col("status") == PRODUCTION, F.lit(False))
                                .otherwise(F.col("is_best")))
     w = Window.partitionBy(*on).orderBy(*[F.asc_nulls_last(c) for c in order if c in registry.columns])
@@ -143,17 +159,18 @@ def load_active(file_registry: DataFrame, position: str = "position") -> DataFra
     """Active entries keyed by ``horizon_hours``; the later entry wins."""
     act = file_registry.filter(F.col("status") == "active")
     if act.limit(1).count() == 0:
-        raise RuntimeError("No active models found in registry")
+        raise RuntimeError("the registry has no entry with status active")
     rest = [c for c in file_registry.columns if c != "horizon_hours"]
     return (act.groupBy("horizon_hours").agg(F.max_by(F.struct(*rest), F.col(position)).alias("_e"))
                .select("horizon_hours", "_e.*"))
 
 
 def best_model(registry: DataFrame, horizon: int | None = None) -> DataFrame:
-    """Best row of a horizon, or any best row (lowest horizon, then RMSE)."""
+    """The best row of a horizon, or of any (lowest horizon): one row,
+    by RMSE, then model_name."""
     b = registry.filter(F.col("is_best"))
     if horizon is not None:
-        return b.filter(F.col("horizon") == F.lit(horizon))
+        b = b.filter(F.col("horizon") == F.lit(horizon))
     return b.orderBy("horizon", F.asc_nulls_last("rmse"), "model_name").limit(1)
 
 

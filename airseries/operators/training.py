@@ -17,6 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
+from airseries.operators.features import CHUNK_ROWS
 from airseries.operators.metrics import regression_metrics
 
 # The reference's candidate set and hyper-parameters.
@@ -56,28 +57,21 @@ def estimator(name: str, label: str = "label", n_rows: int | None = None,
     raise ValueError(f"unknown estimator {name}")
 
 
-ROWS_PER_PARTITION = 200_000
+def fit(train: DataFrame, features, target: str, name: str, partitions: int | None = None,
+        **overrides) -> PipelineModel:
+    """VectorAssembler + estimator as one PipelineModel (persistable, S12).
 
-
-def right_size(df: DataFrame, n_rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Coalesce a small training input to ~``rows_per_partition`` rows per
-    partition. Iterative MLlib fits run several jobs per tree level or
-    boosting round over every partition, and each task holds a split
-    statistics buffer; hundreds of near-empty shuffle partitions only add
-    tasks and memory. Large inputs keep their partitioning."""
-    import math
-    current = df.rdd.getNumPartitions()
-    k = max(1, math.ceil(n_rows / rows_per_partition))
-    return df.coalesce(k) if k * 2 <= current else df
-
-
-def fit(train: DataFrame, features, target: str, name: str, **overrides) -> PipelineModel:
-    """VectorAssembler + estimator as one PipelineModel (persistable, S12)."""
+    ``partitions``: partitions of the training input (iterative fits run several
+    jobs per tree level over each). Forests sample by partition, so the number
+    is the caller's and never follows the size of the data; None keeps the
+    input's own."""
     data = train.select(*features, target)
-    st = data.agg(F.count(F.lit(1)).alias("rows"), F.count(F.col(target)).alias("n"),
-                  F.stddev_samp(target).alias("s")).first()
-    n_rows, label_std = st["n"], st["s"]
-    data = right_size(data, st["rows"])
+    n_rows = label_std = None
+    if name == "ridge":  # only ridge needs the label's statistics
+        st = data.agg(F.count(F.col(target)).alias("n"), F.stddev_samp(target).alias("s")).first()
+        n_rows, label_std = st["n"], st["s"]
+    if partitions:
+        data = data.coalesce(partitions)
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     est = estimator(name, label=target, n_rows=n_rows, label_std=label_std, **overrides)
     return Pipeline(stages=[asm, est]).fit(data)
@@ -88,37 +82,37 @@ def predict(model: PipelineModel, df: DataFrame, name: str = "prediction") -> Da
     return out.withColumnRenamed("prediction", name) if name != "prediction" else out
 
 
+REGISTRY_ROW = ("model_name string, horizon int, rmse double, mae double, r2 double, artifact string, "
+                "features array<string>, run_id string, status string, is_best boolean, registered_at timestamp_ntz")
+
+
 def train_candidates(train: DataFrame, val: DataFrame, features, target: str, horizon: int,
                      run_id: str, names=CANDIDATES, registered_at=None, overrides=None,
-                     save_base: str | None = None):
+                     save_base: str | None = None, partitions: int | None = None):
     """T5: fit every candidate for one horizon, score on ``val`` and return
-    ``(registry_rows, models)``. Inputs are cached once and released; the
-    metric rows stay DataFrames (no driver round trip)."""
+    ``(registry_rows, models)``. Inputs are cached once and released when the
+    metrics (one row per candidate) have been computed from them."""
     overrides = overrides or {}
     cols = list(dict.fromkeys(list(features) + [target]))
+    spark = train.sparkSession
     train = train.select(*cols).cache()
-    val = val.cache()
+    val = val.select(*cols).cache()
     models, rows = {}, []
     ts = registered_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    if isinstance(ts, str):
+        ts = dt.datetime.fromisoformat(ts)
     try:
         for name in names:
-            m = fit(train, features, target, name, **overrides.get(name, {}))
+            m = fit(train, features, target, name, partitions, **overrides.get(name, {}))
             models[name] = m
             artifact = None
             if save_base:
                 from airseries.sources.models import save_model
                 artifact = save_model(m, save_base, name, horizon, run_id)
-            met = regression_metrics(predict(m, val, "p"), target, "p")
-            rows.append(met.select(
-                F.lit(name).alias("model_name"), F.lit(int(horizon)).alias("horizon"),
-                "rmse", "mae", "r2", F.lit(artifact).cast("string").alias("artifact"),
-                F.array(*[F.lit(f) for f in features]).alias("features"),
-                F.lit(run_id).alias("run_id"), F.lit("candidate").alias("status"),
-                F.lit(False).alias("is_best"), F.lit(ts).cast("timestamp_ntz").alias("registered_at")))
-        out = rows[0]
-        for r in rows[1:]:
-            out = out.unionByName(r)
-        return out, models
+            met = regression_metrics(predict(m, val, "p"), target, "p").first()
+            rows.append((name, int(horizon), met["rmse"], met["mae"], met["r2"], artifact, list(features),
+                         run_id, "candidate", False, ts))
+        return spark.createDataFrame(rows, REGISTRY_ROW), models
     finally:
         train.unpersist()
         val.unpersist()
@@ -127,18 +121,16 @@ def train_candidates(train: DataFrame, val: DataFrame, features, target: str, ho
 # ------------------------------------------------------------------ T6 grouped ridge
 
 def horizon_rows(df: DataFrame, value: str, horizons, frac: float = 0.8, key="series_id",
-                 order="datetime", chunk_rows="auto") -> DataFrame:
+                 order="datetime", chunk_rows: int | None = CHUNK_ROWS, bucket=None) -> DataFrame:
     """W7 + W10 for several horizons in one window pass: for horizon h the
     target is ``value`` h rows ahead, the last h rows of each series are cut,
     and the first ``floor(frac * (n - h))`` remaining rows are ``train``.
     ``chunk_rows``: positions from ``with_position`` and leads from the
-    halo-chunked window, so a hot series is spread over many tasks
-    (``"auto"``: only when a series exceeds the threshold)."""
-    from airseries.operators.features import resolve_chunk
-    chunk_rows = resolve_chunk(df, key, chunk_rows)
+    halo-chunked window, so a hot series is spread over many tasks (None: one
+    window per series)."""
     if chunk_rows:
         from airseries.operators.features import FeatureSpec, build_features, with_position
-        p = with_position(df, key, order)
+        p = with_position(df, key, order, bucket=bucket)
         spec = FeatureSpec(source=value, targets=tuple((f"_y{h}", h) for h in horizons))
         base = build_features(p, spec, key, order, chunk_rows=chunk_rows, keep_ordinal=True) \
             .withColumn("_rn", F.col("_o") + F.lit(1)).drop("_o")
@@ -209,13 +201,13 @@ def solve_ridge(stats: DataFrame, d: int, alpha: float = RIDGE_ALPHA, by=("serie
 
 def horizon_sweep(df: DataFrame, features, value: str = "aqi_pm25", horizons=(1, 6, 24, 48),
                   alpha: float = RIDGE_ALPHA, frac: float = 0.8, key="series_id", order="datetime",
-                  digits: int | None = None, chunk_rows="auto") -> DataFrame:
+                  digits: int | None = None, chunk_rows: int | None = CHUNK_ROWS, bucket=None) -> DataFrame:
     """Per (series, horizon) ridge fit on the chronological train part,
     scored on the test part: ``(series_id, horizon, n_test, rmse, r2)``.
     One window pass, one grouped aggregate, one tiny solve, one join back."""
     feats = list(features)
     rows = horizon_rows(df.select(key, order, value, *[f for f in feats if f != value]), value,
-                        list(horizons), frac, key, order, chunk_rows)
+                        list(horizons), frac, key, order, chunk_rows, bucket)
     stats = ridge_statistics(rows.filter(F.col("split") == "train"), feats, "y", (key, "horizon"))
     coef = solve_ridge(stats, len(feats), alpha, (key, "horizon"))
     test = rows.filter(F.col("split") == "test").join(coef, [key, "horizon"])
@@ -229,7 +221,7 @@ def horizon_sweep(df: DataFrame, features, value: str = "aqi_pm25", horizons=(1,
 def train_and_publish(registry: DataFrame, features_df: DataFrame, horizon: int, features,
                       target: str | None = None, name: str = "random_forest", frac: float = 0.8,
                       run_id: str | None = None, save_base: str | None = None, registered_at=None,
-                      keep_status: bool = False, overrides: dict | None = None):
+                      keep_status: bool = False, overrides: dict | None = None, partitions: int | None = None):
     """T1 flow: chronological split of the feature table, fit one model for
     ``horizon``, score it on the held-out part and publish it as the
     production/best row of its horizon (R4; ``keep_status`` gives R5).
@@ -241,6 +233,6 @@ def train_and_publish(registry: DataFrame, features_df: DataFrame, horizon: int,
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
     reg_rows, models = train_candidates(train, test, features, target, horizon, run_id or f"run_h{horizon}",
                                         names=(name,), registered_at=registered_at,
-                                        overrides={name: overrides or {}}, save_base=save_base)
+                                        overrides={name: overrides or {}}, save_base=save_base, partitions=partitions)
     new = reg_rows.drop("status", "is_best")
     return publish(registry, new, key="horizon", keep_status=keep_status), models[name]

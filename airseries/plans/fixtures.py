@@ -7,7 +7,7 @@ SQL oracle start from bit-identical inputs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Window, DataFrame, SparkSession, functions as F
 
 from airseries.functions.calendar import hour_floor
 from airseries.plans.presets import TRAINING, TRAINING_FEATURES
@@ -62,14 +62,16 @@ RAW_READINGS_SQL = """raw_readings AS (
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").filter(F.col("event_id") % 2 == 0)
-    return (ev.groupBy(F.col("event_type").alias("series_id"), hour_floor("ts").alias("datetime"))
+    """Weather of all events, an hour later: hours without one before them have none."""
+    ev = table(spark, sf_dir, "events")
+    hour = hour_floor("ts") + F.expr("INTERVAL 1 HOUR")
+    return (ev.groupBy(F.col("event_type").alias("series_id"), hour.alias("datetime"))
               .agg(F.max("value").alias("temperature_2m")))
 
 
 WEATHER_SQL = """weather AS (
-  SELECT event_type AS series_id, date_trunc('hour', ts) AS datetime, max(value) AS temperature_2m
-  FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2)"""
+  SELECT event_type AS series_id, date_trunc('hour', ts) + INTERVAL 1 HOUR AS datetime, max(value) AS temperature_2m
+  FROM events GROUP BY 1, 2)"""
 
 
 def history(spark, sf_dir):
@@ -104,14 +106,18 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(*[F.lit(f) for f in TRAINING_FEATURES]).alias("features"),
         F.concat(F.lit("run_"), F.col("_run").cast("string")).alias("run_id"),
         status.alias("status"),
-        (status == F.lit("production")).alias("is_best"),
+        status.alias("status_"),
         "registered_at",
-    )
+    ).withColumn("_rk", F.row_number().over(Window.partitionBy("horizon", "status_").orderBy("rmse", "model_name"))) \
+     .withColumn("is_best", (F.col("status_") == "production") & (F.col("_rk") == 1)) \
+     .select("model_name", "horizon", "rmse", "mae", "r2", "artifact", "features", "run_id", "status", "is_best",
+             "registered_at")
 
 
 REGISTRY_SQL = f"""registry AS (
   SELECT model_name, horizon, rmse, mae, r2, artifact, run_id, status,
-         status = 'production' AS is_best, registered_at
+         status = 'production' AND row_number() OVER (PARTITION BY horizon, status ORDER BY rmse, model_name) = 1 AS is_best,
+         registered_at
   FROM (
     SELECT model_name, horizon, rmse, mae,
            {sround('(rmse - mae) / rmse')} AS r2,

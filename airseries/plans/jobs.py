@@ -9,19 +9,21 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from airseries.operators.features import FeatureSpec, build_features, latest_rows
+from airseries.operators.features import (CHUNK_ROWS, FeatureSpec, build_features, build_features_range,
+                                          latest_rows)
 from airseries.operators.forecast import forecast_direct
 from airseries.operators.registry import best_model
 from airseries.operators.training import train_and_publish
 from airseries.plans.presets import FINAL, TRAINING, TRAINING_FEATURES
 from airseries.sources.models import load_model
-from airseries.sources.tables import append_table, overwrite_table, read_table
+from airseries.session import ensure_checkpoint_dir
+from airseries.sources.tables import append_table, exists, overwrite_table, read_table
 
 
 def refresh_features(spark: SparkSession, readings_path: str, features_path: str,
-                     spec: FeatureSpec = FINAL, chunk_rows="auto") -> str:
+                     spec: FeatureSpec = FINAL, chunk_rows=CHUNK_ROWS) -> str:
     """Feature refresh: readings -> full feature build (no NULL drop) ->
     new table version. Returns the version path."""
     r = read_table(spark, readings_path)
@@ -29,16 +31,51 @@ def refresh_features(spark: SparkSession, readings_path: str, features_path: str
 
 
 def refresh_feature_days(spark: SparkSession, readings_path: str, features_path: str, start: str, end: str,
-                         spec: FeatureSpec = FINAL, chunk_rows="auto") -> None:
-    """Incremental refresh: build only ``[start, end)`` (row-counted halo,
-    ``build_features_range``) and overwrite just those ``ds`` (date) partitions of
-    a day-partitioned feature table (dynamic partition overwrite); other
-    days are untouched."""
-    from airseries.operators.features import build_features_range
+                         spec: FeatureSpec = FINAL, chunk_rows=CHUNK_ROWS) -> str:
+    """Incremental refresh after readings of ``[start, end)`` have (again) landed.
+
+    Same layout as ``refresh_features``: a new version of the feature table, in
+    which the rows of the affected days are built anew and all others are taken
+    from the current version. The range is widened to whole days, to the rows
+    behind it whose lags look into it, and to those before it whose targets
+    do, each counted in rows per series (``affected_days``). Readers see either version whole."""
     r = read_table(spark, readings_path)
-    out = build_features_range(r, spec, start, end, chunk_rows=chunk_rows)
-    (out.withColumn("ds", F.to_date("datetime")).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("ds").parquet(features_path))
+    if not exists(spark, features_path):
+        return overwrite_table(build_features(r, spec, chunk_rows=chunk_rows), features_path)
+    old = read_table(spark, features_path, require_rows=False)
+    days = affected_days(r, start, end, spec).cache()
+    try:
+        span = days.agg(F.min("lo"), F.date_add(F.max("hi"), 1)).first()
+        if span[0] is None:
+            return overwrite_table(old, features_path)
+        new = build_features_range(r, spec, f"{span[0]} 00:00:00", f"{span[1]} 00:00:00", chunk_rows=chunk_rows)
+        d = F.to_date("datetime")
+        bounds = days.withColumnRenamed("series_id", "_s")
+        same = F.col("series_id").eqNullSafe(F.col("_s"))
+        within = same & d.between(F.col("lo"), F.col("hi"))
+        fresh = new.join(bounds, within, "left_semi").select(*old.columns)
+        kept = old.join(bounds, within, "left_anti")
+        return overwrite_table(kept.unionByName(fresh), features_path)
+    finally:
+        days.unpersist()
+
+
+def affected_days(readings: DataFrame, start: str, end: str, spec: FeatureSpec) -> DataFrame:
+    """(series_id, lo, hi): whole days per series whose features a change of the
+    readings in ``[start, end)`` can reach: the range, ``lookback`` rows behind
+    it and ``lead`` rows before it. One count per (series, day), and a window
+    over those counts."""
+    s, e = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    first, last = F.to_date(s), F.to_date(F.timestamp_add("MICROSECOND", F.lit(-1), e))
+    per = (readings.where("datetime IS NOT NULL").groupBy("series_id", F.to_date("datetime").alias("d"))
+           .agg(F.count("*").alias("n")))
+    w = Window.partitionBy("series_id")
+    behind = F.sum(F.when(F.col("d") > last, F.col("n"))).over(w.orderBy("d").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum(F.when(F.col("d") < first, F.col("n"))).over(w.orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, -1))
+    reach = per.withColumns({"b": F.coalesce(behind, F.lit(0)), "f": F.coalesce(before, F.lit(0))})
+    hit = (F.col("d").between(first, last) | ((F.col("d") > last) & (F.col("b") < spec.lookback))
+           | ((F.col("d") < first) & (F.col("f") < spec.lead)))
+    return reach.where(hit).groupBy("series_id").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
 
 
 def train_horizons(spark: SparkSession, readings_path: str, registry_path: str, models_path: str,
@@ -49,10 +86,9 @@ def train_horizons(spark: SparkSession, readings_path: str, registry_path: str,
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     run_id = run_id or now.strftime("%Y-%m-%d_%H-%M-%S")
     train_rows = build_features(read_table(spark, readings_path), TRAINING).cache()
-    try:
-        registry = read_table(spark, registry_path, require_rows=False)
-    except Exception:  # noqa: BLE001 - first run: empty registry
-        registry = None
+    # first run: there is no registry; one that is there but unreadable is an error
+    registry = read_table(spark, registry_path, require_rows=False) if exists(spark, registry_path) else None
+    ensure_checkpoint_dir(spark)
     try:
         for h in horizons:
             if registry is None:
@@ -76,21 +112,36 @@ def train_horizons(spark: SparkSession, readings_path: str, registry_path: str,
 
 
 def serve_forecasts(spark: SparkSession, features_path: str, registry_path: str, forecasts_path: str,
-                    horizons=(1, 2, 3), now: dt.datetime | None = None) -> DataFrame:
+                    horizons=(1, 2, 3), now: dt.datetime | None = None, on_incomplete: str = "raise") -> DataFrame:
     """Serving: best model per horizon (registry lookup), newest feature row
     per series, direct forecast for every series, appended to the forecast
-    table with ``generated_at``."""
+    table with ``generated_at``. A series whose newest row lacks a feature is
+    an error that names it (``on_incomplete="raise"``) or gets rows with NULL
+    values (``"null"``); it is never left out silently."""
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     feats = read_table(spark, features_path)
     registry = read_table(spark, registry_path)
     models = {}
     for h in horizons:
-        row = best_model(registry, h).orderBy("rmse").select("artifact").first()
+        row = best_model(registry, h).select("artifact").first()
         if row is None or row["artifact"] is None:
             raise RuntimeError(f"No production model for horizon {h}")
         models[h] = load_model(row["artifact"])
-    latest = latest_rows(feats).dropna(subset=TRAINING_FEATURES)
-    out = forecast_direct(latest, models, TRAINING_FEATURES).withColumn(
-        "generated_at", F.lit(now).cast("timestamp_ntz"))
+    latest = latest_rows(feats)
+    gap = F.lit(False)
+    for c in TRAINING_FEATURES:
+        gap = gap | F.col(c).isNull()
+    lacking = latest.where(gap)
+    if not lacking.isEmpty():
+        names = [r[0] for r in lacking.select("series_id").orderBy("series_id").limit(10).collect()]
+        if on_incomplete == "raise":
+            raise RuntimeError(f"{lacking.count()} series lack a feature in their newest row, among them {names}")
+    # an incomplete series is served as a row without a value, not left out
+    whole = forecast_direct(latest.where(~gap), models, TRAINING_FEATURES)
+    out = whole.withColumn("generated_at", F.lit(now).cast("timestamp_ntz"))
+    if on_incomplete == "null":
+        blank = lacking.select("series_id", F.explode(F.array(*[F.lit(int(h)) for h in horizons])).alias("horizon"),
+                               F.lit(now).cast("timestamp_ntz").alias("generated_at"))
+        out = out.unionByName(blank, allowMissingColumns=True)
     append_table(out, forecasts_path)
     return out

@@ -149,6 +149,49 @@ def r6_rollback(spark, sf_dir):
     return _proj(R.rollback(_reg(spark, sf_dir), 2, "run_0"))
 
 
+SERIES_COLS = ["series_id", *COLS]
+_PER_SERIES = f"""per_series AS (
+  SELECT s.series_id, r.* FROM registry r, (SELECT DISTINCT event_type AS series_id FROM events) s
+  WHERE NOT (s.series_id = 'view' AND r.run_id = 'run_0'))"""
+
+
+def _per_series(spark, sf_dir):
+    """The registry once per series; the series 'view' has no row of run_0."""
+    s = fx.table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id")).distinct()
+    listed = F.explode(F.array(*[F.lit(x) for x in fx.SERIES])).alias("series_id") if hasattr(fx, "SERIES") else None
+    reg = _reg(spark, sf_dir)
+    both = reg.select(listed, "*") if listed is not None else reg.withColumn("_k", F.lit(1)).join(
+        s.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return both.filter(~((F.col("series_id") == "view") & (F.col("run_id") == "run_0")))
+
+
+@register("r6_rollback_per_series", fx.ctes("registry") + f""", {_PER_SERIES},
+r AS (SELECT *, coalesce(horizon = 2 AND run_id = 'run_0', false) AS hit,
+             row_number() OVER (PARTITION BY series_id, horizon ORDER BY (coalesce(horizon = 2 AND run_id = 'run_0', false) = false),
+                                rmse ASC NULLS LAST, model_name) AS rk,
+             max(CAST(coalesce(horizon = 2 AND run_id = 'run_0', false) AS INTEGER)) OVER (PARTITION BY series_id, horizon) AS touched
+      FROM per_series)
+SELECT series_id, model_name, horizon, rmse, mae, r2, artifact, run_id, status,
+       CASE WHEN hit AND rk = 1 THEN true WHEN touched = 1 THEN false ELSE is_best END AS is_best, registered_at
+FROM r""")
+def r6_rollback_per_series(spark, sf_dir):
+    """Rollback with a slot per (series, horizon): series without the run keep their best model."""
+    return R.rollback(_per_series(spark, sf_dir), 2, "run_0", key=("series_id", "horizon")).select(*SERIES_COLS)
+
+
+@register("r2_promote_run_per_series", fx.ctes("registry") + f""", {_PER_SERIES},
+r AS (SELECT *,
+        row_number() OVER (PARTITION BY series_id, horizon ORDER BY (coalesce(run_id = 'run_1', false) = false),
+                                                                    rmse ASC NULLS LAST, model_name) AS rk,
+        max(CAST(coalesce(run_id = 'run_1', false) AS INTEGER)) OVER (PARTITION BY series_id, horizon) = 1 AS touched
+      FROM per_series)
+SELECT series_id, model_name, horizon, rmse, mae, r2, artifact, run_id,
+       {_flags("touched AND rk = 1 AND run_id = 'run_1'", "touched AND status = 'production'")}, registered_at
+FROM r""")
+def r2_promote_run_per_series(spark, sf_dir):
+    return R.promote_run(_per_series(spark, sf_dir), "run_1", key=("series_id", "horizon")).select(*SERIES_COLS)
+
+
 # ---- R7 -------------------------------------------------------------------------------------
 
 UPSERT_NEW_SQL = f"""new_rows AS (
@@ -181,6 +224,19 @@ def r7_upsert(spark, sf_dir):
     return R.upsert(reg, new).select(*COLS, "model_version")
 
 
+@register("r7_upsert_duplicate_key", fx.ctes("registry") + f""",
+base AS (SELECT * REPLACE (CASE WHEN status = 'production' THEN false ELSE is_best END AS is_best) FROM registry)
+SELECT {", ".join(c for c in SQLCOLS.split(", ") if c not in ("artifact", "registered_at"))}, artifact || '/v3' AS artifact,
+       TIMESTAMP '{NEW_AT}' + INTERVAL 1 DAY AS registered_at FROM base""")
+def r7_upsert_duplicate_key(spark, sf_dir):
+    """Two new rows for every key: the later one counts, one row per key stays."""
+    reg = _reg(spark, sf_dir)
+    new = (reg.withColumn("v", F.explode(F.array(F.lit(3), F.lit(2))))
+              .select("model_name", "horizon", F.concat("artifact", F.lit("/v"), F.col("v").cast("string")).alias("artifact"),
+                      (F.lit(NEW_AT).cast("timestamp_ntz") + F.make_dt_interval(F.col("v") - 2)).alias("registered_at")))
+    return _proj(R.upsert(reg, new))
+
+
 # ---- R9 ---------------------------------------------------------------------------------------
 
 FILE_SQL = f"""file_registry AS (
@@ -212,7 +268,7 @@ def r9_load_active(spark, sf_dir):
 
 # ---- R10 / R11 -------------------------------------------------------------------------------
 
-@register("r10_best_model_h1", fx.ctes("registry") + f"SELECT {SQLCOLS} FROM registry WHERE is_best AND horizon = 1")
+@register("r10_best_model_h1", fx.ctes("registry") + f"SELECT {SQLCOLS} FROM registry WHERE is_best AND horizon = 1 ORDER BY rmse NULLS LAST, model_name LIMIT 1")
 def r10_best_model_h1(spark, sf_dir):
     return _proj(R.best_model(_reg(spark, sf_dir), 1))
 

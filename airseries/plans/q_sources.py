@@ -96,11 +96,11 @@ from airseries.plans.sqlgen import aqi_sql, cat6_sql  # noqa: E402
 SELECT series_id, datetime, pm2_5, pm10, nitrogen_dioxide, aqi_pm25, {cat6_sql('aqi_pm25', 0)} AS category
 FROM (SELECT *, {aqi_sql('pm2_5')} AS aqi_pm25 FROM readings)""")
 def st1_stream_hourly_readings(spark, sf_dir):
-    """Events streamed through the watermarked hourly landing job (file
-    source, availableNow trigger, idempotent foreachBatch sink)."""
+    """Events streamed through the stateless hourly landing job (file source,
+    availableNow trigger, idempotent foreachBatch sink)."""
     from airseries.streaming import land_events, merge_readings, score
     ev = fx.table(spark, sf_dir, "events")
-    out = land_events(spark, sf_dir, ev.schema, watermark="2 hours", glob="events.parquet")
+    out = land_events(spark, sf_dir, ev.schema, glob="events.parquet")
     return score(merge_readings(spark, f"{out}/data"))
 
 
@@ -119,22 +119,22 @@ def _scratch(spark, name):
     return f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-@register("s6_versioned_overwrite_read", fx.ctes("readings") + "SELECT * FROM readings WHERE pm2_5 > 100")
+@register("s6_versioned_overwrite_read", fx.ctes("readings") + "SELECT * REPLACE (pm2_5 + 1 AS pm2_5) FROM readings")
 def s6_versioned_overwrite_read(spark, sf_dir):
-    """Two versions written (all rows, then the rows above 100); the reader
-    resolves the newest pointer."""
+    """Two versions of the whole table written, the second with changed values;
+    the reader resolves the newest pointer."""
     base = _scratch(spark, "readings")
     r = fx.readings(spark, sf_dir)
     TB.overwrite_table(r, base, version="v1")
-    TB.overwrite_table(r.filter(F.col("pm2_5") > 100), base, version="v2")
+    TB.overwrite_table(r.withColumn("pm2_5", F.col("pm2_5") + 1), base, version="v2")
     return TB.read_table(spark, base)
 
 
 @register("s7_enrich_features", fx.ctes("readings") + f"""
-SELECT 'Karachi' AS city, datetime, CAST(NULL AS DOUBLE) AS aqi, series_id, pm2_5, pm10, nitrogen_dioxide,
+SELECT 'Anytown' AS city, datetime, CAST(NULL AS DOUBLE) AS aqi, series_id, pm2_5, pm10, nitrogen_dioxide,
        TIMESTAMP '{GEN_AT}' AS created_at FROM readings""")
 def s7_enrich_features(spark, sf_dir):
-    return TB.enrich_features(fx.readings(spark, sf_dir), "Karachi", GEN_AT)
+    return TB.enrich_features(fx.readings(spark, sf_dir), "Anytown", GEN_AT)
 
 
 @register("s9_flat_forecasts", fx.ctes("readings") + f"""
@@ -170,6 +170,24 @@ def s11_registry_file_round_trip(spark, sf_dir):
     return RF.read_entries(spark, path).drop("position", "features")
 
 
+@register("s11_r9_load_active_after_appends", fx.ctes("registry") + f""",
+f AS (SELECT model_name, CAST(horizon * 24 AS INTEGER) AS horizon_hours, {sround('rmse', 2, True)} AS rmse,
+             ascii(model_name) % 4 AS nth FROM registry)
+SELECT horizon_hours, arg_max(model_name, lpad(CAST(nth AS VARCHAR), 2, '0') || model_name) AS model_name,
+       arg_max(rmse, lpad(CAST(nth AS VARCHAR), 2, '0') || model_name) AS rmse
+FROM f GROUP BY 1""")
+def s11_r9_load_active_after_appends(spark, sf_dir):
+    """Four appends to the file registry, read back: the entry appended last wins."""
+    import datetime as dt
+    from airseries.operators import registry as R
+    path = _scratch(spark, "registry-appends")
+    reg = fx.registry(spark, sf_dir).withColumn("horizon_hours", F.col("horizon") * 24)
+    for n in range(4):
+        part = reg.filter(F.ascii("model_name") % 4 == n)
+        RF.append_entries(RF.entries(part, "active", dt.datetime.fromisoformat(GEN_AT)), path)
+    return R.load_active(RF.read_entries(spark, path)).select("horizon_hours", "model_name", "rmse")
+
+
 @register("s4_land_chunks_round_trip", fx.ctes("readings") + "SELECT series_id, datetime, pm2_5, pm10 FROM readings")
 def s4_land_chunks_round_trip(spark, sf_dir):
     """Daily payload documents written as JSON (plus one empty chunk per

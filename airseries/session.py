@@ -60,12 +60,6 @@ def ensure_checkpoint_dir(spark: SparkSession, default: str | None = None) -> st
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint dir (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
     """Bounded size probe: scans at most ``limit + 1`` rows of ``df``."""
     return df.limit(limit + 1).count() <= limit

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 ENTRY_SCHEMA = T.StructType([
     T.StructField("model_name", T.StringType()),
@@ -18,6 +18,9 @@ ENTRY_SCHEMA = T.StructType([
     T.StructField("trained_at", T.StringType()),
 ])
 
+_STORED = T.StructType([*ENTRY_SCHEMA.fields, T.StructField("seq", T.StructType([
+    T.StructField("append", T.LongType()), T.StructField("n", T.LongType())]))])
+
 
 def entries(df: DataFrame, status: str = "inactive", trained_at: dt.datetime | None = None) -> DataFrame:
     """Registry entries from metric rows: RMSE to 2 and R^2 to 3 digits."""
@@ -27,13 +30,24 @@ def entries(df: DataFrame, status: str = "inactive", trained_at: dt.datetime | N
                      F.lit(status).alias("status"), F.lit(ts).alias("trained_at"))
 
 
-def append_entries(df: DataFrame, path: str) -> None:
-    df.select(*ENTRY_SCHEMA.fieldNames()).write.mode("append").json(path)
+def append_entries(df: DataFrame, path: str, order=("horizon_hours", "model_name")) -> None:
+    """Append entries with an ascending ``seq``: the number of the append, then
+    the place in it (by ``order``; the entries of one append are one training
+    run's models, a handful)."""
+    from airseries.sources.tables import exists
+    spark = df.sparkSession
+    last = spark.read.schema(_STORED).json(path).agg(F.max("seq.append")).first()[0] if exists(spark, path) else None
+    nth = F.row_number().over(Window.orderBy(*[F.asc_nulls_last(c) for c in order]))
+    numbered = df.select(*ENTRY_SCHEMA.fieldNames(), F.struct(
+        F.lit((last or 0) + 1).cast("long").alias("append"), nth.cast("long").alias("n")).alias("seq"))
+    numbered.write.mode("append").json(path)
 
 
 def read_entries(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Entries with a ``position`` (file order, then order inside the file)
-    so "later entry wins" stays well defined."""
-    df = spark.read.schema(ENTRY_SCHEMA).option("multiLine", multiline).json(path)
-    return df.withColumn("position", F.struct(F.input_file_name().alias("file"),
-                                               F.monotonically_increasing_id().alias("n")))
+    """Entries with a ``position`` that rises in the order they were appended, so
+    "later entry wins" is well defined. Entries without a sequence (one JSON
+    array written elsewhere) come first, by their place in the file."""
+    df = spark.read.schema(_STORED).option("multiLine", multiline).json(path)
+    return df.withColumn("position", F.struct(
+        F.coalesce(F.col("seq.append"), F.lit(0)).alias("append"),
+        F.coalesce(F.col("seq.n"), F.monotonically_increasing_id()).alias("n"))).drop("seq")

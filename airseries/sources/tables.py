@@ -11,12 +11,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 CURRENT = "_current"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, by the file system that owns it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+_POINTER = "path string, seq long, written_at string"
+
+
 def _current_version(spark: SparkSession, base: str) -> str | None:
-    try:
-        row = spark.read.json(f"{base}/{CURRENT}").orderBy(F.desc("written_at")).first()
-    except Exception:  # noqa: BLE001 - no pointer yet
+    """Path of the newest version, None for a table without versions. A pointer
+    folder that is there but cannot be read is an error, never "no version"."""
+    if not exists(spark, f"{base}/{CURRENT}"):
         return None
-    return row["path"] if row else None
+    row = spark.read.schema(_POINTER).option("mode", "FAILFAST").json(f"{base}/{CURRENT}").orderBy(
+        F.desc_nulls_last("seq"), F.desc("path")).first()
+    if row is None or row["path"] is None:
+        raise RuntimeError(f"{base}: the version pointer is empty")
+    return row["path"]
+
+
+def _next_seq(spark: SparkSession, base: str) -> int:
+    if not exists(spark, f"{base}/{CURRENT}"):
+        return 1
+    got = spark.read.schema(_POINTER).option("mode", "FAILFAST").json(f"{base}/{CURRENT}").agg(F.max("seq")).first()[0]
+    return (got or 0) + 1
 
 
 def read_table(spark: SparkSession, path: str, require_rows: bool = True) -> DataFrame:
@@ -30,7 +50,8 @@ def read_table(spark: SparkSession, path: str, require_rows: bool = True) -> Dat
 def overwrite_table(df: DataFrame, base: str, partition_by=None, version: str | None = None) -> str:
     """Replace-all without a window where the table is missing: write a
     new version directory, then append a pointer record naming it (readers
-    take the newest pointer). Older versions stay until cleaned up."""
+    take the pointer with the highest sequence number, which does not depend
+    on any writer's clock). Older versions stay until cleaned up."""
     version = version or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
     path = f"{base}/v={version}"
     w = df.write.mode("errorifexists")
@@ -38,7 +59,7 @@ def overwrite_table(df: DataFrame, base: str, partition_by=None, version: str |
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     w.parquet(path)
     spark = df.sparkSession
-    ptr = spark.range(1).select(F.lit(path).alias("path"),
+    ptr = spark.range(1).select(F.lit(path).alias("path"), F.lit(_next_seq(spark, base)).cast("long").alias("seq"),
                                 F.lit(dt.datetime.now(dt.timezone.utc).isoformat()).alias("written_at"))
     ptr.coalesce(1).write.mode("append").json(f"{base}/{CURRENT}")
     return path

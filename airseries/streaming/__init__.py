@@ -1,7 +1,6 @@
 """Structured Streaming entry points (hourly readings landing)."""
 
-from airseries.streaming.readings import (hourly_readings, land_events, latest_by_key, merge_readings,
-                                          score, wall_clock_instant, instant_wall_clock)
+from airseries.streaming.readings import (compact_readings, hourly_readings, land_events, merge_readings,
+                                          score)
 
-__all__ = ["hourly_readings", "land_events", "latest_by_key", "merge_readings", "score", "wall_clock_instant",
-           "instant_wall_clock"]
+__all__ = ["compact_readings", "hourly_readings", "land_events", "merge_readings", "score"]

@@ -1,54 +1,34 @@
 """Structured Streaming landing of hourly readings.
 
-Raw sensor events arrive continuously; readings are event-time hourly
-windows per series with a watermark, so state for closed hours is dropped
-and late events beyond the watermark are ignored (standard Structured
-Streaming semantics). Row-wise operators (AQI, categories, calendar) are
-plain column expressions and apply to the stream unchanged.
-
-The sink is ``foreachBatch`` writing each micro-batch to its own
-``batch=<id>`` directory with overwrite, so a retried batch replaces its own
-output (idempotent). Update mode re-emits a window's running aggregate; if a
-window's state was already evicted and late rows arrive anyway (Spark may
-or may not drop them), the new emission covers only those rows. The
-readings are mergeable aggregates (max / min), so ``merge_readings``
-combines all emissions per key exactly, whatever the split. Checkpoints and
-outputs live under the cluster's ``spark.checkpoint.dir``.
+Readings are maxima and minima per (series, hour), which merge exactly, so the
+stream keeps no state and needs no watermark: each micro-batch is aggregated
+by itself inside ``foreachBatch`` and its partial readings are merged when read.
+No event is late: the landed readings do not depend on how the files fall
+into batches.
+
+A micro-batch overwrites its own ``batch=<id>`` directory, so a retried batch
+replaces its own output (idempotent). ``compact_readings`` folds all batches so
+far into one table, so that reading does not grow with the number of batches
+ever landed. Checkpoints and outputs live under the cluster's
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airseries.functions.aqi import aqi_pm25, classify_aqi
+from airseries.functions.calendar import hour_floor
+from airseries.sources.tables import exists, overwrite_table, read_table
 
-_EPOCH = "1970-01-01 00:00:00"
-
-
-def wall_clock_instant(c) -> Column:
-    """TIMESTAMP_NTZ wall clock -> TIMESTAMP instant read as UTC, independent
-    of the session time zone (watermarks require TIMESTAMP)."""
-    ts = F.col(c) if isinstance(c, str) else c
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), ts))
-
-
-def instant_wall_clock(c) -> Column:
-    ts = F.col(c) if isinstance(c, str) else c
-    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit(_EPOCH).cast("timestamp_ntz"))
-
-
-def hourly_readings(events: DataFrame, key: str = "event_type", ts: str = "ts", value: str = "value",
-                    watermark: str = "2 hours") -> DataFrame:
+def hourly_readings(events: DataFrame, key: str = "event_type", ts: str = "ts", value: str = "value") -> DataFrame:
     """Events -> one reading per (series, hour): max/min of the value and the
-    max of the ``k`` property, windowed on event time with a watermark."""
-    ev = events.withColumn("_et", wall_clock_instant(ts)).withWatermark("_et", watermark)
-    g = ev.groupBy(F.col(key).alias("series_id"), F.window("_et", "1 hour").alias("_w")).agg(
+    max of the ``k`` property. Partial aggregates of the same hour merge."""
+    return events.groupBy(F.col(key).alias("series_id"), hour_floor(ts).alias("datetime")).agg(
         F.max(value).alias("pm2_5"), F.min(value).alias("pm10"),
         F.max(F.get_json_object("props", "$.k").cast("int")).alias("nitrogen_dioxide"))
-    return g.select("series_id", instant_wall_clock(F.col("_w.start")).alias("datetime"),
-                    "pm2_5", "pm10", "nitrogen_dioxide")
 
 
 def score(readings: DataFrame) -> DataFrame:
@@ -58,9 +38,9 @@ def score(readings: DataFrame) -> DataFrame:
 
 
 def batch_writer(path: str):
-    """foreachBatch function: each micro-batch overwrites ``path/batch=<id>``."""
+    """foreachBatch function: the readings of a micro-batch overwrite ``path/batch=<id>``."""
     def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        hourly_readings(df).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return write
 
 
@@ -70,20 +50,28 @@ READING_MERGE = {"pm2_5": F.max, "pm10": F.min, "nitrogen_dioxide": F.max}
 
 def merge_readings(spark: SparkSession, path: str, keys=("series_id", "datetime"),
                    merge: dict | None = None) -> DataFrame:
-    """Exact readings from all micro-batch emissions: each column merged with
-    its own aggregate (max of maxima, min of minima), one grouped pass."""
+    """Exact readings of everything landed: each column merged with its own
+    aggregate (max of maxima, min of minima) over the batches behind the last
+    compaction and, if there is one, the compacted table."""
     merge = merge or READING_MERGE
-    df = spark.read.parquet(path)
+    cols = [*keys, *merge]
+    df, done = spark.read.parquet(path), f"{path}-compacted"
+    if exists(spark, done):
+        upto, base = _compacted(spark, done)
+        df = df.where(F.col("batch") > upto).select(*cols).unionByName(base.select(*cols))
     return df.groupBy(*keys).agg(*[fn(c).alias(c) for c, fn in merge.items()])
 
 
-def latest_by_key(spark: SparkSession, path: str, keys) -> DataFrame:
-    """Newest emitted version of every key across micro-batches (for sinks
-    whose emissions are complete values, e.g. append mode)."""
-    df = spark.read.parquet(path)
-    rest = [c for c in df.columns if c not in list(keys) + ["batch"]]
-    return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_r"))
-              .select(*keys, "_r.*"))
+def _compacted(spark: SparkSession, done: str) -> tuple[int, DataFrame]:
+    base = read_table(spark, done, require_rows=False)
+    return base.agg(F.max("upto")).first()[0], base
+
+
+def compact_readings(spark: SparkSession, path: str) -> None:
+    """Folds all batches landed so far into a new version of the compacted table;
+    the batch folders stay (a retried batch may still be rewritten)."""
+    last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    overwrite_table(merge_readings(spark, path).withColumn("upto", F.lit(last).cast("long")), f"{path}-compacted")
 
 
 def stream_dir(spark: SparkSession, name: str) -> str:
@@ -92,27 +80,16 @@ def stream_dir(spark: SparkSession, name: str) -> str:
 
 
 def land_events(spark: SparkSession, events_dir: str, schema, out: str | None = None,
-                watermark: str = "2 hours", max_files_per_trigger: int | None = None,
-                glob: str | None = None, state_partitions: int | None = None) -> str:
-    """Run the landing stream over everything available now (update mode:
-    changed windows are re-emitted, closed ones evicted) and return the
-    output folder; read it with ``merge_readings`` (then ``score``). ``state_partitions`` (default: the cluster's default
-    parallelism) fixes the number of state-store partitions; it is read when
-    the query first starts and kept in its checkpoint."""
+                max_files_per_trigger: int | None = None, glob: str | None = None) -> str:
+    """Run the landing stream over everything available now and return the
+    output folder; read ``<out>/data`` with ``merge_readings`` (then ``score``)."""
     out = out or stream_dir(spark, "readings")
     reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = hourly_readings(reader.parquet(events_dir), watermark=watermark)
-    parts = state_partitions or spark.sparkContext.defaultParallelism
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    try:
-        q = (stream.writeStream.outputMode("update").foreachBatch(batch_writer(f"{out}/data"))
-                   .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+    q = (reader.parquet(events_dir).writeStream.foreachBatch(batch_writer(f"{out}/data"))
+               .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return out

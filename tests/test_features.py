@@ -48,18 +48,46 @@ def _same(a, b):
 def test_chunked_equals_unchunked(spark):
     r = fx.readings(spark, SF["0.01"])
     for spec in (TRAINING.with_(digits=6), WIDE.with_(digits=6)):
-        base = W.build_features(r, spec)
-        for b in (7, 50, 1000):
+        base = W.build_features(r, spec, chunk_rows=None)
+        for b in (7, 50, 1000, W.CHUNK_ROWS):
             assert _same(base, W.build_features(r, spec, chunk_rows=b)), (spec, b)
 
 
-def test_chunked_with_tiebreak_and_auto(spark):
+def test_chunked_with_tiebreak_and_bucket(spark):
     raw = fx.raw_readings(spark, SF["0.01"])
     spec = INFERENCE.with_(lags=(1, 24), roll_mean=(12,), roll_std=(6,), calendar=(), digits=6,
                            targets=(("target_h1", 24),))
-    base = W.build_features(raw, spec, tiebreak="event_id")
+    base = W.build_features(raw, spec, tiebreak="event_id", chunk_rows=None)
     assert _same(base, W.build_features(raw, spec, tiebreak="event_id", chunk_rows=13))
-    assert _same(base, W.build_features(raw, spec, tiebreak="event_id", chunk_rows="auto", auto_threshold=20))
+    assert _same(base, W.build_features(raw, spec, tiebreak="event_id", bucket="minute"))
+
+
+def test_null_keys_and_times_survive_every_plan(spark):
+    """One result whatever the plan or the chunk size; NULL keys and times are kept."""
+    r = fx.readings(spark, SF["0.001"]).select("series_id", "datetime", "pm2_5")
+    odd = spark.createDataFrame([("view", None, 1.0), (None, None, 3.0)], r.schema)
+    nullkey = r.limit(5).withColumn("series_id", F.lit(None).cast("string"))
+    d = r.unionByName(odd).unionByName(nullkey)
+    spec = WIDE.with_(digits=6, calendar=(), dropna=False)
+    n = d.count()
+    base = W.build_features(d, spec, chunk_rows=None)
+    key = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    for b in (5, 40, W.CHUNK_ROWS):
+        out = W.build_features(d, spec, chunk_rows=b)
+        assert out.count() == n and key(out) == key(base)
+    for a, b in ((W.time_split(d, 0.8, chunked=False), W.time_split(d, 0.8)),
+                 (W.tail_rows(d, 3, chunked=False), W.tail_rows(d, 3)),
+                 (W.horizon_target(d, "pm2_5", 2, chunk_rows=None), W.horizon_target(d, "pm2_5", 2, chunk_rows=9))):
+        assert key(a) == key(b)
+
+
+def test_dense_day_is_split(spark):
+    """With a finer bucket one dense day is ranked by more than one task."""
+    d = spark.range(4000).select(F.lit("s").alias("series_id"), F.col("id").alias("pm2_5"),
+                                 F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 20)").alias("datetime"))
+    o = W.with_ordinals(d, bucket="hour")
+    assert o.groupBy(F.date_trunc("hour", "datetime")).count().agg(F.max("count")).first()[0] <= 180
+    assert o.filter(F.col("_o") != F.col("pm2_5")).count() == 0
 
 
 def test_ordinals_are_dense(spark):
@@ -77,7 +105,7 @@ def _plan(df):
 def test_one_exchange_sort_window(spark):
     """All lags, rolling frames and leads of a preset share one Exchange,
     one Sort and one Window; no window runs on a single partition."""
-    plan = _plan(W.build_features(fx.readings(spark, SF["0.001"]), WIDE))
+    plan = _plan(W.build_features(fx.readings(spark, SF["0.001"]), WIDE, chunk_rows=None))
     assert plan.count("+- Window [") == 1, plan
     assert plan.count("+- Sort [") == 1, plan
     assert plan.count("Exchange hashpartitioning(series_id") == 1, plan
@@ -87,16 +115,16 @@ def test_one_exchange_sort_window(spark):
 def test_partition_filter_pushed_below_window(spark):
     """A filter on the series key reaches the scan side of the window."""
     r = fx.readings(spark, SF["0.001"])
-    df = W.build_features(r, WIDE).filter(F.col("series_id") == "click")
+    df = W.build_features(r, WIDE, chunk_rows=None).filter(F.col("series_id") == "click")
     plan = _plan(df)
     assert plan.index("Filter") > plan.index("Window [") or "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)]" in plan, plan
 
 
 def test_position_paths_equal_window_paths(spark):
     r = fx.readings(spark, SF["0.01"]).select("series_id", "datetime", "pm2_5")
-    assert _same(W.tail_rows(r, 24), W.tail_rows(r, 24, chunked=True))
-    assert _same(W.time_split(r, 0.8), W.time_split(r, 0.8, chunked=True))
-    assert _same(W.horizon_target(r, "pm2_5", 6), W.horizon_target(r, "pm2_5", 6, chunk_rows=40))
+    assert _same(W.tail_rows(r, 24, chunked=False), W.tail_rows(r, 24))
+    assert _same(W.time_split(r, 0.8, chunked=False), W.time_split(r, 0.8))
+    assert _same(W.horizon_target(r, "pm2_5", 6, chunk_rows=None), W.horizon_target(r, "pm2_5", 6, chunk_rows=40))
 
 
 def test_horizon_sweep_chunked_equal(spark):
@@ -104,7 +132,7 @@ def test_horizon_sweep_chunked_equal(spark):
     from airseries.plans.presets import FINAL
     f = W.build_features(fx.readings(spark, SF["0.01"]), FINAL.with_(digits=6)).dropna()
     feats = ["lag_1", "lag_3", "roll_mean_6"]
-    a = horizon_sweep(f, feats, "aqi_pm25", (1, 6, 24, 48), digits=6)
+    a = horizon_sweep(f, feats, "aqi_pm25", (1, 6, 24, 48), digits=6, chunk_rows=None)
     b = horizon_sweep(f, feats, "aqi_pm25", (1, 6, 24, 48), digits=6, chunk_rows=100)
     assert _same(a, b)
 

@@ -66,13 +66,12 @@ def test_cyclical(spark):
     assert abs(r["hour_sin"] - 1.0) < 1e-12 and abs(r["hour_cos"]) < 1e-12
 
 
-def test_describe_auto_switches_to_approx(spark):
+def test_describe_approx_close_to_exact(spark):
     from airseries.operators import quality as Q
     from airseries.plans import fixtures as fx
     r = fx.readings(spark, "/root/testdata/sf0.01")
     ex = {x["column"]: x for x in Q.describe(r, ["pm2_5"], exact=True).collect()}
-    ap = {x["column"]: x for x in Q.describe(r, ["pm2_5"], exact="auto", max_distinct=10).collect()}
-    assert Q.exact_is_bounded(r, ["pm2_5"], 10) == {"pm2_5": False}
+    ap = {x["column"]: x for x in Q.describe(r, ["pm2_5"], exact=False).collect()}
     assert ex["pm2_5"]["count"] == ap["pm2_5"]["count"]
     for k in ("q25", "q50", "q75"):
         assert abs(ex["pm2_5"][k] - ap["pm2_5"][k]) <= 0.02 * ex["pm2_5"]["max"]
@@ -86,13 +85,34 @@ def test_histogram_constant_column(spark):
     assert h[0]["lo"] == 4.5 and h[-1]["hi"] == 5.5 and h[5]["n"] == 3
 
 
-def test_boxplot_auto_approx_close_to_exact(spark):
+def test_boxplot_approx_close_to_exact(spark):
     from airseries.operators import eda as E
     from airseries.plans import fixtures as fx
     r = fx.readings(spark, "/root/testdata/sf0.01")
     ex = {x["series_id"]: x for x in E.boxplot_stats(r, "pm2_5", "series_id", exact=True).collect()}
-    ap = {x["series_id"]: x for x in E.boxplot_stats(r, "pm2_5", "series_id", exact="auto", max_distinct=10).collect()}
+    ap = {x["series_id"]: x for x in E.boxplot_stats(r, "pm2_5", "series_id", exact=False).collect()}
     assert ex.keys() == ap.keys()
     for k in ex:
         assert abs(ex[k]["q1"] - ap[k]["q1"]) <= 5.0 and abs(ex[k]["q3"] - ap[k]["q3"]) <= 5.0
         assert ap[k]["whisker_lo"] <= ap[k]["q1"] <= ap[k]["q3"] <= ap[k]["whisker_hi"]
+
+
+def test_metrics_of_a_constant_label(spark):
+    """A stuck sensor has a defined R2 and does not end the grouped job."""
+    from airseries.operators.metrics import regression_metrics
+    rows = [("ok", 1.0, 1.5), ("ok", 2.0, 2.0), ("ok", 3.0, 2.5), ("stuck", 5.0, 4.0), ("stuck", 5.0, 6.0),
+            ("exact", 5.0, 5.0), ("exact", 5.0, 5.0), ("one", 1.0, 1.0)]
+    got = {r["s"]: r["r2"] for r in regression_metrics(
+        spark.createDataFrame(rows, "s string, y double, p double"), by="s").collect()}
+    assert got == {"ok": 0.75, "stuck": 0.0, "exact": 1.0, "one": None}
+
+
+def test_sweep_with_a_stuck_sensor(spark):
+    from airseries.operators.training import horizon_sweep
+    from pyspark.sql import functions as F
+    d = spark.range(80).select(F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, id)").alias("datetime"),
+                               F.array(F.lit("a"), F.lit("stuck")).alias("k"), "id")
+    d = d.select(F.explode("k").alias("series_id"), "datetime", "id").withColumn(
+        "aqi_pm25", F.when(F.col("series_id") == "a", F.sin("id")).otherwise(F.lit(7.0))).withColumn("x", F.cos("id"))
+    out = horizon_sweep(d, ["x"], "aqi_pm25", (1, 6)).collect()
+    assert {(r["series_id"], r["horizon"]) for r in out} == {(s, h) for s in ("a", "stuck") for h in (1, 6)}

@@ -87,3 +87,34 @@ def test_load_active_later_wins_and_errors(spark):
     assert [(r["horizon_hours"], r["model_name"]) for r in out] == [(24, "m2")]
     with pytest.raises(RuntimeError):
         R.load_active(df.filter("status = 'inactive'"))
+
+
+def test_rollback_leaves_slots_without_the_run(spark):
+    reg = _reg(spark, [("a", 1, 1.0, 1.0, 0.5, None, "r1", "archived", False), ("b", 1, 2.0, 1.0, 0.5, None, "r2", "production", True)])
+    both = reg.withColumn("series_id", F.lit("A")).unionByName(
+        reg.filter("run_id = 'r2'").withColumn("series_id", F.lit("B")))
+    out = {(r["series_id"], r["model_name"]): r["is_best"] for r in R.rollback(both, 1, "r1", key=("series_id", "horizon")).collect()}
+    assert out == {("A", "a"): True, ("A", "b"): False, ("B", "b"): True}
+
+
+def test_several_new_rows_of_a_slot(spark):
+    reg = _reg(spark, [("old", 1, 3.0, 1.0, 0.5, None, "r0", "production", True)])
+    new = _reg(spark, [("x", 1, 2.0, 1.0, 0.5, None, "r1", "", None), ("y", 1, 1.0, 1.0, 0.5, None, "r1", "", None)])
+    out = R.publish(reg, new.drop("status", "is_best"))
+    R.assert_single_best(out)
+    assert _state(out)[("y", 1, "r1")] == ("production", True) and _state(out)[("x", 1, "r1")] == ("archived", False)
+    two = spark.createDataFrame([("old", 1, "v2", "b"), ("old", 1, "v1", "a")],
+                                "model_name string, horizon int, artifact string, run_id string")
+    got = R.upsert(reg, two).collect()
+    assert len(got) == 1 and got[0]["artifact"] == "v2"
+    assert R.best_model(reg.unionByName(reg), 1).count() == 1
+
+
+def test_file_registry_keeps_append_order(spark, tmpdir_path):
+    from airseries.sources import registry_file as RF
+    path = f"{tmpdir_path}/reg"
+    for i in (3, 9, 1, 7):
+        m = spark.createDataFrame([(f"m{i}", 24, 1.0, 0.5, ["f"])],
+                                  "model_name string, horizon_hours int, rmse double, r2 double, features array<string>")
+        RF.append_entries(RF.entries(m, "active"), path)
+        assert R.load_active(RF.read_entries(spark, path)).first()["model_name"] == f"m{i}"
