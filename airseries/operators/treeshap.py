@@ -3,9 +3,9 @@
 The fitted ensemble is read from MLlib's persisted form (a parquet table of
 nodes with split, prediction and weighted cover), collected once (its size is
 bounded by the model, not the data) and broadcast. ``mapInPandas`` then
-explains each Arrow batch of rows: the recursion over the tree is the same
-for every row, only the 0/1 "row goes this way" fractions differ, so each
-step is one numpy operation over the whole batch.
+explains each Arrow batch of rows leaf by leaf: rows differ only in the 0/1
+pattern of the turns they share with a leaf's path, so a leaf costs a few numpy
+operations over the batch and one small table over the patterns seen.
 """
 
 from __future__ import annotations
@@ -14,7 +14,10 @@ import uuid
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Nodes of an ensemble that are collected and broadcast, at most (some 50 bytes each).
+MAX_NODES = 2_000_000
 
 
 def ensemble_tables(model: PipelineModel, spark: SparkSession):
@@ -24,8 +27,10 @@ def ensemble_tables(model: PipelineModel, spark: SparkSession):
     est = model.stages[-1]
     path = f"{ensure_checkpoint_dir(spark)}/treeshap-{uuid.uuid4().hex[:12]}"
     est.write().save(path)
-    nodes = (spark.read.parquet(f"{path}/data")
-                  .select("treeID", "nodeData.id", "nodeData.prediction",
+    table = spark.read.parquet(f"{path}/data")
+    if (n := table.count()) > MAX_NODES:
+        raise ValueError(f"the ensemble has {n} nodes; at most {MAX_NODES} are broadcast")
+    nodes = (table.select("treeID", "nodeData.id", "nodeData.prediction",
                           F.get(F.col("nodeData.impurityStats"), 0).alias("cover"),
                           "nodeData.leftChild", "nodeData.rightChild",
                           F.col("nodeData.split.featureIndex").alias("feature"),
@@ -38,7 +43,7 @@ def ensemble_tables(model: PipelineModel, spark: SparkSession):
     is_forest = "RandomForest" in type(est).__name__
     weights = {int(r.treeID): (1.0 / ntrees if is_forest else float(r.weights)) for r in meta.itertuples()}
     trees = []
-    for tid, g in nodes.groupby("treeID"):
+    for tid, g in nodes.groupby("treeID", sort=True):
         g = g.sort_values("id")
         idx = {int(i): k for k, i in enumerate(g["id"])}
         left = np.array([idx.get(int(c), -1) for c in g["leftChild"]])
@@ -47,6 +52,7 @@ def ensemble_tables(model: PipelineModel, spark: SparkSession):
         trees.append({"left": left, "right": right, "feature": g["feature"].to_numpy(int),
                       "threshold": g["threshold"].to_numpy(float), "value": g["prediction"].to_numpy(float),
                       "cover": g["cover"].to_numpy(float), "root": root, "weight": weights[int(tid)]})
+        trees[-1]["paths"] = leaf_paths(trees[-1])
     return trees
 
 
@@ -58,77 +64,56 @@ def expected_value(trees) -> float:
     return total
 
 
-def _extend(path, pz, po, pi):
-    # path: list of [feature, zero_frac (float), one_frac (array), weight (array)]
-    n = len(po)
-    l = len(path)
-    path = [list(e) for e in path]
-    path.append([pi, pz, po, np.ones(n) if l == 0 else np.zeros(n)])
-    for i in range(l - 1, -1, -1):
-        path[i + 1][3] = path[i + 1][3] + po * path[i][3] * (i + 1) / (l + 1)
-        path[i][3] = pz * path[i][3] * (l - i) / (l + 1)
-    return path
-
-
-def _unwound_sum(path, i):
-    """Sum of the path weights after removing element ``i`` (vector)."""
-    l = len(path) - 1
-    o, z = path[i][2], path[i][1]
-    nxt = path[l][3].copy()
-    total = np.zeros_like(nxt)
-    safe_o = np.where(o != 0, o, 1.0)
-    for j in range(l - 1, -1, -1):
-        w_hot = nxt * (l + 1) / ((j + 1) * safe_o)
-        w_cold = path[j][3] * (l + 1) / (z * (l - j)) if z != 0 else np.zeros_like(nxt)
-        w = np.where(o != 0, w_hot, w_cold)
-        total += w
-        nxt = np.where(o != 0, path[j][3] - w * z * (l - j) / (l + 1), nxt)
-    return total
-
-
-def _unwind(path, i):
-    l = len(path) - 1
-    o, z = path[i][2], path[i][1]
-    nxt = path[l][3].copy()
-    out = [list(e) for e in path]
-    safe_o = np.where(o != 0, o, 1.0)
-    for j in range(l - 1, -1, -1):
-        w_hot = nxt * (l + 1) / ((j + 1) * safe_o)
-        w_cold = out[j][3] * (l + 1) / (z * (l - j)) if z != 0 else np.zeros_like(nxt)
-        w = np.where(o != 0, w_hot, w_cold)
-        nxt = np.where(o != 0, out[j][3] - w * z * (l - j) / (l + 1), nxt)
-        out[j][3] = w
-    for j in range(i, l):
-        out[j][0], out[j][1], out[j][2] = out[j + 1][0], out[j + 1][1], out[j + 1][2]
-    return out[:l]
-
-
-def tree_shap(tree, X: np.ndarray) -> np.ndarray:
-    """SHAP values (n x M) of one tree for the rows of ``X``."""
-    n, M = X.shape
-    phi = np.zeros((n, M))
+def leaf_paths(tree) -> list[tuple[float, list[tuple[int, float | None, float | None, float]]]]:
+    """Per leaf its value and, per distinct feature on its path, (feature, low,
+    high, share): the interval low < x <= high that leads there (None: open)
+    and the share of training rows that take those turns."""
     left, right, feat, thr = tree["left"], tree["right"], tree["feature"], tree["threshold"]
     value, cover = tree["value"], tree["cover"]
-
-    def recurse(j, path, pz, po, pi):
-        path = _extend(path, pz, po, pi)
+    out, stack = [], [(tree["root"], {})]
+    while stack:
+        j, path = stack.pop()
         if left[j] < 0:
-            for i in range(1, len(path)):
-                w = _unwound_sum(path, i)
-                phi[:, path[i][0]] += w * (path[i][2] - path[i][1]) * value[j]
-            return
-        d = feat[j]
-        goes_left = (X[:, d] <= thr[j]).astype(float)
-        iz, io = 1.0, np.ones(n)
-        k = next((k for k in range(1, len(path)) if path[k][0] == d), None)
-        if k is not None:
-            iz, io = path[k][1], path[k][2]
-            path = _unwind(path, k)
+            out.append((float(value[j]), [(f, *v) for f, v in path.items()]))
+            continue
+        d, t = int(feat[j]), float(thr[j])
+        lo, hi, z = path.get(d, (None, None, 1.0))
         a, b = left[j], right[j]
-        recurse(a, path, iz * cover[a] / cover[j], io * goes_left, d)
-        recurse(b, path, iz * cover[b] / cover[j], io * (1.0 - goes_left), d)
+        stack.append((a, {**path, d: (lo, t if hi is None else min(hi, t), z * cover[a] / cover[j])}))
+        stack.append((b, {**path, d: (t if lo is None else max(lo, t), hi, z * cover[b] / cover[j])}))
+    return out
+
 
-    recurse(tree["root"], [], 1.0, np.ones(n), -1)
+def tree_shap(tree, X: np.ndarray) -> np.ndarray:
+    """SHAP values (n x M) of one tree for the rows of ``X``.
+
+    A leaf's game has one player per feature on its path: in (1) if the row's
+    value leads to the leaf, else its share of the training rows. Its Shapley
+    values are (o_j - z_j) times the integral over t in [0, 1] of the product
+    of (1 - t) z_k + t o_k over the other players: a polynomial, which a Gauss
+    rule of half its degree integrates exactly. Rows with the same 0/1 pattern
+    share the result."""
+    phi = np.zeros(X.shape)
+    paths = tree.get("paths") or leaf_paths(tree)
+    for value, path in paths:
+        d = len(path)
+        if not d:
+            continue
+        pattern = np.zeros(len(X), np.int64)
+        for bit, (f, lo, hi, _) in enumerate(path):
+            x = X[:, f]
+            inside = np.ones(len(X), bool) if lo is None else ~(x <= lo)
+            if hi is not None:
+                inside &= x <= hi
+            pattern |= inside.astype(np.int64) << bit
+        seen, which = np.unique(pattern, return_inverse=True)
+        o = (seen[:, None] >> np.arange(d)) & 1
+        z = np.array([p[3] for p in path])
+        nodes, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+        t = (nodes + 1)[:, None, None] / 2
+        term = (1 - t) * z + t * o
+        inner = (term.prod(axis=2, keepdims=True) / term * (weights / 2)[:, None, None]).sum(axis=0)
+        phi[:, [p[0] for p in path]] += (value * (o - z) * inner)[which]
     return phi
 
 
@@ -142,15 +127,16 @@ def ensemble_shap(trees, X: np.ndarray) -> np.ndarray:
 def explain_trees(df: DataFrame, model: PipelineModel, features, keys=("series_id", "datetime"),
                   digits: int | None = None) -> DataFrame:
     """T11 (trees): per-row SHAP values, long ``(keys..., feature,
-    shap_value, rank)``. Rows are explained where they are (mapInPandas,
-    no shuffle); the ranking window is per row key (d rows per group)."""
+    shap_value, rank)``. Rows are explained and ranked where they are
+    (mapInPandas, no shuffle)."""
     from airseries.session import ship_package
     spark = df.sparkSession
     ship_package(spark)
     keys, feats = list(keys), list(features)
     bc = spark.sparkContext.broadcast(ensemble_tables(model, spark))
     key_schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keys).dtypes)
-    schema = f"{key_schema}, feature string, shap_value double"
+    schema = f"{key_schema}, feature string, shap_value double, rank int"
+    by_name = np.argsort(np.array(feats))
 
     def run(batches):
         trees = bc.value
@@ -164,8 +150,11 @@ def explain_trees(df: DataFrame, model: PipelineModel, features, keys=("series_i
             out = pdf[keys].loc[pdf.index.repeat(len(feats))].reset_index(drop=True)
             out["feature"] = np.tile(np.array(feats, dtype=object), len(pdf))
             out["shap_value"] = phi.reshape(-1)
+            # largest first, equal ones by name
+            order = by_name[np.argsort(-np.abs(phi[:, by_name]), axis=1, kind="stable")]
+            rank = np.empty_like(order)
+            np.put_along_axis(rank, order, np.arange(1, len(feats) + 1)[None, :].repeat(len(phi), 0), axis=1)
+            out["rank"] = rank.reshape(-1).astype("int32")
             yield out
 
-    long = df.select(*keys, *[F.col(f).cast("double") for f in feats]).mapInPandas(run, schema)
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("shap_value")), "feature")
-    return long.withColumn("rank", F.row_number().over(w))
+    return df.select(*keys, *[F.col(f).cast("double") for f in feats]).mapInPandas(run, schema)

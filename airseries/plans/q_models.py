@@ -108,6 +108,81 @@ def t10_feature_importance(spark, sf_dir):
     return X.feature_importance(m, FEATS)
 
 
+# ---- T1/T2/T4/T10 in closed form: one tree of depth 1 on the hour --------------------------
+
+_STUMP_SQL = fx.ctes("training", raw=True) + f""",
+s AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY datetime)
+                         <= floor(CAST(0.8 AS DOUBLE) * count(*) OVER (PARTITION BY series_id))
+                    THEN 'train' ELSE 'test' END AS split FROM training),
+t AS (SELECT * FROM s WHERE split = 'train'),
+cut AS (SELECT h FROM (
+  SELECT c.h, var_pop(target_h1) FILTER (hour <= c.h) * count(*) FILTER (hour <= c.h)
+            + var_pop(target_h1) FILTER (hour > c.h) * count(*) FILTER (hour > c.h) AS sse
+  FROM t, (SELECT DISTINCT hour AS h FROM t) c GROUP BY c.h HAVING count(*) FILTER (hour > c.h) > 0)
+  ORDER BY sse LIMIT 1),
+m AS (SELECT avg(target_h1) FILTER (hour <= h) AS lo, avg(target_h1) FILTER (hour > h) AS hi, any_value(h) AS h FROM t, cut),
+p AS (SELECT target_h1 AS y, CASE WHEN hour <= m.h THEN m.lo ELSE m.hi END AS p FROM s, m WHERE split = 'test')
+SELECT count(*) AS n, {r6('sqrt(avg(power(y - p, 2)))')} AS rmse, {r6('avg(abs(y - p))')} AS mae,
+       {r6('1 - sum(power(y - p, 2)) / (var_pop(y) * count(*))')} AS r2 FROM p"""
+
+
+def _stump(spark, sf_dir, name, **kw):
+    rows = time_split(fx.training_rows(spark, sf_dir, digits=None), 0.8)
+    m = TR.fit(rows.filter("split = 'train'"), ["hour"], "target_h1", name, partitions=1, maxDepth=1, **kw)
+    return regression_metrics(TR.predict(m, rows.filter("split = 'test'"), "p"), "target_h1", "p", digits=6)
+
+
+@register("t1_forest_stump_hour", _STUMP_SQL)
+def t1_forest_stump_hour(spark, sf_dir):
+    """One tree, every row once: the best split of the hour in closed form."""
+    return _stump(spark, sf_dir, "random_forest", numTrees=1, bootstrap=False, subsamplingRate=1.0)
+
+
+@register("t2_boosting_stump_hour", _STUMP_SQL)
+def t2_boosting_stump_hour(spark, sf_dir):
+    return _stump(spark, sf_dir, "gradient_boosting", maxIter=1)
+
+
+@register("t4_deep_boosting_stump_hour", _STUMP_SQL)
+def t4_deep_boosting_stump_hour(spark, sf_dir):
+    return _stump(spark, sf_dir, "boosted_deep", maxIter=1)
+
+
+@register("t10_importance_one_feature", "SELECT * FROM (VALUES ('hour', 1.0::DOUBLE), ('month', 0.0::DOUBLE)) AS t(feature, importance)")
+def t10_importance_one_feature(spark, sf_dir):
+    """The month of the fixture is constant, so the hour carries all importance."""
+    rows = fx.training_rows(spark, sf_dir, digits=None)
+    one = rows.withColumn("month", F.lit(1))
+    return X.feature_importance(TR.fit(one, ["hour", "month"], "target_h1", "random_forest", numTrees=3, maxDepth=2),
+                                ["hour", "month"])
+
+
+def _additive(spark, sf_dir, name, **kw):
+    """Rows explained, and rows where base + sum of attributions is not the prediction."""
+    from airseries.operators.treeshap import ensemble_tables, expected_value
+    rows = fx.training_rows(spark, sf_dir, digits=None)
+    m = TR.fit(rows, FEATS, "target_h1", name, **kw)
+    base = expected_value(ensemble_tables(m, spark))
+    total = X.explain_rows(rows, m, FEATS).groupBy("series_id", "datetime").agg(F.sum("shap_value").alias("s"))
+    pred = TR.predict(m, rows, "p").select("series_id", "datetime", "p")
+    bad = F.count_if(F.abs(F.lit(base) + F.col("s") - F.col("p")) > 1e-6)
+    return pred.join(total, ["series_id", "datetime"], "left").agg(
+        F.count("s").alias("n_rows"), bad.alias("n_not_additive"))
+
+
+_ADDITIVE_SQL = fx.ctes("training") + "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_not_additive FROM training"
+
+
+@register("t11_forest_shap_additive", _ADDITIVE_SQL)
+def t11_forest_shap_additive(spark, sf_dir):
+    return _additive(spark, sf_dir, "random_forest", numTrees=10, maxDepth=6)
+
+
+@register("t11_boosted_shap_additive", _ADDITIVE_SQL)
+def t11_boosted_shap_additive(spark, sf_dir):
+    return _additive(spark, sf_dir, "gradient_boosting", maxIter=10)
+
+
 # ---- T7: direct forecast -----------------------------------------------------------------
 
 LATEST_SQL = """latest AS (SELECT * EXCLUDE (rn) FROM (
