@@ -144,13 +144,59 @@ def op10(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@register("op7_template_decontamination")
+_UNITS = ", ".join(f"'{u}'" for u in decontaminate.UNITS)
+
+
+def _template_sql(name: str, table_: str, id_: str) -> str:
+    return f"""
+{name}_raw AS (SELECT DISTINCT {id_}, regexp_extract_all(coalesce(text, ''), '(\\p{{N}}+(?:[.,]\\p{{N}}+)*|[\\p{{L}}\\p{{M}}\\p{{N}}]+)') AS raw
+  FROM {table_} WHERE {id_} IS NOT NULL),
+{name}_tok AS (SELECT {id_}, raw, list_transform(raw, lambda x, i: CASE WHEN x >= '0' AND x < ':' THEN '<num>'
+    WHEN i > 1 AND x IN ({_UNITS}) AND raw[i - 1] >= '0' AND raw[i - 1] < ':' THEN '<unit>'
+    WHEN x <> lower(x) THEN '<name>' ELSE x END) AS shape FROM {name}_raw),
+{name}_pos AS (SELECT {id_}, raw, shape, unnest(range(1, len(shape) - 3)) AS pos FROM {name}_tok),
+{name}_win AS (SELECT {id_}, pos, shape[pos:pos + 4] AS win FROM {name}_pos
+  WHERE len(list_filter(shape[pos:pos + 4], lambda x: NOT x IN ('<num>', '<unit>', '<name>'))) >= 2)"""
+
+
+@register("op7_template_decontamination", f"""
+WITH {_template_sql('b', 'benchmark', 'item_id')}, {_template_sql('d', 'documents', 'doc_id')},
+total AS (SELECT item_id, count(DISTINCT pos) AS n FROM b_win GROUP BY item_id),
+aligned AS (
+  SELECT doc_id, item_id, d.pos - b.pos AS shift, count(DISTINCT b.pos) AS matched FROM d_win d JOIN b_win b ON d.win = b.win GROUP BY 1, 2, 3),
+hits AS (SELECT doc_id, item_id, shift, matched / n AS similarity FROM aligned JOIN total USING (item_id) WHERE matched >= 0.8 * n - 1e-9),
+slots AS (
+  SELECT h.*, b.shape[k] AS kind, b.raw[k] AS ours, d.raw[k + shift] AS theirs, d.shape[k + shift] AS there
+  FROM (SELECT h.*, unnest(range(1, len(b.shape) + 1)) AS k FROM hits h JOIN b_tok b USING (item_id)) h
+  JOIN b_tok b USING (item_id) JOIN d_tok d USING (doc_id) WHERE k + shift >= 1),
+used AS (SELECT * FROM slots WHERE kind IN ('<num>', '<unit>', '<name>') AND there = kind),
+judged AS (
+  SELECT h.doc_id, h.item_id, h.similarity, coalesce(bool_and(u.ours = u.theirs), true) AS verbatim,
+    count(DISTINCT CASE WHEN u.ours IS NOT NULL THEN (u.kind, u.ours, u.theirs) END) = count(DISTINCT CASE WHEN u.ours IS NOT NULL THEN (u.kind, u.ours) END) AS ok
+  FROM hits h LEFT JOIN used u ON h.doc_id = u.doc_id AND h.item_id = u.item_id AND h.shift = u.shift GROUP BY h.doc_id, h.item_id, h.shift, h.similarity)
+SELECT doc_id, item_id, max(similarity) AS similarity, bool_or(verbatim) AS verbatim FROM judged WHERE ok GROUP BY 1, 2
+""")
 def op7(spark, sf_dir):
     """The (document, benchmark item) pairs that share a template."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@register("op3_suffix_dedup")
+@register("op3_suffix_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, k, substr(h, 1024 * k + 1, 1122) AS part FROM (SELECT doc_id, h, unnest(range(0, (length(h) + 1023) // 1024)) AS k FROM d)),
+p AS (SELECT doc_id, k, part, unnest(range(0, least(512, length(part) // 2))) AS j FROM c),
+w AS (SELECT doc_id, 512 * k + j AS i, substr(part, 2 * j + 1, 2) AS b,
+        CASE WHEN 2 * j + 100 <= length(part) THEN substr(part, 2 * j + 1, 100) END AS s FROM p),
+f AS (SELECT s, min(doc_id) AS lo FROM w WHERE s IS NOT NULL GROUP BY s),
+m AS (SELECT w.doc_id, w.i, w.b, max(CASE WHEN f.lo < w.doc_id THEN 1 ELSE 0 END)
+        OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM w LEFT JOIN f ON w.s = f.s),
+g AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM m),
+r AS (SELECT doc_id, count(*) AS n, sum(gone) AS gone, count(*) FILTER (gone = 1 AND before = 0) AS spans,
+        string_agg(b, '' ORDER BY i) FILTER (gone = 0) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+""")
 def op3(spark, sf_dir):
     """The bytes of every text that an earlier document has too, removed."""
     out = suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
