@@ -31,15 +31,22 @@ def union_history_forecast(history: DataFrame, forecast: DataFrame, flag: str |
 
 
 def feature_model_grid(latest: DataFrame, models: DataFrame, horizons, key=None,
-                       broadcast_max_rows: int = 10_000) -> DataFrame:
+                       broadcast_max_rows: int = 10_000, missing: str = "raise") -> DataFrame:
     """Every serving row paired with the model of every horizon. The
     horizon list (bounded, known from the registry) is exploded onto the
     rows and joined on ``horizon`` (+ ``key`` for per-series models): an
     equi-join, not a cross product. Pooled models are a handful of rows and
     would make ``horizon`` a hot shuffle key, so the model side is broadcast
     when a row-count check proves it small; per-series model tables beyond
-    the bound shuffle on (horizon, key)."""
+    the bound shuffle on (horizon, key). A horizon without any model is an
+    error (``missing="raise"``) or gives rows with NULL model columns
+    (``"null"``); a series without a model of its own gets NULLs."""
+    if missing == "raise":
+        asked = [int(h) for h in horizons]
+        have = {r[0] for r in models.where(F.col("horizon").isin(asked)).select("horizon").distinct().collect()}
+        if lacking := sorted(set(asked) - have):
+            raise RuntimeError(f"no model for horizon(s) {lacking}")
     from airseries.session import broadcast_if_small
     g = latest.withColumn("horizon", F.explode(F.array(*[F.lit(int(h)) for h in horizons])))
     on = ["horizon"] + ([key] if isinstance(key, str) else list(key or []))
-    return g.join(broadcast_if_small(models, broadcast_max_rows), on, "inner")
+    return g.join(broadcast_if_small(models, broadcast_max_rows), on, "left")

@@ -171,6 +171,24 @@ def w13_inference_set_chunked(spark, sf_dir):
     return W.build_features(fx.raw_readings(spark, sf_dir), spec, tiebreak="event_id", chunk_rows=50)
 
 
+def _full_inference_sql() -> str:
+    o = "datetime, event_id"
+    cols = [shift("pm2_5", k, f"pm2_5_lag_{k}", order=o) for k in INFERENCE.lags]
+    cols += [roll("pm2_5", n, f"pm2_5_roll_mean_{n}", order=o) for n in INFERENCE.roll_mean]
+    cols += [roll("pm2_5", n, f"pm2_5_roll_std_{n}", fn="stddev_samp", order=o) for n in INFERENCE.roll_std]
+    return fx.ctes("raw_readings") + f"""
+SELECT series_id, event_id, datetime, pm2_5, CAST(hour(datetime) AS INTEGER) AS hour, CAST(day(datetime) AS INTEGER) AS day,
+       CAST(month(datetime) AS INTEGER) AS month, CAST(isodow(datetime) - 1 AS INTEGER) AS dayofweek,
+       {', '.join(cols)}
+FROM raw_readings"""
+
+
+@register("w13_inference_preset", _full_inference_sql())
+def w13_inference_preset(spark, sf_dir):
+    """The whole inference preset in one build: seven lags, four means, four deviations, calendar."""
+    return W.build_features(fx.raw_readings(spark, sf_dir), INFERENCE.with_(digits=R6), tiebreak="event_id")
+
+
 # ---- F1-F9 ------------------------------------------------------------------------
 
 @register("f1_feature_projection", fx.ctes("training") + f"SELECT {', '.join(TRAINING_FEATURES)} FROM training")

@@ -150,6 +150,7 @@ def r6_rollback(spark, sf_dir):
 
 
 SERIES_COLS = ["series_id", *COLS]
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 _PER_SERIES = f"""per_series AS (
   SELECT s.series_id, r.* FROM registry r, (SELECT DISTINCT event_type AS series_id FROM events) s
   WHERE NOT (s.series_id = 'view' AND r.run_id = 'run_0'))"""
@@ -157,11 +158,8 @@ _PER_SERIES = f"""per_series AS (
 
 def _per_series(spark, sf_dir):
     """The registry once per series; the series 'view' has no row of run_0."""
-    s = fx.table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id")).distinct()
-    listed = F.explode(F.array(*[F.lit(x) for x in fx.SERIES])).alias("series_id") if hasattr(fx, "SERIES") else None
-    reg = _reg(spark, sf_dir)
-    both = reg.select(listed, "*") if listed is not None else reg.withColumn("_k", F.lit(1)).join(
-        s.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    names = F.array(*[F.lit(x) for x in EVENT_TYPES])
+    both = _reg(spark, sf_dir).select(F.explode(names).alias("series_id"), "*")
     return both.filter(~((F.col("series_id") == "view") & (F.col("run_id") == "run_0")))
 
 

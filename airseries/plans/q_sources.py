@@ -42,16 +42,21 @@ def s3_plan_backfill(spark, sf_dir):
 
 
 @register("s8_forecast_documents", fx.ctes("readings") + """
-SELECT series_id, 1 AS horizon, 'persistence_h1' AS model_version, TIMESTAMP '2024-02-01 00:00:00' AS generated_at,
+SELECT series_id, 1 AS horizon, 'persistence_h1' AS model_version, CAST(date_trunc('day', datetime) AS TIMESTAMP) AS generated_at,
+       CAST(row_number() OVER (PARTITION BY series_id, date_trunc('day', datetime) ORDER BY datetime) - 1 AS INTEGER) AS position,
        datetime + INTERVAL 24 HOUR AS datetime, pm2_5 AS predicted_aqi
 FROM readings""")
 def s8_forecast_documents(spark, sf_dir):
+    """A document per series and day of generation (24 hourly values at most),
+    unnested with each value's place in its document."""
     r = fx.readings(spark, sf_dir)
     flat = r.select("series_id", F.lit(1).alias("horizon"), F.lit("persistence_h1").alias("model_version"),
-                    F.lit("2024-02-01 00:00:00").cast("timestamp_ntz").alias("generated_at"),
+                    F.to_date("datetime").cast("timestamp_ntz").alias("generated_at"),
                     (F.col("datetime") + F.expr("INTERVAL 24 HOURS")).alias("datetime"),
                     F.col("pm2_5").alias("predicted_aqi"))
-    return TB.unnest_documents(TB.forecast_documents(flat))
+    docs = TB.forecast_documents(flat)
+    rest = [c for c in docs.columns if c != "predictions"]
+    return docs.select(*rest, F.posexplode("predictions").alias("position", "_p")).select(*rest, "position", "_p.*")
 
 
 @register("j1_align_weather", fx.ctes("readings", "weather") + """
