@@ -97,14 +97,14 @@ def t5_train_candidates_h1(spark, sf_dir):
     rows = time_split(fx.training_rows(spark, sf_dir, digits=None), 0.8)
     train, val = rows.filter("split = 'train'"), rows.filter("split = 'test'")
     reg, _ = TR.train_candidates(train, val, FEATS, "target_h1", 1, "run_q",
-                                 registered_at="2024-02-01 00:00:00")
+                                 registered_at="2024-02-01 00:00:00", partitions=2)
     return reg.drop("features")
 
 
 @register("t10_feature_importance")
 def t10_feature_importance(spark, sf_dir):
     rows = time_split(fx.training_rows(spark, sf_dir, digits=None), 0.8).filter("split = 'train'")
-    m = TR.fit(rows, FEATS, "target_h2", "random_forest")
+    m = TR.fit(rows, FEATS, "target_h2", "random_forest", partitions=2)
     return X.feature_importance(m, FEATS)
 
 
