@@ -46,6 +46,8 @@ SHINGLE, SIMILAR = 5, 0.8
 #: (number of sketches, shingles of a sketch) for long and for short texts.
 LONG, SHORT = (40, 6), (12, 2)
 LONG_FROM, SHORT_TO = 18, 24
+#: Rounds against one node of a bucket before its classes are compared in full (saves work, changes no result).
+STAR_ROUNDS = 3
 #: Words a worker remembers the hash of.
 REMEMBER = 500_000
 #: Cells of the hash matrix at once (long texts are done in groups of sketches).
@@ -255,9 +257,25 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         # the two shares with another class
         mass = _shared_mass(scratch, open_, words)
         able = scratch.write(open_.join(mass, "node").where(F.col("shared") >= F.col("n") * SIMILAR - 1e-9), "near-able")
+        enough = F.least("shared", "us") >= SIMILAR / (1 + SIMILAR) * (F.col("n") + F.col("un")) - 1e-9
+        # a few rounds against one node of each bucket, another one each time: they join most of a
+        # group at the cost of its size; what they leave apart is compared in full below
+        for turn in range(STAR_ROUNDS):
+            chosen = F.min_by(F.struct("node", "n", "class", "shared"), F.xxhash64("node", F.lit(turn)))
+            lead = scratch.write(able.groupBy("mark").agg(chosen.alias("l")).select(
+                F.col("mark").alias("m"), F.col("l.node").alias("u"), F.col("l.n").alias("un"),
+                F.col("l.class").alias("uc"), F.col("l.shared").alias("us")), "near-leads")
+            met = (able.join(lead, (able["mark"] == lead["m"]) & in_range & enough & (F.col("class") != F.col("uc")))
+                   .select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+                   .join(stars, ["u", "v"], "left_anti"))
+            met = scratch.write(met, "near-stars")
+            links = scratch.write(links.unionByName(_linked(met, words)), "near-links")
+            stars = scratch.write(stars.unionByName(met), "near-stars")
+            cc = components(links)
+            able = scratch.write(able.drop("class").join(cc, "node", "left").select(
+                "mark", "node", "n", F.coalesce("component", "node").alias("class"), "shared"), "near-able")
         other = able.select("mark", F.col("node").alias("u"), F.col("n").alias("un"), F.col("class").alias("uc"),
                             F.col("shared").alias("us"))
-        enough = F.least("shared", "us") >= SIMILAR / (1 + SIMILAR) * (F.col("n") + F.col("un")) - 1e-9
         cross = (able.join(other, (able["mark"] == other["mark"]) & in_range & enough
                            & (F.col("class") != F.col("uc")) & (F.col("u") < F.col("node")))
                  .select("u", F.col("node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti"))
