@@ -113,3 +113,43 @@ def _consistent(aligned: DataFrame, items: DataFrame, docs: DataFrame, doc_id: s
     same = F.expr("forall(slots, s -> s.ours = s.theirs)")
     return (slots.where(distinct == values).select("doc_id", "item_id", "similarity", same.alias("verbatim"))
             .groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("verbatim").alias("verbatim")))
+
+
+def literal_hashes(raw: str) -> Column:
+    """Hash of the case-folded window that starts at each token; no placeholder, no literal minimum."""
+    at = ", ".join(f"get(low, i + {j})" for j in range(WINDOW))
+    return F.expr(f"""transform(array(transform({raw}, x -> lower(x))), low -> transform(
+        slice(low, 1, greatest(size(low) - {WINDOW - 1}, 0)), (x, i) -> xxhash64({at})))[0]""")
+
+
+def _evidence(rows: DataFrame, id_: str, text: str, out: str) -> DataFrame:
+    """``out``, kind, place and hash of every window: the case-folded tokens."""
+    w = _templates(rows, id_, text, out).select(out, literal_hashes("raw").alias("_literal"))
+    return w.select(out, F.lit("literal").alias("kind"), F.posexplode("_literal").alias("place", "hash"))
+
+
+def leaked(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id",
+           text: str = "text", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id of every pair of ``contaminated``, and of every copy that its windows do not show.
+
+    Case-folded literal windows find copies in capitals, and items made of names and
+    numbers. Matched windows are summed over neighbouring offsets, up to an item's
+    length apart, so words inserted into a copy or left out of it do not split it."""
+    items = written(_evidence(benchmark, item_id, item_text, "item_id").distinct(), "leak-windows")
+    of = items.groupBy("item_id", "kind").agg(F.countDistinct("place").alias("of"))
+    places = written(items.withColumnRenamed("place", "i").join(of, ["item_id", "kind"]), "leak-places")
+    hashes = broadcast_if_small(written(places.select("hash").distinct(), "leak-hashes"), BROADCAST_ROWS)
+    found = written(_evidence(docs, doc_id, text, "doc_id").withColumnRenamed("place", "p")
+                    .join(hashes, "hash", "left_semi"), "leak-found")
+    aligned = written(_bands(found, places).groupBy("doc_id", "item_id", "kind", "band", "of")
+                      .agg(F.countDistinct("i").alias("matched"))
+                      .where(F.col("matched") >= F.col("of") * SIMILAR - 1e-9), "leak-aligned")
+    exact = contaminated(docs, benchmark, doc_id=doc_id, item_id=item_id, text=text, item_text=item_text)
+    return exact.select("doc_id", "item_id").unionByName(aligned.select("doc_id", "item_id")).distinct()
+
+
+def _bands(found: DataFrame, places: DataFrame) -> DataFrame:
+    """Matched windows by band of offsets; two overlapping bands hold each offset, so that
+    offsets up to ``of`` apart share one."""
+    at = F.floor((F.col("p") - F.col("i")) / F.greatest("of", F.lit(WINDOW)))
+    return found.join(places, ["hash", "kind"]).withColumn("band", F.explode(F.array(at, at - 1)))
