@@ -122,10 +122,24 @@ def literal_hashes(raw: str) -> Column:
         slice(low, 1, greatest(size(low) - {WINDOW - 1}, 0)), (x, i) -> xxhash64({at})))[0]""")
 
 
+def _runs(rows: DataFrame, id_: str) -> DataFrame:
+    """raw, shape (each run of names, and of numbers with their units, is one placeholder) and the
+    token that each of its places starts at."""
+    typed = rows.withColumn("_typed", F.expr("transform(shape, x -> if(x = '<unit>', '<num>', x))"))
+    head = "i = 0 OR x NOT IN ('<num>', '<name>') OR x <> get(_typed, i - 1)"
+    return typed.select(id_, "raw", F.expr(f"filter(_typed, (x, i) -> {head})").alias("shape"),
+                        F.expr(f"filter(transform(_typed, (x, i) -> if({head}, i, NULL)), i -> i IS NOT NULL)").alias("starts"))
+
+
 def _evidence(rows: DataFrame, id_: str, text: str, out: str) -> DataFrame:
-    """``out``, kind, place and hash of every window: the case-folded tokens."""
-    w = _templates(rows, id_, text, out).select(out, literal_hashes("raw").alias("_literal"))
-    return w.select(out, F.lit("literal").alias("kind"), F.posexplode("_literal").alias("place", "hash"))
+    """``out``, kind, place and hash of every window: the case-folded tokens, and the template of runs."""
+    w = _runs(_templates(rows, id_, text, out), out).select(
+        out, literal_hashes("raw").alias("_literal"), window_hashes("shape").alias("_shape"))
+    w = w.select(out, F.size("_literal").alias("_n"), F.posexplode(F.concat("_literal", "_shape")).alias("_at", "hash"))
+    shape = F.col("_at") >= F.col("_n")
+    return (w.where("hash IS NOT NULL")
+            .select(out, F.when(shape, "shape").otherwise("literal").alias("kind"),
+                    F.when(shape, F.col("_at") - F.col("_n")).otherwise(F.col("_at")).alias("place"), "hash"))
 
 
 def leaked(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id",
@@ -133,7 +147,8 @@ def leaked(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", ite
     """doc_id, item_id of every pair of ``contaminated``, and of every copy that its windows do not show.
 
     Case-folded literal windows find copies in capitals, and items made of names and
-    numbers. Matched windows are summed over neighbouring offsets, up to an item's
+    numbers. Templates of runs find re-parameterised questions whose values have other
+    numbers of tokens. Matched windows are summed over neighbouring offsets, up to an item's
     length apart, so words inserted into a copy or left out of it do not split it."""
     items = written(_evidence(benchmark, item_id, item_text, "item_id").distinct(), "leak-windows")
     of = items.groupBy("item_id", "kind").agg(F.countDistinct("place").alias("of"))
@@ -145,7 +160,47 @@ def leaked(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", ite
                       .agg(F.countDistinct("i").alias("matched"))
                       .where(F.col("matched") >= F.col("of") * SIMILAR - 1e-9), "leak-aligned")
     exact = contaminated(docs, benchmark, doc_id=doc_id, item_id=item_id, text=text, item_text=item_text)
-    return exact.select("doc_id", "item_id").unionByName(aligned.select("doc_id", "item_id")).distinct()
+    sure = exact.select("doc_id", "item_id").unionByName(aligned.where("kind = 'literal'").select("doc_id", "item_id"))
+    sure = written(sure.distinct(), "leak-sure")
+    # slots are read only where no literal copy is known
+    unsure = written(aligned.where("kind = 'shape'").join(sure, ["doc_id", "item_id"], "left_anti"), "leak-unsure")
+    if unsure.isEmpty():
+        return sure
+    ids = written(unsure.select("doc_id").distinct(), "leak-ids")
+    known = docs.join(ids.select(F.col("doc_id").alias("_id")), docs[doc_id] == F.col("_id"), "left_semi")
+    matches = (_bands(found.where("kind = 'shape'").join(ids, "doc_id", "left_semi"), places)
+               .join(unsure.select("doc_id", "item_id", "kind", "band"), ["doc_id", "item_id", "kind", "band"], "left_semi"))
+    fit = _fitting(matches, _slots(benchmark, item_id, item_text, "item_id", "i", "ours"),
+                   _slots(known, doc_id, text, "doc_id", "p", "theirs"))
+    return sure.unionByName(fit).distinct()
+
+
+def _slots(rows: DataFrame, id_: str, text: str, out: str, place: str, value: str) -> DataFrame:
+    """``out``, place, type and case-folded value of every placeholder; the values of all texts with one id."""
+    r = _runs(_templates(rows, id_, text, out).distinct(), out)
+    end = "coalesce(get(starts, i + 1), size(raw)) - starts[i]"
+    each = r.select(out, F.posexplode(F.expr(f"""transform(shape, (x, i) -> if(x IN ('<num>', '<name>'),
+        struct(x AS type, lower(array_join(slice(raw, starts[i] + 1, {end}), ' ')) AS value), NULL))""")).alias(place, "_s"))
+    return each.where("_s IS NOT NULL").select(out, place, F.col("_s.type").alias("type"), F.col("_s.value").alias(value)).distinct()
+
+
+def _fitting(matches: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """doc_id, item_id of the bands whose slots inside matched windows correspond one to one value."""
+    key = ["doc_id", "item_id", "band"]
+    # a place of the item is read at the offset that most windows of the band share
+    places = (matches.select(*key, (F.col("p") - F.col("i")).alias("shift"),
+                             F.explode(F.sequence("i", F.col("i") + (WINDOW - 1))).alias("i")).distinct())
+    weight = matches.groupBy(*key, (F.col("p") - F.col("i")).alias("shift")).agg(F.countDistinct("i").alias("w"))
+    best = (places.join(weight, [*key, "shift"]).groupBy(*key, "i")
+            .agg(F.max_by("shift", F.struct("w", -F.col("shift"))).alias("shift")))
+    slots = (best.withColumn("p", F.col("i") + F.col("shift")).join(ours, ["item_id", "i"])
+             .join(theirs, ["doc_id", "p", "type"]))
+    votes = slots.groupBy(*key, "type", "ours", "theirs").agg(F.countDistinct("i").alias("n"))
+    values = votes.groupBy(*key, "type", "ours").agg(F.max("n").alias("n"), F.sum("n").alias("of"))
+    judged = values.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("of").alias("of"))
+    # bands without a slot have nothing to contradict them
+    bad = judged.where(F.col("n") < F.col("of")).select(*key)
+    return matches.select(*key).distinct().join(bad, key, "left_anti").select("doc_id", "item_id")
 
 
 def _bands(found: DataFrame, places: DataFrame) -> DataFrame:

@@ -35,3 +35,16 @@ def test_stage_drops_capitals(spark, tmpdir_path):
     docs = docs_of(spark, [ITEM.upper(), ITEM, "other words " * 30]).unionByName(
         spark.createDataFrame([(None, ITEM.upper())], "doc_id long, text string"))
     assert {r.doc_id for r in corpus_pipeline.drop_benchmark(spark, docs, tmpdir_path).collect()} == {2, None}
+
+
+QUESTION = ("Anna buys 5 apples at the market and then she walks home along the river while Paul waits for 20 minutes "
+            "near the old bridge and then they share the fruit with all their neighbours")
+
+
+def test_inserted_word_and_longer_values(spark):
+    inserted = ITEM.replace("some of", "some few of")
+    longer = QUESTION.replace("Anna", "Mary Ann").replace("5 apples", "5 1/2 apples").replace("20 minutes", "3 hours 20 minutes")
+    both = longer.replace("walks home", "walks slowly home")
+    docs = docs_of(spark, ["x " + inserted + " y", longer, both, ITEM[:len(ITEM) // 2], "A B C D E F G 1 2 3 4 " * 9])
+    assert pairs(decontaminate.leaked(docs, bench_of(spark, ITEM, QUESTION))) == {(0, 0), (1, 1), (2, 1)}
+    assert not pairs(decontaminate.contaminated(docs, bench_of(spark, ITEM, QUESTION)))
