@@ -185,7 +185,8 @@ def _slots(rows: DataFrame, id_: str, text: str, out: str, place: str, value: st
 
 
 def _fitting(matches: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """doc_id, item_id of the bands whose slots inside matched windows correspond one to one value."""
+    """doc_id, item_id of the bands where the share ``SIMILAR`` of the slots inside matched windows
+    corresponds one to one value."""
     key = ["doc_id", "item_id", "band"]
     # a place of the item is read at the offset that most windows of the band share
     places = (matches.select(*key, (F.col("p") - F.col("i")).alias("shift"),
@@ -199,7 +200,7 @@ def _fitting(matches: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFram
     values = votes.groupBy(*key, "type", "ours").agg(F.max("n").alias("n"), F.sum("n").alias("of"))
     judged = values.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("of").alias("of"))
     # bands without a slot have nothing to contradict them
-    bad = judged.where(F.col("n") < F.col("of")).select(*key)
+    bad = judged.where(F.col("n") < F.col("of") * SIMILAR - 1e-9).select(*key)
     return matches.select(*key).distinct().join(bad, key, "left_anti").select("doc_id", "item_id")
 
 

@@ -48,3 +48,13 @@ def test_inserted_word_and_longer_values(spark):
     docs = docs_of(spark, ["x " + inserted + " y", longer, both, ITEM[:len(ITEM) // 2], "A B C D E F G 1 2 3 4 " * 9])
     assert pairs(decontaminate.leaked(docs, bench_of(spark, ITEM, QUESTION))) == {(0, 0), (1, 1), (2, 1)}
     assert not pairs(decontaminate.contaminated(docs, bench_of(spark, ITEM, QUESTION)))
+
+
+def test_one_slot_in_conflict(spark):
+    item = ("The ship leaves port with 30 sailors and 12 dogs when Anna calls out to Paul near the old tower and Berta "
+            "waits until The guard of the bridge has seen Emil at the gate with 9 cats")
+    moved = (item.replace("30", "41").replace("12", "8").replace("Anna", "Eva").replace("Paul", "Sven")
+             .replace("Berta", "Mia").replace("Emil", "Otto").replace("9", "6"))
+    docs = docs_of(spark, [item.replace("The guard", "My guard"), moved.replace("The guard", "My guard"),
+                           moved.replace("The guard", "My guard") + " Then Max and Eva and 8 others left. The End"])
+    assert pairs(decontaminate.leaked(docs, bench_of(spark, item))) == {(0, 0), (1, 0), (2, 0)}
