@@ -33,12 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from airseries.llm import near_dup
 from airseries.llm.common import prepare, text_of, written
 
 #: Labelled rows of either class that the model is fitted on, at most.
 SAMPLE_PER_CLASS = 6_000
-#: A term has to occur in this share of the sampled toxic texts, and in LEAST texts.
-SUPPORT, LEAST = 0.01, 4
+#: A term has to occur in so many toxic texts that are not copies of each other.
+LEAST = 4
 #: Share of a term's (class-balanced) occurrences that fall on toxic texts, at least.
 PRECISION = 0.95
 STEM_LENGTHS = (4, 5, 6)
@@ -124,7 +125,7 @@ class Trie:
 
 @dataclass
 class Model:
-    """Lexicon and weights; a few thousand terms at most by SUPPORT."""
+    """Lexicon and weights; its terms come from the bounded sample."""
     words: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
@@ -231,33 +232,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
 def _lexicon(rows: DataFrame, size: dict[int, int]) -> tuple[list[str], list[str]]:
     """Whole words and stems that tell toxic texts from others."""
-    n1, n0 = float(size[1]), float(size[0])
-    least = max(LEAST, SUPPORT * n1)
     toxic, clean = rows.where("_y = 1"), rows.where("_y = 0")
-    # at most (terms of a text) / SUPPORT terms pass, however many texts there are
-    frequent = written(_terms(toxic).groupBy("term", "stem").agg(F.count("*").alias("pos"))
-                       .where(F.col("pos") >= least), "toxicity-terms")
-    neg = _terms(clean).join(F.broadcast(frequent), ["term", "stem"], "left_semi").groupBy("term", "stem").agg(
+    # copies, near ones too, count as one text: their class stands for them
+    classes = near_dup.near_duplicates(toxic.select(F.xxhash64("_id").alias("doc_id"), F.col("_text").alias("text")))
+    classes = written(classes.select(F.col("doc_id").alias("_key"), F.col("class_id").alias("_class")).distinct(), "toxicity-classes")
+    n1, n0 = float(classes.agg(F.countDistinct("_class")).first()[0]), float(size[0])
+    toxic = toxic.withColumn("_key", F.xxhash64("_id")).join(classes, "_key")
+    frequent = written(_terms(toxic, "_class").distinct().groupBy("term", "stem").agg(F.count("*").alias("pos"))
+                       .where(F.col("pos") >= LEAST), "toxicity-terms")
+    neg = _terms(clean).join(frequent, ["term", "stem"], "left_semi").groupBy("term", "stem").agg(
         F.count("*").alias("neg"))
     share1, share0 = F.col("pos") / n1, (F.coalesce("neg", F.lit(0)) + 0.5) / n0
     telling = written(frequent.join(neg, ["term", "stem"], "left")
-                      .where(share1 / (share1 + share0) >= PRECISION), "toxicity-telling")
-    # the words before a term: copies of one text show the same one, a real term many
-    pairs = (toxic.select(F.split(F.lower("_text"), r"[^\p{L}\p{N}]+").alias("_w"))
-             .select(F.explode(F.expr("array_distinct(transform(_w, (x, i) -> struct(x AS w, "
-                                      "if(i = 0, '', _w[i - 1]) AS before)))")).alias("p"))
-             .select("p.w", "p.before").where("w <> ''").distinct())
+                      .where(share1 / (share1 + share0) >= PRECISION).select("term", "stem", "pos"), "toxicity-telling")
+    # the different words that carry a stem
     stems = [F.struct(F.substring("w", 1, n).alias("term"), F.lit(n).alias("stem")) for n in STEM_LENGTHS]
-    shown = (pairs.select("w", "before", F.explode(F.array(F.struct(F.col("w").alias("term"), F.lit(0).alias("stem")),
-                                                           *stems)).alias("t"))
-             .where("t.stem = 0 OR length(w) > t.stem").select("w", "before", "t.term", "t.stem")
-             .join(F.broadcast(telling), ["term", "stem"]).groupBy("term", "stem")
-             .agg(F.countDistinct("before").alias("contexts"), F.countDistinct("w").alias("kinds")))
-    found = shown.where(F.col("contexts") >= least).collect()
-    words = {r["term"]: r["contexts"] for r in found if not r["stem"]}
-    able = {r["term"]: r["contexts"] for r in found if r["stem"] and r["kinds"] >= STEM_KINDS
-            and r["contexts"] >= 2 * max([0, *(c for w, c in words.items() if w.startswith(r["term"]))])}
-    # the longest stem that still carries nearly all of the shorter one's contexts
+    kinds = (toxic.select(F.explode(_words()).alias("w")).distinct()
+             .select("w", F.explode(F.array(*stems)).alias("t")).where("length(w) > t.stem").select("w", "t.term", "t.stem")
+             .groupBy("term", "stem").agg(F.count("*").alias("kinds")))
+    found = telling.join(kinds, ["term", "stem"], "left").collect()
+    words = {r["term"]: r["pos"] for r in found if not r["stem"]}
+    able = {r["term"]: r["pos"] for r in found if r["stem"] and (r["kinds"] or 0) >= STEM_KINDS
+            and r["pos"] >= 2 * max([0, *(c for w, c in words.items() if w.startswith(r["term"]))])}
+    # the longest stem that still carries nearly all of the shorter one's texts
     kept = [t for t, c in able.items() if not any(u != t and u.startswith(t) and d >= 0.9 * c for u, d in able.items())]
     shortest = [t for t in kept if not any(t != u and t.startswith(u) for u in kept)]
     return sorted(words), sorted(shortest)
@@ -268,15 +265,15 @@ def _words() -> Column:
     return F.filter(words, lambda w: w != "")
 
 
-def _terms(rows: DataFrame) -> DataFrame:
-    """(term, stem) once per text: its words (stem 0) and their first letters (stem = how many)."""
-    w = rows.select(_words().alias("_w"))
+def _terms(rows: DataFrame, *keep: str) -> DataFrame:
+    """(term, stem) once per text, with its ``keep``: its words (stem 0) and their first letters (stem = how many)."""
+    w = rows.select(*keep, _words().alias("_w"))
     kinds = [F.struct(F.lit(0).alias("stem"), F.col("_w").alias("of"))]
     for n in STEM_LENGTHS:
         cut = F.expr(f"array_distinct(transform(filter(_w, x -> length(x) > {n}), x -> substring(x, 1, {n})))")
         kinds.append(F.struct(F.lit(n).alias("stem"), cut.alias("of")))
-    return (w.select(F.explode(F.array(*kinds)).alias("k"))
-            .select("k.stem", F.explode("k.of").alias("term")))
+    return (w.select(*keep, F.explode(F.array(*kinds)).alias("k"))
+            .select(*keep, "k.stem", F.explode("k.of").alias("term")))
 
 
 _MATCHERS: dict[int, Matcher] = {}

@@ -1,7 +1,9 @@
 """The operators over inputs that a narrower rule would lose."""
 
+import random
+
 import corpus_pipeline
-from airseries.llm import decontaminate
+from airseries.llm import decontaminate, toxicity
 
 ITEM = ("Anna buys twelve apples at the market and then she gives some of them to her old neighbour Paul who "
         "lives near the river with his dog and two cats")
@@ -58,3 +60,19 @@ def test_one_slot_in_conflict(spark):
     docs = docs_of(spark, [item.replace("The guard", "My guard"), moved.replace("The guard", "My guard"),
                            moved.replace("The guard", "My guard") + " Then Max and Eva and 8 others left. The End"])
     assert pairs(decontaminate.leaked(docs, bench_of(spark, item))) == {(0, 0), (1, 0), (2, 0)}
+
+
+# --- toxicity
+
+def test_fixed_phrase_is_learnt(spark):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(3000)]
+    text = lambda: " ".join(rng.choices(vocab, k=40))
+    copied = text() + " qqcopied " + text()
+    rows = [(i, text() + (" you zzslur " if i < 10 else " you vvcommon ") + text(), 1) for i in range(1200)]
+    rows += [(5000 + i, copied + f" {vocab[i]}", 1) for i in range(60)]
+    rows += [(10_000 + i, text() + " you " + text(), 0) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.drop("text"))
+    known = lambda w: w in model.words or any(w.startswith(s) for s in model.stems)
+    assert known("vvcommon") and known("zzslur") and not known("qqcopied")
