@@ -152,13 +152,24 @@ def _articles(e: Element, out: list[Element], tag: str) -> None:
 
 
 def content_roots(root: Element) -> list[Element]:
-    """The articles, else the main elements, else the whole page."""
-    for tag in ("article", "main"):
-        out: list[Element] = []
-        _articles(root, out, tag)
-        if out:
-            return out
-    return [root]
+    """The main elements and the articles outside them; without a main element, the whole page."""
+    mains: list[Element] = []
+    _articles(root, mains, "main")
+    if not mains:
+        return [root]
+    out: list[Element] = []
+    _outermost(root, out, {id(m) for m in mains})
+    return out
+
+
+def _outermost(e: Element, out: list[Element], mains: set[int]) -> None:
+    stack = [e]
+    while stack:
+        node = stack.pop()
+        if id(node) in mains or node.tag == "article" and not dropped(node, False):
+            out.append(node)
+        elif node.tag == "#root" or not dropped(node, False):
+            stack.extend(n for n in reversed(node.nodes) if isinstance(n, Element))
 
 
 def subtree_hashes(root: Element) -> dict[int, tuple[int, Element]]:
@@ -226,10 +237,9 @@ def text_of_page(page: str, templates: frozenset[int] = frozenset()) -> str:
             open_.clear()
 
     for top in content_roots(prune(parse(page), templates)):
-        in_article = top.tag != "#root"
-        stack: list = list(reversed(top.nodes))
+        stack: list = [(n, top.tag != "#root") for n in reversed(top.nodes)]
         while stack:
-            n = stack.pop()
+            n, in_article = stack.pop()
             if n is None:
                 end_block()
             elif isinstance(n, str):
@@ -240,8 +250,9 @@ def text_of_page(page: str, templates: frozenset[int] = frozenset()) -> str:
                 block = n.tag in BLOCK
                 if block:
                     end_block()
-                    stack.append(None)
-                stack.extend(reversed(n.nodes))
+                    stack.append((None, False))
+                inside = in_article or n.tag in ("article", "main")
+                stack.extend((m, inside) for m in reversed(n.nodes))
         end_block()
     return "\n\n".join(blocks)
 

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from airseries.llm import decontaminate, toxicity
+from airseries.llm import decontaminate, html_text, toxicity
 
 ITEM = ("Anna buys twelve apples at the market and then she gives some of them to her old neighbour Paul who "
         "lives near the river with his dog and two cats")
@@ -76,3 +76,14 @@ def test_fixed_phrase_is_learnt(spark):
     model = toxicity.fit(df.drop("toxic"), df.drop("text"))
     known = lambda w: w in model.words or any(w.startswith(s) for s in model.stems)
     assert known("vvcommon") and known("zzslur") and not known("qqcopied")
+
+
+# --- html
+
+def test_text_beside_an_article():
+    inner = "<h1>Head</h1><p>Body of the page</p>"
+    teaser = "<article><h2>Teaser</h2></article>"
+    want = "Head\n\nBody of the page\n\nTeaser"
+    assert html_text.text_of_page(f"<body><nav>n</nav><main>{inner}</main>{teaser}<footer>f</footer></body>") == want
+    assert html_text.text_of_page(f"<body><header>s</header><div>{inner}</div>{teaser}</body>") == want
+    assert html_text.text_of_page(f"<body><article><header>own</header>{inner}</article></body>") == "own\n\n" + want[:-8]
