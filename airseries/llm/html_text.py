@@ -6,7 +6,8 @@ scripts, styles, reader comments) go by tag, role or class. What a site repeats
 goes by count: every container subtree is hashed, Spark counts the distinct
 pages of each (host, hash), and subtrees that recur on many pages of their host
 are deleted. Article text proper (``article``/``main`` themselves, paragraphs,
-headings, lists, quotations inside them) is never taken for a template, so a
+headings, lists, quotations inside them, and what holds one of these) is never
+taken for a template, nor is the block that holds most of a page's text, so a
 passage that many articles share stays.
 
 Character references are decoded, white space inside a block becomes one space,
@@ -14,8 +15,8 @@ blocks are joined by an empty line. Nothing is capped.
 
 Defined results: NULL or empty html gives an empty text; a page without a host
 takes part in no template count; broken markup is closed where HTML implies it;
-repeated rows are each extracted (and count as one page of a template only if
-their page_id is equal); other columns are ignored; an empty table gives an
+repeated rows are each extracted (equal pages count as one page of a template,
+whatever their page_ids); other columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -56,6 +57,7 @@ DROPPED_WORDS = frozenset("""ad ads advert adverts advertisement advertising ban
  comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe signup login
  widget pagination pager toolbar skip""".split())
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre figure figcaption article main body html".split())
+PAGE_TAGS = frozenset("article main body html".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -172,22 +174,49 @@ def _outermost(e: Element, out: list[Element], mains: set[int]) -> None:
             stack.extend(n for n in reversed(node.nodes) if isinstance(n, Element))
 
 
+def main_block(root: Element) -> tuple[set[int], Element]:
+    """By identity: the elements that hold more than half of a page's text outside dropped
+    elements; and the innermost container of them."""
+    size: dict[int, int] = {}
+    stack: list = [(root, False)]
+    while stack:
+        e, done = stack.pop()
+        if e.tag != "#root" and dropped(e, True) or e.tag == "title":
+            size[id(e)] = 0
+        elif not done:
+            stack.append((e, True))
+            stack.extend((n, False) for n in e.nodes if isinstance(n, Element))
+        else:
+            size[id(e)] = sum(size[id(n)] if isinstance(n, Element) else len("".join(n.split())) for n in e.nodes)
+    most, at, block = {id(root)}, root, root
+    while inner := [n for n in at.nodes if isinstance(n, Element) and 2 * size[id(n)] > size[id(root)]]:
+        at = inner[0]
+        most.add(id(at))
+        if at.tag in BLOCK and at.tag not in TEXT_TAGS - PAGE_TAGS:
+            block = at
+    return most, block
+
+
 def subtree_hashes(root: Element) -> dict[int, tuple[int, Element]]:
     """By identity: signed 64-bit hash and element, of every subtree that may be a template.
 
     Bottom-up in one walk: a subtree's hash is made of its tag, texts and the
-    hashes below (attributes do not count). Article text is left out, and so
-    are subtrees that hold an article."""
+    hashes below (attributes do not count). Left out are article text, the block
+    that holds most of the page's text, whatever inside them holds a paragraph,
+    heading or list, and subtrees that hold an article."""
     out: dict[int, tuple[int, Element]] = {}
     digest: dict[int, bytes] = {}
     holds: set[int] = set()
+    texts: set[int] = set()
+    most, block = main_block(root)
     stack: list = [(root, False, False)]
     while stack:
         e, in_article, done = stack.pop()
-        inside = in_article or e.tag in ("article", "main")
+        bare = e is block and e.tag in ("#root", "html", "body")
+        inside = in_article or e.tag in ("article", "main") or e is block and not bare
         if not done:
             stack.append((e, in_article, True))
-            stack.extend((n, inside, False) for n in e.nodes if isinstance(n, Element))
+            stack.extend((n, inside or bare and n.tag in TEXT_TAGS - PAGE_TAGS, False) for n in e.nodes if isinstance(n, Element))
             continue
         h = xxhash.xxh64(e.tag)
         for n in e.nodes:
@@ -195,13 +224,17 @@ def subtree_hashes(root: Element) -> dict[int, tuple[int, Element]]:
                 h.update(digest.pop(id(n)))
                 if id(n) in holds:
                     holds.add(id(e))
+                if id(n) in texts:
+                    texts.add(id(e))
             else:
                 h.update(" ".join(n.split()).encode("utf-8", "replace"))
         digest[id(e)] = h.digest()
         if e.tag in ("article", "main"):
             holds.add(id(e))
-        free = e.tag not in TEXT_TAGS or not in_article and e.tag not in ("html", "body")
-        if e.tag in BLOCK and free and id(e) not in holds:
+        if e.tag in TEXT_TAGS:
+            texts.add(id(e))
+        free = id(e) not in texts if in_article else e.tag not in ("html", "body")
+        if e.tag in BLOCK and free and id(e) not in holds and id(e) not in most:
             v = h.intdigest()
             out[id(e)] = v - (1 << 64) if v >> 63 else v, e
     return out
@@ -265,19 +298,21 @@ def site_templates(pages: DataFrame) -> DataFrame:
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, hosts, found = [], [], []
-            for pid, host, page in zip(*(c.to_pylist() for c in b.columns)):
+            for host, page in zip(*(c.to_pylist() for c in b.columns)):
+                # copies of a whole page are one page
+                whole = xxhash.xxh64(page.encode("utf-8", "replace")).intdigest()
                 for h in candidates(parse(page)):
-                    ids.append(pid)
+                    ids.append(whole - (1 << 64) if whole >> 63 else whole)
                     hosts.append(host)
                     found.append(h)
-            yield pa.RecordBatch.from_pydict({"page_id": pa.array(ids, pa.int64()), "host": pa.array(hosts, pa.string()),
+            yield pa.RecordBatch.from_pydict({"page": pa.array(ids, pa.int64()), "host": pa.array(hosts, pa.string()),
                                               "hash": pa.array(found, pa.int64())})
 
     known = pages.where("host <> '' AND html IS NOT NULL AND page_id IS NOT NULL")
-    seen = known.mapInArrow(hashes, "page_id long, host string, hash long")
+    seen = known.select("host", "html").mapInArrow(hashes, "page long, host string, hash long")
     # distinct pages, counted in two steps so that a common subtree of a large host is split over tasks
     counts = seen.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= MANY_PAGES)
-    total = known.select("host", "page_id").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    total = known.select("host", F.xxhash64("html").alias("page")).distinct().groupBy("host").agg(F.count("*").alias("of"))
     return (counts.join(total, "host").where(F.col("n") >= F.col("of") * MANY_SHARE)
             .groupBy("host").agg(F.collect_list("hash").alias("hashes")))
 

@@ -87,3 +87,18 @@ def test_text_beside_an_article():
     assert html_text.text_of_page(f"<body><nav>n</nav><main>{inner}</main>{teaser}<footer>f</footer></body>") == want
     assert html_text.text_of_page(f"<body><header>s</header><div>{inner}</div>{teaser}</body>") == want
     assert html_text.text_of_page(f"<body><article><header>own</header>{inner}</article></body>") == "own\n\n" + want[:-8]
+
+
+def texts_of(spark, pages):
+    rows = [(i, f"https://a.org/{i}", p) for i, p in enumerate(pages)]
+    return [r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+            .orderBy("page_id").collect()]
+
+
+def test_copied_articles_stay(spark):
+    body = "<p>A long article that many pages hold</p><p>in two paragraphs</p>"
+    want = "A long article that many pages hold\n\nin two paragraphs"
+    assert texts_of(spark, [f"<article><div>{body}</div></article><div>ref {i}</div>" for i in range(8)])[3].startswith(want)
+    assert texts_of(spark, [f"<body><div>{body}</div><div>ref {i}</div></body>" for i in range(8)])[3].startswith(want)
+    same = "<body><div>first words</div><div>second words</div></body>"
+    assert texts_of(spark, [same] * 8) == ["first words\n\nsecond words"] * 8
