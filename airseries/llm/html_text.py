@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from airseries.llm.common import prepare, written
 from airseries.llm.url_filter import host_of
 
-#: A subtree is a template of a host if it recurs on so many of its pages, and on this share of them.
-MANY_PAGES, MANY_SHARE = 5, 0.5
+#: A subtree is a template of a host if it recurs on so many of its pages, and on this share of them
+#: (which bounds a host's templates to 1 / MANY_SHARE times the subtrees of a page).
+MANY_PAGES, MANY_SHARE = 5, 0.01
 
 # fixed values: HTML's element classes
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

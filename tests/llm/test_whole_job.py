@@ -102,3 +102,8 @@ def test_copied_articles_stay(spark):
     assert texts_of(spark, [f"<body><div>{body}</div><div>ref {i}</div></body>" for i in range(8)])[3].startswith(want)
     same = "<body><div>first words</div><div>second words</div></body>"
     assert texts_of(spark, [same] * 8) == ["first words\n\nsecond words"] * 8
+
+
+def test_notice_of_one_section(spark):
+    pages = [f"<body><div>own long text of page number {i}</div>{'<div>Box</div>' if i % 10 < 4 else ''}</body>" for i in range(60)]
+    assert texts_of(spark, pages) == [f"own long text of page number {i}" for i in range(60)]
