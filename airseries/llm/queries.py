@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airseries.llm import bpe, decontaminate, html_text, near_dup, sharding, suffix_dedup, token_counts, toxicity, url_filter, vector_topk
+from airseries.llm import bpe, decontaminate, html_text, near_dup, piece, sharding, suffix_dedup, token_counts, toxicity, url_filter, vector_topk
 from airseries.llm.common import prepare, table, written  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +224,18 @@ def op4(spark, sf_dir):
     return after.select("doc_id", F.col("n_before").alias("n_tokens_before"), F.col("n_tokens").alias("n_tokens_after"),
                         "n_encoded", (F.octet_length("lens") / 4).cast("long").alias("n_pretokens"),
                         F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256"))
+
+
+PIECES = "piece_bpe_32k.model"
+
+
+@register("op11_sentencepiece")
+def op11(spark, sf_dir):
+    """Every whole text encoded by the merge-type model, with an end id, and decoded again."""
+    model = public_tokenizers.path(PIECES)
+    ids = piece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, end=True)
+    both = piece.decode(ids, model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
