@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airseries.llm import bpe, decontaminate, html_text, near_dup, piece, sharding, suffix_dedup, token_counts, toxicity, url_filter, vector_topk
+from airseries.llm import align, bpe, decontaminate, html_text, near_dup, piece, sharding, spelling, suffix_dedup, token_counts, toxicity, url_filter, vector_topk
 from airseries.llm.common import prepare, table, written  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,3 +239,50 @@ def op11(spark, sf_dir):
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@register("op12_spelling_variants", """
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+low AS (
+  SELECT doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs
+  WHERE length(run) >= 7 GROUP BY ALL),
+keyed AS (SELECT run, n, hex(encode(doc || ':' || run)) AS hx FROM low),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(0, length(hx) // 2),
+      lambda i: CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) AS h FROM keyed, t),
+slipped AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+    ELSE run END AS word, n FROM hashed),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.s = b.s AND a.i = b.i WHERE a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN w ON c.s = w.word UNION SELECT w.word, c.word FROM cut c JOIN w ON c.s = w.word),
+ranked AS (
+  SELECT near.word, other, w.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+    row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, other) AS r FROM near JOIN w ON near.other = w.word),
+told AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form,
+    CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n FROM w LEFT JOIN ranked ON w.word = ranked.word AND r = 1),
+walk AS (
+  SELECT word, word AS at, form AS nxt FROM told
+  UNION ALL SELECT walk.word, walk.nxt, told.form FROM walk JOIN told ON walk.nxt = told.word)
+SELECT told.word, form, walk.at AS root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM told JOIN walk ON told.word = walk.word AND walk.nxt IS NULL
+""")
+def op12(spark, sf_dir):
+    """Every repeated word with its near words, its form and its root."""
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents")))
+
+
+@register("op13_token_alignment")
+def op13(spark, sf_dir):
+    """Every document's token groups and links under two tokenizers, with the links' corpus-wide counts."""
+    out = align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"),
+                      PATTERN, public_tokenizers.path(PIECES), digest=True)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
