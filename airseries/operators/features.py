@@ -4,15 +4,21 @@ All window columns of one build share a single ``Window`` spec
 (``partitionBy(key).orderBy(order)``), so Catalyst plans them as one
 Exchange + one Sort + one Window node.
 
-Skew: a Window partition is never split by AQE. Builds therefore run one
-halo-chunked plan whatever the size: every row gets its per-series ordinal
-(``with_ordinals``), is copied to the neighbouring chunks that need it as
-look-back/look-ahead, the window runs per (series, chunk), and each chunk keeps
-only its own rows. A window task holds ``chunk_rows + lookback + lead`` rows of a
-series, whatever its length; an ordinal task holds one (series, ``bucket``), a
-calendar day unless a finer ``bucket`` is given for dense series. NULL keys and
-NULL times are values like others (NULL times first). ``chunk_rows=None`` asks
-for one window per series instead; nothing counts rows to choose a plan.
+Skew: a Window partition is never split by AQE. Builds therefore run one plan
+whatever the size, with one full shuffle. Rows are first counted per (series, cell of
+time) in a scan of the key and time columns only; prefix sums of these counts cut each
+series with more than ``chunk_rows`` rows into pieces of consecutive cells, and tell for
+each piece the first and last cell that its look-back and look-ahead reach, and the
+position of its first row. That table holds one row per such long series, so it joins by
+broadcast; every row finds its piece by binary search over the piece starts, is copied
+to the few neighbouring pieces that need its cell, and the window runs per (series,
+piece), which gives features, positions and series sizes at once; each piece keeps its own
+rows. A cell is a day; days with more than ``chunk_rows`` rows of a series are counted
+by the second instead, so a window task holds ``chunk_rows`` rows, one cell and its
+neighbours' halo, whatever the length of a series and the density of its days
+(``bucket`` fixes another cell). NULL keys and NULL times are values like others (NULL
+times first). ``chunk_rows=None`` asks for one window per series instead; nothing
+counts rows to choose a plan.
 """
 
 from __future__ import annotations
@@ -112,20 +118,17 @@ def window_columns(spec: FeatureSpec, w) -> dict[str, Column]:
 
 
 def build_features(df: DataFrame, spec: FeatureSpec, key="series_id", order="datetime",
-                   tiebreak=None, chunk_rows: int | None = CHUNK_ROWS, bucket=None,
-                   keep_ordinal: bool = False) -> DataFrame:
+                   tiebreak=None, chunk_rows: int | None = CHUNK_ROWS, bucket=None) -> DataFrame:
     """Apply ``spec`` per series. ``chunk_rows``: rows of a series per window
-    task (halo chunks), or None for one window per series, for callers that
-    know every series is bounded; both give the same rows. ``bucket``: see
-    ``with_ordinals``. An existing ``_o`` ordinal column is reused (and kept
-    with ``keep_ordinal``)."""
+    task, or None for one window per series, for callers that know every
+    series is bounded; both give the same rows. ``bucket``: see ``series_pieces``."""
     if spec.alias:
         df = df.withColumn(spec.alias, F.col(spec.source))
     if spec.calendar:
         ts = F.col(order if isinstance(order, str) else order[0])
         df = df.withColumns({p: _PARTS[p](ts) for p in spec.calendar})
     if chunk_rows:
-        out = _chunked(df, spec, key, order, tiebreak, int(chunk_rows), bucket, keep_ordinal)
+        out = _pieced(df, spec, key, order, tiebreak, int(chunk_rows), bucket)
     else:
         out = df.withColumns(window_columns(spec, series_window(key, order, tiebreak)))
     return out.dropna(how="any") if spec.dropna else out
@@ -163,14 +166,139 @@ def with_ordinals(df: DataFrame, key="series_id", order="datetime", tiebreak=Non
              .drop("_bkt", "_off"))
 
 
-def with_position(df: DataFrame, key="series_id", order="datetime", tiebreak=None, bucket=None) -> DataFrame:
-    """``_o`` (0-based row position) and ``_n`` (rows in the series), both
-    without gathering a series into one task: ordinals as in
-    ``with_ordinals``, sizes from a per-series count joined back."""
+#: Seconds of a cell by its name, and a coordinate before all times.
+_CELLS = {"day": 86_400, "hour": 3_600, "minute": 60, "second": 1}
+_FIRST, _LAST = -(1 << 62), 1 << 62
+#: Pieces of all long series together (the rows of the broadcast table's arrays).
+MAX_PIECES = 100_000
+#: A piece is reached from the pieces up to so many places away (it holds as many rows as any halo).
+_REACH = 2
+
+
+def _coordinate(df: DataFrame, order: str) -> Column:
+    """A long that rises with the time column: its second, whatever the session's time zone."""
+    t, kind = F.col(order), dict(df.dtypes)[order]
+    if kind == "timestamp":
+        x = F.floor(F.unix_micros(t) / F.lit(1_000_000)).cast("long")
+    elif kind == "timestamp_ntz":
+        x = (F.unix_date(F.to_date(t)).cast("long") * 86_400 + F.hour(t) * 3_600 + F.minute(t) * 60
+             + F.second(t)).cast("long")
+    elif kind == "date":
+        x = F.unix_date(t).cast("long") * 86_400
+    else:
+        raise ValueError(f"{order}: a {kind} column needs a bucket column that rises with it")
+    return F.coalesce(x, F.lit(_FIRST))
+
+
+def series_pieces(df: DataFrame, x: Column, key, lookback: int, lead: int, chunk_rows: int, bucket=None) -> DataFrame:
+    """The pieces of every series with more than ``chunk_rows`` rows, one row a series: the keys,
+    ``_tot`` (rows) and ``_pieces``, an array of (start, lo, off, hi): a piece's first cell, the
+    first cell its look-back reaches, the position of that cell's first row, and the end of
+    what the look-ahead of the piece before it reaches.
+
+    ``x``: the rows' coordinate. ``bucket``: a cell's name, or a column that is its own cell. All
+    series together get at most twice ``MAX_PIECES`` pieces: beyond ``MAX_PIECES * chunk_rows``
+    rows, pieces grow instead, so the table stays small enough to broadcast."""
+    keys = _keys(key)
+    size = max(chunk_rows, lookback, lead, 1)
+    base = df.select(*keys, x.alias("_x"))
+
+    def counted(rows: DataFrame, width: int | None) -> DataFrame:
+        cell = F.col("_x") if width is None else F.col("_x") - F.pmod("_x", F.lit(width))
+        return rows.groupBy(*keys, cell.alias("_c")).agg(F.count(F.lit(1)).alias("_k"))
+
+    if isinstance(bucket, Column):
+        cells = counted(base, None)
+    else:
+        cells = counted(base, _CELLS[bucket or "day"])
+        if bucket is None:  # days that alone would fill a piece are counted by the second
+            full = F.col("_k") > size
+            heavy = cells.where(full).select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_c").alias("_h"))
+            day = F.col("_x") - F.pmod("_x", F.lit(_CELLS["day"]))
+            same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys] + [day == F.col("_h")]
+            dense = base.join(F.broadcast(heavy), same, "left_semi")
+            cells = cells.where(~full).unionByName(counted(dense, _CELLS["second"]))
+    rows_each = F.greatest(F.lit(size), F.ceil(counted(base, _CELLS["day"]).agg(F.sum("_k")).scalar() / MAX_PIECES))
+    along = Window.partitionBy(*keys).orderBy("_c")
+    s = cells.withColumns({"_off": F.coalesce(F.sum("_k").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+                           "_tot": F.sum("_k").over(Window.partitionBy(*keys)),
+                           "_before": F.lag("_c").over(along), "_next": F.lead("_c", 1, _LAST).over(along)})
+    s = s.where(F.col("_tot") > rows_each).withColumn("_p", F.floor(F.col("_off") / rows_each))
+    by_row = Window.partitionBy(*keys).orderBy("_off")
+    behind = by_row.rangeBetween(1 - lookback, 0) if lookback else None
+    lo = F.coalesce(F.min("_before").over(behind), F.col("_c")) if behind else F.col("_c")
+    hi = F.max("_next").over(by_row.rangeBetween(0, lead - 1)) if lead else F.col("_c")
+    s = s.withColumns({"_lo": lo, "_hi": hi, "_was": F.lag("_p").over(along), "_row": F.col("_off") - F.lag("_k").over(along)})
+    if behind:  # the position of the first row of the cell _lo
+        s = s.withColumn("_at", F.coalesce(F.min("_row").over(behind), F.col("_off")))
+    else:
+        s = s.withColumn("_at", F.col("_off"))
+    firsts = s.where(F.col("_was").isNull() | (F.col("_was") != F.col("_p")))
+    return firsts.groupBy(*keys).agg(F.max("_tot").alias("_tot"), F.array_sort(F.collect_list(F.struct(
+        F.col("_c").alias("start"), F.col("_lo").alias("lo"), F.col("_at").alias("off"), F.col("_hi").alias("hi")))).alias("_pieces"))
+
+
+def _place(x: Column, pieces: Column) -> Column:
+    """Index (from 0) of the last piece that starts at or before ``x``: a binary search."""
+    def halve(state: Column, _: Column) -> Column:
+        mid = F.floor((state["lo"] + state["hi"] + 1) / 2).cast("int")
+        right = F.element_at(pieces, mid + 1)["start"] <= x
+        return F.when(state["lo"] == state["hi"], state).otherwise(
+            F.struct(F.when(right, mid).otherwise(state["lo"]).alias("lo"),
+                     F.when(right, state["hi"]).otherwise(mid - 1).alias("hi")))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(pieces))).cast("int") + 1)
+    whole = F.struct(F.lit(0).alias("lo"), (F.size(pieces) - 1).alias("hi"))
+    return F.aggregate(steps, whole, halve, lambda state: state["lo"])
+
+
+def in_pieces(df: DataFrame, lookback: int, lead: int, key="series_id", order="datetime", tiebreak=None,
+              chunk_rows: int = CHUNK_ROWS, bucket=None) -> DataFrame:
+    """``df`` with every row in each piece that needs it: ``_piece``, ``_own`` (whether the
+    row belongs to it), ``_base`` (position of the piece's first row) and ``_tot`` (rows of the
+    series, NULL unless it is long; such a series has one piece)."""
     keys = _keys(key)
-    o = df if "_o" in df.columns else with_ordinals(df, key, order, tiebreak, bucket)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return null_safe_join(o, sizes, keys)
+    x = F.coalesce(bucket.cast("long"), F.lit(_FIRST)) if isinstance(bucket, Column) else \
+        _coordinate(df, _orders(order)[0])
+    pieces = series_pieces(df, x, key, lookback, lead, chunk_rows, bucket)
+    r = pieces.withColumnsRenamed({k: f"_j_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys]
+    j = df.withColumn("_x", x).join(F.broadcast(r), same, "left").drop(*[f"_j_{k}" for k in keys])
+    table, x = F.col("_pieces"), F.col("_x")
+    j = j.withColumn("_at", F.when(table.isNotNull(), _place(x, table)))
+    own = F.col("_at")
+
+    def entry(i: Column) -> Column:
+        return F.element_at(table, i + 1)
+
+    near = F.sequence(F.greatest(own - _REACH, F.lit(0)), F.least(own + _REACH, F.size(table) - 1))
+    needed = F.filter(near, lambda i: (i == own) | ((i > own) & (entry(i)["lo"] <= x)) | ((i < own) & (x < entry(i + 1)["hi"])))
+    of_long = F.transform(needed, lambda i: F.struct(i.alias("_piece"), (i == own).alias("_own"), entry(i)["off"].alias("_base")))
+    of_other = F.array(F.struct(F.lit(0).alias("_piece"), F.lit(True).alias("_own"), F.lit(0).cast("long").alias("_base")))
+    places = F.when(table.isNotNull(), of_long).otherwise(of_other)
+    rest = [F.col(f"`{c}`") for c in df.columns]
+    return j.select(*rest, "_tot", F.inline(places))
+
+
+def _pieced(df: DataFrame, spec: FeatureSpec, key, order, tiebreak, chunk_rows: int, bucket=None,
+            position: bool = False) -> DataFrame:
+    """Window columns per (series, piece); with ``position`` also ``_o`` (0-based position in
+    the series) and ``_n`` (rows of the series)."""
+    rows = in_pieces(df, spec.lookback, spec.lead, key, order, tiebreak, chunk_rows, bucket)
+    part = Window.partitionBy(*_keys(key), "_piece")
+    w = part.orderBy(*_orders(order, tiebreak))
+    cols = window_columns(spec, w)
+    if position:
+        cols["_o"] = F.col("_base") + F.row_number().over(w) - F.lit(1)
+        cols["_n"] = F.coalesce("_tot", F.count(F.lit(1)).over(part))
+    return rows.withColumns(cols).where("_own").drop("_piece", "_own", "_base", "_tot")
+
+
+def with_position(df: DataFrame, key="series_id", order="datetime", tiebreak=None, bucket=None,
+                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``_o`` (0-based row position) and ``_n`` (rows in the series), both
+    without gathering a long series into one task."""
+    return _pieced(df, FeatureSpec(), key, order, tiebreak, chunk_rows, bucket, position=True)
 
 
 def chunk_range(ordinal: Column, lookback: int, lead: int, B: int) -> Column:
@@ -182,19 +310,6 @@ def chunk_range(ordinal: Column, lookback: int, lead: int, B: int) -> Column:
     return F.sequence(lo, hi)
 
 
-def _chunked(df: DataFrame, spec: FeatureSpec, key, order, tiebreak, B: int, bucket=None,
-             keep_ordinal: bool = False) -> DataFrame:
-    keys = _keys(key)
-    lb, ld = spec.lookback, spec.lead
-    o = df if "_o" in df.columns else with_ordinals(df, key, order, tiebreak, bucket)
-    rep = o.withColumn("_chunk", F.explode(chunk_range(F.col("_o"), lb, ld, B)))
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_o")
-    out = rep.withColumns(window_columns(spec, w))
-    own = F.floor(F.col("_o") / F.lit(B)).cast("long")
-    out = out.filter(F.col("_chunk") == own).drop("_chunk")
-    return out if keep_ordinal else out.drop("_o")
-
-
 # ---------------------------------------------------------------- single ops
 
 def add_lags(df, col="pm2_5", ks=(1, 6, 12, 24, 48, 72, 168), name="{src}_lag_{k}",
@@ -224,9 +339,8 @@ def horizon_target(df, col="aqi_pm25", h: int = 1, name="target",
     if h < 1:
         raise ValueError("horizon must be >= 1")
     if chunk_rows:
-        p = with_position(df, key, order, tiebreak, bucket)
-        out = build_features(p, FeatureSpec(source=col, targets=((name, h),)), key, order, tiebreak,
-                             chunk_rows=chunk_rows, keep_ordinal=True)
+        out = _pieced(df, FeatureSpec(source=col, targets=((name, h),)), key, order, tiebreak, chunk_rows, bucket,
+                      position=True)
         return out.filter(F.col("_o") < F.col("_n") - F.lit(h)).drop("_o", "_n")
     w = series_window(key, order, tiebreak)
     return (df.withColumns({name: F.lead(col, h).over(w),

@@ -125,14 +125,12 @@ def horizon_rows(df: DataFrame, value: str, horizons, frac: float = 0.8, key="se
     """W7 + W10 for several horizons in one window pass: for horizon h the
     target is ``value`` h rows ahead, the last h rows of each series are cut,
     and the first ``floor(frac * (n - h))`` remaining rows are ``train``.
-    ``chunk_rows``: positions from ``with_position`` and leads from the
-    halo-chunked window, so a hot series is spread over many tasks (None: one
-    window per series)."""
+    ``chunk_rows``: positions and leads from one window per (series, piece), so
+    a hot series is spread over many tasks (None: one window per series)."""
     if chunk_rows:
-        from airseries.operators.features import FeatureSpec, build_features, with_position
-        p = with_position(df, key, order, bucket=bucket)
+        from airseries.operators.features import FeatureSpec, _pieced
         spec = FeatureSpec(source=value, targets=tuple((f"_y{h}", h) for h in horizons))
-        base = build_features(p, spec, key, order, chunk_rows=chunk_rows, keep_ordinal=True) \
+        base = _pieced(df, spec, key, order, None, chunk_rows, bucket, position=True) \
             .withColumn("_rn", F.col("_o") + F.lit(1)).drop("_o")
     else:
         w = Window.partitionBy(key).orderBy(order)
