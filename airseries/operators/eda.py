@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from airseries.operators.quality import _q, _stack
+from airseries.operators.quantiles import exact_quantiles
 
 
 def group_means(df: DataFrame, by: str, cols, decimals: int | None = None) -> DataFrame:
@@ -55,10 +56,11 @@ def boxplot_stats(df: DataFrame, col: str, by: str, exact: bool = True, accuracy
     (one row per group; AQE broadcasts it or splits a skewed key).
     ``exact`` as in ``quality.describe``."""
     x = F.col(col).cast("double")
-    quart = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))) if exact
-             else F.percentile_approx(x, [0.25, 0.75], accuracy))
-    q = (df.groupBy(by).agg(quart.alias("_q"))
-           .select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3")))
+    if exact:
+        q = exact_quantiles(df, [col], (0.25, 0.75), by).select(by, F.col("quantiles").alias("_q"))
+    else:
+        q = df.groupBy(by).agg(F.percentile_approx(x, [0.25, 0.75], accuracy).alias("_q"))
+    q = q.select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"))
     j = df.select(by, x.alias("_x")).join(q, by)
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from airseries.operators.features import CHUNK_ROWS, gaps
 from airseries.operators.projection import numeric_columns
+from airseries.operators.quantiles import exact_quantiles
 
 
 def _q(s: str) -> str:
@@ -45,23 +46,27 @@ def missing_counts(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, cols=None, exact: bool = True, accuracy: int = 100000) -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 % (linear interpolation), max per
-    numeric column, long form. ``exact=True`` (default) uses ``percentile``, equal to
-    pandas, whose buffer holds the distinct values of a column; ``exact=False``
-    uses ``percentile_approx`` (relative rank error 1/accuracy, fixed memory) for
-    columns of unbounded cardinality. The caller chooses; the size of the
-    data does not."""
+    numeric column, long form. ``exact=True`` (default) selects the quartiles by
+    refined range counts (``exact_quantiles``): equal to pandas in bounded memory.
+    ``exact=False`` uses ``percentile_approx`` (relative rank error 1/accuracy, one
+    pass). The caller chooses; the size of the data does not."""
     cols = cols or numeric_columns(df)
-    aggs = []
+    aggs, probs = [], (0.25, 0.5, 0.75)
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        q = (F.percentile(x, F.array(*[F.lit(v) for v in (0.25, 0.5, 0.75)])) if exact
-             else F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy))
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), q.alias(f"q{i}"), F.max(x).alias(f"hi{i}")]
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        if not exact:
+            aggs.append(F.percentile_approx(x, list(probs), accuracy).alias(f"q{i}"))
     wide = df.agg(*aggs)
-    rows = [[_q(c), f"n{i}", f"m{i}", f"s{i}", f"lo{i}", f"q{i}[0]", f"q{i}[1]", f"q{i}[2]", f"hi{i}"]
-            for i, c in enumerate(cols)]
-    return _stack(wide, rows, ["column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"])
+    names = ["column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+    if not exact:
+        return _stack(wide, [[_q(c), f"n{i}", f"m{i}", f"s{i}", f"lo{i}", f"q{i}[0]", f"q{i}[1]", f"q{i}[2]", f"hi{i}"]
+                             for i, c in enumerate(cols)], names)
+    rest = _stack(wide, [[_q(c), f"n{i}", f"m{i}", f"s{i}", f"lo{i}", f"hi{i}"] for i, c in enumerate(cols)],
+                  ["column", "count", "mean", "std", "min", "max"])
+    quart = exact_quantiles(df, cols, probs).select("column", *[F.col("quantiles")[k].alias(n) for k, n in enumerate(names[5:8])])
+    return rest.join(quart, "column", "left").select(*names)
 
 
 def negative_counts(df: DataFrame, cols=None) -> DataFrame:

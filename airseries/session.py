@@ -60,6 +60,18 @@ def ensure_checkpoint_dir(spark: SparkSession, default: str | None = None) -> st
     return d
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, read again: cuts the
+    lineage with files of known size (a checkpoint keeps the estimates of its plan,
+    which multiply from round to round of a loop)."""
+    import uuid
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
     """Bounded size probe: scans at most ``limit + 1`` rows of ``df``."""
     return df.limit(limit + 1).count() <= limit
