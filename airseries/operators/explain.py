@@ -11,16 +11,21 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
+from airseries.operators.trees import TreeModel
 
-def feature_importance(model: PipelineModel, features) -> DataFrame:
-    """Impurity importances zipped with feature names (a d-row model
-    summary); linear models raise like the reference's error branch."""
-    est = model.stages[-1]
-    if not hasattr(est, "featureImportances"):
-        raise TypeError(f"{type(est).__name__} has no feature importances")
+
+def feature_importance(model: PipelineModel | TreeModel, features) -> DataFrame:
+    """Impurity (histogram ensembles: gain) importances zipped with feature
+    names (a d-row model summary); linear models raise like the reference's error branch."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
-    vals = est.featureImportances.toArray().tolist()
+    if isinstance(model, TreeModel):
+        vals = model.importances()
+    else:
+        est = model.stages[-1]
+        if not hasattr(est, "featureImportances"):
+            raise TypeError(f"{type(est).__name__} has no feature importances")
+        vals = est.featureImportances.toArray().tolist()
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, vals)],
                                  "feature string, importance double")
 

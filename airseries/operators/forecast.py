@@ -1,7 +1,7 @@
 """Forecasting jobs (T7-T9) over all series at once.
 
-A model is either an MLlib ``PipelineModel`` (assembler + regressor) or a
-dict of linear coefficients (``intercept`` + feature -> weight), which keeps
+A model is an MLlib ``PipelineModel`` (assembler + regressor), a histogram
+``TreeModel`` or a dict of linear coefficients (``intercept`` + feature -> weight), which keeps
 prediction a plain column expression.
 """
 
@@ -15,6 +15,7 @@ from airseries.functions.transforms import forecast_date, inverse_log, round_pre
 from airseries.operators.features import CHUNK_ROWS, FeatureSpec, build_features, latest_rows, tail_rows
 from airseries.operators.joins import union_history_forecast
 from airseries.operators.projection import drop_incomplete, fill_missing
+from airseries.operators.trees import TreeModel
 
 
 def linear_expr(coefs: dict, features=None) -> Column:
@@ -28,7 +29,7 @@ def linear_expr(coefs: dict, features=None) -> Column:
 def apply_model(df: DataFrame, model, features, out: str = "prediction") -> DataFrame:
     if isinstance(model, dict):
         return df.withColumn(out, linear_expr(model, list(features)))
-    if isinstance(model, PipelineModel):
+    if isinstance(model, (PipelineModel, TreeModel)):
         return model.transform(df).drop("features").withColumnRenamed("prediction", out)
     raise TypeError(f"unsupported model {type(model)}")
 

@@ -52,8 +52,9 @@ def _cell() -> Column:
     return F.when(F.col("_x") == F.col("_lo"), F.lit(-1)).when(F.col("_x") == F.col("_hi"), F.lit(CELLS)).otherwise(between).cast("int")
 
 
-def exact_quantiles(df: DataFrame, cols, probs, by=()) -> DataFrame:
-    """``(by..., column, n, quantiles)``: ``quantiles`` is an array in the order of ``probs``."""
+def exact_quantiles(df: DataFrame, cols, probs, by=(), interpolate: bool = True) -> DataFrame:
+    """``(by..., column, n, quantiles)``: ``quantiles`` is an array in the order of ``probs``;
+    without ``interpolate`` the lower of the two values a quantile lies between."""
     cols, by, probs = list(cols), [by] if isinstance(by, str) else list(by), [float(p) for p in probs]
     groups = [f"_g{k}" for k in range(len(by))]
     keys = [*groups, "_i"]
@@ -61,6 +62,8 @@ def exact_quantiles(df: DataFrame, cols, probs, by=()) -> DataFrame:
     whole = written(rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")), "ranges")
     # the statistics a quantile lies between, as ranks from 0
     at = [F.lit(p) * (F.col("_n") - 1) for p in probs]
+    if not interpolate:
+        at = [F.floor(a) for a in at]
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(a), F.ceil(a)) for a in at])))
     state = whole.select(*keys, F.explode(ranks).alias("_k"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"),
                          F.col("_n").alias("_rows"))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from airseries.operators.features import CHUNK_ROWS
 from airseries.operators.metrics import regression_metrics
+from airseries.operators.trees import TreeModel, fit_trees
 
 # The reference's candidate set and hyper-parameters.
 RF_TREES, RF_SEED, RF_DEPTH = 200, 42, 10
@@ -57,14 +58,28 @@ def estimator(name: str, label: str = "label", n_rows: int | None = None,
     raise ValueError(f"unknown estimator {name}")
 
 
+#: The tree candidates as histogram ensembles: kind, trees, depth, rate, l2 (the deep one: second order).
+HISTOGRAM = {"random_forest": ("forest", RF_TREES, RF_DEPTH, 1.0, 0.0), "gradient_boosting": ("boosted", GB_TREES, GB_DEPTH, GB_RATE, 0.0),
+             "boosted_deep": ("boosted", DEEP_TREES, DEEP_DEPTH, DEEP_RATE, 1.0)}
+
+
 def fit(train: DataFrame, features, target: str, name: str, partitions: int | None = None,
-        **overrides) -> PipelineModel:
+        engine: str = "mllib", **overrides) -> PipelineModel | TreeModel:
     """VectorAssembler + estimator as one PipelineModel (persistable, S12).
 
+    ``engine="histogram"`` grows the tree candidates with ``fit_trees`` instead: the same
+    model whatever the partitions, several trees a pass (``overrides`` are its arguments).
+
+
     ``partitions``: partitions of the training input (iterative fits run several
     jobs per tree level over each). Forests sample by partition, so the number
     is the caller's and never follows the size of the data; None keeps the
     input's own."""
+    if engine == "histogram" and name in HISTOGRAM:
+        args = dict(zip(("kind", "trees", "depth", "rate", "l2"), HISTOGRAM[name], strict=True))
+        return fit_trees(train, features, target, **{**args, **overrides})
+    if engine not in ("mllib", "histogram"):
+        raise ValueError(f"unknown engine {engine}")
     data = train.select(*features, target)
     n_rows = label_std = None
     if name == "ridge":  # only ridge needs the label's statistics
@@ -77,7 +92,7 @@ def fit(train: DataFrame, features, target: str, name: str, partitions: int | No
     return Pipeline(stages=[asm, est]).fit(data)
 
 
-def predict(model: PipelineModel, df: DataFrame, name: str = "prediction") -> DataFrame:
+def predict(model: PipelineModel | TreeModel, df: DataFrame, name: str = "prediction") -> DataFrame:
     out = model.transform(df).drop("features")
     return out.withColumnRenamed("prediction", name) if name != "prediction" else out
 
@@ -88,14 +103,17 @@ REGISTRY_ROW = ("model_name string, horizon int, rmse double, mae double, r2 dou
 
 def train_candidates(train: DataFrame, val: DataFrame, features, target: str, horizon: int,
                      run_id: str, names=CANDIDATES, registered_at=None, overrides=None,
-                     save_base: str | None = None, partitions: int | None = None):
+                     save_base: str | None = None, partitions: int | None = None, engine: str = "mllib", row_key=None):
     """T5: fit every candidate for one horizon, score on ``val`` and return
-    ``(registry_rows, models)``. Inputs are cached once and released when the
+    ``(registry_rows, models)``. ``engine``: see ``fit``; ``row_key`` is the column
+    that bags rows of histogram forests. Inputs are cached once and released when the
     metrics (one row per candidate) have been computed from them."""
     overrides = overrides or {}
     cols = list(dict.fromkeys(list(features) + [target]))
     spark = train.sparkSession
-    train = train.select(*cols).cache()
+    if row_key is not None:
+        train = train.withColumn("_bag", row_key)
+    train = train.select(*cols, *(["_bag"] if row_key is not None else [])).cache()
     val = val.select(*cols).cache()
     models, rows = {}, []
     ts = registered_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
@@ -103,7 +121,10 @@ def train_candidates(train: DataFrame, val: DataFrame, features, target: str, ho
         ts = dt.datetime.fromisoformat(ts)
     try:
         for name in names:
-            m = fit(train, features, target, name, partitions, **overrides.get(name, {}))
+            own = dict(overrides.get(name, {}))
+            if engine == "histogram" and name in HISTOGRAM and row_key is not None:
+                own["row_key"] = F.col("_bag")
+            m = fit(train, features, target, name, partitions, engine, **own)
             models[name] = m
             artifact = None
             if save_base:

@@ -11,6 +11,7 @@ from airseries.plans import fixtures as fx
 from airseries.plans.catalog import register
 from airseries.plans.presets import FINAL, TRAINING_FEATURES
 from airseries.plans.sqlgen import aqi_sql, r6, roll, shift, sround
+from airseries.plans.sqltrees import ensemble_ctes
 
 LIN = fx.LINEAR_MODEL
 FEATS = TRAINING_FEATURES
@@ -353,3 +354,69 @@ def t6_horizon_sweep_ridge_2feat(spark, sf_dir):
     """Two features: the batched mapInPandas solve, checked against the 2 x 2
     closed form (Cramer's rule) in SQL."""
     return TR.horizon_sweep(_clean_final(spark, sf_dir), ["lag_1", "roll_mean_6"], "aqi_pm25", HZ, digits=6)
+
+
+# ---- T1/T2/T4/T5/T10 as histogram ensembles: all features, several levels, bags and rounds -----------
+
+#: Small enough for SQL; the same code grows the full sizes.
+SMALL = {"random_forest": dict(trees=3, depth=2, bins=16), "gradient_boosting": dict(trees=3, depth=2, bins=16),
+         "boosted_deep": dict(trees=2, depth=3, bins=16)}
+
+_SRC_SQL = fx.ctes("training") + f""",
+src AS MATERIALIZED (SELECT row_number() OVER (ORDER BY series_id, datetime) AS id, series_id, datetime,
+  (date_diff('day', DATE '1970-01-01', CAST(datetime AS DATE)) * 24 + hour) * 16 + length(series_id) AS bag,
+  row_number() OVER (PARTITION BY series_id ORDER BY datetime) <= floor(CAST(0.8 AS DOUBLE) * count(*) OVER (PARTITION BY series_id)) AS tr,
+  target_h1 AS y, {FEAT_SQL} FROM training)"""
+
+
+def _grown_sql(name: str, cte: str) -> str:
+    kind, _, _, rate, l2 = TR.HISTOGRAM[name]
+    return ensemble_ctes(FEATS, kind, rate=rate, l2=l2, name=cte, **SMALL[name])
+
+
+def _split_rows(spark, sf_dir):
+    """Rounded training rows with their split and an integer key that bags them."""
+    rows = time_split(fx.training_rows(spark, sf_dir), 0.8)
+    day = F.unix_date(F.to_date("datetime")).cast("long")
+    return rows.withColumn("bag", (day * 24 + F.col("hour")) * 16 + F.length("series_id"))
+
+
+def _grown(spark, sf_dir, name):
+    rows = _split_rows(spark, sf_dir)
+    m = TR.fit(rows.where("split = 'train'"), FEATS, "target_h1", name, engine="histogram", row_key=F.col("bag"), **SMALL[name])
+    return m, rows
+
+
+def _predictions(name):
+    def run(spark, sf_dir):
+        m, rows = _grown(spark, sf_dir, name)
+        return TR.predict(m, rows, "p").select("series_id", "datetime", F.round("p", 6).alias("prediction"))
+    return run
+
+
+for _q, _name in (("t1_forest_levels", "random_forest"), ("t2_boosting_rounds", "gradient_boosting"), ("t4_second_order", "boosted_deep")):
+    register(_q, _SRC_SQL + ",\n" + _grown_sql(_name, "m") + f"""
+SELECT series_id, datetime, {r6('p')} AS prediction FROM src JOIN m_pred ON src.id = m_pred.id""")(_predictions(_name))
+
+
+@register("t5_candidates_histogram", _SRC_SQL + ",\n" + ",\n".join(_grown_sql(m, f"c{i}") for i, m in enumerate(SMALL)) + "\n" + " UNION ALL ".join(
+    f"""SELECT '{m}' AS model_name, 1 AS horizon, {r6('sqrt(avg(power(y - p, 2)))')} AS rmse, {r6('avg(abs(y - p))')} AS mae,
+  {r6('1 - sum(power(y - p, 2)) / (var_pop(y) * count(*))')} AS r2, 'run_1' AS run_id, 'candidate' AS status, false AS is_best
+FROM src JOIN c{i}_pred p ON src.id = p.id WHERE NOT tr""" for i, m in enumerate(SMALL)))
+def t5_candidates_histogram(spark, sf_dir):
+    """Three tree candidates of one horizon, fitted and scored like ``t5_train_candidates_h1``."""
+    rows = _split_rows(spark, sf_dir)
+    reg, _ = TR.train_candidates(rows.where("split = 'train'"), rows.where("split = 'test'"), FEATS, "target_h1", 1, "run_1",
+                                 names=tuple(SMALL), overrides=SMALL, engine="histogram", row_key=F.col("bag"))
+    return reg.select("model_name", "horizon", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "r2")], "run_id", "status", "is_best")
+
+
+@register("t10_importance_levels", _SRC_SQL + ",\n" + _grown_sql("random_forest", "m") + f""",
+own AS (SELECT tree, f, gain / sum(gain) OVER (PARTITION BY tree) AS part FROM m_gain),
+total AS (SELECT f, sum(part) / (SELECT sum(part) FROM own) AS v FROM own GROUP BY f)
+SELECT feature, {r6('coalesce(v, 0)')} AS importance FROM (SELECT unnest([{', '.join(f"'{f}'" for f in FEATS)}]) AS feature,
+  unnest(range(0, {len(FEATS)})) AS f) n LEFT JOIN total ON n.f = total.f""")
+def t10_importance_levels(spark, sf_dir):
+    """Gain importances of all features of the training preset."""
+    m, _ = _grown(spark, sf_dir, "random_forest")
+    return X.feature_importance(m, FEATS).select("feature", F.round("importance", 6).alias("importance"))
