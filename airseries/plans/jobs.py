@@ -12,50 +12,54 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from airseries.operators.features import (CHUNK_ROWS, FeatureSpec, build_features, build_features_range,
-                                          latest_rows)
+                                          latest_rows, time_split)
 from airseries.operators.forecast import forecast_direct
-from airseries.operators.registry import best_model
-from airseries.operators.training import train_and_publish
+from airseries.operators.registry import best_model, publish
+from airseries.operators.training import train_candidates
 from airseries.plans.presets import FINAL, TRAINING, TRAINING_FEATURES
 from airseries.sources.models import load_model
 from airseries.session import ensure_checkpoint_dir
-from airseries.sources.tables import append_table, exists, overwrite_table, read_table
+from airseries.sources.tables import append_table, exists, overwrite_days, read_table, replace_days, update_table
 
 
 def refresh_features(spark: SparkSession, readings_path: str, features_path: str,
-                     spec: FeatureSpec = FINAL, chunk_rows=CHUNK_ROWS) -> str:
+                     spec: FeatureSpec = FINAL, chunk_rows=CHUNK_ROWS) -> None:
     """Feature refresh: readings -> full feature build (no NULL drop) ->
-    new table version. Returns the version path."""
-    r = read_table(spark, readings_path)
-    return overwrite_table(build_features(r, spec, chunk_rows=chunk_rows), features_path)
+    new table version, one folder a day."""
+    overwrite_days(build_features(read_table(spark, readings_path), spec, chunk_rows=chunk_rows), features_path)
 
 
 def refresh_feature_days(spark: SparkSession, readings_path: str, features_path: str, start: str, end: str,
-                         spec: FeatureSpec = FINAL, chunk_rows=CHUNK_ROWS) -> str:
-    """Incremental refresh after readings of ``[start, end)`` have (again) landed.
-
-    Same layout as ``refresh_features``: a new version of the feature table, in
-    which the rows of the affected days are built anew and all others are taken
-    from the current version. The range is widened to whole days, to the rows
-    behind it whose lags look into it, and to those before it whose targets
-    do, each counted in rows per series (``affected_days``). Readers see either version whole."""
+                         spec: FeatureSpec = FINAL, chunk_rows=CHUNK_ROWS) -> int:
+    """Incremental refresh after readings of ``[start, end)`` have (again) landed; the days written.
+
+    Same layout as ``refresh_features``: a new version of the feature table whose manifest
+    names new folders for the affected days and the old ones for all others, so what is
+    read and written follows the affected days. The range is widened to whole days, to the
+    rows behind it whose lags look into it, and to those before it whose targets do, each
+    counted in rows per series (``affected_days``). Readers see either version whole."""
     r = read_table(spark, readings_path)
     if not exists(spark, features_path):
-        return overwrite_table(build_features(r, spec, chunk_rows=chunk_rows), features_path)
-    old = read_table(spark, features_path, require_rows=False)
-    days = affected_days(r, start, end, spec).cache()
-    try:
+        refresh_features(spark, readings_path, features_path, spec, chunk_rows)
+        return read_table(spark, features_path, require_rows=False).select(F.to_date("datetime")).distinct().count()
+
+    def build(old: DataFrame) -> tuple[DataFrame, list[str]]:
         span = days.agg(F.min("lo"), F.date_add(F.max("hi"), 1)).first()
         if span[0] is None:
-            return overwrite_table(old, features_path)
+            return old.where("false"), []
         new = build_features_range(r, spec, f"{span[0]} 00:00:00", f"{span[1]} 00:00:00", chunk_rows=chunk_rows)
         d = F.to_date("datetime")
         bounds = days.withColumnRenamed("series_id", "_s")
         same = F.col("series_id").eqNullSafe(F.col("_s"))
         within = same & d.between(F.col("lo"), F.col("hi"))
-        fresh = new.join(bounds, within, "left_semi").select(*old.columns)
-        kept = old.join(bounds, within, "left_anti")
-        return overwrite_table(kept.unionByName(fresh), features_path)
+        # calendar days between the ends: one name each
+        touched = [str(x[0]) for x in days.select(F.explode(F.sequence("lo", "hi"))).distinct().collect()]
+        kept = old.where(d.cast("string").isin(touched)).join(bounds, within, "left_anti")
+        return kept.unionByName(new.join(bounds, within, "left_semi").select(*old.columns)), touched
+
+    days = affected_days(r, start, end, spec).cache()
+    try:
+        return replace_days(spark, features_path, build)
     finally:
         days.unpersist()
 
@@ -82,33 +86,33 @@ def train_horizons(spark: SparkSession, readings_path: str, registry_path: str,
                    horizons=(1, 2, 3), name: str = "random_forest", run_id: str | None = None,
                    overrides: dict | None = None, now: dt.datetime | None = None) -> DataFrame:
     """Daily training: training build, then per horizon fit -> score ->
-    publish as production; the registry is written as a new version."""
+    publish as production; the registry is written as a new version, on top of any that
+    another writer published while the models were fitted."""
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     run_id = run_id or now.strftime("%Y-%m-%d_%H-%M-%S")
-    train_rows = build_features(read_table(spark, readings_path), TRAINING).cache()
     # first run: there is no registry; one that is there but unreadable is an error
-    registry = read_table(spark, registry_path, require_rows=False) if exists(spark, registry_path) else None
+    if exists(spark, registry_path):
+        read_table(spark, registry_path, require_rows=False)
+    train_rows = build_features(read_table(spark, readings_path), TRAINING).cache()
     ensure_checkpoint_dir(spark)
     try:
-        for h in horizons:
+        split = time_split(train_rows, 0.8)
+        train, test = split.where("split = 'train'"), split.where("split = 'test'")
+        fitted = [train_candidates(train, test, TRAINING_FEATURES, f"target_h{h}", h, run_id, names=(name,), registered_at=now,
+                                   overrides={name: overrides or {}}, save_base=models_path)[0] for h in horizons]
+    finally:
+        train_rows.unpersist()
+
+    def transition(registry: DataFrame | None) -> DataFrame:
+        """The models of this run published on whatever registry is the newest."""
+        for rows in fitted:
             if registry is None:
-                from airseries.operators.training import train_candidates
-                from airseries.operators.features import time_split
-                rows = time_split(train_rows, 0.8)
-                reg_rows, _ = train_candidates(rows.filter("split = 'train'"), rows.filter("split = 'test'"),
-                                               TRAINING_FEATURES, f"target_h{h}", h, run_id, names=(name,),
-                                               registered_at=now, overrides={name: overrides or {}},
-                                               save_base=models_path)
-                registry = reg_rows.withColumns({"status": F.lit("production"), "is_best": F.lit(True)})
+                registry = rows.withColumns({"status": F.lit("production"), "is_best": F.lit(True)})
             else:
-                registry, _ = train_and_publish(registry, train_rows, h, TRAINING_FEATURES, name=name,
-                                                run_id=run_id, save_base=models_path, registered_at=now,
-                                                overrides=overrides)
-            registry = registry.checkpoint(eager=True)  # cut lineage between horizons
-        overwrite_table(registry, registry_path)
+                registry = publish(registry, rows.drop("status", "is_best"), key="horizon")
         return registry
-    finally:
-        train_rows.unpersist()
+
+    return update_table(spark, registry_path, transition)
 
 
 def serve_forecasts(spark: SparkSession, features_path: str, registry_path: str, forecasts_path: str,

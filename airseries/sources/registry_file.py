@@ -34,9 +34,12 @@ def append_entries(df: DataFrame, path: str, order=("horizon_hours", "model_name
     """Append entries with an ascending ``seq``: the number of the append, then
     the place in it (by ``order``; the entries of one append are one training
     run's models, a handful)."""
-    from airseries.sources.tables import exists
+    from airseries.sources.tables import claim, exists
     spark = df.sparkSession
     last = spark.read.schema(_STORED).json(path).agg(F.max("seq.append")).first()[0] if exists(spark, path) else None
+    # every append has a number of its own, also when several run at once
+    while not claim(spark, f"{path}/_appends/{(last or 0) + 1:012d}", ""):
+        last = (last or 0) + 1
     nth = F.row_number().over(Window.orderBy(*[F.asc_nulls_last(c) for c in order]))
     numbered = df.select(*ENTRY_SCHEMA.fieldNames(), F.struct(
         F.lit((last or 0) + 1).cast("long").alias("append"), nth.cast("long").alias("n")).alias("seq"))
