@@ -26,9 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from array import array
+import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +46,14 @@ SLOTS = 1 << 16
 DENSE = SLOTS // 8
 #: A chunk closes when it holds so many postings.
 POSTINGS = 2_000_000
-#: Texts are tokenised in runs of about so many bytes.
-RUN_BYTES = 2_000_000
+#: Texts are tokenised in runs of about so many bytes, new stretches in blocks of so many characters.
+RUN_BYTES, BLOCK_CHARS = 2_000_000, 60_000
+#: Stretches a worker remembers before it starts over.
+REMEMBER = 500_000
+#: Spaces and what follows them; where other white space stands before a space, the exact cut.
+RUNS = re.compile(r" +[^ ]*")
+WHITE_BEFORE = re.compile(r"[^\S ] ")
+BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 #: The byte alphabet of the vocabulary file: printable bytes stand for themselves, the
 #: others, in order, for the code points from 256.
 _SELF = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
@@ -74,35 +79,91 @@ def byte_entries(path: str) -> list[bytes]:
 
 
 class Pair:
-    """Both tokenizers of a worker, with the byte length and digits of every id."""
-
-    def __init__(self, entries: list[bytes], pattern: str, model: bytes):
-        self.a = bpe.Codec(bpe.Tables(entries, pattern))
-        self.b = piece.Codec(model)
-        self.known: dict[str, bytes] = {}
-        self.len_a = np.array([len(e) for e in self.a.entries], np.int64)
-        self.len_b = np.array([len(e) for e in self.b.bytes_of], np.int64)
+    """Both tokenizers of a worker (their libraries), and what it knows of stretches of text.
+
+    Both cut a text before a space behind another character than white space: A's pattern
+    starts a match there, and no piece of B spans it (else texts are taken whole). Such a
+    stretch therefore always gives the same groups and links, and is aligned once."""
+
+    def __init__(self, entries: list[bytes], pattern: str, raw: bytes):
+        import sentencepiece
+        import tiktoken
+        model = piece.Codec(raw)  # refuses models that rewrite text
+        self.apart = not any(re.search(f"[^{piece.SPACE}]{piece.SPACE}", t) for t in model.cost)
+        self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks={e: i for i, e in enumerate(entries)}, special_tokens={})
+        self.own = None
+        self.tables = entries, pattern
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        self.len_a = np.array([len(e) for e in entries], np.int64)
+        self.len_b = np.array([len(e) for e in model.bytes_of], np.int64)
         # digits and the mark behind them: A's list ends with "|", B's with ";"
-        self.digits = [b"%d%s" % (i, mark) for n, marks in ((len(entries), b",|"), (len(self.b.bytes_of), b",;"))
+        self.digits = [b"%d%s" % (i, mark) for n, marks in ((len(entries), b",|"), (len(model.bytes_of), b",;"))
                        for i in range(n) for mark in (marks[:1], marks[1:])]
-
-    def ids_a(self, text: str) -> bytes:
-        tokens = self.a.find(text)
-        known = self.known
-        if len(known) > bpe.REMEMBER:
-            known.clear()
-        for t in set(tokens).difference(known):
-            known[t] = array("i", self.a.ids_of(t)).tobytes()
-        return b"".join(map(known.__getitem__, tokens))
-
-    def both(self, text: str) -> tuple[bytes, bytes]:
-        """Ids of both as int32 bytes; none if either does not give back the text's bytes."""
-        a, b = self.ids_a(" " + text), self.b.packed(text)
-        whole = (" " + text).encode("utf-8")
-        for ids, table in ((a, self.a.entries), (b, self.b.bytes_of)):
-            if b"".join(map(table.__getitem__, np.frombuffer(ids, np.int32).tolist())) != whole:
-                return b"", b""
-        return a, b
+        #: Stretch -> groups, links as packed pairs, and its tokens of A << 32 | of B.
+        self.known: dict[str, tuple[bytes, bytes, int]] = {}
+
+    def ids_a(self, text: str) -> np.ndarray:
+        try:
+            return self.a.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        except Exception:  # noqa: BLE001 - its pattern search gives up on runs of white space of a million and more
+            if self.own is None:
+                self.own = bpe.Codec(bpe.Tables(*self.tables))
+            return np.array(self.own.encode(text), np.int64)
+
+    def stretches(self, text: str) -> list[str]:
+        """A text, with the space before it, in stretches that each start with a space.
+
+        A text with U+2581 has none: B gives it back with spaces. Any other text comes back
+        whole from both: A cuts it in order, B writes all but spaces as they are."""
+        if not text or piece.SPACE in text:
+            return []
+        text = " " + text
+        if not self.apart:
+            return [text]
+        return BEFORE_SPACE.split(text) if WHITE_BEFORE.search(text) else RUNS.findall(text)
+
+    def learn(self, stretches: list[str]) -> None:
+        """Align stretches that are not known yet, all at once over their joined bytes."""
+        open_ended = [c for c in stretches if c[-1].isspace()]  # would melt into what follows
+        rest = [c for c in stretches if not c[-1].isspace()]
+        blocks, held = [], 0
+        for c in rest:
+            if not held:
+                blocks.append([])
+            blocks[-1].append(c)
+            held += len(c)
+            if held >= BLOCK_CHARS or not self.apart:
+                held = 0
+        blocks += [[c] for c in open_ended]
+        joined = ["".join(block) for block in blocks]
+        a = np.concatenate([self.ids_a(t) for t in joined])
+        b = np.concatenate([np.array(x, np.int64) for x in self.b.encode([t[1:] for t in joined], num_threads=1)])
+        order = rest + open_ended
+        ends = np.cumsum([len(c.encode("utf-8")) for c in order])
+        end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        if end_a[-1] != ends[-1] or end_b[-1] != ends[-1]:
+            raise ValueError("tokens do not give back the text")
+        at = np.zeros(int(ends[-1]) + 1, bool)
+        at[end_a] = True
+        cut_b = at[end_b]              # a token of A ends here too
+        at[:] = False
+        at[end_b] = True
+        cut_a = at[end_a]
+        # groups: A's tokens of a group, then B's; a mark behind the last of each
+        starts_b = np.concatenate([[0], np.flatnonzero(cut_b) + 1])
+        stops_a = np.flatnonzero(cut_a) + 1
+        mixed = np.empty(len(a) + len(b), np.int64)
+        mixed[np.arange(len(a)) + starts_b[np.cumsum(cut_a) - cut_a]] = a * 2 + cut_a
+        mixed[np.arange(len(b)) + stops_a[np.cumsum(cut_b) - cut_b]] = (b + len(self.len_a)) * 2 + cut_b
+        links = (a[cut_a] << 32 | b[cut_b]).tobytes()
+        upto_a, upto_b = np.searchsorted(end_a, ends, side="right"), np.searchsorted(end_b, ends, side="right")
+        upto_link = np.concatenate([[0], np.cumsum(cut_a)])[upto_a] * 8
+        sizes = (np.diff(upto_a, prepend=0) << 32 | np.diff(upto_b, prepend=0)).tolist()
+        marks, listed = self.digits, mixed.tolist()
+        lo = link = 0
+        for c, hi, to, size in zip(order, (upto_a + upto_b).tolist(), upto_link.tolist(), sizes, strict=True):
+            self.known[c] = b"".join(map(marks.__getitem__, listed[lo:hi]))[:-1], links[link:to], size
+            lo, link = hi, to
 
 
 _PAIR: dict[int, Pair] = {}
@@ -117,42 +178,24 @@ def _pair(key: int, shared) -> Pair:
 
 
 class Run:
-    """Groups and links of some documents: everything at once, over their joined bytes."""
+    """Groups and links of some documents."""
 
     def __init__(self, p: Pair, texts: list[str]):
-        pairs = [p.both(t) if t else (b"", b"") for t in texts]
-        self.n_a = np.array([len(a) // 4 for a, _ in pairs], np.int64)
-        self.n_b = np.array([len(b) // 4 for _, b in pairs], np.int64)
-        a = np.frombuffer(b"".join(a for a, _ in pairs), np.int32)
-        b = np.frombuffer(b"".join(b for _, b in pairs), np.int32)
-        end_a, end_b = np.cumsum(p.len_a[a]), np.cumsum(p.len_b[b])
-        ends = np.zeros(int(end_a[-1]) + 1 if len(a) else 1, bool)
-        ends[end_a] = True
-        self.cut_b = ends[end_b]        # a token of A ends here too
-        ends[:] = False
-        ends[end_b] = True
-        self.cut_a = ends[end_a]
-        self.a, self.b = a, b
-        self.link_a, self.link_b = a[self.cut_a], b[self.cut_b]
-        upto = np.concatenate([[0], np.cumsum(self.cut_a)])
-        stop = np.cumsum(self.n_a)
-        self.n_groups = upto[stop] - upto[stop - self.n_a]
+        cut = [p.stretches(t) for t in texts]
+        if len(p.known) > REMEMBER:
+            p.known.clear()
+        if fresh := set().union(*cut).difference(p.known):
+            p.learn(list(fresh))
+        known = [list(map(p.known.__getitem__, c)) for c in cut]
+        self.groups = [b";".join([k[0] for k in ks]) for ks in known]
+        links = [b"".join([k[1] for k in ks]) for ks in known]
+        sizes = np.array([sum([k[2] for k in ks]) for ks in known], np.int64)
+        self.n_a, self.n_b = sizes >> 32, sizes & 0xFFFFFFFF
+        self.n_groups = np.array([len(x) // 8 for x in links], np.int64)
+        pairs = np.frombuffer(b"".join(links), np.int64)
+        self.link_a, self.link_b = pairs >> 32, pairs & 0xFFFFFFFF
         self.doc = np.repeat(np.arange(len(texts)), self.n_groups)
 
-    def groups(self, p: Pair) -> list[bytes]:
-        """``a1,a2|b1;a3|b2,b3`` of every document."""
-        n_a, n_b = len(self.a), len(self.b)
-        starts_b = np.concatenate([[0], np.flatnonzero(self.cut_b) + 1])  # first token of B in a group
-        stops_a = np.flatnonzero(self.cut_a) + 1
-        group_a = np.cumsum(self.cut_a) - self.cut_a
-        group_b = np.cumsum(self.cut_b) - self.cut_b
-        mixed = np.empty(n_a + n_b, np.int64)
-        mixed[np.arange(n_a) + starts_b[group_a]] = self.a.astype(np.int64) * 2 + self.cut_a
-        mixed[np.arange(n_b) + stops_a[group_b]] = (self.b.astype(np.int64) + len(p.len_a)) * 2 + self.cut_b
-        stops = np.cumsum(self.n_a + self.n_b).tolist()
-        marks, listed = p.digits, mixed.tolist()
-        return [b"".join(map(marks.__getitem__, listed[lo:hi]))[:-1] for lo, hi in zip([0, *stops], stops, strict=False)]
-
 
 def pack(keys: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Bitmaps of sorted, distinct ``pair << 16 | slot`` keys: the pairs and their slots, compressed."""
@@ -199,8 +242,9 @@ def unpack(bitmaps: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bitmap_or(parts: list[np.ndarray]) -> np.ndarray:
-    """Partial bitmaps, as sorted keys, OR-merged."""
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+    """Partial bitmaps, as sorted keys, OR-merged (a stable sort merges sorted runs)."""
+    keys = np.sort(np.concatenate(parts), kind="stable")
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
 class Chunk:
@@ -213,7 +257,7 @@ class Chunk:
     def add(self, run: Run, width: int) -> np.ndarray:
         """Slots of the run's documents; its links join the planes."""
         slots = self.docs + np.arange(len(run.n_a))
-        pairs = run.link_a.astype(np.int64) * width + run.link_b
+        pairs = run.link_a * width + run.link_b
         keys, counts = np.unique(pairs << 16 | slots[run.doc], return_counts=True)
         more, k = counts - 1, 0
         self.planes.setdefault(0, []).append(keys)
@@ -258,11 +302,10 @@ def _tokenised(docs: DataFrame, shared, width: int, text: str, digest: bool) ->
                     chunk = Chunk(chunk.number + 1)
                 r = Run(p, texts.slice(lo, hi - lo).to_pylist())
                 slots = chunk.add(r, width)
-                groups = r.groups(p)
                 if digest:
-                    groups = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
+                    groups = [hashlib.sha256(g).hexdigest() if g else "" for g in r.groups]
                 else:
-                    groups = [g.decode("ascii") for g in groups]
+                    groups = [g.decode("ascii") for g in r.groups]
                 n = hi - lo
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, n), pa.array(r.n_a), pa.array(r.n_b), pa.array(r.n_groups), pa.array(groups, pa.string()),
