@@ -1,9 +1,9 @@
 """Model training and scoring.
 
 T1-T5 fit pooled models with MLlib (rows distributed across executors).
-T6 fits one ridge model per (series, horizon) from sufficient statistics:
-one grouped aggregation of means and (co)variances, then a batched d x d
-solve in ``mapInPandas`` over the small statistics table.
+T6 fits and scores one ridge model per (series, horizon) from the moments of
+segments: one grouped aggregation of means and (co)variances, then a batched d x d
+solve over the small table of moments.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import datetime as dt
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from airseries.operators.features import CHUNK_ROWS
 from airseries.operators.metrics import regression_metrics
 from airseries.operators.trees import TreeModel, fit_trees
+from airseries.session import written
 
 # The reference's candidate set and hyper-parameters.
 RF_TREES, RF_SEED, RF_DEPTH = 200, 42, 10
@@ -141,34 +143,6 @@ def train_candidates(train: DataFrame, val: DataFrame, features, target: str, ho
 
 # ------------------------------------------------------------------ T6 grouped ridge
 
-def horizon_rows(df: DataFrame, value: str, horizons, frac: float = 0.8, key="series_id",
-                 order="datetime", chunk_rows: int | None = CHUNK_ROWS, bucket=None) -> DataFrame:
-    """W7 + W10 for several horizons in one window pass: for horizon h the
-    target is ``value`` h rows ahead, the last h rows of each series are cut,
-    and the first ``floor(frac * (n - h))`` remaining rows are ``train``.
-    ``chunk_rows``: positions and leads from one window per (series, piece), so
-    a hot series is spread over many tasks (None: one window per series)."""
-    if chunk_rows:
-        from airseries.operators.features import FeatureSpec, _pieced
-        spec = FeatureSpec(source=value, targets=tuple((f"_y{h}", h) for h in horizons))
-        base = _pieced(df, spec, key, order, None, chunk_rows, bucket, position=True) \
-            .withColumn("_rn", F.col("_o") + F.lit(1)).drop("_o")
-    else:
-        w = Window.partitionBy(key).orderBy(order)
-        wp = Window.partitionBy(key)
-        base = df.withColumns({"_rn": F.row_number().over(w), "_n": F.count(F.lit(1)).over(wp),
-                               **{f"_y{h}": F.lead(value, h).over(w) for h in horizons}})
-    pick = F.col("_y" + str(horizons[0]))
-    for h in horizons[1:]:
-        pick = F.when(F.col("horizon") == h, F.col(f"_y{h}")).otherwise(pick)
-    hz = F.explode(F.array(*[F.lit(int(h)) for h in horizons])).alias("horizon")
-    e = base.select("*", hz).withColumn("y", pick)
-    e = e.filter(F.col("_rn") <= F.col("_n") - F.col("horizon"))
-    split = F.when(F.col("_rn") <= F.floor(F.lit(float(frac)) * (F.col("_n") - F.col("horizon"))),
-                   F.lit("train")).otherwise(F.lit("test"))
-    return e.withColumn("split", split).drop("_rn", "_n", *[f"_y{h}" for h in horizons])
-
-
 def ridge_statistics(train: DataFrame, features, y: str = "y", by=("series_id", "horizon")) -> DataFrame:
     """One grouped pass: n, means, and population (co)variances of the
     features and the label (numerically stable merges, no raw power sums)."""
@@ -218,23 +192,139 @@ def solve_ridge(stats: DataFrame, d: int, alpha: float = RIDGE_ALPHA, by=("serie
     return stats.mapInPandas(solve, schema)
 
 
+def _positions(df: DataFrame, value: str, horizons, key, order, chunk_rows, bucket) -> DataFrame:
+    """``df`` with ``_y{h}`` (``value`` h rows ahead), ``_rn`` (position from 1) and ``_n`` (rows of the series)."""
+    if chunk_rows:
+        from airseries.operators.features import FeatureSpec, _pieced
+        spec = FeatureSpec(source=value, targets=tuple((f"_y{h}", h) for h in horizons))
+        return _pieced(df, spec, key, order, None, chunk_rows, bucket, position=True).withColumn("_rn", F.col("_o") + 1).drop("_o")
+    w, wp = Window.partitionBy(key).orderBy(order), Window.partitionBy(key)
+    return df.withColumns({"_rn": F.row_number().over(w), "_n": F.count(F.lit(1)).over(wp),
+                           **{f"_y{h}": F.lead(value, h).over(w) for h in horizons}})
+
+
+def _ends(h: int, frac: float):
+    """Last train and last test position of a horizon (the last h rows have no label)."""
+    left = F.col("_n") - F.lit(int(h))
+    return F.floor(F.lit(float(frac)) * left), left
+
+
+def segment_moments(base: DataFrame, features, horizons, frac: float, key) -> DataFrame:
+    """Moments of every (series, segment), one list of segments a series.
+
+    The train and test ends of all horizons cut a series into at most ``2 * H + 1`` segments in
+    which no horizon's split changes, so one aggregate without copies of rows serves them all."""
+    feats = list(features)
+    segment = sum([(F.col("_rn") > end).cast("int") for h in horizons for end in _ends(h, frac)], F.lit(0))
+    aggs = [F.max("_n").alias("_n"), F.min("_rn").alias("rn"), F.count(F.lit(1)).cast("double").alias("n")]
+    aggs += [F.avg(f).alias(f"m{i}") for i, f in enumerate(feats)]
+    aggs += [F.covar_pop(feats[i], feats[j]).alias(f"c{i}_{j}") for i, j in combinations_with_replacement(range(len(feats)), 2)]
+    for k, h in enumerate(horizons):
+        y = f"_y{h}"
+        aggs += [F.avg(y).alias(f"y{k}"), F.covar_pop(y, y).alias(f"v{k}")]
+        aggs += [F.covar_pop(f, y).alias(f"x{k}_{i}") for i, f in enumerate(feats)]
+    parts = base.groupBy(key, segment.alias("_s")).agg(*aggs)
+    rest = [c for c in parts.columns if c not in (key, "_s", "_n")]
+    return parts.groupBy(key).agg(F.max("_n").alias("_n"), F.collect_list(F.struct(
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in rest])).alias("segments"))
+
+
+def _merged(n, means, covs, inside):
+    """Count, means and covariances of some segments of each series together (shifted sums)."""
+    n = np.where(inside, n, 0.0)
+    total = n.sum(1)
+    safe = np.maximum(total, 1.0)
+    mean = (n[..., None] * means).sum(1) / safe[:, None]
+    d = means - mean[:, None, :]
+    cov = (n[..., None, None] * (covs + d[..., :, None] * d[..., None, :])).sum(1) / safe[:, None, None]
+    return total, mean, cov
+
+
+def solve_sweep(moments: DataFrame, d: int, horizons, alpha: float, frac: float, key) -> DataFrame:
+    """(series, horizon, n_test, rmse, r2, w, intercept) from the segments' moments, batched over series."""
+    from airseries.session import ship_package
+    ship_package(moments.sparkSession)
+    kind = dict(moments.dtypes)[key]
+    schema = f"`{key}` {kind}, horizon int, n_test long, rmse double, r2 double, w array<double>, intercept double"
+    pairs = list(combinations_with_replacement(range(d), 2))
+    horizons = [int(h) for h in horizons]
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(2)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            many, wide = len(b), int(sizes.max(initial=0))
+            at = (np.repeat(np.arange(many), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+
+            def column(name):
+                out = np.zeros((many, wide))
+                out[at] = flat.field(name).to_numpy(zero_copy_only=False)
+                return out
+
+            rows = b.column(1).to_numpy(zero_copy_only=False).astype(float)
+            rn, n = column("rn"), column("n")
+            z_mean = np.zeros((many, wide, d + 1))  # features, then the label
+            z_cov = np.zeros((many, wide, d + 1, d + 1))
+            for i in range(d):
+                z_mean[..., i] = column(f"m{i}")
+            for i, j in pairs:
+                z_cov[..., i, j] = z_cov[..., j, i] = column(f"c{i}_{j}")
+            for k, h in enumerate(horizons):
+                z_mean[..., d], z_cov[..., d, d] = column(f"y{k}"), column(f"v{k}")
+                for i in range(d):
+                    z_cov[..., i, d] = z_cov[..., d, i] = column(f"x{k}_{i}")
+                end = (rows - h)[:, None]
+                cut = np.floor(frac * end)
+                m, mean, cov = _merged(n, z_mean, z_cov, (n > 0) & (rn <= cut))
+                a = m[:, None, None] * cov[:, :d, :d] + alpha * np.eye(d)
+                w = np.linalg.solve(a, (m[:, None] * cov[:, :d, d])[..., None])[..., 0]
+                b0 = mean[:, d] - (mean[:, :d] * w).sum(1)
+                t, mean, cov = _merged(n, z_mean, z_cov, (n > 0) & (rn > cut) & (rn <= end))
+                off = mean[:, d] - b0 - (mean[:, :d] * w).sum(1)
+                mse = cov[:, d, d] - 2 * (w * cov[:, :d, d]).sum(1) + np.einsum("si,sij,sj->s", w, cov[:, :d, :d], w) + off ** 2
+                mse = np.where(mse < 1e-13 * (1 + mean[:, d] ** 2), 0.0, mse)
+                spread = cov[:, d, d]
+                r2 = np.where(spread > 0, 1 - mse / np.where(spread > 0, spread, 1), np.where(mse == 0, 1.0, 0.0))
+                keep = np.flatnonzero((m > 0) & (t > 0))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(keep)), pa.array(np.full(len(keep), h), pa.int32()), pa.array(t[keep].astype(np.int64)),
+                     pa.array(np.sqrt(mse[keep])), pa.array(r2[keep], mask=t[keep] < 2), pa.array(list(w[keep]), pa.list_(pa.float64())),
+                     pa.array(b0[keep])], names=[key, "horizon", "n_test", "rmse", "r2", "w", "intercept"])
+
+    return moments.select(key, "_n", "segments").mapInArrow(run, schema)
+
+
 def horizon_sweep(df: DataFrame, features, value: str = "aqi_pm25", horizons=(1, 6, 24, 48),
                   alpha: float = RIDGE_ALPHA, frac: float = 0.8, key="series_id", order="datetime",
-                  digits: int | None = None, chunk_rows: int | None = CHUNK_ROWS, bucket=None) -> DataFrame:
+                  digits: int | None = None, chunk_rows: int | None = CHUNK_ROWS, bucket=None, mae: bool = True) -> DataFrame:
     """Per (series, horizon) ridge fit on the chronological train part,
-    scored on the test part: ``(series_id, horizon, n_test, rmse, r2)``.
-    One window pass, one grouped aggregate, one tiny solve, one join back."""
-    feats = list(features)
-    rows = horizon_rows(df.select(key, order, value, *[f for f in feats if f != value]), value,
-                        list(horizons), frac, key, order, chunk_rows, bucket)
-    stats = ridge_statistics(rows.filter(F.col("split") == "train"), feats, "y", (key, "horizon"))
-    coef = solve_ridge(stats, len(feats), alpha, (key, "horizon"))
-    test = rows.filter(F.col("split") == "test").join(coef, [key, "horizon"])
-    pred = F.col("intercept")
-    for i, f in enumerate(feats):
-        pred = pred + F.col(f"w_{i}") * F.col(f)
-    met = regression_metrics(test.withColumn("p", pred), "y", "p", by=[key, "horizon"], digits=digits)
-    return met.withColumnRenamed("n", "n_test")
+    scored on the test part: ``(series_id, horizon, n_test, rmse, mae, r2)``.
+
+    One window pass and one aggregate for all horizons (``segment_moments``); models, RMSE and R^2
+    come from these moments, without copies of rows or a join back. The mean absolute
+    error cannot: ``mae`` adds a pass that joins the models of a series to its rows once. Rows are
+    complete (``drop_incomplete`` first)."""
+    feats, horizons = list(features), [int(h) for h in horizons]
+    base = _positions(df.select(key, order, value, *[f for f in feats if f != value]), value, horizons, key, order, chunk_rows, bucket)
+    models = solve_sweep(segment_moments(base, feats, horizons, frac, key), len(feats), horizons, alpha, frac, key)
+    if mae:
+        models = written(models, "sweep")
+        of = models.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("horizon", F.struct("w", "intercept")))).alias("_m"))
+        rows = base.join(of.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+        sums = []
+        for h in horizons:
+            m, (cut, end) = F.col("_m")[F.lit(h)], _ends(h, frac)
+            p = m["intercept"]
+            for i, f in enumerate(feats):
+                p = p + m["w"][i] * F.col(f)
+            sums.append(F.avg(F.when((F.col("_rn") > cut) & (F.col("_rn") <= end), F.abs(F.col(f"_y{h}") - p))).alias(f"_a{h}"))
+        each = [F.struct(F.lit(h).alias("horizon"), F.col(f"_a{h}").alias("mae")) for h in horizons]
+        errors = rows.groupBy(key).agg(*sums).select(F.col(key).alias("_key"), F.inline(F.array(*each)))
+        errors = errors.withColumnRenamed("horizon", "_h")
+        models = models.join(errors, F.col(key).eqNullSafe(F.col("_key")) & (F.col("horizon") == F.col("_h")))
+    names = ["rmse", "mae", "r2"] if mae else ["rmse", "r2"]
+    return models.select(key, "horizon", "n_test", *[F.col(c) if digits is None else F.round(c, digits).alias(c) for c in names])
 
 
 def train_and_publish(registry: DataFrame, features_df: DataFrame, horizon: int, features,

@@ -64,13 +64,56 @@ def t6_horizon_sweep_ridge_1feat_chunked(spark, sf_dir):
     return TR.horizon_sweep(_clean_final(spark, sf_dir), ["lag_1"], "aqi_pm25", HZ, digits=6, chunk_rows=200)
 
 
-@register("t6_horizon_sweep_ridge_multi")
+def _sweep_d_sql(features, scores: str) -> str:
+    """The sweep with any number of features: Gauss-Jordan elimination, one step a feature."""
+    d = len(features)
+    ycase = "CASE h " + " ".join(f"WHEN {h} THEN y{h}" for h in HZ) + " END"
+    leads = ", ".join(f"lead(aqi_pm25, {h}) OVER w AS y{h}" for h in HZ)
+    xs = ", ".join(f"CAST({f} AS DOUBLE) AS x{i}" for i, f in enumerate(features))
+    names = ", ".join(f"x{i}" for i in range(d))
+    left = " UNION ALL ".join(
+        f"SELECT series_id, h, {i} AS i, {j} AS j, count(*) * covar_pop({f'x{j}' if j < d else 'y'}, x{i}) + {float(i == j)!r} AS v FROM s "
+        "WHERE split = 'train' GROUP BY 1, 2" for i in range(d) for j in range(d + 1))
+    steps = ",\n".join(
+        f"""g{k + 1} AS MATERIALIZED (SELECT a.series_id, a.h, a.i, a.j, CASE WHEN a.i = {k} THEN a.v / p.v ELSE a.v - f.v * r.v / p.v END AS v
+FROM g{k} a JOIN g{k} p ON a.series_id = p.series_id AND a.h = p.h AND p.i = {k} AND p.j = {k}
+JOIN g{k} f ON a.series_id = f.series_id AND a.h = f.h AND f.i = a.i AND f.j = {k}
+JOIN g{k} r ON a.series_id = r.series_id AND a.h = r.h AND r.i = {k} AND r.j = a.j)""" for k in range(d))
+    ws = ", ".join(f"max(v) FILTER (i = {i}) AS w{i}" for i in range(d))
+    means = ", ".join(f"avg(x{i}) AS m{i}" for i in range(d))
+    dot = " + ".join(f"w{i} * (x{i} - m{i})" for i in range(d))
+    return fx.ctes("final", raw=True) + f""",
+clean AS (SELECT * FROM final WHERE COLUMNS(*) IS NOT NULL),
+t AS (SELECT series_id, {xs}, row_number() OVER w AS rn, count(*) OVER (PARTITION BY series_id) AS n, {leads}
+      FROM clean WINDOW w AS (PARTITION BY series_id ORDER BY datetime)),
+s AS MATERIALIZED (SELECT series_id, h, {names}, {ycase} AS y,
+      CASE WHEN rn <= floor(CAST(0.8 AS DOUBLE) * (n - h)) THEN 'train' ELSE 'test' END AS split
+      FROM t, (SELECT unnest([{', '.join(map(str, HZ))}]) AS h) WHERE rn <= n - h),
+g0 AS MATERIALIZED ({left}),
+{steps},
+w AS (SELECT series_id, h, {ws} FROM g{d} WHERE j = {d} GROUP BY 1, 2),
+m AS (SELECT series_id, h, avg(y) AS my, {means} FROM s WHERE split = 'train' GROUP BY 1, 2),
+p AS (SELECT s.series_id, s.h, s.y, m.my + {dot} AS p FROM s JOIN m ON s.series_id = m.series_id AND s.h = m.h
+      JOIN w ON s.series_id = w.series_id AND s.h = w.h WHERE split = 'test')
+SELECT series_id, h AS horizon, count(*) AS n_test, {scores} FROM p GROUP BY 1, 2"""
+
+
+_RMSE, _MAE = f"{r6('sqrt(avg(power(y - p, 2)))')} AS rmse", f"{r6('avg(abs(y - p))')} AS mae"
+_R2 = f"{r6('1 - sum(power(y - p, 2)) / (var_pop(y) * count(*))')} AS r2"
+
+
+@register("t6_horizon_sweep_ridge_multi", _sweep_d_sql(FEATS, f"{_RMSE}, {_MAE}, {_R2}"))
 def t6_horizon_sweep_ridge_multi(spark, sf_dir):
-    """Rows-only: d x d solve per (series, horizon) in mapInPandas; the d = 1
-    case above is the SQL-checked one, a pytest compares d > 1 with numpy."""
+    """All eight features."""
     return TR.horizon_sweep(_clean_final(spark, sf_dir), FEATS, "aqi_pm25", HZ, digits=6)
 
 
+@register("t6_horizon_sweep_moments", _sweep_d_sql(FEATS, f"{_RMSE}, {_R2}"))
+def t6_horizon_sweep_moments(spark, sf_dir):
+    """All eight features, scored from moments alone."""
+    return TR.horizon_sweep(_clean_final(spark, sf_dir), FEATS, "aqi_pm25", HZ, digits=6, mae=False)
+
+
 # ---- T3: pooled ridge through MLlib, one feature (closed form in SQL) ----------------
 
 @register("t3_ridge_pooled_1feat", fx.ctes("training", raw=True) + f""",

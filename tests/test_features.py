@@ -159,3 +159,31 @@ def test_range_build_equals_full_build(spark):
                                                    (F.col("datetime") < F.lit(end).cast("timestamp_ntz")))
             part = W.build_features_range(r, spec, start, end)
             assert _same(full, part), (spec, start, end)
+
+
+def test_pieces_bound_every_task(spark):
+    """A dense day, a far outlier and ties: every piece stays small, every row belongs to one."""
+    B, lb, ld = 50, 24, 24
+    d = spark.range(6000).select(
+        F.lit("s").alias("series_id"), F.col("id").alias("pm2_5"),
+        F.when(F.col("id") == 0, F.expr("timestamp_ntz'1700-01-01'")).otherwise(
+            F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id div 3)")).alias("datetime"))
+    d = d.unionByName(d.where("pm2_5 < 10").withColumn("series_id", F.lit("short")))
+    p = W.in_pieces(d, lb, ld, chunk_rows=B)
+    assert p.where("_own").count() == d.count()
+    sizes = [r["count"] for r in p.groupBy("series_id", "_piece").count().collect()]
+    assert len(sizes) > 100 and max(sizes) <= B + lb + ld + 5 * 3  # a second holds three rows
+    out = W.build_features(d, WIDE.with_(calendar=(), dropna=False), tiebreak="pm2_5", chunk_rows=B)
+    base = W.build_features(d, WIDE.with_(calendar=(), dropna=False), tiebreak="pm2_5", chunk_rows=None)
+    assert sorted(map(repr, out.select(sorted(out.columns)).collect())) == sorted(map(repr, base.select(sorted(base.columns)).collect()))
+    o = W.with_position(d, tiebreak="pm2_5", chunk_rows=B).where("series_id = 's'")
+    assert o.where("_o <> pm2_5 OR _n <> 6000").count() == 0
+
+
+def test_one_full_shuffle(spark):
+    """Rows pass one exchange, by (series, piece); the others carry counts."""
+    plan = _plan(W.build_features(fx.readings(spark, SF["0.001"]), WIDE))
+    assert plan.count("Exchange hashpartitioning(series_id#") >= 1
+    full = [x for x in plan.splitlines() if "Exchange hashpartitioning(series_id" in x and "_piece" in x]
+    assert len(full) == 1, plan
+    assert plan.count("_lag_24") and "BroadcastHashJoin" in plan
