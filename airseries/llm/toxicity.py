@@ -2,11 +2,14 @@
 
 The lexicon is learnt from labelled rows: whole words, and word stems (a stem
 stands for every word that begins with it), whose share among toxic texts is far
-above their share among the others. Scoring intersects the Levenshtein automaton
-of each distinct word with the trie of the lexicon, which finds misspelled
-terms too. Each hit looks at a window around it: inside quotation marks, or
-behind a reporting verb, it counts as quotation, else as abuse. A logistic model
-over the hits' counts gives the score.
+above their share among the others, and above what chance brings: among the terms
+that occur equally often, fewer than ``CHANCE`` may be expected to be so one-sided.
+Scoring runs the bit-parallel Levenshtein automaton of each distinct word along the
+trie of the lexicon, which finds misspelled terms too (words that clean texts use
+are no misspellings). Each hit looks at a window around it: inside quotation marks,
+or behind a reporting verb, it counts as quotation, else as abuse. A logistic model
+over the amount of abuse gives the score; a misspelled hit counts like an exact one, but
+for a fixed discount, a quoted one counts less or not at all, and no weight is negative.
 
 Only the text is an input of a score. The model is fitted on a bounded sample of
 labelled rows (``SAMPLE_PER_CLASS`` rows of either class, chosen by a hash of
@@ -51,8 +54,12 @@ FUZZY_FROM = 5
 QUOTE_WINDOW = 400
 #: Words before a hit in which a reporting verb marks a quotation.
 VERB_WINDOW = 6
+#: Terms of equal frequency that chance may bring into the lexicon, at most (expected number).
+CHANCE = 0.05
+#: A hit counts so much for each of its edits.
+EDITED = 0.9
 #: Words a worker remembers as resolved.
-REMEMBER = 400_000
+REMEMBER = 300_000
 
 # fixed values: quotation marks and reporting verbs
 OPENING, CLOSING, BOTH = "“«„‹", "”»‟›", "\""
@@ -104,21 +111,33 @@ class Trie:
     def near(self, word: str, edits: int = 1) -> tuple[str, int] | None:
         """(term, edits) of the nearest whole-word term within ``edits``; ties by spelling.
 
-        The automaton of ``word`` is kept as its row of distances; a branch of the
-        trie is left as soon as the whole row exceeds the bound."""
+        The automaton of ``word``: bit j of ``states[e]`` says that its first j letters have been
+        read with e edits. All positions step at once; a branch of the trie is left when no
+        bit is set."""
         if edits == 1 and not self._may(word):
             return None
+        at: dict[str, int] = {}
+        for j, ch in enumerate(word):
+            at[ch] = at.get(ch, 0) | 1 << j
+        start = [1]
+        for _ in range(edits):
+            start.append(start[-1] | start[-1] << 1)
+        end, within = 1 << len(word), (2 << len(word)) - 1
         best: tuple[int, str] | None = None
-        stack = [(self.root, list(range(len(word) + 1)))]
+        stack = [(self.root, start)]
         while stack:
-            node, row = stack.pop()
-            if node[1] and not node[2] and row[-1] <= edits and len(node[1]) >= FUZZY_FROM:
-                best = min(best, (row[-1], node[1])) if best else (row[-1], node[1])
+            node, states = stack.pop()
+            if node[1] and not node[2] and len(node[1]) >= FUZZY_FROM:
+                for e, bits in enumerate(states):
+                    if bits & end:
+                        best = min(best, (e, node[1])) if best else (e, node[1])
+                        break
             for ch, child in node[0].items():
-                new = [row[0] + 1]
-                for j, w in enumerate(word):
-                    new.append(min(row[j] + (w != ch), row[j + 1] + 1, new[j] + 1))
-                if min(new) <= edits:
+                same = at.get(ch, 0)
+                new = [(states[0] & same) << 1]
+                for e in range(1, edits + 1):  # read, or one more edit: insert, replace, delete
+                    new.append(((states[e] & same) << 1 | states[e - 1] | states[e - 1] << 1 | new[e - 1] << 1) & within)
+                if any(new):
                     stack.append((child, new))
         return (best[1], best[0]) if best else None
 
@@ -131,6 +150,7 @@ class Model:
     weights: list[float] = field(default_factory=list)
     base: float = 0.0
     edits: int = 1
+    harmless: list[str] = field(default_factory=list)  # words of clean texts close to a term
 
 
 class Matcher:
@@ -138,18 +158,20 @@ class Matcher:
 
     def __init__(self, model: Model):
         self.trie, self.edits = Trie(model.words, model.stems), model.edits
+        self.harmless = frozenset(model.harmless)
         self.hits: dict[str, tuple[str, int]] = {}
         self.clean: set[str] = set()
 
     def word(self, w: str) -> tuple[str, int] | None:
-        return self.trie.exact(w) or (self.trie.near(w, self.edits) if self.edits else None)
+        return self.trie.exact(w) or (self.trie.near(w, self.edits) if self.edits and w not in self.harmless else None)
 
     def scan(self, text: str) -> list[tuple[int, int, str, int, float]]:
         """(start, end, term, edits, quotation 0..1) of every hit."""
         low = text.lower()
         seen = set(WORD.findall(low))
-        if len(self.clean) > REMEMBER:
+        if len(self.clean) + len(self.hits) > REMEMBER:
             self.clean.clear()
+            self.hits.clear()
         found = False
         for w in seen - self.clean:
             if w in self.hits:
@@ -177,17 +199,24 @@ def quotation(low: str, at: int, before: list[str]) -> float:
 
 
 def features(hits: list[tuple[int, int, str, int, float]]) -> list[float]:
-    """Abuse and quotation, of exact and misspelled hits: any at all, and how many."""
-    out = [1.0]
-    for edited in (False, True):
-        for quoted in (False, True):
-            n = sum(q if quoted else 1 - q for *_, e, q in hits if (e > 0) == edited)
-            out += [min(1.0, n), math.log1p(n)]
-    return out
+    """Abuse: any at all, and how much. A quotation takes from a hit, and so does each edit."""
+    n = sum((1 - q) * EDITED ** e for *_, e, q in hits)
+    return [1.0, min(1.0, n), math.log1p(n)]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
-    """Newton's method with a small ridge (none on the intercept)."""
+    """Newton's method with a small ridge (none on the intercept); no other weight below 0."""
+    used = list(range(x.shape[1]))
+    while True:
+        w = np.zeros(x.shape[1])
+        w[used] = _newton(x[:, used], y, ridge, rounds)
+        worst = min(used[1:], key=lambda i: w[i], default=0)
+        if not worst or w[worst] >= 0:
+            return w
+        used.remove(worst)
+
+
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int) -> np.ndarray:
     w = np.zeros(x.shape[1])
     pen = np.full(x.shape[1], ridge)
     pen[0] = 1e-6
@@ -223,6 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         n = sum(size.values())
         return Model(base=size.get(1, 0) / (n + 1) if n else 0.0)
     model = Model(*_lexicon(rows, size))
+    model.harmless = _harmless(rows, model)
     feats = _scan(rows, "_text", model, ["_y"]).select("_y", "features").toPandas()
     x, y = np.array(feats["features"].tolist(), float), feats["_y"].to_numpy(float)
     order = np.lexsort((*x.T, y))
@@ -233,18 +263,26 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 def _lexicon(rows: DataFrame, size: dict[int, int]) -> tuple[list[str], list[str]]:
     """Whole words and stems that tell toxic texts from others."""
     toxic, clean = rows.where("_y = 1"), rows.where("_y = 0")
-    # copies, near ones too, count as one text: their class stands for them
-    classes = near_dup.near_duplicates(toxic.select(F.xxhash64("_id").alias("doc_id"), F.col("_text").alias("text")))
+    # copies, near ones too, count as one text: their class stands for them (its ids are not negative)
+    key = F.xxhash64("_id").bitwiseAND(F.lit((1 << 62) - 1))
+    classes = near_dup.near_duplicates(toxic.select(key.alias("doc_id"), F.col("_text").alias("text")))
     classes = written(classes.select(F.col("doc_id").alias("_key"), F.col("class_id").alias("_class")).distinct(), "toxicity-classes")
     n1, n0 = float(classes.agg(F.countDistinct("_class")).first()[0]), float(size[0])
-    toxic = toxic.withColumn("_key", F.xxhash64("_id")).join(classes, "_key")
-    frequent = written(_terms(toxic, "_class").distinct().groupBy("term", "stem").agg(F.count("*").alias("pos"))
-                       .where(F.col("pos") >= LEAST), "toxicity-terms")
-    neg = _terms(clean).join(frequent, ["term", "stem"], "left_semi").groupBy("term", "stem").agg(
-        F.count("*").alias("neg"))
-    share1, share0 = F.col("pos") / n1, (F.coalesce("neg", F.lit(0)) + 0.5) / n0
-    telling = written(frequent.join(neg, ["term", "stem"], "left")
-                      .where(share1 / (share1 + share0) >= PRECISION).select("term", "stem", "pos"), "toxicity-telling")
+    toxic = toxic.withColumn("_key", key).join(classes, "_key")
+    pos = _terms(toxic, "_class").distinct().groupBy("term", "stem").agg(F.count("*").alias("pos"))
+    neg = _terms(clean).groupBy("term", "stem").agg(F.count("*").alias("neg"))
+    terms = written(pos.join(neg, ["term", "stem"], "full").fillna(0, ["pos", "neg"])
+                    .withColumn("k", F.col("pos") + F.col("neg")), "toxicity-terms")
+    # k occurrences, a share p of them on toxic texts: by chance in exp(-k KL(p, q)) of all terms
+    # with k occurrences at most (Chernoff), q the share of toxic texts
+    q = n1 / (n1 + n0)
+    p = F.col("pos") / F.col("k")
+    apart = F.col("k") * (p * F.log(p / q) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0))
+    share1, share0 = F.col("pos") / n1, (F.col("neg") + 0.5) / n0
+    able = terms.where((F.col("pos") >= LEAST) & (p > q) & (share1 / (share1 + share0) >= PRECISION))
+    many = terms.groupBy("stem", "k").agg(F.count("*").alias("m"))
+    telling = written(able.join(many, ["stem", "k"]).where(F.log("m") - apart <= math.log(CHANCE))
+                      .select("term", "stem", "pos"), "toxicity-telling")
     # the different words that carry a stem
     stems = [F.struct(F.substring("w", 1, n).alias("term"), F.lit(n).alias("stem")) for n in STEM_LENGTHS]
     kinds = (toxic.select(F.explode(_words()).alias("w")).distinct()
@@ -260,6 +298,20 @@ def _lexicon(rows: DataFrame, size: dict[int, int]) -> tuple[list[str], list[str
     return sorted(words), sorted(shortest)
 
 
+def _harmless(rows: DataFrame, model: Model) -> list[str]:
+    """Words of the clean rows of the sample that are close to a term of the lexicon."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value)
+        for b in batches:
+            hits = [w for w in b.column(0).to_pylist() if (hit := matcher.word(w)) and hit[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.string())], names=["w"])
+
+    words = rows.where("_y = 0").select(F.explode(_words()).alias("w")).distinct()
+    return sorted(r[0] for r in words.mapInArrow(run, "w string").collect())  # within an edit of a term: few
+
+
 def _words() -> Column:
     words = F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}\p{N}]+"))
     return F.filter(words, lambda w: w != "")
@@ -290,7 +342,8 @@ def _scan(docs: DataFrame, text: str, model: Model, keep: list[str]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if key not in _MATCHERS:
+        if key not in _MATCHERS:  # a worker keeps one
+            _MATCHERS.clear()
             _MATCHERS[key] = Matcher(m)
         scan, weights = _MATCHERS[key].scan, m.weights
         hit_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()),
