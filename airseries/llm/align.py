@@ -12,7 +12,7 @@ sums over chunks, so the hottest pair is pre-aggregated like any other.
 
 The counts go back the same way: each pair's score is joined to its postings, and the
 postings of a chunk, cogrouped with its documents, return every document's sums. A
-chunk holds at most 65,536 documents and, but for one longer text, 2 million postings:
+chunk holds at most 65,536 documents and, but for one longer text, about a million postings:
 no task holds an unbounded group. Texts are tokenised once; documents and postings are
 written to the shared folder together, so a lost task costs its own rows again.
 
@@ -45,11 +45,11 @@ SLOTS = 1 << 16
 #: Bytes of a plain bitmap; sorted slots are used while they are shorter.
 DENSE = SLOTS // 8
 #: A chunk closes when it holds so many postings.
-POSTINGS = 2_000_000
+POSTINGS = 1_000_000
 #: Texts are tokenised in runs of about so many bytes, new stretches in blocks of so many characters.
-RUN_BYTES, BLOCK_CHARS = 2_000_000, 60_000
+RUN_BYTES, BLOCK_CHARS = 1_000_000, 60_000
 #: Stretches a worker remembers before it starts over.
-REMEMBER = 500_000
+REMEMBER = 200_000
 #: Spaces and what follows them; where other white space stands before a space, the exact cut.
 RUNS = re.compile(r" +[^ ]*")
 WHITE_BEFORE = re.compile(r"[^\S ] ")
