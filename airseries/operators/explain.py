@@ -67,8 +67,8 @@ def explain_rows(df: DataFrame, model, features, keys=("series_id", "datetime"),
                  digits: int | None = None) -> DataFrame:
     """Per-row attribution, long ``(keys..., feature, shap_value, rank)``.
     A coefficient dict is explained exactly by column algebra (expectations
-    over ``background``, default ``df``); an MLlib tree ensemble by
-    path-dependent TreeSHAP."""
+    over ``background``, default ``df``); a tree ensemble (MLlib or histogram)
+    by path-dependent TreeSHAP."""
     if isinstance(model, dict):
         means = background_means(background if background is not None else df, features)
         return linear_shap(df, model, features, means, keys, digits)

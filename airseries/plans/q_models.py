@@ -463,3 +463,53 @@ def t10_importance_levels(spark, sf_dir):
     """Gain importances of all features of the training preset."""
     m, _ = _grown(spark, sf_dir, "random_forest")
     return X.feature_importance(m, FEATS).select("feature", F.round("importance", 6).alias("importance"))
+
+
+# ---- T11/T12: attributions of a tree of depth 2, by the definition over all subsets of the features -----
+
+def _depth2(spark, sf_dir):
+    rows = _split_rows(spark, sf_dir)
+    m = TR.fit(rows.where("split = 'train'"), FEATS, "target_h1", "boosted_deep", engine="histogram", trees=1, depth=2, bins=16)
+    return X.explain_rows(rows, m, FEATS)
+
+
+def _depth2_sql() -> str:
+    kind, _, _, rate, l2 = TR.HISTOGRAM["boosted_deep"]
+    d = len(FEATS)
+    grown = ensemble_ctes(FEATS, kind, trees=1, depth=2, rate=rate, l2=l2, bins=16, name="m")
+
+    def child(node: int, side: str) -> str:
+        own, l, r = f"{side}o", f"{side}l", f"{side}r"
+        return (f"CASE WHEN {own}.f IS NULL THEN {side}v WHEN (mask >> {own}.f) & 1 = 1 THEN CASE WHEN {side}g THEN {l} ELSE {r} END "
+                f"ELSE ({own}.wl * {l} + ({own}.wn - {own}.wl) * {r}) / {own}.wn END")
+
+    def value(node: int) -> str:
+        return f"(SELECT v FROM m0_val WHERE node = {node})"
+
+    return _SRC_SQL + ",\n" + grown + f""",
+turns AS MATERIALIZED (SELECT s.id, b0.bin <= t0.bin AS g, b1.bin <= t1.bin AS ag, b2.bin <= t2.bin AS bg FROM src s, m0_best0 t0
+  LEFT JOIN m0_best1 t1 ON t1.node = 1 LEFT JOIN m0_best1 t2 ON t2.node = 2 LEFT JOIN m_bin b0 ON b0.id = s.id AND b0.f = t0.f
+  LEFT JOIN m_bin b1 ON b1.id = s.id AND b1.f = t1.f LEFT JOIN m_bin b2 ON b2.id = s.id AND b2.f = t2.f),
+kinds AS (SELECT DISTINCT g, ag, bg FROM turns),
+games AS MATERIALIZED (SELECT g, ag, bg, mask, {child(1, 'a')} AS va, {child(2, 'b')} AS vb, t.f AS tf, t.wl AS twl, t.wn AS twn FROM kinds,
+  (SELECT unnest(range(0, {2 ** d})) AS mask), m0_best0 t LEFT JOIN m0_best1 ao ON ao.node = 1 LEFT JOIN m0_best1 bo ON bo.node = 2,
+  (SELECT {value(1)} AS av, {value(3)} AS al, {value(4)} AS ar, {value(2)} AS bv, {value(5)} AS bl, {value(6)} AS br)),
+worth AS MATERIALIZED (SELECT g, ag, bg, mask, CASE WHEN (mask >> tf) & 1 = 1 THEN CASE WHEN g THEN va ELSE vb END
+  ELSE (twl * va + (twn - twl) * vb) / twn END AS v FROM games),
+phi AS (SELECT a.g, a.ag, a.bg, f, {rate!r} * sum((b.v - a.v) * factorial(bit_count(a.mask)) * factorial({d - 1} - bit_count(a.mask)) / factorial({d})) AS v
+  FROM worth a, (SELECT unnest(range(0, {d})) AS f) JOIN worth b ON b.mask = a.mask | (1 << f) AND a.g IS NOT DISTINCT FROM b.g
+  AND a.ag IS NOT DISTINCT FROM b.ag AND a.bg IS NOT DISTINCT FROM b.bg WHERE (a.mask >> f) & 1 = 0 GROUP BY ALL),
+shap AS (SELECT series_id, datetime, ([{', '.join(f"'{f}'" for f in FEATS)}])[f + 1] AS feature, v AS shap_value FROM src JOIN turns ON src.id = turns.id
+  JOIN phi ON turns.g IS NOT DISTINCT FROM phi.g AND turns.ag IS NOT DISTINCT FROM phi.ag AND turns.bg IS NOT DISTINCT FROM phi.bg)
+"""
+
+
+@register("t11_tree_shap_depth2", _depth2_sql() + f"SELECT series_id, datetime, feature, {r6('shap_value')} AS shap_value FROM shap")
+def t11_tree_shap_depth2(spark, sf_dir):
+    """Every row's attributions to a second-order tree of two levels."""
+    return _depth2(spark, sf_dir).select("series_id", "datetime", "feature", F.round("shap_value", 6).alias("shap_value"))
+
+
+@register("t12_global_tree_shap_depth2", _depth2_sql() + f"SELECT feature, {r6('avg(abs(shap_value))')} AS mean_abs_shap FROM shap GROUP BY 1")
+def t12_global_tree_shap_depth2(spark, sf_dir):
+    return X.global_importance(_depth2(spark, sf_dir), digits=6)

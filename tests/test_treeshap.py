@@ -61,3 +61,28 @@ def test_explain_trees_gbt_additivity(spark):
     bad = tot.join(pred, ["series_id", "datetime"]).filter(F.abs(F.col("s") + F.lit(base) - F.col("p")) > 1e-6)
     assert bad.count() == 0
     assert shap.filter("rank = 1").count() == rows.count()
+
+
+def test_blocks_of_trees_add_up(spark, monkeypatch):
+    """One tree a block gives the same values as all at once, for both kinds of ensembles."""
+    from airseries.operators.trees import fit_trees
+    rows = fx.training_rows(spark, SF["0.001"], digits=None)
+    feats = ["lag_1", "lag_3", "roll_mean_6", "hour"]
+    models = [TR.fit(rows, feats, "target_h1", "gradient_boosting", maxIter=3, maxDepth=3),
+              fit_trees(rows, feats, "target_h1", "forest", 4, 3), fit_trees(rows, feats, "target_h1", "boosted", 3, 3, rate=0.3)]
+    for m in models:
+        whole = sorted(map(tuple, TS.explain_trees(rows, m, feats, digits=9).collect()))
+        monkeypatch.setattr(TS, "BLOCK_BYTES", 1)
+        assert len(list(TS.tree_blocks(m, spark))) in (3, 4)
+        assert sorted(map(tuple, TS.explain_trees(rows, m, feats, digits=9).collect())) == whole
+        monkeypatch.undo()
+        trees = TS.ensemble_tables(m, spark)
+        base = TS.expected_value(trees) + getattr(m, "base", 0.0)
+        pred = {tuple(r[:2]): r[2] for r in TR.predict(m, rows, "p").select("series_id", "datetime", "p").collect()}
+        total = {}
+        for r in whole:
+            total[r[:2]] = total.get(r[:2], base) + r[3]
+        assert all(abs(total[k] - pred[k]) < 1e-6 for k in pred)
+        x = rows.select(*[F.col(f).cast("double") for f in feats]).limit(3).toPandas().to_numpy()
+        for t in trees[:2]:
+            assert np.allclose(TS.tree_shap(t, x)[0], _brute(t, x[0], len(feats)), atol=1e-9)
