@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from airseries.operators import eda as E
+from airseries.operators.gram import corr_matrix_blocks, corr_with_blocks
 from airseries.operators import metrics as M
 from airseries.operators import quality as Q
 from airseries.operators.features import build_features
 from airseries.plans import fixtures as fx
-from airseries.plans.catalog import register
+from airseries.plans.catalog import ORACLE, register
 from airseries.plans.presets import FINAL, TRAINING_FEATURES, WIDE
 from airseries.plans.sqlgen import corr_sql, r6
 
@@ -129,6 +130,17 @@ def a11_corr_with_target(spark, sf_dir):
     return E.corr_with(fx.training_rows(spark, sf_dir), "target_h1", TRAINING_FEATURES, digits=6)
 
 
+@register("a10_corr_matrix_blocks", ORACLE["a10_corr_matrix"])
+def a10_corr_matrix_blocks(spark, sf_dir):
+    """The same matrix from blocked Gram matrices."""
+    return corr_matrix_blocks(fx.readings(spark, sf_dir), NUM, digits=6)
+
+
+@register("a11_corr_with_target_blocks", ORACLE["a11_corr_with_target"])
+def a11_corr_with_target_blocks(spark, sf_dir):
+    return corr_with_blocks(fx.training_rows(spark, sf_dir), "target_h1", TRAINING_FEATURES, digits=6)
+
+
 @register("a12_skewness", fx.ctes("readings") + f"""
 SELECT series_id, count(pm2_5) AS n,
        {r6('avg(power(pm2_5 - m, 3)) / power(avg(power(pm2_5 - m, 2)), 1.5)')} AS skewness
