@@ -1,6 +1,6 @@
 """JSON file registry. The reference keeps one JSON array rewritten on
-every append; here each append writes a new JSON-lines file into the
-registry folder (no read-modify-write), and reads accept both layouts."""
+every append; here each append writes JSON lines into a folder of its own below
+the registry folder (no read-modify-write), and reads accept both layouts."""
 
 from __future__ import annotations
 
@@ -36,21 +36,26 @@ def append_entries(df: DataFrame, path: str, order=("horizon_hours", "model_name
     run's models, a handful)."""
     from airseries.sources.tables import claim, exists
     spark = df.sparkSession
-    last = spark.read.schema(_STORED).json(path).agg(F.max("seq.append")).first()[0] if exists(spark, path) else None
-    # every append has a number of its own, also when several run at once
+    last = _stored(spark, path).agg(F.max("seq.append")).first()[0] if exists(spark, path) else None
+    # every append has a number and a folder of its own, also when several run at once
     while not claim(spark, f"{path}/_appends/{(last or 0) + 1:012d}", ""):
         last = (last or 0) + 1
     nth = F.row_number().over(Window.orderBy(*[F.asc_nulls_last(c) for c in order]))
     numbered = df.select(*ENTRY_SCHEMA.fieldNames(), F.struct(
         F.lit((last or 0) + 1).cast("long").alias("append"), nth.cast("long").alias("n")).alias("seq"))
-    numbered.write.mode("append").json(path)
+    numbered.write.mode("append").json(f"{path}/n{(last or 0) + 1:012d}")
+
+
+def _stored(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """The entries of all appends, and of files written straight into the folder."""
+    return spark.read.schema(_STORED).option("multiLine", multiline).option("recursiveFileLookup", True).json(path)
 
 
 def read_entries(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Entries with a ``position`` that rises in the order they were appended, so
     "later entry wins" is well defined. Entries without a sequence (one JSON
     array written elsewhere) come first, by their place in the file."""
-    df = spark.read.schema(_STORED).option("multiLine", multiline).json(path)
+    df = _stored(spark, path, multiline)
     return df.withColumn("position", F.struct(
         F.coalesce(F.col("seq.append"), F.lit(0)).alias("append"),
         F.coalesce(F.col("seq.n"), F.monotonically_increasing_id()).alias("n"))).drop("seq")

@@ -87,13 +87,19 @@ def test_appends_at_once_have_their_own_numbers(spark, tmpdir_path):
     rows = spark.createDataFrame([("rf", 24, 3.1, 0.9, ["a"])], "model_name string, horizon_hours int, rmse double, r2 double, features array<string>")
     path, start = f"{tmpdir_path}/reg", threading.Barrier(4)
 
+    failed = []
+
     def work(i):
         start.wait()
-        RF.append_entries(RF.entries(rows.withColumn("model_name", F.lit(f"m{i}")), "active"), path)
+        try:
+            RF.append_entries(RF.entries(rows.withColumn("model_name", F.lit(f"m{i}")), "active"), path)
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
 
     threads = [threading.Thread(target=work, args=(i,)) for i in range(4)]
     [t.start() for t in threads]
     [t.join() for t in threads]
+    assert not failed
     got = RF.read_entries(spark, path).select("model_name", "position.append").collect()
     assert len(got) == 4 and len({r["append"] for r in got}) == 4
 
