@@ -94,6 +94,7 @@ class Pair:
         self.own = None
         self.tables = entries, pattern
         self.b = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        self.space = model.merge(piece.SPACE)  # B's tokens of a lone space: an empty text gets none of its own
         self.len_a = np.array([len(e) for e in entries], np.int64)
         self.len_b = np.array([len(e) for e in model.bytes_of], np.int64)
         # digits and the mark behind them: A's list ends with "|", B's with ";"
@@ -137,7 +138,8 @@ class Pair:
         blocks += [[c] for c in open_ended]
         joined = ["".join(block) for block in blocks]
         a = np.concatenate([self.ids_a(t) for t in joined])
-        b = np.concatenate([np.array(x, np.int64) for x in self.b.encode([t[1:] for t in joined], num_threads=1)])
+        ids_b = self.b.encode([t[1:] for t in joined], num_threads=1)
+        b = np.concatenate([np.array(x if t != " " else self.space, np.int64) for x, t in zip(ids_b, joined, strict=True)])
         order = rest + open_ended
         ends = np.cumsum([len(c.encode("utf-8")) for c in order])
         end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])

@@ -247,7 +247,7 @@ def test_misspelled_and_quoted(spark):
     text = lambda: " ".join(rng.choices(vocab, k=30))
     slurs = ["vlerkig", "dwazerik", "snotoor"]
     rows = [(i, f"{text()} you {slurs[i % 3]} {text()}", 1) for i in range(150)]
-    rows += [(1000 + i, f"{text()} rare{i // 5}word {text()}", 0) for i in range(600)]
+    rows += [(1000 + i, f"{text()} you rare{i // 5}word {text()}", 0) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.fit(df.drop("toxic"), df.drop("text"))
     assert all(any(s.startswith(t) for t in [*model.words, *model.stems]) for s in slurs)
