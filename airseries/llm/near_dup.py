@@ -24,8 +24,8 @@ about 5e-6.
 Defined results: NULL text is an empty text; texts with equal words (or, without
 words, equal characters) are one class; a text of fewer than five words has no
 other near-duplicates; rows with one doc_id are one class; NULL doc_ids form classes
-like others (class_id is NULL if a class has no doc_id at all); repeated rows
-are each returned; other columns are ignored; empty tables give empty results.
+like others (class_id is NULL if a class has no doc_id at all); negative doc_ids are
+ids like others (all are below 2**62); repeated rows are each returned; other columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ LONG, SHORT = (40, 6), (12, 2)
 LONG_FROM, SHORT_TO = 18, 24
 #: Rounds against one node of a bucket before its classes are compared in full (saves work, changes no result).
 STAR_ROUNDS = 3
+#: Ids are below this; rows without one are known by a number from here on.
+UNNAMED = 1 << 62
 #: Words a worker remembers the hash of.
 REMEMBER = 500_000
 #: Cells of the hash matrix at once (long texts are done in groups of sketches).
@@ -230,8 +232,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     scratch = Scratch(docs.sparkSession)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     rows = scratch.write(_nodes(src), "near-rows")
-    # a node: the least doc_id with these words; without any, a negative number of the words
-    unnamed = -F.abs(F.xxhash64("key") % F.lit(2 ** 62)) - 1
+    # a node: the least doc_id with these words; without any, a number of the words above all ids
+    unnamed = F.pmod(F.xxhash64("key"), F.lit(UNNAMED)) + F.lit(UNNAMED)
     nodes = scratch.write(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
                                             F.first("sketch").alias("sketch"))
                     .select("key", F.coalesce("doc_id", unnamed).alias("node"), "n", "sketch"), "near-nodes")
@@ -284,7 +286,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = nodes.select("key", "node").join(cc, "node", "left").select(
         "key", F.coalesce("component", "node").alias("class"))
     out = rows.select("doc_id", "key").join(classes, "key")
-    out = written(out.select("doc_id", F.when(F.col("class") >= 0, F.col("class")).alias("class_id")), "near-classes")
+    out = written(out.select("doc_id", F.when(F.col("class") < UNNAMED, F.col("class")).alias("class_id")), "near-classes")
     scratch.drop()
     return out
 
@@ -317,7 +319,7 @@ def _unnamed(src: DataFrame, wanted: DataFrame) -> DataFrame:
     """Texts of nodes without a doc_id (their rows carry none to join by)."""
     null = src.where("doc_id IS NULL")
     keyed = _nodes_text(null)
-    node = -F.abs(F.xxhash64("key") % F.lit(2 ** 62)) - 1
+    node = F.pmod(F.xxhash64("key"), F.lit(UNNAMED)) + F.lit(UNNAMED)
     return (keyed.select(node.alias("node"), "text").groupBy("node").agg(F.min("text").alias("text"))
             .join(wanted, "node", "left_semi"))
 

@@ -267,3 +267,15 @@ def test_bit_parallel_automaton(word, edits):
     words = ["abcab", "bbcaab", "cabcabc"]
     best = min((edit_distance(word, w), w) for w in words)
     assert toxicity.Trie(words, []).near(word, edits) == ((best[1], best[0]) if best[0] <= edits else None)
+
+
+# --- 10: near duplicates with negative ids
+
+def test_negative_ids_have_classes(spark):
+    from airseries.llm import near_dup
+    words = [f"w{i}" for i in range(60)]
+    near_copy = " ".join(words[:59] + ["other"])
+    rows = [(-5, " ".join(words)), (-7, near_copy), (3, "something of its own"), (None, " ".join(words)), (None, "no id here at all")]
+    got = sorted((r.doc_id or 0, r.class_id or 0) for r in near_dup.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-7, -7), (-5, -7), (0, -7), (0, 0), (3, 3)]
