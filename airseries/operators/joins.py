@@ -9,7 +9,9 @@ from airseries.functions.calendar import hour_floor
 
 def align_weather(aqi: DataFrame, weather: DataFrame, key="series_id", ts="datetime",
                   broadcast_max_rows: int | None = None) -> DataFrame:
-    """Left equi-join on (series, timestamp truncated to the hour).
+    """Left equi-join on (series, timestamp truncated to the hour). A reading
+    meets every weather row of its hour: with two of them it comes out twice, with
+    none once with NULLs (reduce ``weather`` to one row an hour first).
     The join strategy is left to Catalyst/AQE (runtime broadcast of a small
     side); ``broadcast_max_rows`` forces a broadcast only behind a row-count
     check."""

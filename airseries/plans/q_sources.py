@@ -142,6 +142,20 @@ def s7_enrich_features(spark, sf_dir):
     return TB.enrich_features(fx.readings(spark, sf_dir), "Anytown", GEN_AT)
 
 
+@register("s7_append_features", fx.ctes("readings") + "\nUNION ALL\n".join(f"""
+SELECT 'Anytown' AS city, datetime, CAST(NULL AS DOUBLE) AS aqi, series_id, pm2_5, pm10, nitrogen_dioxide,
+       TIMESTAMP '{at}' AS created_at FROM readings WHERE {cond}""" for at, cond in (
+    (GEN_AT, "datetime < TIMESTAMP '2024-01-15'"), ("2024-02-02 00:00:00", "datetime >= TIMESTAMP '2024-01-15'"))))
+def s7_append_features(spark, sf_dir):
+    """Two appends to the feature table, read back."""
+    r = fx.readings(spark, sf_dir)
+    path = _scratch(spark, "features")
+    first = F.col("datetime") < F.lit("2024-01-15").cast("timestamp_ntz")
+    TB.append_features(r.where(first), path, "Anytown", GEN_AT)
+    TB.append_features(r.where(~first), path, "Anytown", "2024-02-02 00:00:00")
+    return TB.read_table(spark, path)
+
+
 @register("s9_flat_forecasts", fx.ctes("readings") + f"""
 SELECT datetime + INTERVAL 72 HOUR AS datetime, pm2_5 AS predicted_aqi, 3 AS horizon,
        TIMESTAMP '{GEN_AT}' AS generated_at FROM readings""")
