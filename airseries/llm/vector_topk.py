@@ -6,7 +6,9 @@ summed squared distances from the mean). By Cauchy-Schwarz a pair's score is at
 most  sum over segments (length * mean * mean' + deviation * deviation'),
 equivalently a lower bound of the distance. Levels run from one segment to
 many: a pair whose bound at some level is below the query's k-th best score so
-far is dropped, and exact scores are computed for the survivors only.
+far is dropped, and exact scores are computed for the survivors: one by one, or by one
+matrix product of the block where the bounds leave more than a tenth of its pairs (as
+they do on vectors without structure, whose norms bound nothing).
 
 Vectors are packed in blocks of at most ``BLOCK`` rows; every query block meets
 every block of candidates (a stated query set against all rows, in blocks), and
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 from airseries.llm.common import written
 
 BLOCK = 2048
-#: Query blocks one candidate task meets; more queries are dealt to more tasks.
 SEGMENTS = (1, 4, 16)
+#: Share of a block's pairs up to which survivors are scored one by one.
+MANY = 0.1
 _BLOCKS = "block long, dim int, n int, ids binary, comps binary"
 _HITS = "query_block long, query_row int, query_id long, vec_id long, score long"
 
@@ -111,51 +114,63 @@ def _levels(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer scores of equally many rows; doubles are exact below 2**53."""
-    if q.size and np.abs(q).max() * np.abs(x).max(initial=0) * q.shape[1] < 2 ** 53:
-        return np.einsum("ij,ij->i", q, x).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(u, v)) for u, v in zip(q, x)], np.int64)
+def _exact(q: np.ndarray, x: np.ndarray) -> bool:
+    """Whether all scores are integers below 2**53, which doubles hold exactly."""
+    return not q.size or np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2 ** 53
+
+
+def _pairs(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact integer scores of the pairs (i, j)."""
+    if _exact(q, x):
+        return np.einsum("ij,ij->i", q[i], x[j]).astype(np.int64)
+    return np.array([sum(int(a) * int(b) for a, b in zip(q[u], x[v], strict=True)) for u, v in zip(i, j, strict=True)], np.int64)
 
 
 def best_in_block(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int,
                   own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query (scores, positions) of its k best rows of ``x``; ``own[i]``: row to skip or -1."""
-    n = len(x)
+    """Per query (scores, positions) of its k best rows of ``x``; ``own[i]``: row to skip or -1.
+
+    All queries go through a level together. The k rows a query's coarse bounds promise most
+    set its bar; what a finer level leaves above the bars goes on. As soon as no more than
+    a share ``MANY`` of the pairs is left they are scored one by one; if the levels that are
+    cheaper than the scores leave more than that, one matrix product scores the block."""
+    many, n = len(q), len(x)
     q, x = q.astype(float), x.astype(float)
     by_id = np.argsort(ids, kind="stable")
     x, ids = x[by_id], ids[by_id]
     place = np.empty(n, int)
     place[by_id] = np.arange(n)
-    lq, lx = _levels(q), _levels(x)
-    out = []
-    bounds = [mq @ mx.T + dq @ dx.T for (mq, dq), (mx, dx) in zip(lq[:1], lx[:1])]
-    for i in range(len(q)):
-        alive = np.ones(n, bool)
-        if own[i] >= 0:
-            alive[place[own[i]]] = False
-        if lq:
-            # the k most promising rows by the finest statistics of the coarse level set the bar
-            coarse = np.where(alive, bounds[0][i], -np.inf)
-            kk = min(k, int(alive.sum()))
-            first = np.argpartition(-coarse, kk - 1)[:kk] if 0 < kk else np.zeros(0, int)
-            got = _scores(np.broadcast_to(q[i], (len(first), q.shape[1])), x[first])
-            bar = got.min() if len(got) == k else -np.inf
-            alive &= bounds[0][i] + 1e-6 * np.abs(bounds[0][i]) + 1e-6 >= bar
-            left = np.flatnonzero(alive)
-            for (mq, dq), (mx, dx) in zip(lq[1:], lx[1:]):
-                if len(left) <= 4 * k:
-                    break
-                upper = mx[left] @ mq[i] + dx[left] @ dq[i]
-                top = left[np.argpartition(-upper, k - 1)[:k]]
-                bar = max(bar, _scores(np.broadcast_to(q[i], (k, q.shape[1])), x[top]).min())
-                left = left[upper + 1e-6 * np.abs(upper) + 1e-6 >= bar]
-        else:
-            left = np.flatnonzero(alive)
-        s = _scores(np.broadcast_to(q[i], (len(left), q.shape[1])), x[left])
-        keep = np.lexsort((left, -s))[:k]  # rows lie by id: position order is id order
-        out.append((s[keep], ids[left[keep]]))
-    return out
+    alive = np.ones((many, n), bool)
+    skip = np.flatnonzero(own >= 0)
+    alive[skip, place[own[skip]]] = False
+    levels = [(lq, lx) for lq, lx in zip(_levels(q), _levels(x), strict=True)]
+    if n > k and levels:
+        bar = np.full(many, -np.inf)
+        for size, ((mq, dq), (mx, dx)) in zip(SEGMENTS, levels, strict=False):
+            if 4 * size >= q.shape[1]:
+                break  # its statistics cost half as much as the scores or more
+            upper = mq @ mx.T + dq @ dx.T
+            upper = np.where(alive, upper + 1e-6 * np.abs(upper) + 1e-6, -np.inf)
+            first = np.argpartition(-upper, k - 1, axis=1)[:, :k]
+            got = _pairs(q, x, np.repeat(np.arange(many), k), first.reshape(-1)).reshape(many, k).astype(float)
+            got[~np.take_along_axis(alive, first, 1)] = -np.inf
+            bar = np.maximum(bar, got.min(1))
+            alive &= upper >= bar[:, None]
+            if alive.mean() <= MANY:
+                break
+    if alive.mean() > MANY and _exact(q, x):
+        scores = np.where(alive, q @ x.T, -np.inf)
+        floor = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(many, -np.inf)
+        i, j = np.nonzero((scores >= floor[:, None]) & alive)
+        s = scores[i, j].astype(np.int64)
+    else:
+        i, j = np.nonzero(alive)
+        s = _pairs(q, x, i, j)
+    order = np.lexsort((j, -s, i))  # rows lie by id: position order is id order
+    i, j, s = i[order], j[order], s[order]
+    start = np.searchsorted(i, np.arange(many))
+    stop = np.minimum(np.searchsorted(i, np.arange(many), side="right"), start + k)
+    return [(s[lo:hi], ids[j[lo:hi]]) for lo, hi in zip(start, stop, strict=True)]
 
 
 def top_k(vectors: DataFrame, k: int = 20, *, divisor: int = 20, vec_id: str = "vec_id",
