@@ -44,21 +44,29 @@ STATE = ("lens", "counts", "n_tokens")
 class Tree:
     """Blocks of pre-tokens under sums of characters and tokens."""
 
-    def __init__(self, lens: list[int], counts: list[int]):
-        self._lay_out(lens, counts)
-
-    def _lay_out(self, lens: list[int], counts: list[int]) -> None:
-        self.lens = [lens[i:i + BLOCK] for i in range(0, len(lens), BLOCK)] or [[]]
-        self.counts = [counts[i:i + BLOCK] for i in range(0, len(counts), BLOCK)] or [[]]
-        self.size = 1
-        while self.size < len(self.lens):
-            self.size *= 2
-        pad = [0] * (self.size - len(self.lens))
-        self.chars = [0] * self.size + [sum(b) for b in self.lens] + pad
-        self.tokens = [0] * self.size + [sum(b) for b in self.counts] + pad
-        for i in range(self.size - 1, 0, -1):
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+    def __init__(self, lens: np.ndarray, counts: np.ndarray):
+        self._lay_out(np.asarray(lens, np.int32), np.asarray(counts, np.int32))
+
+    def _lay_out(self, lens: np.ndarray, counts: np.ndarray) -> None:
+        """Sums over the packed leaves; a block becomes a list when an edit touches it."""
+        starts = np.arange(0, max(len(lens), 1), BLOCK)
+        self.lens: list = [lens[i:i + BLOCK] for i in starts]
+        self.counts: list = [counts[i:i + BLOCK] for i in starts]
+        self.size = 1 << (len(starts) - 1).bit_length()
+        self.chars, self.tokens = (self._sums(v, starts) for v in (lens, counts))
+
+    def _sums(self, values: np.ndarray, starts: np.ndarray) -> list[int]:
+        level = np.zeros(self.size, np.int64)
+        if len(values):
+            level[:len(starts)] = np.add.reduceat(values.astype(np.int64), starts)
+        levels = [level]
+        while len(levels[-1]) > 1:
+            levels.append(levels[-1].reshape(-1, 2).sum(1))
+        return [0, *np.concatenate(levels[::-1]).tolist()]
+
+    def packed(self) -> tuple[bytes, bytes]:
+        """lens and counts of all leaves as int32 bytes."""
+        return tuple(np.concatenate([np.asarray(b, np.int32) for b in rows]).tobytes() for rows in (self.lens, self.counts))
 
     @property
     def total(self) -> int:
@@ -76,7 +84,7 @@ class Tree:
                 start += self.chars[node]
                 node += 1
         block = node - self.size
-        for i, n in enumerate(self.lens[block]):
+        for i, n in enumerate(map(int, self.lens[block])):
             if char < start + n:
                 return block, i, start
             start += n
@@ -86,13 +94,15 @@ class Tree:
         """(block, index, length) of the pre-tokens from a place on."""
         while block < len(self.lens):
             for j in range(i, len(self.lens[block])):
-                yield block, j, self.lens[block][j]
+                yield block, j, int(self.lens[block][j])
             block, i = block + 1, 0
 
     def replace(self, begin: tuple[int, int], end: tuple[int, int], lens: list[int], counts: list[int]) -> None:
         """Puts pre-tokens in the place of those in [begin, end), and mends the sums above."""
         (b, i), (c, j) = begin, end
         for rows, new in ((self.lens, lens), (self.counts, counts)):
+            for k in {b, c}:
+                rows[k] = list(rows[k])
             if b == c:
                 rows[b][i:j] = new
             else:
@@ -101,11 +111,11 @@ class Tree:
                     rows[k] = []
                 rows[c][:j] = []
         if len(self.lens[b]) > 4 * BLOCK:
-            self._lay_out([n for x in self.lens for n in x], [n for x in self.counts for n in x])
+            self._lay_out(*(np.frombuffer(x, np.int32) for x in self.packed()))
             return
         for k in range(b, c + 1):
             node = k + self.size
-            more, plus = sum(self.lens[k]) - self.chars[node], sum(self.counts[k]) - self.tokens[node]
+            more, plus = int(sum(self.lens[k])) - self.chars[node], int(sum(self.counts[k])) - self.tokens[node]
             while node and (more or plus):
                 self.chars[node] += more
                 self.tokens[node] += plus
@@ -206,14 +216,12 @@ def apply_listed(state: DataFrame, vocab: str, pattern: str, *, text: str = "tex
                     raw = lens.as_py(), counts.as_py()
                     total = n
                     if todo := todo.as_py():
-                        tree = Tree(*(np.frombuffer(x, np.int32).tolist() for x in raw))
+                        tree = Tree(*(np.frombuffer(x, np.int32) for x in raw))
                         for e in todo:
                             if e is not None:
                                 t, k = edited(c, tree, t, e["start"] or 0, e["length"] or 0, e["text"] or "")
                                 done += k
-                        raw = tuple(np.array([v for x in rows for v in x], np.int32).tobytes()
-                                    for rows in (tree.lens, tree.counts))
-                        total = tree.total
+                        raw, total = tree.packed(), tree.total
                     for x, v in zip(out, (t, *raw, total, n, done)):
                         out[x].append(v)
                 arrays = list(part.columns)
