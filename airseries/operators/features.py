@@ -348,11 +348,18 @@ def horizon_target(df, col="aqi_pm25", h: int = 1, name="target",
               .filter("_keep").drop("_keep"))
 
 
+#: Rows up to which Spark keeps the first rows of a window per map task (its own default).
+_GROUP_LIMIT = 1_000
+
+
 def tail_rows(df, n: int, key="series_id", order="datetime", tiebreak=None, chunked: bool = True, bucket=None):
-    """Last ``n`` rows of each series (lead of a non-null literal is NULL only
-    past the end, so no second sort in descending order is needed).
-    ``chunked``: by position, no window over a whole series; False for
-    series known to be bounded."""
+    """Last ``n`` rows of each series. Up to ``_GROUP_LIMIT`` rows the rank runs backwards, so every
+    map task hands on its own last ``n`` rows of a series only and no more than those are
+    shuffled; beyond that by position (``chunked``; no window over a whole series)."""
+    keys, orders = _keys(key), _orders(order, tiebreak)
+    if n <= _GROUP_LIMIT:
+        back = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in orders])
+        return df.withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= F.lit(int(n))).drop("_back")
     if chunked:
         p = with_position(df, key, order, tiebreak, bucket)
         return p.filter(F.col("_o") >= F.col("_n") - F.lit(n)).drop("_o", "_n")

@@ -187,3 +187,18 @@ def test_one_full_shuffle(spark):
     full = [x for x in plan.splitlines() if "Exchange hashpartitioning(series_id" in x and "_piece" in x]
     assert len(full) == 1, plan
     assert plan.count("_lag_24") and "BroadcastHashJoin" in plan
+
+
+def test_tail_is_cut_before_the_shuffle(spark):
+    r = fx.readings(spark, SF["0.01"]).select("series_id", "datetime", "pm2_5")
+    plan = _plan(W.tail_rows(r, 24))
+    assert plan.index("WindowGroupLimit [series_id") < plan.rindex("WindowGroupLimit [series_id"), plan
+    assert "Partial" in plan
+    base = W.tail_rows(r, 24)
+    old = W._GROUP_LIMIT
+    try:
+        W._GROUP_LIMIT = 0  # by position and by window
+        assert _same(base, W.tail_rows(r, 24)) and _same(base, W.tail_rows(r, 24, chunked=False))
+    finally:
+        W._GROUP_LIMIT = old
+    assert W.tail_rows(r, 0).count() == 0 and _same(r, W.tail_rows(r, 100_000))
