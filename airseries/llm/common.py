@@ -38,6 +38,17 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+_HELD: dict = {}
+
+
+def hold(owner: str, forget) -> None:
+    """Called when a task starts: what this reused worker remembers of other operators is let go,
+    ``forget`` being how to do so with the caller's own memory later."""
+    for other in [o for o in _HELD if o != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = forget
+
+
 class Scratch:
     """Intermediate tables of one operator; ``drop`` deletes them once its result is written."""
 

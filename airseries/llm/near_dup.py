@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airseries.llm.common import Scratch, prepare, text_of, written
+from airseries.llm.common import Scratch, hold, prepare, text_of, written
 from airseries.llm.graph import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -51,9 +51,9 @@ STAR_ROUNDS = 3
 #: Ids are below this; rows without one are known by a number from here on.
 UNNAMED = 1 << 62
 #: Words a worker remembers the hash of.
-REMEMBER = 500_000
+REMEMBER = 150_000
 #: Cells of the hash matrix at once (long texts are done in groups of sketches).
-CELLS = 4_000_000
+CELLS = 1_000_000
 
 WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -189,6 +189,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def _nodes(docs: DataFrame) -> DataFrame:
     """(doc_id, key, n, sketch) of every row; equal word sequences have equal keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near_dup", _word_hash.clear)
         for b in batches:
             keys, ns, marks = [], [], []
             for t in b.column(1).to_pylist():
@@ -206,6 +207,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
 def _words(docs: DataFrame) -> DataFrame:
     """(node, words) from (node, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near_dup", _word_hash.clear)
         for b in batches:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([word_hashes(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())],
@@ -216,6 +218,7 @@ def _words(docs: DataFrame) -> DataFrame:
 def _linked(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The (u, v) of ``pairs`` whose texts are similar."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near_dup", _word_hash.clear)
         for b in batches:
             keep = [similar(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32))
                     for x, y in zip(b.column(2), b.column(3))]
@@ -294,6 +297,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def _shared_mass(scratch: Scratch, open_: DataFrame, words: DataFrame) -> DataFrame:
     """(node, shared): how many shingles (with multiplicity) of a text occur in a text of another class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near_dup", _word_hash.clear)
         for b in batches:
             for node, cls, raw in zip(*(c.to_pylist() for c in b.columns)):
                 h = _labelled(shingles(np.frombuffer(raw, np.uint32)))
@@ -326,6 +330,7 @@ def _unnamed(src: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _nodes_text(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near_dup", _word_hash.clear)
         for b in batches:
             keys = []
             for t in b.column(0).to_pylist():

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airseries.llm import near_dup
-from airseries.llm.common import prepare, text_of, written
+from airseries.llm.common import hold, prepare, text_of, written
 
 #: Labelled rows of either class that the model is fitted on, at most.
 SAMPLE_PER_CLASS = 6_000
@@ -59,7 +59,7 @@ CHANCE = 0.05
 #: A hit counts so much for each of its edits.
 EDITED = 0.9
 #: Words a worker remembers as resolved.
-REMEMBER = 300_000
+REMEMBER = 150_000
 
 # fixed values: quotation marks and reporting verbs
 OPENING, CLOSING, BOTH = "“«„‹", "”»‟›", "\""
@@ -342,6 +342,7 @@ def _scan(docs: DataFrame, text: str, model: Model, keep: list[str]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        hold("toxicity", _MATCHERS.clear)
         if key not in _MATCHERS:  # a worker keeps one
             _MATCHERS.clear()
             _MATCHERS[key] = Matcher(m)
