@@ -32,11 +32,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airseries.llm import near_dup
+from airseries.llm.bpe import _pieces
 from airseries.llm.common import hold, prepare, text_of, written
 
 #: Labelled rows of either class that the model is fitted on, at most.
@@ -58,6 +60,8 @@ VERB_WINDOW = 6
 CHANCE = 0.05
 #: A hit counts so much for each of its edits.
 EDITED = 0.9
+#: Texts are scored and handed on in pieces of about so many bytes.
+PIECE_BYTES = 1_000_000
 #: Words a worker remembers as resolved.
 REMEMBER = 150_000
 
@@ -347,20 +351,27 @@ def _scan(docs: DataFrame, text: str, model: Model, keep: list[str]) -> DataFram
             _MATCHERS.clear()
             _MATCHERS[key] = Matcher(m)
         scan, weights = _MATCHERS[key].scan, m.weights
-        hit_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()),
-                                       ("edits", pa.int32()), ("quotation", pa.float64())]))
+        kinds = (("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()), ("edits", pa.int32()), ("quotation", pa.float64()))
         for b in batches:
-            feats, scores, spans = [], [], []
-            for t in b.column(b.num_columns - 1):
-                hits = scan(t.as_py())
-                f = features(hits)
-                z = sum(map(float.__mul__, weights, f)) if weights else 0.0
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if weights else m.base)
-                feats.append(f)
-                spans.append([dict(zip(("start", "end", "term", "edits", "quotation"), h)) for h in hits])
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(feats, pa.list_(pa.float64())), pa.array(scores, pa.float64()),
-                 pa.array(spans, hit_type)], names=[*keep, "features", "score", "hits"])
+            texts = b.column(b.num_columns - 1)
+            sizes = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).tolist()
+            for lo, hi in _pieces(b, sizes, PIECE_BYTES):  # a batch may hold thousands of long texts with many hits
+                feats, scores, ends, flat = [], [], [0], []
+                for t in texts.slice(lo, hi - lo):
+                    hits = scan(t.as_py())
+                    f = features(hits)
+                    z = sum(map(float.__mul__, weights, f)) if weights else 0.0
+                    scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if weights else m.base)
+                    feats.append(f)
+                    flat += hits
+                    ends.append(len(flat))
+                columns = zip(*flat, strict=True) if flat else [()] * len(kinds)
+                spans = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)],
+                                                   names=[n for n, _ in kinds])
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.slice(lo, hi - lo) for c in b.columns[:-1]], pa.array(feats, pa.list_(pa.float64())),
+                     pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)],
+                    names=[*keep, "features", "score", "hits"])
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], text_of(f"`{text}`").alias("_text")).mapInArrow(run, schema)
 
