@@ -12,8 +12,9 @@ equal word sequences are one node from the start; a bucket's texts are first
 compared with the bucket's least node only; after the components of those
 links, pairs are formed inside a bucket only between different classes, and only
 of texts that share enough shingles with other classes to reach the similarity
-with anyone (an exact bound). So a large group of copies, close or loose, costs
-its size. Nothing is capped.
+with anyone (an exact bound). So a large group of close copies costs its size; a large
+loose one, with many classes near the threshold, can still make more rows than it
+has texts. Nothing is capped.
 
 Sketches: texts of at least LONG_FROM shingles have LONG sketches of six
 shingles; texts of at most SHORT_TO have SHORT sketches of two (both, in
