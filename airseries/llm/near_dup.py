@@ -10,11 +10,12 @@ aligned runs, texts of k and l shingles are linked if m / (k + l - m) >= 0.8.
 Work is kept off the square of a group's size without losing links:
 equal word sequences are one node from the start; a bucket's texts are first
 compared with the bucket's least node only; after the components of those
-links, pairs are formed inside a bucket only between different classes, and only
+links, pairs are formed only between different classes of a bucket, and only
 of texts that share enough shingles with other classes to reach the similarity
-with anyone (an exact bound). So a large group of close copies costs its size; a large
-loose one, with many classes near the threshold, can still make more rows than it
-has texts. Nothing is capped.
+with anyone. Those meet by their rarest shingles: a pair that shares enough has the
+first shingle it shares, rarest first, near the front of both (exact bounds, by
+length and place). So a group of copies costs its size and what of its classes is nearly
+or truly similar; texts that are only of one group make no pairs. Nothing is capped.
 
 Sketches: texts of at least LONG_FROM shingles have LONG sketches of six
 shingles; texts of at most SHORT_TO have SHORT sketches of two (both, in
@@ -47,8 +48,8 @@ SHINGLE, SIMILAR = 5, 0.8
 #: (number of sketches, shingles of a sketch) for long and for short texts.
 LONG, SHORT = (40, 6), (12, 2)
 LONG_FROM, SHORT_TO = 18, 24
-#: Rounds against one node of a bucket before its classes are compared in full (saves work, changes no result).
-STAR_ROUNDS = 3
+#: Rounds against one node of a bucket before its classes are compared (saves work, changes no result).
+STAR_ROUNDS = 1
 #: Ids are below this; rows without one are known by a number from here on.
 UNNAMED = 1 << 62
 #: Words a worker remembers the hash of.
@@ -261,11 +262,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         open_ = scratch.write(classed.join(mixed, "mark", "left_semi"), "near-open")
         # only texts that can reach the similarity at all meet: what a linked pair shares, each of
         # the two shares with another class
-        mass = _shared_mass(scratch, open_, words)
-        able = scratch.write(open_.join(mass, "node").where(F.col("shared") >= F.col("n") * SIMILAR - 1e-9), "near-able")
-        enough = F.least("shared", "us") >= SIMILAR / (1 + SIMILAR) * (F.col("n") + F.col("un")) - 1e-9
-        # a few rounds against one node of each bucket, another one each time: they join most of a
-        # group at the cost of its size; what they leave apart is compared in full below
+        told = scratch.write(_rare_first(scratch, open_, words), "near-told")
+        able = scratch.write(open_.join(told.select("node", "shared"), "node")
+                             .where(F.col("shared") >= F.col("n") * SIMILAR - 1e-9), "near-able")
+        least = SIMILAR / (1 + SIMILAR) * (F.col("n") + F.col("un")) - 1e-9
+        enough = F.least("shared", "us") >= least
+        # a round against one node of each bucket, another one this time: it joins most of a group
+        # at the cost of its size
         for turn in range(STAR_ROUNDS):
             chosen = F.min_by(F.struct("node", "n", "class", "shared"), F.xxhash64("node", F.lit(turn)))
             lead = scratch.write(able.groupBy("mark").agg(chosen.alias("l")).select(
@@ -275,18 +278,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                    .select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
                    .join(stars, ["u", "v"], "left_anti"))
             met = scratch.write(met, "near-stars")
-            links = scratch.write(links.unionByName(_linked(met, words)), "near-links")
+            cc = _joined(cc, scratch.write(_linked(met, words), "near-links"))
             stars = scratch.write(stars.unionByName(met), "near-stars")
-            cc = components(links)
             able = scratch.write(able.drop("class").join(cc, "node", "left").select(
                 "mark", "node", "n", F.coalesce("component", "node").alias("class"), "shared"), "near-able")
-        other = able.select("mark", F.col("node").alias("u"), F.col("n").alias("un"), F.col("class").alias("uc"),
-                            F.col("shared").alias("us"))
-        cross = (able.join(other, (able["mark"] == other["mark"]) & in_range & enough
-                           & (F.col("class") != F.col("uc")) & (F.col("u") < F.col("node")))
-                 .select("u", F.col("node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti"))
-        links = scratch.write(links.unionByName(_linked(scratch.write(cross, "near-cross"), words)), "near-links")
-        cc = components(links)
+        # what is still apart meets where one of its rarest shingles is shared
+        cross = _crossed(scratch, able, told, in_range & enough, least).join(stars, ["u", "v"], "left_anti")
+        cc = _joined(cc, scratch.write(_linked(scratch.write(cross, "near-cross"), words), "near-links"))
     classes = nodes.select("key", "node").join(cc, "node", "left").select(
         "key", F.coalesce("component", "node").alias("class"))
     out = rows.select("doc_id", "key").join(classes, "key")
@@ -295,8 +293,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out
 
 
-def _shared_mass(scratch: Scratch, open_: DataFrame, words: DataFrame) -> DataFrame:
-    """(node, shared): how many shingles (with multiplicity) of a text occur in a text of another class."""
+def _joined(cc: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``cc`` with more links."""
+    return components(cc.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+
+
+def _rare_first(scratch: Scratch, open_: DataFrame, words: DataFrame) -> DataFrame:
+    """(node, shared, heads): how many shingles (with multiplicity) of a text occur in a text of another
+    class, and (h, at) of those among its rarest; ``at`` shingles of the text come before one in the order
+    (occurrences, hash). A linked pair shares enough that the first it shares is a head of both."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("near_dup", _word_hash.clear)
         for b in batches:
@@ -307,9 +312,39 @@ def _shared_mass(scratch: Scratch, open_: DataFrame, words: DataFrame) -> DataFr
                     names=["h", "node", "class"])
     texts = open_.select("node", "class").distinct().join(words, "node").select("node", "class", "words")
     rows = scratch.write(texts.mapInArrow(run, "h long, node long, class long"), "near-shingles")
-    several = scratch.write(rows.groupBy("h").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-                            .where("lo < hi").select("h"), "near-several")
-    return rows.join(several, "h", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+    seen = scratch.write(rows.groupBy("h").agg(F.count("*").alias("many"), (F.min("class") < F.max("class")).alias("several")),
+                         "near-several")
+    listed = rows.join(seen, "h").groupBy("node").agg(
+        F.count_if("several").alias("shared"), F.sort_array(F.collect_list(F.struct("many", "h", "several"))).alias("all"))
+    first = F.slice("all", 1, (F.floor(F.size("all") * (1 - SIMILAR) + 1e-9) + 1).cast("int"))
+    heads = F.filter(F.transform(first, lambda x, i: F.struct(x["h"].alias("h"), i.alias("at"), x["several"].alias("several"))),
+                     lambda x: x["several"])
+    return listed.select("node", "shared", heads.alias("heads"))
+
+
+def _crossed(scratch: Scratch, able: DataFrame, told: DataFrame, fits, least) -> DataFrame:
+    """(u, v) of different classes that share a sketch and may share ``least`` shingles.
+
+    Before the first shingle they share, each of the two has only shingles that the other lacks; a
+    text of n with ``at`` of them shares n - at at most. The shorter one of a pair leaves out fewer.
+    As most texts with a shingle are of one class, only the others meet all of them."""
+    one = able.groupBy("node").agg(F.first("n").alias("n"), F.first("class").alias("class"), F.first("shared").alias("shared"))
+    heads = scratch.write(one.join(told.select("node", "heads"), "node").select(
+        "node", "n", "class", "shared", F.explode("heads").alias("k")).select("node", "n", "class", "shared", "k.h", "k.at"), "near-heads")
+    main = (heads.groupBy("h", "class").agg(F.count("*").alias("c")).groupBy("h")
+            .agg(F.max_by("class", F.struct("c", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1"))
+    heads = scratch.write(heads.join(main, "h").select("*", (F.col("class") != F.col("main")).alias("rest")), "near-heads")
+    short = heads.where(F.col("n") - F.col("at") >= 2 * SIMILAR / (1 + SIMILAR) * F.col("n") - 1e-9)
+    long = heads.select("h", F.col("node").alias("u"), F.col("n").alias("un"), F.col("class").alias("uc"),
+                        F.col("shared").alias("us"), F.col("at").alias("uat"), F.col("rest").alias("urest"))
+    order = F.struct("n", "node") < F.struct("un", "u")
+    reach = (F.col("class") != F.col("uc")) & order & fits & (F.least(F.col("n") - F.col("at"), F.col("un") - F.col("uat")) >= least)
+    met = [a.join(b, "h").where(reach).select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v"))
+           for a, b in ((short.where("rest"), long), (short.where("NOT rest"), long.where("urest")))]
+    pairs = scratch.write(met[0].unionByName(met[1]).distinct(), "near-met")
+    marks = scratch.write(able.groupBy("node").agg(F.collect_set("mark").alias("marks")), "near-sketches")
+    left, right = (marks.select(F.col("node").alias(x), F.col("marks").alias(f"{x}_marks")) for x in "uv")
+    return pairs.join(left, "u").join(right, "v").where(F.arrays_overlap("u_marks", "v_marks")).select("u", "v")
 
 
 def _words_of(scratch: Scratch, src: DataFrame, marks: DataFrame) -> DataFrame:

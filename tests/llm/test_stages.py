@@ -94,3 +94,35 @@ def test_op10_against_all_pairs(spark):
                 parent[max(a, b)] = min(a, b)
     got = {r.doc_id: r.class_id for r in queries.QUERIES["op10_order_minhash"](spark, SF["0.001"]).collect()}
     assert got == {i: find(i) for i in parent}
+
+
+def test_near_duplicates_of_a_loose_group_make_few_pairs(spark, monkeypatch):
+    """Variants of one text, few of them similar to each other: pairs looked at stay in the order of the texts."""
+    import random
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    edits = [(p, f"{base[p]}x{k}") for p in range(4, 146, 6) for k in range(3)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for p, w in rnd.sample(edits, rnd.choice((2, 5, 6))):
+            words[p] = w
+        rows.append((i, " ".join(words)))
+    looked, linked = [], near_dup._linked
+    monkeypatch.setattr(near_dup, "_linked", lambda pairs, words: (looked.append(pairs.count()), linked(pairs, words))[1])
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = {i: near_dup.word_hashes(t) for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for x, y in ((x, y) for x in words for y in words if x < y):
+        if near_dup.similar(words[x], words[y]):
+            a, b = sorted((find(x), find(y)))
+            root[b] = a
+    assert got == {i: find(i) for i, _ in rows}
+    assert 20 < len(set(got.values())) < 150
+    assert looked[-1] <= 4 * len(rows), looked
