@@ -34,6 +34,10 @@ from airseries.llm.common import prepare, text_of
 
 #: Pre-tokens a worker remembers before it starts over.
 REMEMBER = 300_000
+#: Pre-tokens whose number of ids a worker remembers (a number takes half the room of the ids).
+REMEMBER_SIZES = 600_000
+#: Bytes of a pre-token that is counted by looking through its pairs; the heap pays off beyond.
+SCAN_TO = 32
 #: Texts are handed on in pieces of about so many characters.
 PIECE_CHARS = 4_000_000
 
@@ -107,6 +111,7 @@ class Codec:
         self.find = regex.compile(tables.pattern).findall
         self.pattern = regex.compile(tables.pattern)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.sizes: dict[str, int] = {}
         # rank of a joined pair, for the merges of tier two
         self.rank = {e: i for i, e in enumerate(self.entries)}
 
@@ -158,6 +163,39 @@ class Codec:
         i = self.whole(piece)
         return (i,) if i >= 0 else self.merge(piece)
 
+    def size_of(self, token: str) -> int:
+        """How many ids a pre-token has; few pairs are looked through for the lowest rank each time."""
+        piece = token.encode("utf-8")
+        if self.whole(piece) >= 0:
+            return 1
+        if len(piece) > SCAN_TO:
+            return len(self.merge(piece))
+        get, entries = self.rank.get, self.entries
+        none = len(entries)
+        part = [piece[i:i + 1] for i in range(len(piece))]
+        pairs = [get(piece[i:i + 2], none) for i in range(len(piece) - 1)]
+        while pairs:
+            r = min(pairs)
+            if r == none:
+                break
+            i = pairs.index(r)
+            pair = part[i] = entries[r]
+            del part[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(pair + part[i + 1], none)
+            if i:
+                pairs[i - 1] = get(part[i - 1] + pair, none)
+        return len(part)
+
+    def learn_sizes(self, tokens: Iterable[str]) -> dict[str, int]:
+        """``sizes`` with all of ``tokens`` in it."""
+        if len(self.sizes) > REMEMBER_SIZES:
+            self.sizes.clear()
+        sizes = self.sizes
+        for t in set(tokens).difference(sizes):
+            sizes[t] = self.size_of(t)
+        return sizes
+
     def learn(self, tokens: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """``known`` with all of ``tokens`` in it."""
         if len(self.known) > REMEMBER:

@@ -148,8 +148,8 @@ def edited(c: Codec, tree: Tree, text: str, start: int, length: int, insert: str
         pieces.append(m[0])
         lens.append(m.end() - pos)
         pos = m.end()
-    known = c.learn(pieces)
-    tree.replace(begin, end, lens, [len(known[p]) for p in pieces])
+    sizes = c.learn_sizes(pieces)
+    tree.replace(begin, end, lens, [sizes[p] for p in pieces])
     return new, len(pieces)
 
 
@@ -171,8 +171,7 @@ def build(docs: DataFrame, vocab: str, pattern: str, *, text: str = "text") -> D
                 lens, counts, totals = [], [], []
                 for t in col.slice(lo, hi - lo).to_pylist():
                     tokens = c.find(t)
-                    known = c.learn(tokens)
-                    n = np.fromiter(map(len, map(known.__getitem__, tokens)), np.int32, len(tokens))
+                    n = np.fromiter(map(c.learn_sizes(tokens).__getitem__, tokens), np.int32, len(tokens))
                     lens.append(np.fromiter(map(len, tokens), np.int32, len(tokens)).tobytes())
                     counts.append(n.tobytes())
                     totals.append(int(n.sum()))

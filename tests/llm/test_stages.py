@@ -126,3 +126,17 @@ def test_near_duplicates_of_a_loose_group_make_few_pairs(spark, monkeypatch):
     assert got == {i: find(i) for i, _ in rows}
     assert 20 < len(set(got.values())) < 150
     assert looked[-1] <= 4 * len(rows), looked
+
+
+def test_sizes_of_pre_tokens_are_the_numbers_of_their_ids():
+    import random
+
+    import public_tokenizers
+
+    from airseries.llm import bpe
+    c = bpe.Codec(bpe.Tables(bpe.load_ranks(public_tokenizers.path(queries.VOCAB)), queries.PATTERN))
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice(" aehtnorsé界\u0000Xß9\n") for _ in range(rnd.choice((1, 2, 3, 9, 14, 31, 33, 60)))) for _ in range(3000)]
+    words += ["aaaaaaaaaaaaaaaa", " the", "x" * 200]
+    assert c.learn_sizes(words) == {w: len(c.ids_of(w)) for w in words}
+    assert not c.known
