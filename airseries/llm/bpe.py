@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airseries.llm.common import prepare, text_of
+from airseries.llm.common import hold, prepare, text_of
 
 #: Pre-tokens a worker remembers before it starts over.
 REMEMBER = 300_000
@@ -220,7 +220,8 @@ _SHARED: dict = {}
 
 
 def codec(shared) -> Codec:
-    """The worker's codec of a broadcast (one per process and vocabulary)."""
+    """The worker's codec of a broadcast (one per process and vocabulary), until another operator's task."""
+    hold("bpe", _CODECS.clear)
     if shared.id not in _CODECS:
         _CODECS[shared.id] = Codec(shared.value)
     return _CODECS[shared.id]

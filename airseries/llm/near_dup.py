@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airseries.llm.common import Scratch, hold, prepare, text_of, written
+from airseries.llm.common import Scratch, hold, let_go, prepare, text_of, written
 from airseries.llm.graph import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -203,6 +203,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(keys, pa.binary()), pa.array(ns, pa.int32()),
                  pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "sketch"])
+        let_go()
     return docs.mapInArrow(run, "doc_id long, key binary, n int, sketch array<long>")
 
 
@@ -214,6 +215,7 @@ def _words(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([word_hashes(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())],
                 names=["node", "words"])
+        let_go()
     return docs.mapInArrow(run, "node long, words binary")
 
 
@@ -226,6 +228,7 @@ def _linked(pairs: DataFrame, words: DataFrame) -> DataFrame:
                     for x, y in zip(b.column(2), b.column(3))]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["u", "v"])
+        let_go()
     left = words.select(F.col("node").alias("u"), F.col("words").alias("a"))
     right = words.select(F.col("node").alias("v"), F.col("words").alias("b"))
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
@@ -310,6 +313,7 @@ def _rare_first(scratch: Scratch, open_: DataFrame, words: DataFrame) -> DataFra
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(np.full(len(h), node)), pa.array(np.full(len(h), cls))],
                     names=["h", "node", "class"])
+        let_go()
     texts = open_.select("node", "class").distinct().join(words, "node").select("node", "class", "words")
     rows = scratch.write(texts.mapInArrow(run, "h long, node long, class long"), "near-shingles")
     seen = scratch.write(rows.groupBy("h").agg(F.count("*").alias("many"), (F.min("class") < F.max("class")).alias("several")),

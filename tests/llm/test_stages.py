@@ -128,6 +128,27 @@ def test_near_duplicates_of_a_loose_group_make_few_pairs(spark, monkeypatch):
     assert looked[-1] <= 4 * len(rows), looked
 
 
+def test_unit_hashes_a_text_in_small_pieces():
+    """A unit of suffix_dedup holds one hash a byte and little else, across the borders of the pieces too."""
+    import tracemalloc
+
+    import numpy as np
+
+    from airseries.llm import suffix_dedup
+    n = 4_000_000
+    blob = np.random.default_rng(3).integers(97, 123, n, np.uint8).tobytes()
+    tracemalloc.start()
+    whole = suffix_dedup.Unit(np.array([7]).tobytes(), np.array([n]).tobytes(), blob)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * n, peak / n
+    lo = (1 << 18) - 1000
+    part = suffix_dedup.Unit(np.array([7]).tobytes(), np.array([2000]).tobytes(), blob[lo:lo + 2000])
+    there = {int(a) - lo: (int(c), int(w)) for a, c, w in zip(whole.at, whole.count, whole.own)}
+    # the first and the last segment of the part may be cut short
+    assert all(there[int(a)] == (int(c), int(w)) for a, c, w in list(zip(part.at, part.count, part.own))[1:-1])
+
+
 def test_sizes_of_pre_tokens_are_the_numbers_of_their_ids():
     import random
 
