@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airseries.llm.common import Scratch, hold, let_go, prepare, text_of, written
+from airseries.llm.common import Scratch, hold, let_go, prepare, released, text_of, written
 from airseries.llm.graph import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -245,27 +245,43 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     nodes = scratch.write(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
                                             F.first("sketch").alias("sketch"))
                     .select("key", F.coalesce("doc_id", unnamed).alias("node"), "n", "sketch"), "near-nodes")
+    # sketches are most of the bytes: they lie on the disk in one form at a time
+    keyed = scratch.write(rows.select("doc_id", "key"), "near-keyed")
+    scratch.drop("near-rows")
     marks = scratch.write(nodes.select("node", "n", F.explode("sketch").alias("mark")), "near-marks")
+    named = scratch.write(nodes.select("key", "node"), "near-named")
+    scratch.drop("near-nodes")
+    released(scratch.spark)
     # buckets with several nodes, each compared with its least one
     leads = scratch.write(marks.groupBy("mark").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last"))
                     .where("lead.node <> last").select("mark", F.col("lead.node").alias("u"), F.col("lead.n").alias("un")),
                     "near-leads")
+    released(scratch.spark)
+    shared = scratch.write(marks.join(leads, "mark").select("mark", "node", "n", "u", "un"), "near-shared")
+    scratch.drop("near-marks", "near-leads")
+    released(scratch.spark)
     in_range = (F.col("n") >= F.col("un") * SIMILAR) & (F.col("un") >= F.col("n") * SIMILAR)
-    stars = scratch.write(marks.join(leads, "mark").where(in_range & (F.col("node") != F.col("u")))
+    stars = scratch.write(shared.where(in_range & (F.col("node") != F.col("u")))
                     .select("u", F.col("node").alias("v")).distinct(), "near-stars")
-    words = _words_of(scratch, src, marks.join(leads.select("mark"), "mark", "left_semi"))
+    words = _words_of(scratch, src, shared)
+    released(scratch.spark)
     links = scratch.write(_linked(stars, words), "near-links")
     # pairs that no chain of links joins yet, between the classes of a bucket
     cc = components(links)
-    classed = scratch.write(marks.join(leads.select("mark"), "mark", "left_semi").join(cc, "node", "left")
+    classed = scratch.write(shared.select("mark", "node", "n").join(cc, "node", "left")
                       .select("mark", "node", "n", F.coalesce("component", "node").alias("class")), "near-classed")
+    scratch.drop("near-shared")
+    released(scratch.spark)
     mixed = scratch.write(classed.groupBy("mark").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
                     .where("lo < hi").select("mark"), "near-mixed")
     if not mixed.isEmpty():
         open_ = scratch.write(classed.join(mixed, "mark", "left_semi"), "near-open")
+        scratch.drop("near-classed")
         # only texts that can reach the similarity at all meet: what a linked pair shares, each of
         # the two shares with another class
         told = scratch.write(_rare_first(scratch, open_, words), "near-told")
+        scratch.drop("near-shingles", "near-several")
+        released(scratch.spark)
         able = scratch.write(open_.join(told.select("node", "shared"), "node")
                              .where(F.col("shared") >= F.col("n") * SIMILAR - 1e-9), "near-able")
         least = SIMILAR / (1 + SIMILAR) * (F.col("n") + F.col("un")) - 1e-9
@@ -288,11 +304,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         # what is still apart meets where one of its rarest shingles is shared
         cross = _crossed(scratch, able, told, in_range & enough, least).join(stars, ["u", "v"], "left_anti")
         cc = _joined(cc, scratch.write(_linked(scratch.write(cross, "near-cross"), words), "near-links"))
-    classes = nodes.select("key", "node").join(cc, "node", "left").select(
+    classes = named.join(cc, "node", "left").select(
         "key", F.coalesce("component", "node").alias("class"))
-    out = rows.select("doc_id", "key").join(classes, "key")
+    out = keyed.join(classes, "key")
     out = written(out.select("doc_id", F.when(F.col("class") < UNNAMED, F.col("class")).alias("class_id")), "near-classes")
     scratch.drop()
+    released(scratch.spark)
     return out
 
 

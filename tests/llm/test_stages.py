@@ -161,3 +161,21 @@ def test_sizes_of_pre_tokens_are_the_numbers_of_their_ids():
     words += ["aaaaaaaaaaaaaaaa", " the", "x" * 200]
     assert c.learn_sizes(words) == {w: len(c.ids_of(w)) for w in words}
     assert not c.known
+
+
+def test_near_duplicates_hold_sketches_once(spark, monkeypatch):
+    """When texts are compared, no table of sketches is left on the disk, and buckets were joined once."""
+    import os
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    left, linked = [], near_dup._linked
+
+    def look(pairs, words):
+        left.append({n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before})
+        return linked(pairs, words)
+    monkeypatch.setattr(near_dup, "_linked", look)
+    rows = [(i, " ".join(f"w{j}x{i % 7 if j == 40 else 0}" for j in range(60))) for i in range(30)] + [(None, "a b c"), (99, None)]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: 0 for i in range(30)}, None: None, 99: 99}
+    assert left and not left[0] & {"near-rows", "near-nodes", "near-marks"}, left
+    assert not {n for n in set(os.listdir(folder)) - before if n.startswith("near-") and not n.startswith("near-classes")}
