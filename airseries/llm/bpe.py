@@ -7,7 +7,9 @@ over its linked bytes, lowest rank first, leftmost on ties.
 
 The tables are built on the driver from the vocabulary file and broadcast; their
 size is the vocabulary's, not the data's. Documents are encoded where they lie:
-no shuffle. Workers keep a bounded memory of pre-tokens already resolved.
+no shuffle. Workers keep a bounded memory of pre-tokens already resolved, their ids
+as 4-byte numbers that a text's are joined from. Decoding takes the entries of a
+whole piece of rows at once.
 
 Defined results: a NULL text is an empty text and gives no ids; very long texts
 and pre-tokens take n log n time; repeated rows are encoded each; other columns
@@ -19,8 +21,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,7 @@ REMEMBER_SIZES = 600_000
 SCAN_TO = 32
 #: Texts are handed on in pieces of about so many characters.
 PIECE_CHARS = 4_000_000
+_BYTES = [bytes([i]) for i in range(256)]
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -103,6 +106,18 @@ class Tables:
         self.slots = self.hash.index.tolist()
 
 
+class Known(dict):
+    """Pre-token -> its ids, 4 bytes each; learnt when first asked for."""
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of = ids_of
+
+    def __missing__(self, token: str) -> bytes:
+        raw = self[token] = array("i", self.ids_of(token)).tobytes()
+        return raw
+
+
 class Codec:
     """Encoder and decoder over broadcast tables, with a bounded memory."""
 
@@ -110,7 +125,7 @@ class Codec:
         self.entries, self.hash, self.slots = tables.entries, tables.hash, tables.slots
         self.find = regex.compile(tables.pattern).findall
         self.pattern = regex.compile(tables.pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self.ids_of)
         self.sizes: dict[str, int] = {}
         # rank of a joined pair, for the merges of tier two
         self.rank = {e: i for i, e in enumerate(self.entries)}
@@ -122,40 +137,40 @@ class Codec:
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a pre-token that is no entry: a heap of pairs over linked bytes."""
-        rank = self.rank
-        n = len(piece)
-        part: list[bytes | None] = [piece[i:i + 1] for i in range(n)]
+        rank, entries = self.rank, self.entries
+        get, n = rank.get, len(piece)
+        part: list[bytes | None] = list(map(_BYTES.__getitem__, piece))
         nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            r = rank.get(piece[i:i + 2])
-            if r is not None:
-                heap.append((r, i))
+        # a pair is one number: its rank, then its place
+        bits = n.bit_length()
+        low = (1 << bits) - 1
+        heap = [r << bits | i for i in range(n - 1) if (r := get(piece[i:i + 2])) is not None]
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         while heap:
-            r, i = pop(heap)
+            x = pop(heap)
+            i = x & low
             left = part[i]
             if left is None:
                 continue
             j = nxt[i]
             if j >= n:
                 continue
-            pair = left + part[j]
-            if rank.get(pair) != r:  # one of the two has grown since
+            pair = entries[x >> bits]
+            if left + part[j] != pair:  # one of the two has grown since
                 continue
             part[i], part[j] = pair, None
             k = nxt[i] = nxt[j]
             if k < n:
                 prev[k] = i
-                s = rank.get(pair + part[k])
+                s = get(pair + part[k])
                 if s is not None:
-                    push(heap, (s, i))
+                    push(heap, s << bits | i)
             p = prev[i]
             if p >= 0:
-                s = rank.get(part[p] + pair)
+                s = get(part[p] + pair)
                 if s is not None:
-                    push(heap, (s, p))
+                    push(heap, s << bits | p)
         return tuple([rank[p] for p in part if p is not None])
 
     def ids_of(self, token: str) -> tuple[int, ...]:
@@ -197,36 +212,66 @@ class Codec:
         return sizes
 
     def learn(self, tokens: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """``known`` with all of ``tokens`` in it."""
+        """The ids of every one of ``tokens``."""
+        return {t: tuple(np.frombuffer(self.known[t], np.int32).tolist()) for t in set(tokens)}
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text, 4 bytes each."""
         if len(self.known) > REMEMBER:
             self.known.clear()
-        known = self.known
-        for t in set(tokens).difference(known):
-            known[t] = self.ids_of(t)
-        return known
+        return b"".join(map(self.known.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> list[int]:
-        tokens = self.find(text)
-        known = self.learn(tokens)
-        return list(chain.from_iterable(map(known.__getitem__, tokens)))
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.entries.__getitem__, ids))
 
 
 _CODECS: dict[int, Codec] = {}
+#: Entries by rank, of workers that decode.
+_ENTRIES: dict[int, pa.BinaryArray] = {}
 #: The driver's broadcasts: tables are built once per context and vocabulary.
 _SHARED: dict = {}
 
 
+def _forget() -> None:
+    _CODECS.clear()
+    _ENTRIES.clear()
+
+
 def codec(shared) -> Codec:
     """The worker's codec of a broadcast (one per process and vocabulary), until another operator's task."""
-    hold("bpe", _CODECS.clear)
+    hold("bpe", _forget)
     if shared.id not in _CODECS:
         _CODECS[shared.id] = Codec(shared.value)
     return _CODECS[shared.id]
 
 
+def _entries(shared) -> pa.BinaryArray:
+    """The worker's entries of a broadcast by rank: all that decoding needs."""
+    hold("bpe", _forget)
+    if shared.id not in _ENTRIES:
+        _ENTRIES[shared.id] = pa.array(shared.value.entries, pa.binary())
+    return _ENTRIES[shared.id]
+
+
+def decoded_lists(entries: pa.BinaryArray, lists: pa.ListArray) -> pa.BinaryArray:
+    """The joined entries of every list of ids (NULL: empty bytes)."""
+    flat = lists.flatten()
+    if flat.null_count:
+        raise ValueError("an id is NULL")
+    sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    if not len(flat):
+        return pa.array([b""] * len(lists), pa.binary())
+    # the entries taken lie one after the other: a list's bytes begin with its first and end with its last
+    took = entries.take(flat)
+    _, offsets, data = took.buffers()
+    at = np.frombuffer(offsets, np.int32)[took.offset + ends]
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at), data or pa.py_buffer(b"")])
+
+
 def share_tables(spark: SparkSession, vocab: str, pattern: str):
     """Broadcast the tables of a vocabulary file (bounded by the vocabulary)."""
     prepare(spark)
@@ -275,13 +320,12 @@ def encode(docs: DataFrame, vocab: str, pattern: str, *, text: str = "text", out
             col = b.column(b.num_columns - 1)
             sizes = pa.compute.binary_length(col).to_numpy(zero_copy_only=False).tolist()
             for lo, hi in _pieces(b, sizes, PIECE_CHARS):
-                counts, flat = [0], []
-                for t in col.slice(lo, hi - lo).to_pylist():
-                    ids = c.encode(t)
-                    flat.append(np.array(ids, np.int32))
-                    counts.append(len(ids))
-                arr = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()),
-                                               pa.array(np.concatenate(flat), pa.int32()))
+                raws = list(map(c.packed, col.slice(lo, hi - lo).to_pylist()))
+                ends = np.cumsum([0, *(len(r) >> 2 for r in raws)])
+                raw = pa.py_buffer(b"".join(raws))
+                del raws
+                arr = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                               pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, raw]))
                 kept = [b.column(i).slice(lo, hi - lo) for i in range(b.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*kept, arr], names=[*rest, out])
 
@@ -297,14 +341,12 @@ def decode(tokens: DataFrame, vocab: str, pattern: str, *, ids: str = "ids", out
     at = names.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(shared)
+        entries = _entries(shared)
         for b in batches:
             col = b.column(at)
             sizes = pa.compute.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False).tolist()
             for lo, hi in _pieces(b, sizes, PIECE_CHARS // 4):
                 part = b.slice(lo, hi - lo)
-                texts = [c.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else ())
-                         for x in part.column(at)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded_lists(entries, part.column(at))], names=[*names, out])
 
     return tokens.mapInArrow(run, schema)

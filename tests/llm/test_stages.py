@@ -179,3 +179,19 @@ def test_near_duplicates_hold_sketches_once(spark, monkeypatch):
     assert got == {**{i: 0 for i in range(30)}, None: None, 99: 99}
     assert left and not left[0] & {"near-rows", "near-nodes", "near-marks"}, left
     assert not {n for n in set(os.listdir(folder)) - before if n.startswith("near-") and not n.startswith("near-classes")}
+
+
+def test_lists_of_ids_are_decoded_at_once():
+    """NULL and empty lists give empty bytes, also in a slice; ids that are unknown, negative or NULL are errors."""
+    import pyarrow as pa
+
+    from airseries.llm import bpe
+    entries = pa.array([b"a", b"bc", b"", b"\xff"], pa.binary())
+    lists = pa.array([[1, 0], None, [], [2], [3, 1, 1]], pa.list_(pa.int32()))
+    assert bpe.decoded_lists(entries, lists).to_pylist() == [b"bca", b"", b"", b"", b"\xffbcbc"]
+    assert bpe.decoded_lists(entries, lists.slice(1, 4)).to_pylist() == [b"", b"", b"", b"\xffbcbc"]
+    assert bpe.decoded_lists(entries, lists.slice(1, 2)).to_pylist() == [b"", b""]
+    assert bpe.decoded_lists(entries, lists.slice(0, 0)).to_pylist() == []
+    for wrong in ([4], [-1], [0, None]):
+        with pytest.raises((IndexError, ValueError)):
+            bpe.decoded_lists(entries, pa.array([[0], wrong], pa.list_(pa.int32())))
