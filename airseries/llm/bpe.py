@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airseries.llm.common import hold, prepare, text_of
+from airseries.llm.common import hold, let_go, prepare, text_of
 
 #: Pre-tokens a worker remembers before it starts over.
 REMEMBER = 300_000
@@ -328,6 +328,7 @@ def encode(docs: DataFrame, vocab: str, pattern: str, *, text: str = "text", out
                                                pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, raw]))
                 kept = [b.column(i).slice(lo, hi - lo) for i in range(b.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*kept, arr], names=[*rest, out])
+        let_go()
 
     return src.mapInArrow(run, schema)
 
@@ -348,5 +349,6 @@ def decode(tokens: DataFrame, vocab: str, pattern: str, *, ids: str = "ids", out
             for lo, hi in _pieces(b, sizes, PIECE_CHARS // 4):
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded_lists(entries, part.column(at))], names=[*names, out])
+        let_go()
 
     return tokens.mapInArrow(run, schema)

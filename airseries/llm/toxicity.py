@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from airseries.llm import near_dup
 from airseries.llm.bpe import _pieces
-from airseries.llm.common import hold, prepare, text_of, written
+from airseries.llm.common import hold, let_go, prepare, text_of, written
 
 #: Labelled rows of either class that the model is fitted on, at most.
 SAMPLE_PER_CLASS = 6_000
@@ -372,6 +372,7 @@ def _scan(docs: DataFrame, text: str, model: Model, keep: list[str]) -> DataFram
                     [*[c.slice(lo, hi - lo) for c in b.columns[:-1]], pa.array(feats, pa.list_(pa.float64())),
                      pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)],
                     names=[*keep, "features", "score", "hits"])
+        let_go()
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], text_of(f"`{text}`").alias("_text")).mapInArrow(run, schema)
 

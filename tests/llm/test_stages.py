@@ -195,3 +195,20 @@ def test_lists_of_ids_are_decoded_at_once():
     for wrong in ([4], [-1], [0, None]):
         with pytest.raises((IndexError, ValueError)):
             bpe.decoded_lists(entries, pa.array([[0], wrong], pa.list_(pa.int32())))
+
+
+def test_decoding_workers_hold_entries_only(monkeypatch):
+    """The codec with its memory of pre-tokens is made where texts are encoded, ids are remembered as bytes."""
+    from types import SimpleNamespace
+
+    from airseries.llm import bpe
+    monkeypatch.setattr(bpe, "_CODECS", {})
+    monkeypatch.setattr(bpe, "_ENTRIES", {})
+    shared = SimpleNamespace(id=-1, value=bpe.Tables(bpe.load_ranks(P.path(queries.VOCAB)), P.PATTERN))
+    assert bpe._entries(shared)[300].as_py() == shared.value.entries[300]
+    assert not bpe._CODECS
+    c = bpe.codec(shared)
+    text = "Some words, some wwwwordss 界\n"
+    assert all(type(raw) is bytes for raw in (c.packed(text), *c.known.values()))
+    assert len(c.packed(text)) == 4 * len(c.encode(text))
+    assert c.decode(c.encode(text)) == text.encode()
