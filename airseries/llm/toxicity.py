@@ -340,6 +340,9 @@ def _scan(docs: DataFrame, text: str, model: Model, keep: list[str]) -> DataFram
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = shared._jbroadcast.id()
+    # a text that is kept is sent once
+    own = [] if text in keep and isinstance(docs.schema[text].dataType, T.StringType) else [text_of(f"`{text}`").alias("_text")]
+    at, n_kept = len(keep) if own else keep.index(text), len(keep)
     schema = T.StructType([*[docs.schema[c] for c in keep], *T._parse_datatype_string(
         "features array<double>, score double, "
         "hits array<struct<start:int,end:int,term:string,edits:int,quotation:double>>").fields])
@@ -353,7 +356,7 @@ def _scan(docs: DataFrame, text: str, model: Model, keep: list[str]) -> DataFram
         scan, weights = _MATCHERS[key].scan, m.weights
         kinds = (("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()), ("edits", pa.int32()), ("quotation", pa.float64()))
         for b in batches:
-            texts = b.column(b.num_columns - 1)
+            texts = pa.compute.fill_null(b.column(at), "")
             sizes = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).tolist()
             for lo, hi in _pieces(b, sizes, PIECE_BYTES):  # a batch may hold thousands of long texts with many hits
                 feats, scores, ends, flat = [], [], [0], []
@@ -369,12 +372,12 @@ def _scan(docs: DataFrame, text: str, model: Model, keep: list[str]) -> DataFram
                 spans = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)],
                                                    names=[n for n, _ in kinds])
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(lo, hi - lo) for c in b.columns[:-1]], pa.array(feats, pa.list_(pa.float64())),
+                    [*[c.slice(lo, hi - lo) for c in b.columns[:n_kept]], pa.array(feats, pa.list_(pa.float64())),
                      pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)],
                     names=[*keep, "features", "score", "hits"])
         let_go()
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], text_of(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], *own).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:

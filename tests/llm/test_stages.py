@@ -212,3 +212,40 @@ def test_decoding_workers_hold_entries_only(monkeypatch):
     assert all(type(raw) is bytes for raw in (c.packed(text), *c.known.values()))
     assert len(c.packed(text)) == 4 * len(c.encode(text))
     assert c.decode(c.encode(text)) == text.encode()
+
+
+def test_batches_of_long_texts_are_bounded(spark, tmp_path):
+    """After a stage was made, workers get a few MB of texts at once, not 10,000 rows of any size; a session's own bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    path = str(tmp_path / "docs")
+    spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 6_000).alias("text")).write.parquet(path)
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(map(len, b.column(1).to_pylist()))], pa.int64())})
+    try:
+        spark.conf.unset(key)
+        C.drop_repeats(spark, docs_of(spark, [(1, "a text")]), SF["0.001"])
+        got = [r.n for r in spark.read.parquet(path).mapInArrow(sizes, "n long").collect()]
+        assert sum(got) == 300 * 66_000 and max(got) <= C.BATCH_BYTES + 66_000
+        spark.conf.set(key, str(1 << 20))
+        C.prepare(spark)
+        assert spark.conf.get(key) == str(1 << 20)
+    finally:
+        spark.conf.unset(key)
+
+
+def test_toxicity_stage_sends_a_text_once(spark, monkeypatch):
+    """Rows keep their NULL texts and all their columns, in their order; the text is no part of the row sent beside it."""
+    sent = []
+    real = C.toxicity.score
+    monkeypatch.setattr(C.toxicity, "score", lambda rows, *a, **k: sent.append(rows) or real(rows, *a, **k))
+    monkeypatch.setattr(C.q, "toxicity_model", lambda *a: C.toxicity.Model(base=0.1))
+    docs = docs_of(spark, [(1, None), (1, None), (2, ""), (None, "plain words"), (3, "plain words")])
+    out = C.drop_toxic(spark, docs, SF["0.001"])
+    assert sent[0].schema.simpleString().count("text") == 1
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, docs.collect()))
+    only = C.drop_toxic(spark, docs.select("text"), SF["0.001"])
+    assert only.columns == ["text"] and only.where("text IS NULL").count() == 2
