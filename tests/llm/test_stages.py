@@ -228,7 +228,7 @@ def test_batches_of_long_texts_are_bounded(spark, tmp_path):
         spark.conf.unset(key)
         C.drop_repeats(spark, docs_of(spark, [(1, "a text")]), SF["0.001"])
         got = [r.n for r in spark.read.parquet(path).mapInArrow(sizes, "n long").collect()]
-        assert sum(got) == 300 * 66_000 and max(got) <= C.BATCH_BYTES + 66_000
+        assert sum(got) == 300 * 66_000 and max(got) <= (4 << 20) + 66_000
         spark.conf.set(key, str(1 << 20))
         C.prepare(spark)
         assert spark.conf.get(key) == str(1 << 20)
