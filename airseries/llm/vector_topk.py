@@ -5,14 +5,18 @@ equal segments, a vector keeps each segment's mean and deviation (root of the
 summed squared distances from the mean). By Cauchy-Schwarz a pair's score is at
 most  sum over segments (length * mean * mean' + deviation * deviation'),
 equivalently a lower bound of the distance. Levels run from one segment to
-many: a pair whose bound at some level is below the query's k-th best score so
-far is dropped, and exact scores are computed for the survivors: one by one, or by one
-matrix product of the block where the bounds leave more than a tenth of its pairs (as
+many: a pair whose bound at some level is below the query's bar, its k-th best score so
+far, is dropped, and exact scores are computed for the survivors: one by one, or by
+matrix products where the bounds leave more than a tenth of the pairs (as
 they do on vectors without structure, whose norms bound nothing).
 
-Vectors are packed in blocks of at most ``BLOCK`` rows; every query block meets
-every block of candidates (a stated query set against all rows, in blocks), and
-each meeting yields at most k rows per query.
+Vectors are packed in blocks of at most ``BLOCK`` rows, in the smallest integers that
+hold them, and so are the queries, each with its k-th best score in its own block and
+a few others as the first bar. Every query block is copied to every lane and meets the lane's blocks of
+candidates one after the other; it carries the k best of each query along and leaves
+them once a lane, as one row. A last pass merges the lanes' rows of a query block one by
+one. The copies go through a shuffle whatever their size: the files they are copied from
+are small enough for a broadcast long after the copies are too large for the driver.
 
 Defined results: vectors that are NULL, or hold NULL or non-finite components,
 take no part; only vectors of equal length are compared; an empty vector scores
@@ -28,17 +32,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airseries.llm.common import written
 
 BLOCK = 2048
 SEGMENTS = (1, 4, 16)
-#: Share of a block's pairs up to which survivors are scored one by one.
+#: Share of a slice's pairs up to which survivors are scored one by one.
 MANY = 0.1
+#: Queries that go through levels and products together; a block of queries keeps about so many scores.
+SLICE, KEPT = 256, 20 * BLOCK
+#: Where the bounds leave many pairs, they are asked again at every so many meetings.
+ASK = 8
+#: Blocks that give a query its first bar.
+FIRST = 8
+#: Share of |q| * |x|, the most that all terms of a bound can be, that covers their rounding in 32 bits.
+SLACK = 1e-5
+#: Below every score: the bar of a query with fewer than k candidates so far.
+NONE = -np.iinfo(np.int64).max
 _BLOCKS = "block long, dim int, n int, ids binary, comps binary"
-_HITS = "query_block long, query_row int, query_id long, vec_id long, score long"
+_QUERIES = "qblock long, dim int, origins binary, rows binary, qids binary, bars binary, qcomps binary"
+_KEPT = "qblock long, qids binary, scores binary, vec_ids binary"
+_RANKED = "query_id long, rank int not null, vec_id long, score long"
 
 
 def quantised(vec: str = "embedding", scale: float = 64.0) -> Column:
@@ -49,6 +65,17 @@ def quantised(vec: str = "embedding", scale: float = 64.0) -> Column:
     return F.when(ok, F.transform(v, lambda x: F.floor(x * F.lit(scale)).cast("long")))
 
 
+def _packed(comps: np.ndarray) -> bytes:
+    """Components in the smallest integers that hold them all."""
+    lo, hi = comps.min(initial=0), comps.max(initial=0)
+    kind = next(t for t in (np.int8, np.int16, np.int32) if np.iinfo(t).min <= lo and hi <= np.iinfo(t).max)
+    return comps.astype(kind).tobytes()
+
+
+def _unpacked(raw: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, f"i{len(raw) // (n * dim) if n * dim else 1}").reshape(n, dim)
+
+
 def pack_blocks(vectors: DataFrame) -> DataFrame:
     """(vec_id, q array<long>) rows packed into blocks of one length, in whatever order they lie."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +90,7 @@ def pack_blocks(vectors: DataFrame) -> DataFrame:
                 "block": pa.array([uid], pa.int64()), "dim": pa.array([dim], pa.int32()),
                 "n": pa.array([len(ids)], pa.int32()),
                 "ids": [np.array(ids, np.int64).tobytes()],
-                "comps": [np.array(rows, np.int32).tobytes()]})
+                "comps": [_packed(np.array(rows, np.int64))]})
             uid += 1
             return out
 
@@ -85,92 +112,173 @@ def pack_blocks(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(pack, _BLOCKS)
 
 
-def query_blocks(blocks: DataFrame, divisor: int) -> DataFrame:
-    """The rows of ``blocks`` whose id is divisible by ``divisor``, packed again with their origin."""
+def query_blocks(blocks: DataFrame, divisor: int, k: int) -> DataFrame:
+    """The rows of ``blocks`` whose id is divisible by ``divisor``, packed again with their origin and first bar."""
+    most = min(BLOCK, max(1, KEPT // k))
+
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                ids = np.frombuffer(r["ids"], np.int64)
-                rows = np.flatnonzero(ids % divisor == 0).astype(np.int32)
-                comps = np.frombuffer(r["comps"], np.int32).reshape(r["n"], r["dim"])
-                if rows.size:
-                    yield pa.RecordBatch.from_pydict({
-                        "qblock": pa.array([r["block"]], pa.int64()), "dim": pa.array([r["dim"]], pa.int32()),
-                        "rows": [rows.tobytes()], "qids": [ids[rows].tobytes()], "qcomps": [comps[rows].tobytes()]})
-    return blocks.mapInArrow(pick, "qblock long, dim int, rows binary, qids binary, qcomps binary")
-
-
-def _levels(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per level: segment means times root of length, and segment deviations."""
-    out = []
+        from pyspark import TaskContext
+        uid = TaskContext.get().partitionId() << 32
+        held: dict[int, list[list[np.ndarray]]] = {}
+        seen: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def flush(dim: int, least: int) -> Iterator[pa.RecordBatch]:
+            nonlocal uid
+            if not held[dim] or sum(len(p[0]) for p in held[dim]) < least:
+                return
+            whole = [np.concatenate(c) for c in zip(*held[dim], strict=True)]
+            for lo in range(0, len(whole[0]) - least + 1, most):
+                *rest, comps = [c[lo:lo + most] for c in whole]
+                yield pa.RecordBatch.from_pydict({
+                    "qblock": pa.array([uid], pa.int64()), "dim": pa.array([dim], pa.int32()),
+                    **{name: [c.tobytes()] for name, c in zip(("origins", "rows", "qids", "bars"), rest, strict=True)},
+                    "qcomps": [_packed(comps)]})
+                uid += 1
+                done = lo + most
+            held[dim] = [[c[done:] for c in whole]]
+
+        for r in _rows(batches):
+            ids, x = np.frombuffer(r["ids"], np.int64), _unpacked(r["comps"], r["n"], r["dim"])
+            rows, others = np.flatnonzero(ids % divisor == 0), seen.setdefault(r["dim"], [])
+            if rows.size:
+                best = Best(len(rows), k)
+                best_in_block(x[rows], x, ids, rows, best)
+                for y, y_ids in others:
+                    best_in_block(x[rows], y, y_ids, np.full(len(rows), -1), best)
+                held.setdefault(r["dim"], []).append(
+                    [np.full(len(rows), r["block"]), rows.astype(np.int32), ids[rows], best.bar, x[rows]])
+                yield from flush(r["dim"], most)
+            others.append((x, ids))
+            del others[:-FIRST + 1]
+        for dim in held:
+            yield from flush(dim, 1)
+
+    return blocks.mapInArrow(pick, _QUERIES)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for j in range(b.num_rows):
+            yield {c: b.column(c)[j].as_py() for c in b.schema.names}
+
+
+def _levels(x: np.ndarray) -> list[np.ndarray]:
+    """Per level: segment means times root of length, segment deviations, and the norm."""
+    x, out = x.astype(float), []
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
     for s in SEGMENTS:
-        if s >= x.shape[1]:
-            break
+        if 4 * s >= x.shape[1]:
+            break  # its statistics cost half as much as the scores or more
         cuts = np.linspace(0, x.shape[1], s + 1).astype(int)
         length = np.diff(cuts)
         mean = np.add.reduceat(x, cuts[:-1], axis=1) / length
         square = np.add.reduceat(x * x, cuts[:-1], axis=1) - mean * mean * length
-        out.append((mean * np.sqrt(length), np.sqrt(np.maximum(square, 0))))
+        out.append(np.hstack([mean * np.sqrt(length), np.sqrt(np.maximum(square, 0)), norm]))
     return out
 
 
-def _exact(q: np.ndarray, x: np.ndarray) -> bool:
-    """Whether all scores are integers below 2**53, which doubles hold exactly."""
-    return not q.size or np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2 ** 53
+def _exact(q: np.ndarray, x: np.ndarray) -> type | None:
+    """Floats that hold all sums of a score's terms exactly, as integers below 2**24 or 2**53."""
+    most = [max(int(a.max(initial=0)), -int(a.min(initial=0))) for a in (q, x)]
+    top = most[0] * most[1] * q.shape[1]
+    return np.float32 if top < 2 ** 24 else np.float64 if top < 2 ** 53 else None
 
 
-def _pairs(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _pairs(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, exact: bool) -> np.ndarray:
     """Exact integer scores of the pairs (i, j)."""
-    if _exact(q, x):
+    if exact:
         return np.einsum("ij,ij->i", q[i], x[j]).astype(np.int64)
     return np.array([sum(int(a) * int(b) for a, b in zip(q[u], x[v], strict=True)) for u, v in zip(i, j, strict=True)], np.int64)
 
 
-def best_in_block(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int,
-                  own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query (scores, positions) of its k best rows of ``x``; ``own[i]``: row to skip or -1.
-
-    All queries go through a level together. The k rows a query's coarse bounds promise most
-    set its bar; what a finer level leaves above the bars goes on. As soon as no more than
-    a share ``MANY`` of the pairs is left they are scored one by one; if the levels that are
-    cheaper than the scores leave more than that, one matrix product scores the block."""
-    many, n = len(q), len(x)
-    q, x = q.astype(float), x.astype(float)
-    by_id = np.argsort(ids, kind="stable")
-    x, ids = x[by_id], ids[by_id]
-    place = np.empty(n, int)
-    place[by_id] = np.arange(n)
-    alive = np.ones((many, n), bool)
-    skip = np.flatnonzero(own >= 0)
-    alive[skip, place[own[skip]]] = False
-    levels = [(lq, lx) for lq, lx in zip(_levels(q), _levels(x), strict=True)]
-    if n > k and levels:
-        bar = np.full(many, -np.inf)
-        for size, ((mq, dq), (mx, dx)) in zip(SEGMENTS, levels, strict=False):
-            if 4 * size >= q.shape[1]:
-                break  # its statistics cost half as much as the scores or more
-            upper = mq @ mx.T + dq @ dx.T
-            upper = np.where(alive, upper + 1e-6 * np.abs(upper) + 1e-6, -np.inf)
-            first = np.argpartition(-upper, k - 1, axis=1)[:, :k]
-            got = _pairs(q, x, np.repeat(np.arange(many), k), first.reshape(-1)).reshape(many, k).astype(float)
-            got[~np.take_along_axis(alive, first, 1)] = -np.inf
-            bar = np.maximum(bar, got.min(1))
-            alive &= upper >= bar[:, None]
-            if alive.mean() <= MANY:
-                break
-    if alive.mean() > MANY and _exact(q, x):
-        scores = np.where(alive, q @ x.T, -np.inf)
-        floor = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(many, -np.inf)
-        i, j = np.nonzero((scores >= floor[:, None]) & alive)
-        s = scores[i, j].astype(np.int64)
-    else:
-        i, j = np.nonzero(alive)
-        s = _pairs(q, x, i, j)
-    order = np.lexsort((j, -s, i))  # rows lie by id: position order is id order
-    i, j, s = i[order], j[order], s[order]
-    start = np.searchsorted(i, np.arange(many))
-    stop = np.minimum(np.searchsorted(i, np.arange(many), side="right"), start + k)
-    return [(s[lo:hi], ids[j[lo:hi]]) for lo, hi in zip(start, stop, strict=True)]
+def _where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a mask with few true values."""
+    flat = mask.reshape(-1)
+    if flat.size % 8:
+        return np.divmod(np.flatnonzero(flat), max(1, mask.shape[1]))
+    eight = np.flatnonzero(flat.view(np.uint64))
+    a, b = np.nonzero(flat.reshape(-1, 8)[eight])
+    return np.divmod(eight[a] * 8 + b, max(1, mask.shape[1]))
+
+
+class Best:
+    """The k best (score, vec_id) of each of some queries so far, best first; ``first``: bars known from elsewhere."""
+
+    def __init__(self, n: int, k: int, first: np.ndarray | int = NONE):
+        self.k, self.first = k, first
+        self.scores = np.full((n, k), NONE)
+        self.ids = np.full((n, k), np.iinfo(np.int64).max)
+
+    @property
+    def bar(self) -> np.ndarray:
+        """What a score must reach."""
+        return np.maximum(self.scores[:, -1], self.first)
+
+    def add(self, i: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Candidates of the queries i, which rise."""
+        last = self.scores[i, -1]
+        new = (scores > last) | ((scores == last) & (ids < self.ids[i, -1]))
+        if not new.any():
+            return
+        i, scores, ids = i[new], scores[new], ids[new]
+        rows = i[np.concatenate([[True], i[1:] != i[:-1]])]
+        at = np.concatenate([np.repeat(rows, self.k), i])
+        s = np.concatenate([self.scores[rows].reshape(-1), scores])
+        v = np.concatenate([self.ids[rows].reshape(-1), ids])
+        order = np.lexsort((v, -s, at))
+        stay = order[np.searchsorted(at[order], rows)[:, None] + np.arange(self.k)]
+        self.scores[rows], self.ids[rows] = s[stay], v[stay]
+
+
+def best_in_block(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, best: Best, ask: bool = True) -> bool:
+    """``best`` after the rows of ``x``; ``own[i]``: row that query i skips, or -1. False if the levels left many pairs.
+
+    Queries go through a level in slices: what it leaves above the bars goes on. Where there is
+    no bar yet, the k rows a query's coarse bounds promise most set it. As soon as no more than
+    a share ``MANY`` of a slice's pairs is left they are scored one by one; if the levels that are
+    cheaper than the scores leave more than that, matrix products score it and the slices behind
+    it, and so they do at once if not to ``ask`` the levels."""
+    n, k, exact = len(x), best.k, _exact(q, x)
+    kind = exact or np.float64
+    ask = ask or exact is None
+    levels = [((a * np.append(np.ones(a.shape[1] - 1), SLACK)).astype(kind), b.astype(kind))
+              for a, b in zip(_levels(q), _levels(x), strict=True)] if ask and n > k else []
+    q, x = q.astype(kind), x.astype(kind)
+    for lo in range(0, len(q), SLICE):
+        part = q[lo:lo + SLICE]
+        skip = np.flatnonzero(own[lo:lo + SLICE] >= 0)
+        mine = own[lo:lo + SLICE][skip]
+        bar = best.bar[lo:lo + SLICE].astype(kind)  # rounded, if it is no score of these; the order to their scores stays
+        loose = bar == kind(NONE)
+        alive = None
+        if ask or exact is None:
+            alive = np.ones((len(part), n), bool)
+            alive[skip, mine] = False
+            for mq, mx in levels:
+                upper = mq[lo:lo + SLICE] @ mx.T
+                if loose.any():
+                    upper[~alive] = -np.inf
+                    first = np.argpartition(-upper[loose], k - 1, axis=1)[:, :k]
+                    i = np.repeat(np.flatnonzero(loose), k)
+                    got = _pairs(part, x, i, first.reshape(-1), exact is not None).astype(kind)
+                    got[~alive[i, first.reshape(-1)]] = NONE
+                    bar[loose] = np.maximum(bar[loose], got.reshape(-1, k).min(1))
+                alive &= upper >= bar[:, None]
+                if alive.mean() <= MANY:
+                    break
+            ask = alive.mean() <= MANY
+        if exact is None or ask:
+            i, j = np.nonzero(alive)
+            s = _pairs(part, x, i, j, exact is not None)
+        else:
+            scores = part @ x.T
+            scores[skip, mine] = -np.inf
+            if n > k and loose.any():
+                bar[loose] = np.maximum(bar[loose], np.partition(scores[loose], n - k, axis=1)[:, n - k])
+            i, j = _where(scores >= bar[:, None])
+            s = scores[i, j].astype(np.int64)
+        best.add(i + lo, s, ids[j])
+    return ask
 
 
 def top_k(vectors: DataFrame, k: int = 20, *, divisor: int = 20, vec_id: str = "vec_id",
@@ -179,32 +287,51 @@ def top_k(vectors: DataFrame, k: int = 20, *, divisor: int = 20, vec_id: str = "
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), quantised(vec, scale).alias("q")).where(
         "vec_id IS NOT NULL AND q IS NOT NULL")
     blocks = written(pack_blocks(rows), "vector-blocks")
-    # every lane of candidates meets every query block of its length
-    candidates = blocks.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int"))
-    queries = written(query_blocks(blocks, divisor), "query-blocks").withColumn(
-        "lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    # every lane of candidates meets every query block of its length; a task's blocks go round the lanes
+    first = F.pmod(F.xxhash64(F.shiftright("block", 32)), F.lit(lanes))
+    lane = F.pmod(first + F.col("block").bitwiseAND(F.lit(2 ** 32 - 1)), F.lit(lanes)).cast("int")
+    candidates = blocks.withColumn("lane", lane).repartition(lanes, "lane", "dim")
+    queries = written(query_blocks(blocks, divisor, k), "query-blocks").withColumn(
+        "lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).repartition(lanes, "lane", "dim")
+
+    def kept(qblock: int, qids: bytes, best: Best) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"qblock": pa.array([qblock], pa.int64()), "qids": [qids],
+                                           "scores": [best.scores.tobytes()], "vec_ids": [best.ids.tobytes()]})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for j in range(b.num_rows):
-                r = {c: b.column(c)[j].as_py() for c in b.schema.names}
-                if not r["n"]:
-                    continue
-                x = np.frombuffer(r["comps"], np.int32).reshape(r["n"], r["dim"])
-                ids = np.frombuffer(r["ids"], np.int64)
-                pos = np.frombuffer(r["rows"], np.int32)
-                q = np.frombuffer(r["qcomps"], np.int32).reshape(len(pos), r["dim"])
-                qids = np.frombuffer(r["qids"], np.int64)
-                own = pos if r["qblock"] == r["block"] else np.full(len(pos), -1)
-                found = best_in_block(q, x, ids, k, own)
-                n = [len(s) for s, _ in found]
-                yield pa.RecordBatch.from_pydict({
-                    "query_block": np.full(sum(n), r["qblock"], np.int64),
-                    "query_row": np.repeat(pos, n).astype(np.int32), "query_id": np.repeat(qids, n),
-                    "vec_id": np.concatenate([v for _, v in found]).astype(np.int64),
-                    "score": np.concatenate([s for s, _ in found]).astype(np.int64)})
-
-    hits = queries.join(candidates, ["lane", "dim"]).mapInArrow(meet, _HITS)
-    best = Window.partitionBy("query_block", "query_row").orderBy(F.desc("score"), "vec_id")
-    return (hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+        now = best = None
+        for r in _rows(batches):
+            if r["qblock"] != now:
+                if best is not None:
+                    yield kept(now, qids, best)
+                now, qids, met, few = r["qblock"], r["qids"], 0, True
+                origins, at = np.frombuffer(r["origins"], np.int64), np.frombuffer(r["rows"], np.int32)
+                q = _unpacked(r["qcomps"], len(at), r["dim"])
+                best = Best(len(at), k, np.frombuffer(r["bars"], np.int64))
+            few = best_in_block(q, _unpacked(r["comps"], r["n"], r["dim"]), np.frombuffer(r["ids"], np.int64),
+                                np.where(origins == r["block"], at, -1), best, few or met % ASK == 0)
+            met += 1
+        if best is not None:
+            yield kept(now, qids, best)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ranked() -> pa.RecordBatch:
+            i, rank = np.nonzero(best.scores != NONE)
+            return pa.RecordBatch.from_pydict({
+                "query_id": qids[i], "rank": (rank + 1).astype(np.int32), "vec_id": best.ids[i, rank], "score": best.scores[i, rank]})
+
+        now = best = None
+        for r in _rows(batches):
+            if r["qblock"] != now:
+                if best is not None:
+                    yield ranked()
+                now, qids = r["qblock"], np.frombuffer(r["qids"], np.int64)
+                best = Best(len(qids), k)
+            scores, ids = (np.frombuffer(r[c], np.int64).reshape(len(qids), k) for c in ("scores", "vec_ids"))
+            i, j = np.nonzero(scores != NONE)
+            best.add(i, scores[i, j], ids[i, j])
+        if best is not None:
+            yield ranked()
+
+    met = queries.hint("merge").join(candidates, ["lane", "dim"]).mapInArrow(meet, _KEPT)
+    return met.repartition("qblock").sortWithinPartitions("qblock").mapInArrow(merge, _RANKED)

@@ -306,6 +306,35 @@ def test_top_k_edges(spark):
     assert vector_topk.top_k(df.limit(0), 7).count() == 0
 
 
+def test_top_k_over_many_blocks(spark):
+    """Several blocks, query blocks and lanes; many equal vectors; scores beyond what a double holds."""
+    rnd = np.random.default_rng(2)
+    vectors = [rnd.integers(-40, 40, 20) for _ in range(3000)] + [np.full(20, 9)] * 700
+    vectors += [rnd.integers(-2 ** 30, 2 ** 30, 6) for _ in range(80)]
+    rows = [(int(i), [x / 64 for x in v.tolist()]) for i, v in zip(rnd.permutation(len(vectors)), vectors, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    got = sorted(map(tuple, vector_topk.top_k(df, 11, divisor=7, lanes=3).collect()))
+    want = []
+    for dim in (20, 6):
+        some = [(i, [int(64 * x) for x in v]) for i, v in rows if len(v) == dim]
+        m = np.array([v for _, v in some], object if dim == 6 else np.int64)
+        scores = m @ m.T
+        for q, (i, _) in enumerate(some):
+            if i % 7 == 0:
+                best = sorted((-int(s), j) for (j, _), s in zip(some, scores[q], strict=True) if j != i)[:11]
+                want += [(i, rank, j, -s) for rank, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+def test_top_k_copies_of_queries_stay_off_the_driver(spark):
+    """Files of queries under the threshold of a broadcast are copied to every lane; the copies are no broadcast."""
+    rows = [(i, [float(i % 7), 1.0, 2.0]) for i in range(200)]
+    out = vector_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3, divisor=5, lanes=2)
+    assert len(out.collect()) == 40 * 3
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Broadcast" not in plan
+
+
 # --- 7: decontamination
 
 def test_templates_found(spark):
